@@ -117,4 +117,5 @@ v_kb AS (
 
 
 def with_views(*views: str) -> str:
-    return "WITH " + ",\n".join(views) + "\n"
+    rec = any("UNION ALL" in v and "fires" in v for v in views)
+    return ("WITH RECURSIVE " if rec else "WITH ") + ",\n".join(views) + "\n"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
+from ternlens.functions.text import iso_utc
 from ternlens.schemas import ALERT_SCHEMA, STORED_RECORD_SCHEMA
 
 _ARRAY_COLUMNS = {"tags": "array<string>", "flagged_claims": "array<string>", "embedding_vector": "array<double>"}
@@ -91,7 +92,7 @@ def encode_for_text_store(records: DataFrame) -> DataFrame:
         out = out.withColumn("is_denial", F.col("is_denial").cast("int"))
     for c in ("timestamp", "created_at"):
         if c in out.columns:
-            out = out.withColumn(c, F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+            out = out.withColumn(c, iso_utc(F.col(c)))
     return out
 
 
