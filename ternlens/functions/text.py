@@ -22,20 +22,24 @@ def _arr(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+# Python's str.isspace() set: Unicode White_Space plus the four separators \x1c-\x1f.
+WS = r"[\s\x1C-\x1F]"
+
+
 def is_blank(x) -> Column:
     """True for null, empty or whitespace-only text."""
     x = _c(x)
-    return x.isNull() | (F.regexp_replace(x, r"(?U)\s+", "") == F.lit(""))
+    return x.isNull() | (F.regexp_replace(x, f"(?U){WS}+", "") == F.lit(""))
 
 
 def strip(x) -> Column:
     """Unicode-whitespace strip (Spark's ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), f"(?U)^{WS}+|{WS}+$", "")
 
 
 def whitespace_tokens(x) -> Column:
     """Whitespace split with empty pieces removed (``str.split()``)."""
-    return F.filter(F.split(_c(x), r"(?U)\s+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(_c(x), f"(?U){WS}+"), lambda t: t != F.lit(""))
 
 
 def word_count(x) -> Column:
@@ -52,7 +56,7 @@ def lexicon_sentiment(x) -> Column:
     return F.when(is_blank(x) | ((p + n) == 0), F.lit(0.5)).otherwise(score)
 
 
-DENIAL_REGEX = "(?iU)" + "|".join(K.DENIAL_PATTERNS)
+DENIAL_REGEX = "(?iU)" + "|".join(p.replace(r"\s", WS) for p in K.DENIAL_PATTERNS)
 
 
 def is_denial(x) -> Column:
