@@ -85,7 +85,7 @@ def snapshot_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector
             .drop("centroid"))
 
 
-def _prefix_scores(order: list[str], vector: str, min_baseline: int):
+def _prefix_scores(order: list[str], vector: str, min_baseline: int, keep_vector: str | None = None):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
         m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
@@ -102,6 +102,8 @@ def _prefix_scores(order: list[str], vector: str, min_baseline: int):
         drift = np.clip(dist / 2.0, 0.0, 1.0)
         out = [round(float(x), K.SCORE_DECIMALS) if i + 1 >= min_baseline else None for i, x in enumerate(drift)]
         res = pdf.drop(columns=[vector])
+        if keep_vector:
+            res[keep_vector] = pdf[vector]
         res["drift_score"] = pd.Series(out, dtype="object")
         return res
     return score
@@ -109,11 +111,12 @@ def _prefix_scores(order: list[str], vector: str, min_baseline: int):
 
 def online_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
                  order: tuple[str, ...] = ("timestamp", "id"), cap: int = K.DRIFT_BASELINE_CAP,
-                 min_baseline: int = K.MIN_DRIFT_BASELINE) -> DataFrame:
+                 min_baseline: int = K.MIN_DRIFT_BASELINE, keep_vector: str | None = None) -> DataFrame:
     """Running-centroid drift in arrival order per key (see module docstring).
 
     Rows without a vector (blank responses) are not stored and get a null score.
-    Returns the input columns (minus the vector) plus ``drift_score``.
+    Returns the input columns (minus the vector) plus ``drift_score``; with
+    ``keep_vector`` the vector is also returned under that name.
     """
     order = list(order)
     has_vec = F.col(vector).isNotNull() & (F.size(vector) > 0)
@@ -122,8 +125,10 @@ def online_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
     w = Window.partitionBy(key).orderBy(*order)
     head = valid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
     out_fields = [f for f in vecs.schema.fields if f.name != vector]
-    schema = T.StructType(out_fields + [T.StructField("drift_score", T.DoubleType())])
-    scored_head = head.groupBy(key).applyInPandas(_prefix_scores(order, vector, min_baseline), schema)
+    vfield = [T.StructField(keep_vector, T.ArrayType(T.DoubleType()))] if keep_vector else []
+    schema = T.StructType(out_fields + vfield + [T.StructField("drift_score", T.DoubleType())])
+    scored_head = head.groupBy(key).applyInPandas(_prefix_scores(order, vector, min_baseline, keep_vector),
+                                                  schema)
 
     # Tail: rows after the cap-th of an app, scored against the fixed first-cap centroid.
     cut = (head.groupBy(key).agg(F.max(F.struct(*order)).alias("_cut"), F.count(F.lit(1)).alias("_n"))
@@ -133,7 +138,10 @@ def online_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
     tail = (valid.join(info, key)
             .where(F.struct(*order) > F.col("_cut"))
             .withColumn("drift_score", drift_from_distance(V.cosine_distance(vector, "centroid")))
-            .select(*[f.name for f in out_fields], "drift_score"))
+            .select(*[f.name for f in out_fields], *([F.col(vector).alias(keep_vector)] if keep_vector else []),
+                    "drift_score"))
     blanks = (vecs.where(~has_vec | F.col(vector).isNull())
-              .select(*[f.name for f in out_fields], F.lit(None).cast("double").alias("drift_score")))
+              .select(*[f.name for f in out_fields],
+                      *([F.col(vector).alias(keep_vector)] if keep_vector else []),
+                      F.lit(None).cast("double").alias("drift_score")))
     return scored_head.unionByName(tail).unionByName(blanks)
