@@ -40,7 +40,7 @@ def r9(c) -> Column:
 def load_all() -> None:
     # Importing the modules registers their queries.
     from ternlens.plans import (q_records, q_alerts, q_text, q_vectors, q_scoring,  # noqa: F401
-                                q_regression, q_io)
+                                q_regression, q_io, q_models)
 
 
 def queries() -> dict[str, QueryFn]:
