@@ -18,6 +18,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it inside ``body`` (a lambda).
+
+    Catalyst re-evaluates an outer expression each time a higher-order-function
+    lambda mentions it; binding it as the lambda argument of a one-element
+    ``transform`` computes it once per row instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _arr(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -85,17 +95,24 @@ def key_terms(sentence: Column) -> Column:
 
 def flagged_claims(response, context) -> Column:
     """Sentences (T7, >20 chars) with a factual marker whose key terms are mostly
-    absent from the context; first 5, each cut to 200 chars. No context/response → []."""
-    r, c = _c(response), _c(context)
-    ctx = F.lower(c)
+    absent from the context; first 5, each cut to 200 chars. No context/response → [].
 
-    def is_flagged(s: Column) -> Column:
-        marker = s.rlike(_NUMBER2) | F.contains(s, F.lit('"')) | F.contains(s, F.lit("'")) | s.rlike(_NAME_PAIR)
-        terms = key_terms(s)
-        hits = F.size(F.filter(terms, lambda t: F.contains(ctx, F.lower(t))))
-        return marker & (F.size(terms) > 0) & (hits.cast("double") < F.size(terms).cast("double") / F.lit(2.0))
+    The lower-cased context and each sentence's key terms are bound once (``let``), so
+    the work per row is linear in sentences × terms, not in repeated context copies.
+    """
+    r, c = _c(response), _c(context)
 
-    flagged = F.filter(sentences(r, K.CLAIM_MIN_SENTENCE_CHARS), is_flagged)
+    def per_sentence(ctx: Column, s: Column) -> Column:
+        def check(terms: Column) -> Column:
+            hits = F.size(F.filter(terms, lambda t: F.contains(ctx, F.lower(t))))
+            n = F.size(terms)
+            marker = (s.rlike(_NUMBER2) | F.contains(s, F.lit('"')) | F.contains(s, F.lit("'"))
+                      | s.rlike(_NAME_PAIR))
+            return marker & (n > 0) & (hits.cast("double") < n.cast("double") / F.lit(2.0))
+        return let(key_terms(s), check)
+
+    flagged = let(F.lower(c), lambda ctx: F.filter(sentences(r, K.CLAIM_MIN_SENTENCE_CHARS),
+                                                   lambda s: per_sentence(ctx, s)))
     out = F.slice(F.transform(flagged, lambda s: F.substring(s, 1, K.CLAIM_MAX_CHARS)), 1, K.CLAIMS_PER_RESPONSE)
     empty = F.array().cast("array<string>")
     return F.when(c.isNull() | (c == F.lit("")) | r.isNull() | (r == F.lit("")), empty).otherwise(out)

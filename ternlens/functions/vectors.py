@@ -93,9 +93,13 @@ def norm(a) -> Column:
 
 def normalize(a) -> Column:
     """V5: divide by the L2 norm when it is > 0."""
-    a = _c(a)
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    from ternlens.functions.text import let
+
+    def scale(v: Column) -> Column:
+        n = norm(v)
+        return let(n, lambda k: F.when(k > 0, F.transform(v, lambda x: x / k)).otherwise(v))
+
+    return let(_c(a), scale)
 
 
 def cosine_distance(a, b) -> Column:
