@@ -226,7 +226,7 @@ def rag_scores(df: DataFrame) -> DataFrame:
     })
 
 
-def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP) -> DataFrame:
+def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP, materialize: bool = True) -> DataFrame:
     """W1 on response vectors per app in (timestamp, id) order; blank response → null.
 
     Runs on the record itself (no join back by id): the first ``cap`` rows per app
@@ -237,6 +237,12 @@ def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP) -> DataFrame:
     blank = TX.is_blank(F.coalesce(F.col("response"), F.lit("")))
     vec = F.when(blank, F.lit(None).cast("array<double>")).otherwise(F.col("_emb")["v_r"])
     keyed = df.drop("drift_score", "embedding_vector").withColumn("_v", vec).drop("_emb")
+    if materialize:
+        # Drift reads its input in three branches (first-cap rows, later rows, blanks);
+        # checkpointing once (shared checkpoint folder, survives executor loss) keeps the
+        # Arrow embedding stage and the fused scorers from running three times.
+        from ternlens.session import cut_lineage
+        keyed = cut_lineage(keyed)
     out = online_drift(keyed, vector="_v", cap=cap, keep_vector="embedding_vector")
     return out.withColumn("embedding_vector", F.coalesce("embedding_vector", F.array().cast("array<double>")))
 

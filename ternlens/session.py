@@ -14,6 +14,9 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Python (Arrow) stages are CPU-bound per byte: do not let AQE fold a small but
+    # expensive shuffle into one task. Large inputs are unaffected (they split anyway).
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Broadcast only what is provably small; everything else shuffles.
