@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_DIM = 64
-_TOKEN_SPLIT = re.compile(r"[^a-z0-9]+")
+_TOKEN_FIND = re.compile(r"[a-z0-9]+").findall
 
 
 def _c(x) -> Column:
@@ -34,22 +34,23 @@ def _bucket(tok: str, dim: int) -> int:
 
 
 def embed_text(text: str | None, dim: int, cache: dict) -> np.ndarray:
-    v = np.zeros(dim, dtype=np.float64)
+    """Unit-norm bucket-count vector of one text (all tokens, whole text)."""
     if not text:
-        return v
-    for tok in _TOKEN_SPLIT.split(text.lower()):
-        if not tok:
-            continue
-        b = cache.get(tok)
+        return np.zeros(dim, dtype=np.float64)
+    ids = []
+    get = cache.get
+    for tok in _TOKEN_FIND(text.lower()):
+        b = get(tok)
         if b is None:
             b = _bucket(tok, dim)
             if len(cache) < 1_000_000:
                 cache[tok] = b
-        v[b] += 1.0
+        ids.append(b)
+    if not ids:
+        return np.zeros(dim, dtype=np.float64)
+    v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64)
     n = float(np.sqrt(np.dot(v, v)))
-    if n > 0:
-        v /= n
-    return v
+    return v / n if n > 0 else v
 
 
 def embed(col, dim: int = DEFAULT_DIM) -> Column:

@@ -36,14 +36,16 @@ EMB_STRUCT = T.StructType([
 
 
 # ------------------------------------------------------------------ P1 / P2 / P3 / P4
-def normalize_events(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def normalize_events(events: DataFrame, keep: list[str] | None = None,
+                     max_chars: int = K.MAX_TEXT_CHARS, max_tags: int = K.MAX_TAGS,
+                     max_tag_chars: int = K.MAX_TAG_CHARS) -> DataFrame:
     """Defaults, text truncation (200 000 chars), tags → first 50 × 100 chars.
 
     A missing id becomes md5 of (app, timestamp, query, response) so retries and
     re-runs produce the same key.
     """
-    cut = K.MAX_TEXT_CHARS
-    tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    cut = max_chars
+    tags = F.coalesce(F.col("tags").cast("array<string>"), F.array().cast("array<string>"))
     ident = F.coalesce(F.col("id"), F.md5(F.concat_ws("\u0001", F.col("app_name"),
                                                        F.col("timestamp").cast("string"),
                                                        F.col("query"), F.col("response"))))
@@ -56,7 +58,7 @@ def normalize_events(events: DataFrame, keep: list[str] | None = None) -> DataFr
         F.substring(F.coalesce(F.col("response"), F.lit("")), 1, cut).alias("response"),
         F.coalesce(F.col("model_name"), F.lit(K.DEFAULT_MODEL)).alias("model_name"),
         F.coalesce(F.col("latency_ms"), F.lit(0)).cast("int").alias("latency_ms"),
-        F.transform(F.slice(tags, 1, K.MAX_TAGS), lambda t: F.substring(t, 1, K.MAX_TAG_CHARS)).alias("tags"),
+        F.transform(F.slice(tags, 1, max_tags), lambda t: F.substring(t, 1, max_tag_chars)).alias("tags"),
         *(keep or []),
     )
 
@@ -117,13 +119,23 @@ def validate_records(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ shared embedding stage
-def _embed_struct(dim: int):
-    from ternlens.functions.vectors import embed_text
+def _embed_struct(dim: int, embedder=None):
+    """``embedder`` (U3): optional ``factory() -> fn(text) -> vector``; the factory runs
+    once per task (load a model there), the function once per text."""
+    from ternlens.functions.vectors import embed_text as _default
 
     @F.pandas_udf(EMB_STRUCT)
     def emb(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         cut = K.RAG_MAX_TEXT_CHARS
+        if embedder is None:
+            def embed_text(t, _dim, _cache):
+                return _default(t, _dim, _cache)
+        else:
+            fn = embedder()
+
+            def embed_text(t, _dim, _cache):
+                return fn(t or "")
         for q, c, r, rag, sents in batches:
             cols = {k: [] for k in ("v_r", "v_c", "v_q", "rag_q", "rag_c", "rag_r", "sent")}
             for qi, ci, ri, ragi, si in zip(q, c, r, rag, sents):
@@ -148,15 +160,15 @@ def _embed_struct(dim: int):
     return emb
 
 
-def with_embeddings(events: DataFrame, dim: int = V.DEFAULT_DIM) -> DataFrame:
+def with_embeddings(events: DataFrame, dim: int = V.DEFAULT_DIM, embedder=None) -> DataFrame:
     """One Arrow stage: every vector the scorers need, as struct column ``_emb``."""
     cut = K.RAG_MAX_TEXT_CHARS
     r_cut = F.substring(F.coalesce("response", F.lit("")), 1, cut)
     q_cut = F.substring(F.coalesce("query", F.lit("")), 1, cut)
     rag_ok = ~TX.is_blank("context") & ~TX.is_blank(q_cut) & ~TX.is_blank(r_cut)
     sents = F.slice(TX.sentences(r_cut, K.RAG_MIN_SENTENCE_CHARS), 1, K.RAG_MAX_SENTENCES)
-    return events.withColumn("_emb", _embed_struct(dim)(F.col("query"), F.col("context"), F.col("response"),
-                                                        rag_ok, sents))
+    return events.withColumn("_emb", _embed_struct(dim, embedder)(F.col("query"), F.col("context"),
+                                                                  F.col("response"), rag_ok, sents))
 
 
 # ------------------------------------------------------------------ scorers
@@ -249,7 +261,7 @@ def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP, materialize: bo
 
 def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int = V.DEFAULT_DIM,
              judge: Column | None = None, toxicity: Column | None = None, language: Column | None = None,
-             sentiment: Column | None = None, plugins: tuple = ()) -> DataFrame:
+             sentiment: Column | None = None, plugins: tuple = (), embedder=None) -> DataFrame:
     """P5: events → scored records (modules in order quality, drift, hallucination, RAG),
     then extra plug-in scorers (U1), clamp (P4) and health (M8).
 
@@ -265,7 +277,7 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
     if "tags" not in src.columns:
         src = src.withColumn("tags", F.array().cast("array<string>"))
     rec = event_to_record(normalize_events(src, keep=list(extra)))
-    rec = with_embeddings(rec, dim)
+    rec = with_embeddings(rec, dim, embedder)
     if flags.quality:
         rec = quality_scores(rec, toxicity=F.col("_tox") if "_tox" in extra else None,
                              language=F.col("_lang") if "_lang" in extra else None,

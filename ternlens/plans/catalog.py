@@ -24,7 +24,16 @@ def register(name: str, sql: str | None = None, ops: str = ""):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Event time is UTC throughout (the files carry zone-less timestamps).
+            if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         DESCRIPTIONS[name] = ops
         if sql is not None:
             ORACLE[name] = sql

@@ -242,3 +242,36 @@ def keyword_retrieval(spark, sf):
     ev = bridge.chat_events(spark, sf).select("id", "query")
     kb = bridge.knowledge_base(spark, sf)
     return RT.keyword_retrieve(ev, kb, default="No relevant context found.").select("id", "retrieved", "key_pos")
+
+
+# ---------------------------------------------------------------- P1 / P4 as their own queries
+@register("normalized_document_events", ops="P1 (defaults and truncation; n = 1000 chars, 2 tags × 3 chars)",
+          sql="""
+SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, 'default') AS app_name, substring(text, 1, 1000) AS response,
+       coalesce(lang, 'unknown') AS model_name, [substring(lang, 1, 3), substring(source, 1, 3)] AS tags,
+       length(substring(text, 1, 1000)) AS response_chars
+FROM documents""")
+def normalized_document_events(spark, sf):
+    from ternlens.sources.tables import table
+    d = table(spark, sf, "documents")
+    ev = d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("app_name"),
+                  F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("query"),
+                  F.lit(None).cast("string").alias("context"), F.col("text").alias("response"),
+                  F.col("lang").alias("model_name"), F.lit(None).cast("int").alias("latency_ms"),
+                  F.array("lang", "source", "lang").alias("tags"))
+    n = SC.normalize_events(ev, max_chars=1000, max_tags=2, max_tag_chars=3)
+    return n.select("id", "app_name", "response", "model_name", "tags",
+                    F.length("response").alias("response_chars"))
+
+
+@register("clamped_record_scores", ops="P4 (every score column clamped to [0, 1])", sql=with_views(V_EVT, scored_sql()) + """
+SELECT id, greatest(0.0, least(1.0, hallucination_score * 3.0 - 1.0)) AS hallucination_score,
+       CASE WHEN drift_score IS NULL THEN NULL ELSE greatest(0.0, least(1.0, drift_score * 4.0)) END AS drift_score,
+       greatest(0.0, least(1.0, sentiment_score - 0.75)) AS sentiment_score
+FROM scored""")
+def clamped_record_scores(spark, sf):
+    rec = SC.evaluate(bridge.chat_events(spark, sf))
+    pushed = rec.select("id", (F.col("hallucination_score") * 3.0 - 1.0).alias("hallucination_score"),
+                        (F.col("drift_score") * 4.0).alias("drift_score"),
+                        (F.col("sentiment_score") - 0.75).alias("sentiment_score"))
+    return SC.clamp_scores(pushed)

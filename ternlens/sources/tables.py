@@ -20,3 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """S1 (batch): captured call events with the fixed EVENT schema (no inference)."""
+    from ternlens.schemas import EVENT_SCHEMA
+    return spark.read.schema(EVENT_SCHEMA).format(fmt).load(path)
