@@ -32,6 +32,7 @@ EMB_STRUCT = T.StructType([
     T.StructField("v_r", _VEC), T.StructField("v_c", _VEC), T.StructField("v_q", _VEC),
     T.StructField("rag_q", _VEC), T.StructField("rag_c", _VEC), T.StructField("rag_r", _VEC),
     T.StructField("sent", T.ArrayType(_VEC)),
+    T.StructField("errors", T.IntegerType()),
 ])
 
 
@@ -136,25 +137,29 @@ def _embed_struct(dim: int, embedder=None):
 
             def embed_text(t, _dim, _cache):
                 return fn(t or "")
+        names = ("v_r", "v_c", "v_q", "rag_q", "rag_c", "rag_r", "sent", "errors")
+
+        def one(qi, ci, ri, ragi, si):
+            vr = embed_text(ri, dim, cache)
+            vc = embed_text(ci, dim, cache) if ci else None
+            vq = embed_text(qi, dim, cache) if qi else None
+            if not ragi:
+                return (vr, vc, vq, None, None, None, None, 0)
+            qc, cc, rc = (qi or "")[:cut], (ci or "")[:cut], (ri or "")[:cut]
+            return (vr, vc, vq, embed_text(qc, dim, cache),
+                    embed_text(cc, dim, cache) if len(cc) < len(ci or "") or vc is None else vc,
+                    embed_text(rc, dim, cache) if len(rc) < len(ri or "") else vr,
+                    [embed_text(x, dim, cache) for x in (si if si is not None else [])], 0)
+
         for q, c, r, rag, sents in batches:
-            cols = {k: [] for k in ("v_r", "v_c", "v_q", "rag_q", "rag_c", "rag_r", "sent")}
+            cols = {k: [] for k in names}
             for qi, ci, ri, ragi, si in zip(q, c, r, rag, sents):
-                vr = embed_text(ri, dim, cache)
-                cols["v_r"].append(vr)
-                cols["v_c"].append(embed_text(ci, dim, cache) if ci else None)
-                cols["v_q"].append(embed_text(qi, dim, cache) if qi else None)
-                if ragi:
-                    qc, cc, rc = (qi or "")[:cut], (ci or "")[:cut], (ri or "")[:cut]
-                    cols["rag_q"].append(embed_text(qc, dim, cache))
-                    cols["rag_c"].append(embed_text(cc, dim, cache) if len(cc) < len(ci or "") or not ci
-                                         else cols["v_c"][-1])
-                    cols["rag_r"].append(embed_text(rc, dim, cache) if len(rc) < len(ri or "") else vr)
-                    cols["sent"].append([embed_text(s, dim, cache) for s in (si if si is not None else [])])
-                else:
-                    cols["rag_q"].append(None)
-                    cols["rag_c"].append(None)
-                    cols["rag_r"].append(None)
-                    cols["sent"].append(None)
+                try:
+                    row = one(qi, ci, ri, ragi, si)
+                except Exception:  # noqa: BLE001 - P6: a failing embedder leaves the defaults
+                    row = (None, None, None, None, None, None, None, 1)
+                for k, v in zip(names, row):
+                    cols[k].append(v)
             yield pd.DataFrame(cols)
 
     return emb
@@ -278,6 +283,8 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
         src = src.withColumn("tags", F.array().cast("array<string>"))
     rec = event_to_record(normalize_events(src, keep=list(extra)))
     rec = with_embeddings(rec, dim, embedder)
+    # Rows whose embedding failed keep module defaults; the count is kept per row.
+    rec = rec.withColumn("score_errors", F.col("_emb")["errors"])
     if flags.quality:
         rec = quality_scores(rec, toxicity=F.col("_tox") if "_tox" in extra else None,
                              language=F.col("_lang") if "_lang" in extra else None,

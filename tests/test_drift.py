@@ -61,3 +61,28 @@ def test_embedding_is_unit_norm_and_deterministic(spark, sf):
         assert v == b[k]
         n = np.linalg.norm(v)
         assert n == 0 or abs(n - 1) < 1e-9
+
+
+def test_failing_embedder_leaves_defaults(spark):
+    import datetime as dt
+    import numpy as np
+    from ternlens.operators import scoring as SC
+
+    def factory():
+        def fn(text):
+            if "boom" in text:
+                raise RuntimeError("model error")
+            v = np.zeros(8)
+            v[len(text) % 8] = 1.0
+            return v
+        return fn
+
+    t = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([("a", "app", t, "q one", "ctx", "fine answer here"),
+                                ("b", "app", t, "q two", "ctx", "boom goes the model")],
+                               "id string, app_name string, timestamp timestamp, query string, context string, response string")
+    out = {r.id: r for r in SC.evaluate(ev, embedder=factory).collect()}
+    assert out["b"].score_errors == 1 and out["a"].score_errors == 0
+    assert out["b"].hallucination_score == 0.0 and out["b"].hallucination_method == "none"
+    assert out["b"].groundedness_score is None and out["b"].drift_score is None
+    assert out["a"].hallucination_method == "embedding"
