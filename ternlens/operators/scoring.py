@@ -45,6 +45,10 @@ def normalize_events(events: DataFrame, keep: list[str] | None = None,
     A missing id becomes md5 of (app, timestamp, query, response) so retries and
     re-runs produce the same key.
     """
+    from ternlens.schemas import EVENT_SCHEMA
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA.fields if f.name not in events.columns}
+    if missing:
+        events = events.withColumns(missing)
     cut = max_chars
     tags = F.coalesce(F.col("tags").cast("array<string>"), F.array().cast("array<string>"))
     ident = F.coalesce(F.col("id"), F.md5(F.concat_ws("\u0001", F.col("app_name"),
@@ -279,8 +283,6 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
         if col is not None:
             extra[name] = col
     src = events.withColumns(extra) if extra else events
-    if "tags" not in src.columns:
-        src = src.withColumn("tags", F.array().cast("array<string>"))
     rec = event_to_record(normalize_events(src, keep=list(extra)))
     rec = with_embeddings(rec, dim, embedder)
     # Rows whose embedding failed keep module defaults; the count is kept per row.
