@@ -14,6 +14,10 @@ so no key is ever sorted as one unit:
    ``mapInPandas`` fold walks each run: from a fire at L it jumps with a binary
    search to the first breach ≥ L + cooldown. Rows stream through in Arrow
    batches; state is (key, run, last_fired), never a whole group in memory.
+4. A run larger than ``hot_run_rows`` (a key breaching without pause — the hot-key
+   case) is not walked by one task: each breach gets its successor fire candidate
+   (first breach ≥ ts + cooldown) from windows per (key, bucket), and the fire chain
+   from the run's first breach is marked by pointer jumping (log₂ rounds of equi-joins).
 """
 
 from __future__ import annotations
@@ -121,33 +125,113 @@ def _fold_runs(cooldown_us: int):
     return fold
 
 
+HOT_RUN_ROWS = 2_000_000
+
+
+def _successor_pointers(hot: DataFrame, summary: DataFrame, cd: int) -> DataFrame:
+    """For every breach p of a hot run: ``_next`` = the first breach (ts, record order) of
+    the same run with ts ≥ ts_p + cooldown, or null.
+
+    That breach lies in bucket b+1 (b = bucket of p) or, failing that, is the first breach
+    of the buckets ≥ b+2. The first part is one window per (key, bucket b+1) over the
+    bucket's breaches and the shifted queries; the second comes from the bucket summary.
+    """
+    node = F.concat_ws("\u0001", "record_id", "metric")
+    rows = hot.select("_key", "_run", "_bucket", "_ts", "record_id", "metric", node.alias("_node"))
+    me = F.struct(F.col("_ts"), F.col("record_id"), F.col("_node"), F.col("_run"))
+    breaches = rows.select("_key", F.col("_bucket").alias("_tb"), "_ts", F.lit(1).alias("_kind"), "record_id",
+                           me.alias("_cand"), F.lit(None).cast("string").alias("_q"))
+    queries = rows.select("_key", (F.col("_bucket") + 1).alias("_tb"), (F.col("_ts") + F.lit(cd)).alias("_ts"),
+                          F.lit(0).alias("_kind"), "record_id", F.lit(None).cast(breaches.schema["_cand"].dataType)
+                          .alias("_cand"), F.col("_node").alias("_q"))
+    w = (Window.partitionBy("_key", "_tb").orderBy("_ts", "_kind", "record_id")
+         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    inb = (breaches.unionByName(queries)
+           .withColumn("_hit", F.first("_cand", ignorenulls=True).over(w))
+           .where(F.col("_kind") == 0)
+           .select(F.col("_q").alias("_node"), F.col("_hit")))
+    ws = Window.partitionBy("_key").orderBy("_bucket").rangeBetween(2, Window.unboundedFollowing)
+    after2 = summary.select("_key", "_bucket", F.first("_first", ignorenulls=True).over(ws).alias("_after2"))
+    base = rows.join(after2, ["_key", "_bucket"], "left").join(inb, "_node", "left")
+    nxt = F.coalesce(F.col("_hit"), F.col("_after2"))
+    return base.select("_key", "_run", "_node", "record_id", "metric", "_ts",
+                       F.when(nxt["_run"] == F.col("_run"), nxt["_node"]).alias("_next"))
+
+
+def _pointer_jumping_fires(hot: DataFrame, summary: DataFrame, cd: int, levels: int) -> DataFrame:
+    """Fires of hot runs without a sequential pass: the greedy fire sequence of a run is
+    root, next(root), next(next(root)), …; with J_j = next^(2^j) (self-joins) the set
+    P_{j+1} = P_j ∪ J_j(P_j) holds the first 2^(j+1) fires. ``levels`` = ⌈log2(max fires
+    per run)⌉, bounded by the number of cooldown buckets in a run (≤ 1 fire each).
+    Every step is an equi-join on a uniformly hashed node id, so a hot key spreads over
+    the whole cluster; lineage is cut each round (shared checkpoint folder).
+    """
+    from ternlens.session import cut_lineage
+
+    ptr = cut_lineage(_successor_pointers(hot, summary, cd))
+    roots = (ptr.groupBy("_key", "_run").agg(F.min(F.struct("_ts", "record_id", "_node")).alias("_r"))
+             .select(F.col("_r._node").alias("_node")))
+    jump = ptr.select("_node", "_next")
+    fired = roots
+    for j in range(levels):
+        step = fired.join(jump, "_node").where(F.col("_next").isNotNull()).select(F.col("_next").alias("_node"))
+        fired = cut_lineage(fired.unionByName(step))
+        if j + 1 < levels:
+            a, b = jump.alias("a"), jump.alias("b")
+            jump = cut_lineage(a.join(b, F.col("a._next") == F.col("b._node"), "left")
+                               .select(F.col("a._node").alias("_node"), F.col("b._next").alias("_next")))
+    return fired.join(ptr.select("_node", "record_id", "metric"), "_node").select("record_id", "metric")
+
+
 def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN_SECONDS,
-                   scope: str = "app_metric") -> DataFrame:
+                   scope: str = "app_metric", hot_run_rows: int = HOT_RUN_ROWS) -> DataFrame:
     """Keep the alerts that fire under a per-key cooldown in event time.
 
     The first breach of a key fires; a later one fires when at least ``cooldown``
     has passed since the last *fired* alert. ``scope="metric"`` keys on the metric
     alone (all apps share a cooldown); the default keys on (app_name, metric).
     Same-instant breaches fire in record-id order.
+
+    Runs (see module docstring) of up to ``hot_run_rows`` breaches are folded by the
+    streaming ``mapInPandas`` pass; larger runs — one noisy key breaching without pause —
+    go through ``_pointer_jumping_fires`` so no single task has to walk them.
     """
     key_cols = ["metric"] if scope == "metric" else ["app_name", "metric"]
     cd = int(cooldown_seconds) * 1_000_000
     slim = alerts.select(F.concat_ws("\u0001", *[F.col(c) for c in key_cols]).alias("_key"),
                          F.unix_micros("timestamp").alias("_ts"), "record_id", "metric")
     slim = slim.withColumn("_bucket", F.floor(F.col("_ts") / F.lit(cd)).cast("long"))
-    summary = slim.groupBy("_key", "_bucket").agg(F.min("_ts").alias("_min"), F.max("_ts").alias("_max"))
+    summary = slim.groupBy("_key", "_bucket").agg(
+        F.min("_ts").alias("_min"), F.max("_ts").alias("_max"), F.count(F.lit(1)).alias("_n"),
+        F.min(F.struct("_ts", "record_id", F.concat_ws("\u0001", "record_id", "metric").alias("_node")))
+        .alias("_first0"))
     w = Window.partitionBy("_key").orderBy("_bucket")
     prev_max = F.lag("_max").over(w)
     starts = F.when(prev_max.isNull() | ((F.col("_min") - prev_max) >= F.lit(cd)), 1).otherwise(0)
     runs = (summary.withColumn("_start", starts)
-            .withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .select("_key", "_bucket", "_run"))
-    tagged = slim.join(runs, ["_key", "_bucket"])
-    ordered = (tagged.repartition("_key", "_run")
+            .withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    run_size = runs.groupBy("_key", "_run").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_buckets"))
+    runs = runs.join(run_size, ["_key", "_run"])
+    tagged = slim.join(runs.select("_key", "_bucket", "_run", "_rows"), ["_key", "_bucket"])
+
+    normal = tagged.where(F.col("_rows") <= hot_run_rows)
+    ordered = (normal.repartition("_key", "_run")
                .sortWithinPartitions("_key", "_run", "_ts", "record_id"))
     fired = ordered.select("_key", "_run", "_ts", "record_id", "metric").mapInPandas(
-        _fold_runs(cd), schema="_key string, record_id string, metric string")
-    return alerts.join(fired.select("record_id", "metric"), ["record_id", "metric"], "left_semi")
+        _fold_runs(cd), schema="_key string, record_id string, metric string").select("record_id", "metric")
+
+    hot_runs = run_size.where(F.col("_rows") > hot_run_rows)
+    longest = hot_runs.agg(F.max("_buckets")).first()[0]   # one small aggregate row
+    if longest:
+        levels = max(1, int(longest).bit_length())
+        hot = tagged.where(F.col("_rows") > hot_run_rows)
+        hot_summary = (runs.where(F.col("_rows") > hot_run_rows)
+                       .select("_key", "_bucket", F.struct(F.col("_first0._ts").alias("_ts"),
+                                                           F.col("_first0.record_id").alias("record_id"),
+                                                           F.col("_first0._node").alias("_node"),
+                                                           F.col("_run")).alias("_first")))
+        fired = fired.unionByName(_pointer_jumping_fires(hot, hot_summary, cd, levels))
+    return alerts.join(fired, ["record_id", "metric"], "left_semi")
 
 
 def alert_feed(alerts: DataFrame, n: int = K.ALERT_FEED_SIZE) -> DataFrame:
