@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ternlens.functions import scores as S
+from ternlens.operators.sequence import next_in_order
 from ternlens.sources.tables import table
 
 # Phrases prepended to assistant turns (chosen by conv_id % 6) so refusal,
@@ -78,10 +79,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_EVT: a user turn directly followed by an assistant turn is one call."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = (conv
-             .withColumn("next_role", F.lead("role").over(w))
-             .withColumn("next_text", F.lead("text").over(w))
+    pairs = (next_in_order(conv, "conv_id", "turn", ["role", "text"])
              .where((F.col("role") == "user") & (F.col("next_role") == "assistant")))
     prefix = F.element_at(F.array(*[F.lit(p) for p in CHAT_PREFIXES]), (F.col("conv_id") % 6 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("doc_text"))

@@ -3,15 +3,16 @@
 A user turn directly followed by an assistant turn is one call: query = the user
 text, response = the assistant text (null → ""), context = the conversation's
 first system text. App, model and tags come from explicit arguments, else the
-defaults. The window is per conversation (a chat is small), so the only shuffle
-is by ``conv_id``.
+defaults. "Next turn" is a blocked ``lead`` and the system text a partial/final
+aggregate, so even one enormous conversation is never sorted by a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ternlens.operators.sequence import first_per_key, next_in_order
 from ternlens import constants as K
 from ternlens.sources.tables import table
 
@@ -21,12 +22,10 @@ def conversation_events(spark: SparkSession, sf_dir: str, app: str | None = None
                         start_epoch: int = 1704067200) -> DataFrame:
     conv = conversations if conversations is not None else table(spark, sf_dir, "conversations")
     conv = conv.select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = (conv.withColumn("next_role", F.lead("role").over(w))
-          .withColumn("next_text", F.lead("text").over(w))
-          .withColumn("ctx", F.first(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True).over(whole))
-          .where((F.col("role") == "user") & (F.col("next_role") == "assistant")))
+    pairs = (next_in_order(conv, "conv_id", "turn", ["role", "text"])
+             .where((F.col("role") == "user") & (F.col("next_role") == "assistant")))
+    ctx = first_per_key(conv, "conv_id", "turn", "text", where=F.col("role") == "system", name="ctx")
+    df = pairs.join(ctx, "conv_id", "left")
     minutes = F.col("conv_id") * 100 + F.col("turn")
     return df.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),

@@ -53,3 +53,14 @@ def test_json_codec_round_trip(spark):
     nulls = spark.createDataFrame([(None, "not a time")], "tags string, timestamp string")
     dec = IO.decode_from_text_store(nulls, now=F.lit(t)).first()
     assert dec.tags == [] and dec.timestamp == t
+
+
+def test_next_in_order_matches_lead_across_blocks(spark):
+    from pyspark.sql import Window
+    from ternlens.operators.sequence import next_in_order
+    rows = [(k, t, f"v{k}-{t}") for k in range(3) for t in range(0, 60, 1 + k)]
+    df = spark.createDataFrame(rows, "k long, t long, v string")
+    got = {(r.k, r.t): r.next_v for r in next_in_order(df, "k", "t", ["v"], block=7).collect()}
+    w = Window.partitionBy("k").orderBy("t")
+    want = {(r.k, r.t): r.nv for r in df.withColumn("nv", F.lead("v").over(w)).collect()}
+    assert got == want
