@@ -316,3 +316,26 @@ FROM {_latest(K.CSV_EXPORT_ROWS)} l""")
 def csv_export_rows(spark, sf):
     from ternlens.sources.records_io import export_projection
     return export_projection(bridge.records(spark, sf))
+
+
+@register("rag_timeline", ops="W4 (RAG trio over RAG rows, null shown as 0)", sql=W_REC + f"""
+SELECT id, "timestamp", strftime("timestamp", '%m-%d %H:%M') AS label,
+       coalesce(faithfulness_score, 0.0) AS faithfulness, coalesce(context_relevance, 0.0) AS context_relevance,
+       coalesce(groundedness_score, 0.0) AS groundedness
+FROM {_latest(K.DASHBOARD_WINDOW)} l WHERE groundedness_score IS NOT NULL""")
+def rag_timeline(spark, sf):
+    t = A.timeline(bridge.records(spark, sf), ["faithfulness_score", "context_relevance", "groundedness_score"],
+                   require="groundedness_score")
+    return t.select("id", "timestamp", "label",
+                    F.coalesce("faithfulness_score", F.lit(0.0)).alias("faithfulness"),
+                    F.coalesce("context_relevance", F.lit(0.0)).alias("context_relevance"),
+                    F.coalesce("groundedness_score", F.lit(0.0)).alias("groundedness"))
+
+
+@register("hallucination_timeline", ops="W4 (hallucination rate over time)", sql=W_REC + f"""
+SELECT id, "timestamp", strftime("timestamp", '%m-%d %H:%M') AS label, hallucination_score,
+       hallucination_score > 0.3 AS above_threshold
+FROM {_latest(K.DASHBOARD_WINDOW)} l""")
+def hallucination_timeline(spark, sf):
+    t = A.timeline(bridge.records(spark, sf), ["hallucination_score"])
+    return t.withColumn("above_threshold", F.col("hallucination_score") > F.lit(K.MODEL_HALLUCINATION_FLAG))
