@@ -58,31 +58,33 @@ def train_language_profile(docs: DataFrame, text: str = "text", label: str = "la
 
 
 def detect_language(df: DataFrame, profile: DataFrame, text: str = "text", id_col: str = "id",
-                    out: str = "language_pred") -> DataFrame:
+                    out: str = "language_pred", keep: list[str] | None = None) -> DataFrame:
     """T5 scoring: argmax over languages of prior + Σ log P(gram | lang).
 
     score(lang) = log_prior + n·unseen + Σ_{grams seen for lang} ln(count+1).
     The profile is pivoted to one row per trigram with a column per language (the
-    language list is the model's label set — a handful of rows read once), so each
-    text gram joins exactly one profile row and a single map-side-combined
-    ``groupBy(id)`` sums all languages at once. The profile is bounded by the
-    trigram alphabet; AQE broadcasts it when its runtime size is under the threshold.
+    language list is the model's label set — a handful of rows read once) and
+    broadcast after a row-count check (it is bounded by the trigram alphabet), so the
+    exploded text grams never shuffle; one map-side-combined ``groupBy(id)`` sums all
+    languages at once. Returns ``id_col``, ``keep`` columns and the prediction.
     """
+    from ternlens.session import cut_lineage
+
+    keep = list(keep or [])
+    profile = cut_lineage(profile)          # small model table: computed once, read several times
     info = profile.select("lang", "unseen", "log_prior").distinct().orderBy("lang").collect()
     langs = [r["lang"] for r in info]
     wide = profile.groupBy("gram").pivot("lang", langs).agg(F.first("log_count"))
-    grams = df.select(id_col, F.explode(trigrams(text)).alias("gram"))
+    if profile.count() <= MAX_BROADCAST_PROFILE_ROWS:
+        wide = F.broadcast(wide)
+    grams = df.select(id_col, *keep, F.explode_outer(trigrams(text)).alias("gram"))
     sums = (grams.join(wide, "gram", "left").groupBy(id_col)
-            .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.coalesce(F.col(f"`{l}`"), F.lit(0.0))).alias(f"_s{i}")
-                                                  for i, l in enumerate(langs)]))
+            .agg(*[F.first(c).alias(c) for c in keep], F.count("gram").alias("_n"),
+                 *[F.sum(F.coalesce(F.col(f"`{l}`"), F.lit(0.0))).alias(f"_s{i}") for i, l in enumerate(langs)]))
     scores = [F.struct((F.lit(r["log_prior"]) + F.col("_n") * F.lit(r["unseen"]) + F.col(f"_s{i}")).alias("s"),
                        F.lit(r["lang"]).alias("l")) for i, r in enumerate(info)]
-    best = sums.select(id_col, F.greatest(*scores)["l"].alias(out)) if len(scores) > 1 else \
-        sums.select(id_col, scores[0]["l"].alias(out))
-    res = df.join(best, id_col, "left")
-    # a text with no trigram at all scores by the prior alone
-    top_prior = max(info, key=lambda r: (r["log_prior"], r["lang"]))["lang"] if info else None
-    return res.withColumn(out, F.coalesce(F.col(out), F.lit(top_prior)))
+    best = F.greatest(*scores)["l"] if len(scores) > 1 else scores[0]["l"]
+    return sums.select(id_col, *keep, best.alias(out))
 
 
 # ------------------------------------------------------------------ T4 toxicity

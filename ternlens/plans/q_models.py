@@ -33,7 +33,7 @@ def language_detection(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     prof = M.train_language_profile(docs.where(F.col("doc_id") % 2 == 0))
     test = docs.where(F.col("doc_id") % 2 == 1)
-    return M.detect_language(test, prof, id_col="doc_id").select("doc_id", "lang", "language_pred")
+    return M.detect_language(test, prof, id_col="doc_id", keep=["lang"]).select("doc_id", "lang", "language_pred")
 
 
 @register("toxicity_model_scores", ops="T4 (spark.ml logistic regression on labels)")
