@@ -86,3 +86,15 @@ def test_failing_embedder_leaves_defaults(spark):
     assert out["b"].hallucination_score == 0.0 and out["b"].hallucination_method == "none"
     assert out["b"].groundedness_score is None and out["b"].drift_score is None
     assert out["a"].hallucination_method == "embedding"
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_online_drift_partition_invariant(spark, sf, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        vecs = bridge.vectors(spark, sf)
+        got = sorted((r.id, r.drift_score) for r in D.online_drift(vecs, order=("id",), cap=20).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    ref = sorted((r.id, r.drift_score) for r in D.online_drift(vecs, order=("id",), cap=20).collect())
+    assert got == ref

@@ -64,3 +64,27 @@ def test_next_in_order_matches_lead_across_blocks(spark):
     w = Window.partitionBy("k").orderBy("t")
     want = {(r.k, r.t): r.nv for r in df.withColumn("nv", F.lead("v").over(w)).collect()}
     assert got == want
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_upsert_partition_invariant_and_idempotent(spark, sf, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rec = bridge.records(spark, sf).select("id", "app_name", "timestamp", "health_score", "created_at")
+        again = (rec.where(F.col("id").cast("long") % 3 == 0)
+                 .withColumn("health_score", F.col("health_score") + 1)
+                 .withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR")))
+        path = f"{checkpoint_dir(spark)}/t-upsert-inv-{uuid.uuid4().hex}"
+        IO.save_records(rec, path)
+        IO.upsert_records(spark, again, path)
+        first = sorted((r.id, r.health_score) for r in IO.read_records(spark, path).collect())
+        IO.upsert_records(spark, again, path)          # the same delivery again changes nothing
+        second = sorted((r.id, r.health_score) for r in IO.read_records(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    base = {r.id: r.health_score for r in rec.collect()}
+    want = sorted((i, h + 1 if int(i) % 3 == 0 else h) for i, h in base.items())
+    assert first == want and second == want
