@@ -153,7 +153,7 @@ def _judge_table(spark, sf):
                     .alias("answer")))
 
 
-@register("judge_combined_hallucination", ops="J3 M2 (embedding 0.6 + judge 0.4)", sql=with_views(V_EVT, scored_sql()) + """,
+@register("judge_combined_hallucination", ops="J2 J3 M2 (external judge table merged by id; 0.6 emb + 0.4 judge)", sql=with_views(V_EVT, scored_sql()) + """,
 jt AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
               greatest(0.0, least(1.0, TRY_CAST(trim(' 0.' || CAST((conv_id * 7 + turn) % 10 AS VARCHAR)) AS DOUBLE))) AS j
        FROM conversations WHERE (conv_id + turn) % 3 <> 0)
@@ -213,3 +213,84 @@ SELECT id, greatest(0.0, least(1.0, ((length(query) + length(response)) % 11) /
 def judge_plugin_scores(spark, sf):
     out = PL.judge_scores(bridge.chat_events(spark, sf), _length_judge)
     return out.select("id", "judge_score")
+
+
+# ---------------------------------------------------------------- S1 / S10 / U3 / P6
+@register("event_file_source", ops="S1 (events as JSON files read back with the fixed schema)",
+          sql=with_views(V_EVT) + 'SELECT id, app_name, "timestamp", query, context, response, model_name, latency_ms FROM v_evt')
+def event_file_source(spark, sf):
+    from ternlens.sources.tables import read_events
+    path = _scratch(spark, "events-json")
+    bridge.chat_events(spark, sf).write.mode("overwrite").json(path)
+    ev = read_events(spark, path, fmt="json")
+    return ev.select("id", "app_name", "timestamp", "query", "context", "response", "model_name", "latency_ms")
+
+
+@register("regression_report_files", ops="S10 (suite summary and failures written as JSON, read back)",
+          sql=with_views(V_GOLD) + """
+SELECT 'benchmark-golden' AS dataset_name, count(*) AS total,
+       count_if(NOT call_failed AND regexp_replace(coalesce(response, ''), '\\s+', '', 'g') <> '') AS passed
+FROM v_gold""")
+def regression_report_files(spark, sf):
+    from ternlens.sources.golden import save_regression_report
+    g = bridge.golden(spark, sf).withColumn("error", F.when(F.col("call_failed"), F.lit("no response")))
+    res = RG.run_suite(g, flags=None)
+    path = _scratch(spark, "report")
+    save_regression_report(RG.suite_summary(res, dataset_name="benchmark-golden"), RG.suite_failures(res), path)
+    back = spark.read.json(f"{path}/summary")
+    return back.select("dataset_name", back["total"].cast("long").alias("total"),
+                       back["passed"].cast("long").alias("passed"))
+
+
+def _hashed_embedder_32():
+    """U3 plug-in: a factory run once per task, returning text → vector (32 buckets)."""
+    from ternlens.functions.vectors import embed_text
+    cache = {}
+
+    def fn(text):
+        return embed_text(text, 32, cache)
+    return fn
+
+
+@register("plugin_embedder_vectors", ops="U3 V1 (embedder plug-in inside the shared Arrow stage)", sql=with_views(V_EVT) + f""",
+cnt AS (SELECT id AS eid, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 32 AS bucket, count(*) AS c
+        FROM (SELECT id, unnest(regexp_split_to_array(lower(response), '[^a-z0-9]+')) AS tok FROM v_evt)
+        WHERE tok <> '' GROUP BY 1, 2),
+dense AS (SELECT eid, list_transform(range(0, 32), lambda i: coalesce(list_sum(list_transform(
+            list_filter(p, lambda q: q.bucket = i), lambda q: q.c)), 0) / nrm) AS vec
+          FROM (SELECT eid, list(struct_pack(bucket := bucket, c := c)) AS p, sqrt(sum(c * c)) AS nrm FROM cnt GROUP BY eid))
+SELECT e.id, list_transform(coalesce(d.vec, list_transform(range(0, 32), lambda i: 0.0::DOUBLE)),
+                            lambda x: round(x, 9)) AS response_vector
+FROM v_evt e LEFT JOIN dense d ON d.eid = e.id""")
+def plugin_embedder_vectors(spark, sf):
+    from ternlens.functions.vectors import round_elements
+    ev = SC.event_to_record(SC.normalize_events(bridge.chat_events(spark, sf)))
+    emb = SC.with_embeddings(ev, dim=32, embedder=_hashed_embedder_32)
+    return emb.select("id", round_elements(F.col("_emb")["v_r"]).alias("response_vector"))
+
+
+def _fragile_embedder():
+    """An embedder that fails on one kind of text (to show P6 defaults)."""
+    from ternlens.functions.vectors import DEFAULT_DIM, embed_text
+    cache = {}
+
+    def fn(text):
+        if "Guido" in text:
+            raise RuntimeError("embedder failed")
+        return embed_text(text, DEFAULT_DIM, cache)
+    return fn
+
+
+@register("score_failure_defaults", ops="P6 (failed embedding → module defaults, counted in score_errors)",
+          sql=with_views(V_EVT, scored_sql()) + """
+SELECT s.id,
+       CASE WHEN contains(e.query, 'Guido') OR contains(coalesce(e.context, ''), 'Guido') OR contains(e.response, 'Guido')
+            THEN 1 ELSE 0 END AS score_errors,
+       CASE WHEN contains(e.query, 'Guido') OR contains(coalesce(e.context, ''), 'Guido') OR contains(e.response, 'Guido')
+            THEN 'none' ELSE s.hallucination_method END AS hallucination_method,
+       CASE WHEN contains(e.query, 'Guido') OR contains(coalesce(e.context, ''), 'Guido') OR contains(e.response, 'Guido')
+            THEN NULL ELSE s.groundedness_score END AS groundedness_score
+FROM scored s JOIN v_evt e ON e.id = s.id""")
+def score_failure_defaults(spark, sf):
+    rec = SC.evaluate(bridge.chat_events(spark, sf), embedder=_fragile_embedder, flags=K.ModuleFlags(drift=False))
+    return rec.select("id", "score_errors", "hallucination_method", "groundedness_score")
