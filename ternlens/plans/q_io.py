@@ -194,8 +194,8 @@ def _echo(query: str) -> str:
 
 @register("regression_cli_echo", ops="U2 R1 R3 R5 (echo system under test, no scoring modules)",
           sql=with_views(V_GOLD) + f"""
-SELECT 'benchmark-golden' AS dataset_name, count(*) AS total, count(*) AS passed, 0 AS failed,
-       CASE WHEN count(*) > 0 THEN 1.0 ELSE 0.0 END AS pass_rate,
+SELECT 'benchmark-golden' AS dataset_name, count(*) AS total, count(*) AS passed, CAST(0 AS BIGINT) AS failed,
+       CAST(CASE WHEN count(*) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS pass_rate,
        CASE WHEN count(*) > 0 THEN 1.0 ELSE 0.0 END >= {K.REGRESSION_GATE} AS gate_passed FROM v_gold""")
 def regression_cli_echo(spark, sf):
     g = bridge.golden(spark, sf).drop("response", "call_failed")
@@ -229,7 +229,7 @@ def event_file_source(spark, sf):
 @register("regression_report_files", ops="S10 (suite summary and failures written as JSON, read back)",
           sql=with_views(V_GOLD) + """
 SELECT 'benchmark-golden' AS dataset_name, count(*) AS total,
-       count_if(NOT call_failed AND regexp_replace(coalesce(response, ''), '\\s+', '', 'g') <> '') AS passed
+       CAST(count_if(NOT call_failed AND regexp_replace(coalesce(response, ''), '\\s+', '', 'g') <> '') AS BIGINT) AS passed
 FROM v_gold""")
 def regression_report_files(spark, sf):
     from ternlens.sources.golden import save_regression_report

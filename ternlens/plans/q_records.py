@@ -145,7 +145,7 @@ def latest_records_app(spark, sf):
 
 
 @register("latest_per_app", ops="F5", sql=W_REC + """
-SELECT id, app_name, "timestamp", health_score, rank FROM (
+SELECT id, app_name, "timestamp", health_score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY app_name ORDER BY "timestamp" DESC, id DESC) AS rank FROM v_rec)
 WHERE rank <= 10""")
 def latest_per_app(spark, sf):
@@ -246,7 +246,7 @@ def language_distribution(spark, sf):
 
 
 @register("denial_rate_by_app", ops="G7", sql=W_REC + """
-SELECT app_name, count_if(is_denial) AS denials, count(*) AS total,
+SELECT app_name, CAST(count_if(is_denial) AS BIGINT) AS denials, count(*) AS total,
        round(count_if(is_denial) / count(*), 9) AS denial_rate
 FROM v_rec GROUP BY app_name""")
 def denial_rate_by_app(spark, sf):
@@ -275,7 +275,7 @@ FROM (SELECT count(*) AS total FROM v_rec) t,
      (SELECT CAST(floor(avg(health_score)) AS INTEGER) AS avg_health,
              round(avg(hallucination_score), 9) AS avg_hallucination,
              round(avg(toxicity_score), 9) AS avg_toxicity,
-             count_if(is_denial) AS denials, count(*) AS window_records
+             CAST(count_if(is_denial) AS BIGINT) AS denials, count(*) AS window_records
       FROM {_latest(K.LIVE_STATS_WINDOW)} x) l""")
 def live_stats(spark, sf):
     df = A.live_stats(bridge.records(spark, sf))

@@ -62,8 +62,8 @@ def regression_failures(spark, sf):
 
 
 @register("regression_summary", ops="R3 R5 G10", sql=_SQL + f"""
-SELECT 'benchmark-golden' AS dataset_name, count(*) AS total, count_if(len(violations) = 0) AS passed,
-       count(*) - count_if(len(violations) = 0) AS failed,
+SELECT 'benchmark-golden' AS dataset_name, count(*) AS total, CAST(count_if(len(violations) = 0) AS BIGINT) AS passed,
+       CAST(count(*) - count_if(len(violations) = 0) AS BIGINT) AS failed,
        CASE WHEN count(*) > 0 THEN round_even(count_if(len(violations) = 0) / count(*), 4) ELSE 0.0 END AS pass_rate,
        CASE WHEN count(*) > 0 THEN round_even(count_if(len(violations) = 0) / count(*), 4) ELSE 0.0 END
          >= {K.REGRESSION_GATE} AS gate_passed

@@ -118,7 +118,7 @@ _SCORED_COLS = ["id", "app_name", "hallucination_score", "hallucination_method",
 
 @register("chat_records_scored", ops="P1 P3 P4 P5 M1 M2 M3 M4 M5 M6 M8 T8 W1 (evaluate)",
           sql=with_views(V_EVT, scored_sql()) + f"""
-SELECT {", ".join(_SCORED_COLS)}, len(flagged_claims) AS n_claims FROM scored""")
+SELECT {", ".join(_SCORED_COLS)}, CAST(len(flagged_claims) AS INTEGER) AS n_claims FROM scored""")
 def chat_records_scored(spark, sf):
     rec = SC.evaluate(bridge.chat_events(spark, sf))
     return rec.select(*_SCORED_COLS, F.size("flagged_claims").alias("n_claims"))
@@ -129,8 +129,8 @@ def chat_records_scored(spark, sf):
 SELECT app_name, count(*) AS records,
        coalesce(CAST(round_even(avg(CASE WHEN health_score > 0 THEN health_score END), 0) AS INTEGER), 50) AS aggregate_health,
        round(avg(hallucination_score), 9) AS avg_hallucination, round(avg(drift_score), 9) AS avg_drift,
-       round(avg(groundedness_score), 9) AS avg_groundedness, count_if(is_denial) AS denials,
-       count_if(len(flagged_claims) > 0) AS flagged_records
+       round(avg(groundedness_score), 9) AS avg_groundedness, CAST(count_if(is_denial) AS BIGINT) AS denials,
+       CAST(count_if(len(flagged_claims) > 0) AS BIGINT) AS flagged_records
 FROM scored GROUP BY app_name""")
 def app_health_overview(spark, sf):
     rec = SC.evaluate(bridge.chat_events(spark, sf))
@@ -234,7 +234,7 @@ def record_validation(spark, sf):
 
 # ---------------------------------------------------------------- J1 keyword retrieval
 @register("keyword_retrieval", ops="J1 (V_EVT.query × V_KB)", sql=with_views(V_EVT, V_KB) + """
-SELECT e.id, coalesce(m.document, 'No relevant context found.') AS retrieved, m.key_pos
+SELECT e.id, coalesce(m.document, 'No relevant context found.') AS retrieved, CAST(m.key_pos AS INTEGER) AS key_pos
 FROM v_evt e LEFT JOIN (
   SELECT e.id, arg_min(k.document, k.key_pos) AS document, min(k.key_pos) AS key_pos
   FROM v_evt e JOIN v_kb k ON instr(lower(e.query), k.key) > 0 GROUP BY e.id) m ON e.id = m.id""")
@@ -249,7 +249,7 @@ def keyword_retrieval(spark, sf):
           sql="""
 SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, 'default') AS app_name, substring(text, 1, 1000) AS response,
        coalesce(lang, 'unknown') AS model_name, [substring(lang, 1, 3), substring(source, 1, 3)] AS tags,
-       length(substring(text, 1, 1000)) AS response_chars
+       CAST(length(substring(text, 1, 1000)) AS INTEGER) AS response_chars
 FROM documents""")
 def normalized_document_events(spark, sf):
     from ternlens.sources.tables import table

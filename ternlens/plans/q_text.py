@@ -108,7 +108,7 @@ def document_denials(spark, sf):
 
 @register("document_sentences", ops="T7", sql=f"""
 SELECT doc_id, {sentences_sql('text', K.RAG_MIN_SENTENCE_CHARS)} AS sentences,
-       len({sentences_sql('text', K.CLAIM_MIN_SENTENCE_CHARS)}) AS claim_sentences FROM documents""")
+       CAST(len({sentences_sql('text', K.CLAIM_MIN_SENTENCE_CHARS)}) AS INTEGER) AS claim_sentences FROM documents""")
 def document_sentences(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", TX.sentences("text", K.RAG_MIN_SENTENCE_CHARS).alias("sentences"),
