@@ -20,3 +20,27 @@ def test_stream_equals_batch_with_shuffled_files(spark, sf):
     got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").select(*COLS).collect())
     want = sorted(tuple(r) for r in SC.evaluate(ev).select(*COLS).collect())
     assert got == want
+
+
+def test_windowed_series_drops_rows_behind_watermark(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+
+    base = f"{checkpoint_dir(spark)}/t-wm-{uuid.uuid4().hex}"
+    t0 = dt.datetime(2024, 1, 1, 0, 0)
+    schema = "id string, app_name string, timestamp timestamp, health_score int"
+    first = spark.createDataFrame([("a", "x", t0, 80), ("b", "x", t0 + dt.timedelta(hours=3), 60)], schema)
+    late = spark.createDataFrame([("c", "x", t0 + dt.timedelta(minutes=5), 10)], schema)   # 3 h behind
+    first.coalesce(1).write.parquet(f"{base}/src")
+    stream = ST.event_stream(spark, f"{base}/src", first.schema)
+    agg = ST.windowed_time_series(stream, window="1 hour", watermark="10 minutes")
+    q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    late.coalesce(1).write.mode("append").parquet(f"{base}/src")
+    q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out").where(F.col("time_bucket") == "2024-01-01 00:00").collect()
+    # the 00:00 window closed with the first batch (watermark 02:50); the late row is dropped
+    assert len(out) == 1 and out[0]["count"] == 1 and out[0]["avg_value"] == 80.0
