@@ -171,12 +171,6 @@ def fixed(v, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f", _round_exact(v, decimals))
 
 
-def threshold_text(v) -> Column:
-    """Python ``str(float)`` of a short threshold literal (0.3 → '0.3', 0.5 → '0.5')."""
-    v = _c(v).cast("double")
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v), "0+$", ""), r"\.$", ".0")
-
-
 def iso_utc(ts) -> Column:
     """``datetime.isoformat()`` of a UTC timestamp: fraction only when non-zero, ``+00:00``."""
     ts = _c(ts)

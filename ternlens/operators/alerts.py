@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
-from ternlens.functions.text import fixed, iso_utc, threshold_text
+from ternlens.functions.text import fixed, iso_utc
 
 # Order of checks per record, as fired: metric column, threshold attribute, below?
 CHECKS = [
@@ -288,4 +288,4 @@ def notification_outbox(alerts: DataFrame, channels: list[tuple[str, str]], bran
 
 
 __all__ = ["threshold_breaches", "apply_cooldown", "alert_feed", "recent_alerts", "notification_outbox",
-           "severity", "threshold_text"]
+           "severity", "valid_webhook"]

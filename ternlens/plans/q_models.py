@@ -11,29 +11,28 @@ from ternlens.sources.tables import table
 _GRAMS = """g AS (
   SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
   FROM (SELECT doc_id, lang, ' ' || lower(regexp_replace(text, '[^\\pL]+', ' ', 'g')) || ' ' AS t FROM documents)),
-cnt AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 2 = 0 GROUP BY 1, 2),
+cnt AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
 voc AS (SELECT count(DISTINCT gram) AS v FROM cnt),
 tot AS (SELECT lang, sum(n) AS total FROM cnt GROUP BY 1),
-pri AS (SELECT lang, count(*) AS docs FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
-info AS (SELECT t.lang, ln(p.docs / (SELECT count(*) FROM documents WHERE doc_id % 2 = 0)) AS log_prior,
+pri AS (SELECT lang, count(*) AS docs FROM documents GROUP BY 1),
+info AS (SELECT t.lang, ln(p.docs / (SELECT count(*) FROM documents)) AS log_prior,
                 -ln(t.total + voc.v) AS unseen FROM tot t JOIN pri p USING (lang), voc),
-test AS (SELECT doc_id, count(*) AS n FROM g WHERE doc_id % 2 = 1 GROUP BY doc_id),
-seen AS (SELECT g.doc_id, c.lang, sum(ln(c.n + 1)) AS s FROM g JOIN cnt c USING (gram) WHERE g.doc_id % 2 = 1
+test AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+seen AS (SELECT g.doc_id, c.lang, sum(ln(c.n + 1)) AS s FROM g JOIN cnt c USING (gram)
          GROUP BY 1, 2),
 sc AS (SELECT t.doc_id, i.lang, i.log_prior + t.n * i.unseen + coalesce(s.s, 0.0) AS score
        FROM test t, info i LEFT JOIN seen s ON s.doc_id = t.doc_id AND s.lang = i.lang)"""
 
 
-@register("language_detection", ops="T5 (trigram naive Bayes: train even doc_ids, predict odd)", sql=f"""
+@register("language_detection", ops="T5 (trigram naive Bayes trained on every labelled document, applied to all)", sql=f"""
 WITH {_GRAMS}
 SELECT d.doc_id, d.lang, p.language_pred FROM documents d
 JOIN (SELECT doc_id, first(lang ORDER BY score DESC, lang DESC) AS language_pred FROM sc GROUP BY doc_id) p
   ON p.doc_id = d.doc_id""")
 def language_detection(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    prof = M.train_language_profile(docs.where(F.col("doc_id") % 2 == 0))
-    test = docs.where(F.col("doc_id") % 2 == 1)
-    return M.detect_language(test, prof, id_col="doc_id", keep=["lang"]).select("doc_id", "lang", "language_pred")
+    prof = M.train_language_profile(docs)
+    return M.detect_language(docs, prof, id_col="doc_id", keep=["lang"]).select("doc_id", "lang", "language_pred")
 
 
 @register("toxicity_model_scores", ops="T4 (spark.ml logistic regression on labels)")

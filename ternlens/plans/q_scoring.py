@@ -245,11 +245,11 @@ def keyword_retrieval(spark, sf):
 
 
 # ---------------------------------------------------------------- P1 / P4 as their own queries
-@register("normalized_document_events", ops="P1 (defaults and truncation; n = 1000 chars, 2 tags × 3 chars)",
+@register("normalized_document_events", ops="P1 (defaults, 200 000-char text limit, 50 tags × 100 chars)",
           sql="""
-SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, 'default') AS app_name, substring(text, 1, 1000) AS response,
-       coalesce(lang, 'unknown') AS model_name, [substring(lang, 1, 3), substring(source, 1, 3)] AS tags,
-       CAST(length(substring(text, 1, 1000)) AS INTEGER) AS response_chars
+SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, 'default') AS app_name, substring(text, 1, 200000) AS response,
+       coalesce(lang, 'unknown') AS model_name, [substring(lang, 1, 100), substring(source, 1, 100), substring(lang, 1, 100)] AS tags,
+       CAST(length(substring(text, 1, 200000)) AS INTEGER) AS response_chars
 FROM documents""")
 def normalized_document_events(spark, sf):
     from ternlens.sources.tables import table
@@ -259,7 +259,7 @@ def normalized_document_events(spark, sf):
                   F.lit(None).cast("string").alias("context"), F.col("text").alias("response"),
                   F.col("lang").alias("model_name"), F.lit(None).cast("int").alias("latency_ms"),
                   F.array("lang", "source", "lang").alias("tags"))
-    n = SC.normalize_events(ev, max_chars=1000, max_tags=2, max_tag_chars=3)
+    n = SC.normalize_events(ev)
     return n.select("id", "app_name", "response", "model_name", "tags",
                     F.length("response").alias("response_chars"))
 

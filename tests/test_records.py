@@ -88,3 +88,11 @@ def test_upsert_partition_invariant_and_idempotent(spark, sf, partitions):
     base = {r.id: r.health_score for r in rec.collect()}
     want = sorted((i, h + 1 if int(i) % 3 == 0 else h) for i, h in base.items())
     assert first == want and second == want
+
+
+def test_normalize_truncates_text_and_tags(spark):
+    from ternlens.operators import scoring as SC
+    df = spark.createDataFrame([("x" * 50, ["abcdef", "gh", "ijk"])], "response string, tags array<string>")
+    out = SC.normalize_events(df, max_chars=10, max_tags=2, max_tag_chars=3).first()
+    assert out.response == "x" * 10 and out.tags == ["abc", "gh"]
+    assert out.app_name == "default" and out.model_name == "unknown" and out.query == "" and out.latency_ms == 0
