@@ -271,8 +271,10 @@ def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP, materialize: bo
 def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int = V.DEFAULT_DIM,
              judge: Column | None = None, toxicity: Column | None = None, language: Column | None = None,
              sentiment: Column | None = None, plugins: tuple = (), embedder=None) -> DataFrame:
-    """P5: events → scored records (modules in order quality, drift, hallucination, RAG),
-    then extra plug-in scorers (U1), clamp (P4) and health (M8).
+    """P5: events → scored records with the modules quality, drift, hallucination and
+    RAG (drift executes last — score columns are disjoint, so the record is the same as
+    in the original order), then extra plug-in scorers (U1), clamp (P4) and health (M8).
+    With drift on, the pre-drift records are checkpointed once (an eager job).
 
     ``judge``/``toxicity``/``language``/``sentiment`` are optional columns already on
     ``events`` (for example joined from a judge table, J3, or produced by a spark.ml
