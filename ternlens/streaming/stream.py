@@ -182,6 +182,9 @@ def stage_in_time_chunks(df: DataFrame, path: str, chunks: int = 4, ts: str = "t
     """Write ``df`` as ``chunks`` files in event-time order (one append per time range), so a
     file stream with ``maxFilesPerTrigger=1`` delivers it in time order. Replays and tests only."""
     bounds = df.agg(F.min(F.unix_micros(ts)).alias("lo"), F.max(F.unix_micros(ts)).alias("hi")).first()
+    if bounds["lo"] is None:                 # nothing to replay: still create the folder
+        df.coalesce(1).write.mode("append").parquet(path)
+        return
     lo, hi = int(bounds["lo"]), int(bounds["hi"])
     width = max(1, (hi - lo) // chunks + 1)
     tagged = df.withColumn("_chunk", F.floor((F.unix_micros(ts) - F.lit(lo)) / F.lit(width)).cast("int"))
