@@ -146,6 +146,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.length("tok") >= 5))
     top = (toks.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), F.asc("tok")).limit(KB_KEYS))
+    # ``top`` holds at most KB_KEYS rows (a top-k), so this unpartitioned window is 20 rows.
     ranked = top.select(
         F.col("tok").alias("key"),
         F.row_number().over(Window.orderBy(F.desc("n"), F.asc("tok"))).alias("key_pos"))
