@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ternlens.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -29,6 +31,7 @@ def register(name: str, sql: str | None = None, ops: str = ""):
             # Event time is UTC throughout (the files carry zone-less timestamps).
             if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = name

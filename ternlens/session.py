@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +51,36 @@ def get_spark(app_name: str = "ternlens", master: str | None = None,
                 spark.conf.set(k, v)
             except Exception:  # static conf on a shared session
                 pass
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark application.
+
+    Arrow stages import it in the Python workers, which need not run where the driver
+    does nor see its folders.  An installed package (site-packages) is taken to be on
+    every node.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Connect session: the server's environment has the package
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_ternlens_shipped", False) or "site-packages" in home:
+        return
+    folder = tempfile.mkdtemp(prefix="ternlens-package-")  # read by the driver's own file server only
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "ternlens"), "zip",
+                                     os.path.dirname(home), os.path.basename(home)))
+    sc._ternlens_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a private folder created, so a
-    cluster job never lands on machine-local disk.
+    Only a session with a local master may go without: it gets a folder of its own, which
+    is removed when the process ends.  On a cluster a missing setting is an error, since
+    a folder of the driver's machine isn't seen by the executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -70,7 +94,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="ternlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:
         sc.setCheckpointDir(local)
