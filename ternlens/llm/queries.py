@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternlens.llm import bpe_automaton, exact_dedup, packing, token_counts
+from ternlens.llm import bpe_automaton, exact_dedup, langid, packing, quality, token_counts, toxicity
+from ternlens.session import ship_package
 from ternlens.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +23,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -34,6 +39,14 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encoding_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -52,16 +65,27 @@ FROM d
 """
 
 QUERIES = {
+    "op3_language_models": op3_language_models,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_discriminant": op10_quality_discriminant,
 }
 ORACLE = {"op9_exact_dedup": OP9_SQL}
 
 
+def shipped(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: shipped(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
