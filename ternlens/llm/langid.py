@@ -15,9 +15,10 @@ A text's language is that of lowest cross-entropy per symbol.
 An n-gram is kept if its share of its language's n-grams is at least ``SHARE``, at every size:
 so at most 1 / SHARE n-grams for each language reach the driver and the broadcast model.
 
-Rejection is calibrated on the training texts: a text is rejected when its best cross-entropy
-lies more than ``SIGMAS`` deviations above the mean of the training texts predicted so, where the
-deviation has a part that shrinks with the text's length.
+Rejection is calibrated on the training texts: a text is rejected when its best cross-entropy lies more
+than ``CHANCE`` of the way from the mean of the training texts predicted so to that of symbols
+drawn at random, with an allowance that shrinks with the text's length.  So texts with foreign
+insertions stay, and text of no learned language goes.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; equal
 cross-entropies go to the first language by name; with no training rows every text is
@@ -40,9 +41,9 @@ from ternlens.llm.common import crc_mod, own, staged
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
 SHARE = 1e-6
-SIGMAS = 10.0
-#: Deviation of one symbol's log probability, in nats.
-SYMBOL_DEVIATION = 2.0
+CHANCE = 0.6
+#: Allowance for a text of one symbol, in nats; it falls with the root of the length.
+ALLOWANCE = 6.0
 #: Symbols after which the confidence doesn't grow further.
 CONFIDENT = 50
 BLANK, START = 32, 1
@@ -276,8 +277,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     models = train(rows.filter(~held_out), lang_col, text_col)
     found = staged(identify(rows, models, id_col, text_col), "languages").withColumn("held_out", held_out)
     usual = F.broadcast(found.filter(~F.col("held_out") & (F.col("lang_pred") != "und")).groupBy("lang_pred").agg(
-        F.avg("cross_entropy").alias("mean"), F.var_pop("cross_entropy").alias("var")))  # a row for each language
-    limit = F.col("mean") + SIGMAS * F.sqrt(F.col("var") + SYMBOL_DEVIATION ** 2 / F.greatest("symbols", F.lit(1)))
+        F.avg("cross_entropy").alias("mean")))  # a row for each language
+    chance = F.create_map(*[F.lit(x) for k, lang in enumerate(models.langs if models else [])
+                            for x in (lang, -float(models.uniform[k]))]) if models else F.create_map(F.lit(""), F.lit(0.0))
+    limit = (F.col("mean") * (1 - CHANCE) + CHANCE * chance[F.col("lang_pred")]
+             + ALLOWANCE / F.sqrt(F.greatest("symbols", F.lit(1))))
     return found.join(usual, "lang_pred", "left").select(
         id_col, "held_out", "lang_pred", "score", "cross_entropy",
         ((F.col("lang_pred") != "und") & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).alias("accepted"))
