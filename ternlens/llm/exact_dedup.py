@@ -8,8 +8,8 @@ The splitters are sampled on a key of bounded size (first bytes, 64-bit hash, sa
 so that the sample on the driver stays small whatever the texts' length.  Equality is
 decided on the whole text.  The salt (a hash of the identifier) spreads copies of one
 text over up to ``SALTS`` runs in as many partitions, hence a text that a third of all
-rows share doesn't meet in one task; the runs of one text are then joined by its SHA-256
-over rows without texts.
+rows share doesn't meet in one task; the runs' results are put together by the text's SHA-256,
+over at most ``SALTS`` rows for each text, and go back to the rows by SHA-256 and salt.
 
 Defined results: null text counts as empty; an empty table gives an empty table;
 repeated rows (same identifier) are each returned; ties in length go to the smallest
@@ -34,7 +34,7 @@ def normalised(text: Column) -> Column:
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: identifier, code points, SHA-256 (binary) of the normalised
+    """One row per input row: identifier, code points, salt, SHA-256 (binary) of the normalised
     text, and ``leader``: the identifier that stays of the row's sorted run of equal texts."""
     rows = own(docs, id_col, text_col).select(
         F.col(id_col).alias("id"),
@@ -50,17 +50,20 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
            .orderBy(F.col("n").desc(), F.col("id").asc_nulls_last())
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (keyed.repartitionByRange("head", "h", "salt")
-            .select("id", "n", F.first("id").over(run).alias("leader"), "norm")
-            .select("id", "n", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "leader"))
+            .select("id", "n", "salt", F.first("id").over(run).alias("leader"), "norm")
+            .select("id", "n", "salt", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "leader"))
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     rows = cut_lineage(content_sort(docs, id_col, text_col))
-    groups = rows.groupBy("sha").agg(
-        F.count("*").alias("group_size"),
-        F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("best"))
-    joined = rows.join(groups, "sha")
+    runs = rows.groupBy("sha", "salt").agg(
+        F.count("*").alias("n_run"),
+        F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("best_run"))
+    text = Window.partitionBy("sha")  # SALTS rows of one text at most
+    groups = runs.select("sha", "salt", F.sum("n_run").over(text).alias("group_size"),
+                         F.max("best_run").over(text).alias("best"))
+    joined = rows.join(groups, ["sha", "salt"])
     keep = -F.col("best.neg")
     return joined.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), "group_size",

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternlens.llm import bpe_automaton, exact_dedup, langid, near_dedup, packing, quality, token_counts, toxicity
+from ternlens.llm import bpe_automaton, exact_dedup, graph_search, langid, near_dedup, packing, quality, token_counts, toxicity
 from ternlens.session import ship_package
 from ternlens.sources.tables import table
 
@@ -23,6 +23,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_pruned_graph_search": op1_pruned_graph_search,
     "op2_dart_minhash": op2_dart_minhash,
     "op3_language_models": op3_language_models,
     "op4_best_fit_packing": op4_best_fit_packing,
