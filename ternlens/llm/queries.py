@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternlens.llm import bpe_automaton, exact_dedup, graph_search, langid, near_dedup, packing, quality, token_counts, toxicity
+from ternlens.llm import bpe_automaton, exact_dedup, graph_search, langid, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity
 from ternlens.session import ship_package
 from ternlens.sources.tables import table
 
@@ -47,6 +47,10 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encoding_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_automaton": op6_bpe_automaton,
+    "op7_suffix_arrays": op7_suffix_arrays,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_discriminant": op10_quality_discriminant,
