@@ -267,22 +267,28 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return own(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
+@lru_cache(maxsize=2)
+def digest_splitter(path: str) -> Splitter:
+    """Chunks to (number of ids, ids as decimal text, decoded bytes); kept by the Python worker from task to task."""
+    auto = automaton(path)
+
+    def of_word(word: str, special: bool) -> tuple:
+        ids = [auto.special[word]] if special else auto.encode(word.encode())
+        return len(ids), ",".join(map(str, ids)), auto.decode(ids)
+
+    def joined(vs: list) -> tuple:
+        return sum([v[0] for v in vs]), ",".join([v[1] for v in vs]), b"".join([v[2] for v in vs])
+
+    return Splitter(auto.special, of_word, joined)
+
+
 def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 without moving the ids out of the task.
 
     Each chunk's ids are kept as their decimal text, its decoding as bytes.
     """
     def run(batches):
-        auto = automaton(path)
-
-        def of_word(w, special):
-            ids = [auto.special[w]] if special else auto.encode(w.encode())
-            return len(ids), ",".join(map(str, ids)), auto.decode(ids)
-
-        def joined(vs):
-            return sum(v[0] for v in vs), ",".join([v[1] for v in vs]), b"".join([v[2] for v in vs])
-
-        sp = Splitter(auto.special, of_word, joined)
+        sp = digest_splitter(path)
         sha = hashlib.sha256
         for b in batches:
             n, ids_hash, text_hash = [], [], []

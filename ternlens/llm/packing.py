@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +43,23 @@ END = 2
 BUCKETS = 64
 
 
+@lru_cache(maxsize=2)
+def id_splitter(path: str) -> Splitter:
+    """Chunks to their ids as little-endian bytes; kept by the Python worker from task to task."""
+    auto = automaton(path)
+    four = {i: i.to_bytes(4, "little") for i in auto.label}
+
+    def of_word(word: str, special: bool) -> bytes:
+        return four[auto.special[word]] if special else b"".join(map(four.__getitem__, auto.encode(word.encode())))
+
+    return Splitter(auto.special, of_word, b"".join)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (and ``ids`` if asked for)."""
     def run(batches):
-        auto = automaton(path)
-
-        def of_word(w, special):
-            ids = [auto.special[w]] if special else auto.encode(w.encode())
-            return np.array(ids, "<u4").tobytes()
-
-        sp = Splitter(auto.special, of_word, b"".join)
+        sp = id_splitter(path)
         last, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             ids, piece, start, length, crc, raw = [], [], [], [], [], []

@@ -20,6 +20,7 @@ columns are ignored; a code point of several bytes is one step of the table.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -100,10 +101,16 @@ class PrefixCounter:
         return sum(word_counts(self.auto, w)[-1] for w in self.sp.split(text))
 
 
+@lru_cache(maxsize=2)
+def counter_for(path: str) -> PrefixCounter:
+    """Kept by the Python worker from task to task."""
+    return PrefixCounter(automaton(path))
+
+
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts array<int>: the exact token count of every code point prefix of the text."""
     def run(batches):
-        counter = PrefixCounter(automaton(path))
+        counter = counter_for(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([counter.table(t) if t else [] for t in b.column(1).to_pylist()],
@@ -116,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, and ``cut_chars``: where a text over the limit is to be cut."""
     def run(batches):
-        counter = PrefixCounter(automaton(path))
+        counter = counter_for(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]
