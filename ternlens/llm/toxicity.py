@@ -16,7 +16,7 @@ the labels say it should.
 
 The insult lexicon is learned from labelled rows: words and word stems (first
 ``STEM`` letters) that at least ``SUPPORT`` of the toxic rows hold and that are ``ODDS`` times
-likelier there.  Supports are shares, so at most (words of a text / SUPPORT) entries pass,
+likelier there even at the low end of the estimate.  Supports are shares, so at most (words of a text / SUPPORT) entries pass,
 whatever the corpus' size.  Training reads a bounded number of labelled rows
 (``training.MAX_LABELLED``); every row is scored, over its whole text.
 
@@ -44,6 +44,8 @@ from ternlens.llm.training import labelled, training_labels
 FOLDS, HELD_OUT = 5, 0
 SUPPORT = 0.004
 ODDS = 8.0
+#: Deviations by which the log odds are lowered before they count, so that a term few rows hold needs more.
+DEVIATIONS = 1.64
 STEM = 5
 WINDOW, SCOPE = 4, 3
 RIDGE = 1.0
@@ -137,9 +139,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, n_toxic: int, n_clean: int
     clean = frequency(0, set(toxic), 0)
     out = {}
     for term, n in toxic.items():
-        odds = (n + 0.5) / (n_toxic + 1) / ((clean.get(term, 0) + 0.5) / (n_clean + 1))
-        if odds >= ODDS:
-            out[term] = math.log(odds)
+        other = clean.get(term, 0)
+        odds = (n + 0.5) / (n_toxic + 1) / ((other + 0.5) / (n_clean + 1))
+        sure = math.log(odds) - DEVIATIONS * math.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
+        if sure >= math.log(ODDS):
+            out[term] = sure
     return out
 
 
