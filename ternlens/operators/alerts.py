@@ -250,8 +250,8 @@ def recent_alerts(alerts: DataFrame, n: int = K.ALERT_FEED_SIZE) -> DataFrame:
 
 def valid_webhook(url: Column, host_suffix: str = "hooks.slack.com") -> Column:
     """https scheme and a host ending in ``host_suffix`` (unparsable URL → false)."""
-    host = F.lower(F.parse_url(url, F.lit("HOST")))
-    ok = ((F.lower(F.parse_url(url, F.lit("PROTOCOL"))) == F.lit("https")) & host.isNotNull()
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    ok = ((F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == F.lit("https")) & host.isNotNull()
           & host.endswith(host_suffix))
     return F.coalesce(ok, F.lit(False))
 

@@ -65,7 +65,7 @@ def multi_time_series(records: DataFrame, metrics: list[str], granularity: str =
         aggs += [F.avg(F.col(m).cast("double")).alias(f"avg_{m}"), F.count(F.col(m)).alias(f"n_{m}")]
     agg = records.groupBy(*keys, bucket.alias("_bucket")).agg(*aggs, F.count(F.lit(1)).alias("count"))
     return agg.select(*keys, F.date_format("_bucket", fmt).alias("time_bucket"),
-                      *[c for m in ms for c in (f"avg_{m}", f"n_{m}")], "count")
+                      *[c for m in ms for c in (f"avg_{m}", f"n_{m}")], "count").orderBy(*keys, "time_bucket")
 
 
 def overview_kpis(records: DataFrame, window: int = K.DASHBOARD_WINDOW) -> DataFrame:
@@ -176,7 +176,8 @@ def timeline(records: DataFrame, columns: list[str], window: int = K.DASHBOARD_W
     latest = latest_n(records, window)
     if require:
         latest = latest.where(F.col(require).isNotNull())
-    return latest.select("id", "timestamp", F.date_format("timestamp", "MM-dd HH:mm").alias("label"), *columns)
+    return (latest.select("id", "timestamp", F.date_format("timestamp", "MM-dd HH:mm").alias("label"), *columns)
+            .orderBy("timestamp", "id"))
 
 
 def trend_axis(records: DataFrame, window: int = K.DASHBOARD_WINDOW) -> DataFrame:

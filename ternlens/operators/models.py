@@ -2,21 +2,25 @@
 
 T5 language: character-trigram naive Bayes. The profile is a partial/final
       aggregate of (language, trigram) counts over labelled documents; scoring is an
-      equi-join of a text's trigrams with the profile, so nothing is per-row Python.
+      equi-join of a text's distinct trigrams with the profile.
 T4 toxicity: spark.ml ``RegexTokenizer → HashingTF → LogisticRegression`` trained on
       labelled documents; the score is the positive-class probability.
-T3 weighted sentiment: a valence lexicon (token → valence) joined to tokens, summed,
+T3 weighted sentiment: token valences from a map literal, summed,
       normalised with s/√(s²+15) and mapped to [0, 1] as (x+1)/2; no hit → 0.5.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
 
-MAX_BROADCAST_PROFILE_ROWS = 2_000_000
+#: T5: blank texts and texts of fewer characters (trimmed) get the default language.
+SHORT_TEXT, DEFAULT_LANGUAGE = 10, "en"
 
 
 def _c(x) -> Column:
@@ -29,21 +33,43 @@ def normalized_for_grams(text) -> Column:
     return F.concat(F.lit(" "), F.lower(F.regexp_replace(_c(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
-def trigrams(text) -> Column:
-    """All character trigrams of the normalised text (whole text, overlapping, with repeats).
+def gram_counts(df: DataFrame, key: str, text: str = "text", per_row: bool = True) -> DataFrame:
+    """(key, gram, n): how often each trigram occurs in the normalised text, by row or, with
+    ``per_row=False``, by key and batch (partial counts, to be summed).
 
-    One regex pass with a capturing lookahead (``(?=(.{3}))``) — linear in the text
-    length and about 3× faster than assembling shifted character slices.
+    Counted where the text is read, so only distinct trigrams leave the task.
     """
-    return F.regexp_extract_all(normalized_for_grams(text), F.lit("(?=(.{3}))"), 1)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            keys, grams, n = [], [], []
+            held: dict = {}
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen = Counter(map("".join, zip(t, t[1:], t[2:]))) if t else Counter()
+                if per_row:
+                    keys += [k] * len(seen)
+                    grams += seen.keys()
+                    n += seen.values()
+                else:
+                    held.setdefault(k, Counter()).update(seen)
+            for k, seen in held.items():
+                keys += [k] * len(seen)
+                grams += seen.keys()
+                n += seen.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(grams, pa.string()),
+                                              pa.array(n, pa.int64())], names=["key", "gram", "n"])
+
+    return (df.select(F.col(key), normalized_for_grams(text))
+            .mapInArrow(run, f"key {kind}, gram string, n long"))
 
 
 def train_language_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
     """Profile rows (lang, gram, log_count = ln(n+1)) with the language's ``unseen``
     = −ln(total + vocabulary) and ``log_prior``. Add-one smoothing, so
     log P(gram | lang) = log_count + unseen."""
-    grams = docs.select(F.col(label).alias("lang"), F.explode(trigrams(text)).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = (gram_counts(docs, label, text, per_row=False).withColumnRenamed("key", "lang")
+              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     vocab = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     prior = (docs.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
@@ -59,32 +85,33 @@ def train_language_profile(docs: DataFrame, text: str = "text", label: str = "la
 
 def detect_language(df: DataFrame, profile: DataFrame, text: str = "text", id_col: str = "id",
                     out: str = "language_pred", keep: list[str] | None = None) -> DataFrame:
-    """T5 scoring: argmax over languages of prior + Σ log P(gram | lang).
+    """T5 scoring: argmax over languages of prior + Σ log P(gram | lang); blank texts and
+    texts of fewer than ``SHORT_TEXT`` characters are ``DEFAULT_LANGUAGE``.
 
     score(lang) = log_prior + n·unseen + Σ_{grams seen for lang} ln(count+1).
-    The profile is pivoted to one row per trigram with a column per language (the
-    language list is the model's label set — a handful of rows read once) and
-    broadcast after a row-count check (it is bounded by the trigram alphabet), so the
-    exploded text grams never shuffle; one map-side-combined ``groupBy(id)`` sums all
-    languages at once. Returns ``id_col``, ``keep`` columns and the prediction.
+    A text's trigrams are counted first, so only its distinct ones are joined with the
+    profile, one row per trigram with its languages in an array; sums are combined before
+    the shuffle by text.  Nothing is collected, and the join's strategy is the planner's
+    (the profile's common trigrams are skewed keys only on the side AQE can split).
     """
-    from ternlens.session import cut_lineage
-
     keep = list(keep or [])
-    profile = cut_lineage(profile)          # small model table: computed once, read several times
-    info = profile.select("lang", "unseen", "log_prior").distinct().orderBy("lang").collect()
-    langs = [r["lang"] for r in info]
-    wide = profile.groupBy("gram").pivot("lang", langs).agg(F.first("log_count"))
-    if profile.count() <= MAX_BROADCAST_PROFILE_ROWS:
-        wide = F.broadcast(wide)
-    grams = df.select(id_col, *keep, F.explode_outer(trigrams(text)).alias("gram"))
-    sums = (grams.join(wide, "gram", "left").groupBy(id_col)
-            .agg(*[F.first(c).alias(c) for c in keep], F.count("gram").alias("_n"),
-                 *[F.sum(F.coalesce(F.col(f"`{l}`"), F.lit(0.0))).alias(f"_s{i}") for i, l in enumerate(langs)]))
-    scores = [F.struct((F.lit(r["log_prior"]) + F.col("_n") * F.lit(r["unseen"]) + F.col(f"_s{i}")).alias("s"),
-                       F.lit(r["lang"]).alias("l")) for i, r in enumerate(info)]
-    best = F.greatest(*scores)["l"] if len(scores) > 1 else scores[0]["l"]
-    return sums.select(id_col, *keep, best.alias(out))
+    prof = profile.groupBy("gram").agg(F.collect_list(F.struct("lang", "log_count")).alias("_p"))  # a row per language
+    info = profile.groupBy("lang").agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("log_prior"))
+    trimmed = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)^\s+|\s+$", "")
+    short = F.length(trimmed) < SHORT_TEXT
+    counted = gram_counts(df.where(~short), id_col, text).withColumnRenamed("key", "_id")
+    sums = (counted.join(prof, "gram").select("_id", "n", F.explode("_p").alias("_p"))
+            .groupBy("_id", F.col("_p.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("_p.log_count")).alias("_s")))
+    seen = sums.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "_s"))).alias("_seen"))
+    langs = info.agg(F.array_sort(F.collect_list(F.struct("lang", "unseen", "log_prior"))).alias("_langs"))  # the label set
+    n = F.greatest(F.length(normalized_for_grams(F.coalesce(_c(text), F.lit("")))) - 2, F.lit(0))
+    scored = (df.select(id_col, *keep, short.alias("_short"), n.alias("_n"))
+              .join(seen, F.col(id_col) == F.col("_id"), "left").join(F.broadcast(langs)))
+    score = F.transform("_langs", lambda l: F.struct(
+        (l["log_prior"] + F.col("_n") * l["unseen"] + F.coalesce(F.col("_seen")[l["lang"]], F.lit(0.0))).alias("s"),
+        l["lang"].alias("l")))
+    return scored.select(id_col, *keep, F.when(F.col("_short"), F.lit(DEFAULT_LANGUAGE))
+                         .otherwise(F.array_max(score)["l"]).alias(out))
 
 
 # ------------------------------------------------------------------ T4 toxicity
@@ -118,24 +145,21 @@ def toxicity_scores(model, df: DataFrame, text: str = "text", out: str = "toxici
 VADER_ALPHA = 15.0
 
 
-def default_valence(spark) -> DataFrame:
-    """Valence table built from the fixed positive/negative word lists (±2.0)."""
-    rows = [(w, 2.0) for w in K.POSITIVE_WORDS] + [(w, -2.0) for w in K.NEGATIVE_WORDS]
-    return spark.createDataFrame(rows, "token string, valence double")
+def default_valence() -> dict[str, float]:
+    """Valence of each word of the fixed positive/negative lists (±2.0)."""
+    return dict.fromkeys(K.POSITIVE_WORDS, 2.0) | dict.fromkeys(K.NEGATIVE_WORDS, -2.0)
 
 
-def weighted_sentiment(df: DataFrame, valence: DataFrame, text: str = "text", id_col: str = "id",
+def weighted_sentiment(df: DataFrame, valence: dict[str, float], text: str = "text",
                        out: str = "sentiment_weighted") -> DataFrame:
     """Σ valence of tokens (with repeats) → s/√(s²+α) → (x+1)/2; no hit or blank → 0.5.
 
-    The lexicon is a small table (size-checked) joined to exploded tokens.
+    The lexicon is a map literal looked up inside generated code: no join, no shuffle.
     """
-    toks = df.select(id_col, F.explode(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9']+")).alias("token"))
-    lex = valence.select("token", "valence")
-    if valence.count() <= MAX_BROADCAST_PROFILE_ROWS:
-        lex = F.broadcast(lex)
-    s = toks.join(lex, "token").groupBy(id_col).agg(F.sum("valence").alias("_s"))
-    comp = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(VADER_ALPHA))
-    res = df.join(s, id_col, "left")
-    return res.withColumn(out, F.when(F.col("_s").isNull() | (F.col("_s") == 0), F.lit(0.5))
-                          .otherwise((comp + F.lit(1.0)) / F.lit(2.0))).drop("_s")
+    lex = F.create_map(*[x for w, v in valence.items() for x in (F.lit(w), F.lit(float(v)))])
+    tokens = F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9']+"),
+                      lambda t: t.isin(*valence))
+    s = F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + lex[t])
+    return df.withColumn("_s", s).withColumn(
+        out, F.when(F.col("_s") == 0, F.lit(0.5)).otherwise(
+            (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(VADER_ALPHA)) + F.lit(1.0)) / F.lit(2.0))).drop("_s")

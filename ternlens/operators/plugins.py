@@ -31,8 +31,8 @@ class PandasScorer:
     """U1 helper: ``fn(pdf) -> pdf of new columns`` applied batch-wise with ``mapInPandas``.
 
     ``inputs`` are the columns ``fn`` reads; ``columns`` is the schema of what it adds.
-    Only ``id`` + inputs travel through Python; the result is joined back by nothing —
-    the new columns are appended to the same rows in the same task.
+    Only the inputs travel through Python (a ``pandas_udf`` over them); the new columns are
+    unpacked from its struct in the same task.
     """
     name: str
     fn: Callable[[pd.DataFrame], pd.DataFrame]
@@ -40,18 +40,15 @@ class PandasScorer:
     columns: T.StructType
 
     def apply(self, records: DataFrame) -> DataFrame:
-        out_schema = T.StructType(list(records.schema.fields) + list(self.columns.fields))
-        fn, new = self.fn, [f.name for f in self.columns.fields]
-        inputs = self.inputs
+        fn, inputs, new = self.fn, self.inputs, [f.name for f in self.columns.fields]
 
+        @F.pandas_udf(self.columns)
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                add = fn(pdf[inputs])
-                for c in new:
-                    pdf[c] = add[c].values
-                yield pdf
+                yield fn(pdf)[new]
 
-        return records.mapInPandas(run, out_schema)
+        added = records.withColumn("_added", run(F.struct(*inputs)))
+        return added.select(*records.columns, *[F.col("_added")[c].alias(c) for c in new])
 
 
 def judge_scores(events: DataFrame, judge: Callable[[str, str | None, str], object],
@@ -63,19 +60,18 @@ def judge_scores(events: DataFrame, judge: Callable[[str, str | None, str], obje
     bad → null) is the Spark expression of T11.
     """
     with_prompt = events.withColumn("judge_prompt", TX.judge_prompt("query", "context", "response"))
-    schema = T.StructType(list(with_prompt.schema.fields) + [T.StructField("_answer", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ans = []
-            for q, c, r in zip(pdf["query"], pdf["context"], pdf["response"]):
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, contexts, responses in batches:
+            out_ = []
+            for q, c, r in zip(queries, contexts, responses):
                 try:
                     a = judge(q, c, r)
-                    ans.append(None if a is None else str(a))
+                    out_.append(None if a is None else str(a))
                 except Exception:  # noqa: BLE001 - a failed judge call is a missing score
-                    ans.append(None)
-            pdf["_answer"] = ans
-            yield pdf
+                    out_.append(None)
+            yield pd.Series(out_, dtype=object)
 
-    answered = with_prompt.mapInPandas(run, schema)
-    return answered.withColumn(out, TX.parse_judge_answer("_answer")).drop("_answer")
+    return (with_prompt.withColumn("_answer", answer("query", "context", "response"))
+            .withColumn(out, TX.parse_judge_answer("_answer")).drop("_answer"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
+from ternlens.functions import text as TX
 
 _EQ_FILTERS = ("app_name", "model_name", "language_detected")
 
@@ -94,7 +95,7 @@ def preview(records: DataFrame) -> DataFrame:
         F.date_format("timestamp", "HH:mm:ss").alias("time"),
         F.substring("query", 1, 50).alias("query_preview"),
         F.substring("response", 1, 60).alias("response_preview"),
-        F.format_string("%.3f", F.col("hallucination_score")).alias("score_text"),
+        TX.fixed("hallucination_score", 3).alias("score_text"),
         F.coalesce(F.array_join(F.slice(F.col("flagged_claims"), 1, 2), ", "), F.lit("")).alias("claims_preview"),
         "hallucination_score",
     )

@@ -1,9 +1,8 @@
 """Keyword retrieval — the first knowledge-base entry whose key occurs in the query.
 
-The knowledge base is a small lookup table (the original walks it per query).
-Its row count is checked before it is broadcast for the substring (theta) join;
-a larger table must use ``mode="token"``, an equi-join of query tokens to keys
-(exact for keys that are single tokens matched as whole words).
+A key occurs in a query exactly if it equals one of the query's substrings of the key's length.
+So the distinct key lengths (an aggregate of one short row) say which substrings to take, and an
+equi-join finds the keys: exact for any number of keys, without a nested loop.
 """
 
 from __future__ import annotations
@@ -11,26 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_KEYS = 10_000
-
 
 def keyword_retrieve(events: DataFrame, kb: DataFrame, default: str | None = None,
-                     query: str = "query", mode: str = "substring") -> DataFrame:
+                     query: str = "query") -> DataFrame:
     """Adds ``retrieved`` (document of the lowest ``key_pos`` matching key, else
     ``default``) and ``key_pos`` (null on a miss). ``kb``: key, key_pos, document."""
-    kb = kb.select("key", "key_pos", "document")
-    if mode == "substring":
-        n = kb.count()
-        if n > MAX_BROADCAST_KEYS:
-            raise ValueError(f"knowledge base has {n} keys; use mode='token' beyond {MAX_BROADCAST_KEYS}")
-        q = events.select("id", F.lower(F.col(query)).alias("_q"))
-        hits = q.join(F.broadcast(kb), F.instr(F.col("_q"), F.col("key")) > 0)
-    elif mode == "token":
-        toks = events.select("id", F.explode(F.array_distinct(
-            F.split(F.lower(F.col(query)), "[^a-z0-9]+"))).alias("key"))
-        hits = toks.join(kb, "key")
-    else:
-        raise ValueError(mode)
+    kb = kb.select("key", "key_pos", "document").where(F.col("key").isNotNull())
+    lengths = kb.agg(F.array_sort(F.collect_set(F.length("key"))).alias("_lengths"))  # one row: distinct key lengths
+    q = (events.select("id", F.lower(F.col(query)).alias("_q")).where(F.col("_q").isNotNull())
+         .join(F.broadcast(lengths)))
+    parts = F.flatten(F.transform("_lengths", lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_q") - n + 1, F.lit(1))),
+        lambda i: F.substring(F.col("_q"), i, n))))
+    hits = q.select("id", F.explode(F.array_distinct(parts)).alias("key")).join(kb, "key")
     best = hits.groupBy("id").agg(F.min("key_pos").alias("key_pos"),
                                   F.min_by("document", "key_pos").alias("_doc"))
     out = events.join(best, "id", "left")

@@ -26,7 +26,9 @@ sc AS (SELECT t.doc_id, i.lang, i.log_prior + t.n * i.unseen + coalesce(s.s, 0.0
 
 @register("language_detection", ops="T5 (trigram naive Bayes trained on every labelled document, applied to all)", sql=f"""
 WITH {_GRAMS}
-SELECT d.doc_id, d.lang, p.language_pred FROM documents d
+SELECT d.doc_id, d.lang,
+       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN 'en' ELSE p.language_pred END AS language_pred
+FROM documents d
 JOIN (SELECT doc_id, first(lang ORDER BY score DESC, lang DESC) AS language_pred FROM sc GROUP BY doc_id) p
   ON p.doc_id = d.doc_id""")
 def language_detection(spark, sf):
@@ -58,5 +60,5 @@ FROM conversations c LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn"""
 def weighted_sentiment(spark, sf):
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     keyed = conv.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    out = M.weighted_sentiment(keyed, M.default_valence(spark))
+    out = M.weighted_sentiment(keyed, M.default_valence())
     return out.select("conv_id", "turn", r9("sentiment_weighted").alias("sentiment_weighted"))

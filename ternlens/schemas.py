@@ -51,6 +51,7 @@ ALERT_SCHEMA = T.StructType([
 ])
 
 GOLDEN_EXAMPLE = T.StructType([
+    T.StructField("position", T.LongType()),   # null in a document with all examples: their order
     T.StructField("query", T.StringType()),
     T.StructField("expected_response", T.StringType()),
     T.StructField("context", T.StringType()),

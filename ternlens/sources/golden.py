@@ -1,10 +1,10 @@
 """Golden datasets and regression reports as JSON.
 
-A golden dataset is one JSON document (header + array of examples). Reading it
-``posexplode``s the examples into rows (position kept for report order) and fills
-defaults. Writing collects the examples of a dataset back into one document; a
-document is a single record by format, so its size is checked first and larger
-sets are written as JSON lines (one example per line) instead.
+A golden dataset is a folder of JSON documents, each with the header (name, version,
+description) and some of the examples with their positions; a single document with all examples, as a
+user writes it by hand, is the same format.  Reading ``posexplode``s the examples into rows and
+fills defaults.  Writing splits the examples by position into documents of ``DOCUMENT_EXAMPLES``, so no
+document, and no task, holds more, whatever the dataset's size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ternlens import constants as K
 from ternlens.schemas import GOLDEN_SCHEMA
 
-MAX_DOCUMENT_EXAMPLES = 100_000
+DOCUMENT_EXAMPLES = 10_000
 
 
 def load_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
                     F.posexplode_outer("examples").alias("position", "e"))
     e = F.col("e")
     return ex.where(e.isNotNull()).select(
-        "dataset_name", "version", "position",
+        "dataset_name", "version", F.coalesce(e["position"], F.col("position")).cast("int").alias("position"),
         e["query"].alias("query"),
         F.coalesce(e["expected_response"], F.lit("")).alias("expected_response"),
         e["context"].alias("context"),
@@ -40,17 +40,15 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def save_golden(examples: DataFrame, path: str, name: str = "default", version: str = "1.0",
                 description: str = "") -> None:
-    """Write examples (ordered by ``position``) as one golden JSON document."""
-    n = examples.count()
+    """Write examples with their ``position`` as golden JSON documents under ``path``."""
     cols = ["query", "expected_response", "context", "tags", "max_hallucination", "min_faithfulness",
             "expected_language", "max_toxicity"]
-    if n > MAX_DOCUMENT_EXAMPLES:
-        examples.select("position", *cols).write.mode("overwrite").json(path + ".jsonl")
-        return
-    doc = (examples.groupBy().agg(F.sort_array(F.collect_list(F.struct("position", *cols))).alias("_ex"))
+    part = F.floor(F.col("position") / DOCUMENT_EXAMPLES)
+    doc = (examples.groupBy(part.alias("_part"))
+           .agg(F.sort_array(F.collect_list(F.struct("position", *cols))).alias("examples"))  # DOCUMENT_EXAMPLES at most
            .select(F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(description).alias("description"),
-                   F.transform("_ex", lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias("examples")))
-    doc.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+                   "examples"))
+    doc.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def save_regression_report(summary: DataFrame, failures: DataFrame, path: str) -> None:
