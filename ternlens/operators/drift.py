@@ -2,61 +2,53 @@
 
 Online drift (W1) scores each vector, in arrival order per app, by its cosine
 distance to the normalised mean of all vectors of that app so far, itself
-included; null while fewer than 10 are stored; the baseline holds at most the
-first ``cap`` vectors (10 000), after which the centroid is fixed.
-
-Plan at scale:
-* head = the first ``cap`` rows per app via ``row_number() <= cap``; Spark inserts a
-  map-side ``WindowGroupLimit`` (threshold raised to ``cap``), so at most ``cap`` rows
-  per app and partition are shuffled, however large the app.
-* head is scored per app by ``applyInPandas`` with a NumPy cumulative sum — bounded
-  input (≤ cap × dim doubles per group).
-* tail = every later row; it needs only the per-app cutoff and the fixed centroid
-  (one small row per app), joined on app — no sort of the tail at all.
+included; null while fewer than ``min_baseline`` are stored.  The baseline is the whole
+history; ``cap`` stops it after the first ``cap`` vectors (parity with a bounded store).
+
+Plan at scale, the same for one hot app as for many small ones:
+* only (app, order, id, vector) move: a range partitioning by (app, order) deals a hot app
+  over as many partitions as its rows need, and is staged once;
+* each (app, block) gives a count and a vector sum, combined before the shuffle, and the
+  exclusive prefix sums run over this block table (about one row for each partition);
+* blocks are scored on their own with a cumulative sum from their prefix, and the scores
+  are joined back by app and id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ternlens import constants as K
 from ternlens.functions import vectors as V
+from ternlens.session import cut_lineage
 
 
-def _ensure_group_limit(df: DataFrame, cap: int) -> None:
-    spark = df.sparkSession
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    try:
-        cur = int(spark.conf.get(key, "1000"))
-        if cur < cap:
-            spark.conf.set(key, str(cap))
-    except Exception:
-        pass
+def _stored(vecs: DataFrame, vector: str) -> DataFrame:
+    return vecs.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
 
 
-def centroids(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
-              order: tuple[str, ...] = ("id",), cap: int | None = K.DRIFT_BASELINE_CAP) -> DataFrame:
-    """Per key, dimension-wise mean of (the first ``cap``) vectors, L2-normalised.
+def _sum(vector: str) -> Column:
+    """Vector sum, combined before the shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(vector).cast("array<double>"))))
 
-    posexplode → partial/final ``sum`` per (key, dimension) → one array per key, so
-    only dim numbers per key and partition cross the shuffle.
-    """
-    src = vecs.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+
+def centroids(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
+              order: tuple[str, ...] = ("id",), cap: int | None = None) -> DataFrame:
+    """Per key, dimension-wise mean of all vectors (of the first ``cap``, if given),
+    L2-normalised: one partial sum per key and partition crosses the shuffle."""
+    src = _stored(vecs, vector)
     if cap is not None:
-        _ensure_group_limit(src, cap)
         w = Window.partitionBy(key).orderBy(*order)
         src = src.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
-    n = src.groupBy(key).agg(F.count(F.lit(1)).alias("vectors"))
-    sums = (src.select(key, F.posexplode(vector).alias("_pos", "_x"))
-            .groupBy(key, "_pos").agg(F.sum("_x").alias("_s")))
-    arr = (sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_s"))).alias("_p"))
-           .join(n, key)
-           .select(key, "vectors", F.transform("_p", lambda p: p["_s"] / F.col("vectors")).alias("_mean")))
-    return arr.select(key, "vectors", V.normalize("_mean").alias("centroid"))
+    sums = src.groupBy(key).agg(F.count(F.lit(1)).alias("vectors"), _sum(vector).alias("_s"))
+    mean = F.transform("_s", lambda x: x / F.col("vectors"))
+    return (sums.select(key, "vectors", mean.alias("_mean"))
+            .select(key, "vectors", V.normalize("_mean").alias("centroid")))
 
 
 def vector_counts(vecs: DataFrame, key: str = "app_name", vector: str = "vector") -> DataFrame:
@@ -71,7 +63,7 @@ def drift_from_distance(dist: Column) -> Column:
 
 
 def snapshot_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
-                   order: tuple[str, ...] = ("id",), cap: int | None = K.DRIFT_BASELINE_CAP) -> DataFrame:
+                   order: tuple[str, ...] = ("id",), cap: int | None = None) -> DataFrame:
     """Distance of every vector to its key's centroid (the batch re-score).
 
     The centroid table is one row per key; AQE turns the join into a broadcast when
@@ -85,63 +77,82 @@ def snapshot_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector
             .drop("centroid"))
 
 
-def _prefix_scores(order: list[str], vector: str, min_baseline: int, keep_vector: str | None = None):
+def _number_rows(keys: list[str]):
+    """Adds ``_k``: the row's place within its key in a partition sorted by key."""
+    def number(batches):
+        last, n = None, 0
+        for pdf in batches:
+            ident = list(zip(*[pdf[c] for c in keys]))
+            place = np.empty(len(ident), np.int64)
+            for i, x in enumerate(ident):
+                n = n + 1 if x == last else 0
+                last = x
+                place[i] = n
+            yield pdf.assign(_k=place)
+    return number
+
+
+def _block_distances(order: list[str], cap: int | None):
+    """Cosine distances of one (key, block) to the running centroid, from the block's prefix."""
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
-        cs = np.cumsum(m, axis=0)
-        r = np.arange(1, len(pdf) + 1, dtype=np.float64)
-        cen = cs / r[:, None]
+        pdf = pdf.sort_values("_k", kind="mergesort")
+        m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_v"]])
+        before = int(pdf["_before"].iloc[0])
+        first = pdf["_prefix"].iloc[0]
+        rank = before + 1 + np.arange(len(m))
+        counted = m if cap is None else np.where((rank <= cap)[:, None], m, 0.0)
+        cen = np.cumsum(counted, axis=0)
+        if first is not None:
+            cen = cen + np.asarray(first, dtype=np.float64)
+        cen = cen / (rank if cap is None else np.minimum(rank, cap))[:, None]
         cn = np.sqrt(np.einsum("ij,ij->i", cen, cen))
-        cen = np.where(cn[:, None] > 0, cen / np.where(cn > 0, cn, 1.0)[:, None], cen)
-        vn = np.sqrt(np.einsum("ij,ij->i", m, m))
-        cn2 = np.sqrt(np.einsum("ij,ij->i", cen, cen))
-        d = np.einsum("ij,ij->i", m, cen)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            dist = np.where((vn == 0) | (cn2 == 0), 1.0, 1.0 - d / (vn * cn2))
-        drift = np.clip(dist / 2.0, 0.0, 1.0)
-        out = [round(float(x), K.SCORE_DECIMALS) if i + 1 >= min_baseline else None for i, x in enumerate(drift)]
-        res = pdf.drop(columns=[vector])
-        if keep_vector:
-            res[keep_vector] = pdf[vector]
-        res["drift_score"] = pd.Series(out, dtype="object")
-        return res
+        cen = cen / np.where(cn > 0, cn, 1.0)[:, None]
+        vn, cn = np.sqrt(np.einsum("ij,ij->i", m, m)), np.sqrt(np.einsum("ij,ij->i", cen, cen))
+        zero = (vn == 0) | (cn == 0)
+        dist = np.where(zero, 1.0, 1.0 - np.einsum("ij,ij->i", m, cen) / np.where(zero, 1.0, vn * cn))
+        return pd.DataFrame({"_key": pdf["_key"], "_id": pdf["_id"], "_dist": dist, "_rank": rank})
     return score
 
 
 def online_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
-                 order: tuple[str, ...] = ("timestamp", "id"), cap: int = K.DRIFT_BASELINE_CAP,
-                 min_baseline: int = K.MIN_DRIFT_BASELINE, keep_vector: str | None = None) -> DataFrame:
+                 order: tuple[str, ...] = ("timestamp", "id"), cap: int | None = None,
+                 min_baseline: int = K.MIN_DRIFT_BASELINE, keep_vector: str | None = None,
+                 id_col: str = "id") -> DataFrame:
     """Running-centroid drift in arrival order per key (see module docstring).
 
     Rows without a vector (blank responses) are not stored and get a null score.
     Returns the input columns (minus the vector) plus ``drift_score``; with
-    ``keep_vector`` the vector is also returned under that name.
+    ``keep_vector`` the vector is also returned under that name.  The staging of
+    (key, id, vector) is an eager job.
     """
-    order = list(order)
-    has_vec = F.col(vector).isNotNull() & (F.size(vector) > 0)
-    valid = vecs.where(has_vec)
-    _ensure_group_limit(vecs, cap)
-    w = Window.partitionBy(key).orderBy(*order)
-    head = valid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    out_fields = [f for f in vecs.schema.fields if f.name != vector]
-    vfield = [T.StructField(keep_vector, T.ArrayType(T.DoubleType()))] if keep_vector else []
-    schema = T.StructType(out_fields + vfield + [T.StructField("drift_score", T.DoubleType())])
-    scored_head = head.groupBy(key).applyInPandas(_prefix_scores(order, vector, min_baseline, keep_vector),
-                                                  schema)
-
-    # Tail: rows after the cap-th of an app, scored against the fixed first-cap centroid.
-    cut = (head.groupBy(key).agg(F.max(F.struct(*order)).alias("_cut"), F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") >= cap))
-    fixed = centroids(head, key, vector, tuple(order), None).select(key, "centroid")
-    info = cut.join(fixed, key)
-    tail = (valid.join(info, key)
-            .where(F.struct(*order) > F.col("_cut"))
-            .withColumn("drift_score", drift_from_distance(V.cosine_distance(vector, "centroid")))
-            .select(*[f.name for f in out_fields], *([F.col(vector).alias(keep_vector)] if keep_vector else []),
-                    "drift_score"))
-    blanks = (vecs.where(~has_vec | F.col(vector).isNull())
-              .select(*[f.name for f in out_fields],
-                      *([F.col(vector).alias(keep_vector)] if keep_vector else []),
-                      F.lit(None).cast("double").alias("drift_score")))
-    return scored_head.unionByName(tail).unionByName(blanks)
+    cols = [F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"),
+            *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]]
+    by = ["_key", *[f"_o{i}" for i in range(len(order))]]
+    dealt = (_stored(vecs, vector).select(*cols).repartitionByRange(*by).sortWithinPartitions(*by)
+             .withColumn("_block", F.spark_partition_id()).select("_key", "_block", "_id", "_v"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    rows = cut_lineage(dealt.mapInPandas(_number_rows(["_key"]), f"{fields}, _k long"))
+
+    # The block table: counts first, then sums of the rows that still belong to the baseline.
+    upto = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_key", "_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    counted = rows.join(counts, ["_key", "_block"])
+    baseline = counted if cap is None else counted.where(F.col("_before") + F.col("_k") < cap)
+    sums = (baseline.groupBy("_key", "_block").agg(_sum("_v").alias("_s"))
+            .select("_key", "_block", F.posexplode("_s").alias("_pos", "_x")))
+    later = Window.partitionBy("_key", "_pos").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    every = counts.join(sums.select("_key", "_pos").distinct(), "_key").join(sums, ["_key", "_block", "_pos"], "left")
+    prefix = (every.withColumn("_p", F.sum("_x").over(later)).where(F.col("_p").isNotNull())
+              .groupBy("_key", "_block").agg(F.sort_array(F.collect_list(F.struct("_pos", "_p"))).alias("_ps"))
+              .select("_key", "_block", F.col("_ps._p").alias("_prefix")))
+    blocks = cut_lineage(counts.join(prefix, ["_key", "_block"], "left"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    dist = (rows.join(blocks, ["_key", "_block"]).groupBy("_key", "_block")
+            .applyInPandas(_block_distances(list(order), cap),
+                           f"_key {kinds['_key']}, _id {kinds['_id']}, _dist double, _rank long"))
+    scores = dist.select(F.col("_key"), F.col("_id"),
+                         F.when(F.col("_rank") >= min_baseline, drift_from_distance(F.col("_dist"))).alias("drift_score"))
+    kept = vecs.drop("drift_score")
+    kept = kept.withColumnRenamed(vector, keep_vector) if keep_vector else kept.drop(vector)
+    return kept.join(scores, (kept[key] == F.col("_key")) & (kept[id_col] == F.col("_id")), "left").drop("_key", "_id")

@@ -247,11 +247,10 @@ def rag_scores(df: DataFrame) -> DataFrame:
     })
 
 
-def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP, materialize: bool = True) -> DataFrame:
+def drift_scores(df: DataFrame, cap: int | None = None, materialize: bool = True) -> DataFrame:
     """W1 on response vectors per app in (timestamp, id) order; blank response → null.
 
-    Runs on the record itself (no join back by id): the first ``cap`` rows per app
-    are scored per app, every later row against the fixed per-app centroid in place.
+    Only ids and vectors move; the scores are joined back by app and id.
     """
     from ternlens.operators.drift import online_drift
 
@@ -259,9 +258,9 @@ def drift_scores(df: DataFrame, cap: int = K.DRIFT_BASELINE_CAP, materialize: bo
     vec = F.when(blank, F.lit(None).cast("array<double>")).otherwise(F.col("_emb")["v_r"])
     keyed = df.drop("drift_score", "embedding_vector").withColumn("_v", vec).drop("_emb")
     if materialize:
-        # Drift reads its input in three branches (first-cap rows, later rows, blanks);
+        # Drift reads its input twice (vectors, and the rows to which the scores go back);
         # checkpointing once (shared checkpoint folder, survives executor loss) keeps the
-        # Arrow embedding stage and the fused scorers from running three times.
+        # Arrow embedding stage and the fused scorers from running twice.
         from ternlens.session import cut_lineage
         keyed = cut_lineage(keyed)
     out = online_drift(keyed, vector="_v", cap=cap, keep_vector="embedding_vector")

@@ -85,7 +85,7 @@ dv AS (
          row_number() OVER (PARTITION BY app_name ORDER BY "timestamp", id) AS rk
   FROM e2 WHERE NOT {blank_sql('response')}),
 du AS (SELECT id, app_name, rk, unnest(v_r) AS x, unnest(range(1, len(v_r) + 1)) AS pos FROM dv),
-drs AS (SELECT id, rk, x, sum(CASE WHEN rk <= {K.DRIFT_BASELINE_CAP} THEN x ELSE 0.0 END)
+drs AS (SELECT id, rk, x, sum(x)
                OVER (PARTITION BY app_name, pos ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
         FROM du),
 dd AS (SELECT id, CASE WHEN max(rk) < {K.MIN_DRIFT_BASELINE} THEN NULL ELSE round_even({_clamp(

@@ -62,9 +62,9 @@ def _drift_fn(order: list[str], vector: str, cap: int, min_baseline: int, out_co
             count += 1
             if total is None:
                 total = np.zeros_like(x)
-            if count <= cap:
+            if cap is None or count <= cap:
                 total = total + x
-            c = total / min(count, cap)
+            c = total / (count if cap is None else min(count, cap))
             cn = float(np.sqrt(np.dot(c, c)))
             if cn > 0:
                 c = c / cn
@@ -82,7 +82,7 @@ def _drift_fn(order: list[str], vector: str, cap: int, min_baseline: int, out_co
 
 
 def stateful_drift(df: DataFrame, key: str = "app_name", vector: str = "_v",
-                   order: tuple[str, ...] = ("timestamp", "id"), cap: int = K.DRIFT_BASELINE_CAP,
+                   order: tuple[str, ...] = ("timestamp", "id"), cap: int | None = None,
                    min_baseline: int = K.MIN_DRIFT_BASELINE) -> DataFrame:
     """ST2: running-centroid drift across micro-batches (see module docstring)."""
     base = [f for f in df.schema.fields if f.name not in (vector, "drift_score", "embedding_vector")]

@@ -42,13 +42,16 @@ def test_latest_per_app_limits_before_the_shuffle(spark, sf):
     assert plan.count("WindowGroupLimit") >= 2   # partial (map side) and final
 
 
-def test_online_drift_head_is_group_limited(spark, sf):
+def test_online_drift_groups_by_block_and_ranks_no_app(spark, sf):
     plan = _initial(D.online_drift(bridge.vectors(spark, sf), order=("id",)))
-    assert "WindowGroupLimit" in plan
+    assert "row_number" not in plan and "RowNumber" not in plan
+    assert "FlatMapGroupsInPandas [_key" in plan and "_block" in plan
 
 
-def test_keyword_retrieval_broadcasts_the_small_knowledge_base(spark, sf):
-    assert "BroadcastNestedLoopJoin" in _plan(Q["keyword_retrieval"](spark, sf))
+def test_keyword_retrieval_is_an_equi_join(spark, sf):
+    plan = _plan(Q["keyword_retrieval"](spark, sf))
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+    assert "instr" not in plan
 
 
 def test_top_k_is_take_ordered(spark, sf):
