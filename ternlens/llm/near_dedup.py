@@ -12,17 +12,23 @@ the text's length; if a coordinate is still empty, that text throws the next blo
 coordinate with the probability of their similarity.
 
 Joining.  ``BANDS`` bands of ``ROWS`` coordinates are joined on their hash: a pair at similarity 0.8 shares no
-band with probability 5e-6.  Texts with equal multisets are first put together, and one represents them.
-Inside a bucket, pairs are not all emitted: every member is compared with the bucket's hub;
-after the components so far are known, only buckets that hold several components go on,
-with other hubs, and at last members of small components are compared with the bucket's other components.  If that
-were more than ``MINOR`` members for a bucket, the bucket is split by a further band's hash instead (texts of 0.8
-share 10 of 40 bands on average), again and again.  So all links that could still join two components
-are looked at, whatever the buckets' sizes.  Every link is verified exactly, on the cells of both texts.
+band with probability 5e-6, and ten bands on average.  Texts with equal multisets are first put together, and one
+represents them.  A bucket's pairs are never all emitted; what is wanted is the components:
+
+* each text is compared with a hub, the smallest identifier of its buckets (found per salted part of a bucket, so
+  that no bucket is gathered whole);
+* then, round after round, a bucket's texts are sorted by their further bands, and each is compared with the next
+  one before it that is in another component so far.  Texts that agree in more bands stand closer together, so the
+  likeliest partners meet first; a text has up to ``BANDS`` such neighbours a round.  The rounds differ in the bands
+  they sort by, and end when ``QUIET`` of them have found no new link.
+
+The work of a round is linear in the band rows, however large a group of near copies is.  Every link is verified
+exactly, on the cells of both texts.
 
 Defined results: a text with fewer than ``WORDS`` words has one shingle, all its words; null texts and texts without a word
 are alone, each its own class; repeated rows are each returned, in one class; a class is named by its smallest
-identifier; empty tables give an empty table; extra columns are ignored.
+identifier; empty tables give an empty table; extra columns are ignored; an
+identifier is taken to name one text (of several, one stands for it in the comparison).
 """
 
 from __future__ import annotations
@@ -46,9 +52,8 @@ COORDINATES = ROWS * BANDS
 #: Ends of the time blocks: doubling from 2^-14 to 1, then one by one.
 EDGES = np.array([2.0 ** k for k in range(-14, 1)] + [float(k) for k in range(2, 17)])
 BLOCKS = len(EDGES)
-HUB_ROUNDS = 3
-MINOR = 16
-SALTS = 64
+QUIET, MOST_ROUNDS = 2, 12
+SALTS = 16
 _WORD = re.compile(r"\w+")
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -186,88 +191,68 @@ def _verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
 
 
 def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return [F.least(F.col(x), F.col(y)).alias("a"), F.greatest(F.col(x), F.col(y)).alias("b")]
 
 
 def _close(x: str, y: str, similarity: float):
-    return F.least(x, y) >= similarity * F.greatest(x, y)
+    return F.least(F.col(x), F.col(y)) >= similarity * F.greatest(F.col(x), F.col(y))
 
 
-def links(reps: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b) that join all components of similar texts, and (node, label) of linked nodes.
+def links(bands: DataFrame, cells_: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified links (a, b) that join the components of similar texts, and (node, label) of linked nodes.
 
-    ``reps``: rep, n, cells, bands of texts with different multisets.
+    ``bands``: rep, n, bands of texts with different multisets; ``cells_``: rep, cells of these and maybe others.
     """
-    rows = reps.filter("n > 0").select("rep", "n", F.explode("bands").alias("key"))
-    buckets = staged(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "buckets")
-    rows = staged(rows.join(buckets, "key"), "bands")
-    found, tried, labels = None, None, None
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        nonlocal found, tried
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+    # Salted parts of each bucket: size and smallest member; then the parts of a bucket, SALTS rows at most.
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    rows = bands.select("rep", "n", F.explode("bands").alias("key"))
+    parts = (rows.groupBy("key", salt.alias("salt"))
+             .agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("hub")))
+    bucket = Window.partitionBy("key")
+    parts = (parts.select("key", "c", "hub", F.sum("c").over(bucket).alias("size"), F.min("hub").over(bucket).alias("first"))
+             .filter("size > 1"))
+    parts = staged(parts, "parts")
+    part_of = Window.partitionBy("key", salt).orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # members that aren't their part's hub
+    others = staged(rows.withColumn("hub", F.first(F.struct("rep", "n")).over(part_of)).filter("rep <> hub.rep")
+                    .select("rep", "n", "hub"), "others")
+    # each goes to a hub (of all its bands the smallest), the parts' hubs to their bucket's
+    to_hub = others.filter(_close("n", "hub.n", similarity)).groupBy("rep").agg(F.min("hub.rep").alias("hub"))
+    to_first = (parts.filter("hub.rep <> first.rep").filter(_close("hub.n", "first.n", similarity))
+                .groupBy(F.col("hub.rep").alias("rep")).agg(F.min("first.rep").alias("hub")))
+    pairs = staged(to_hub.union(to_first).select(*_pair("rep", "hub")).distinct(), "pairs")
+
+    # texts that share a bucket with another one
+    member = others.select("rep").union(parts.select("hub.rep")).distinct()
+    live = staged(bands.join(member, "rep"), "live")
+    reps = staged(cells_.join(live.select("rep", "n"), "rep").dropDuplicates(["rep"]), "cells")
+
+    found, tried, labels, quiet = None, pairs, None, 0
+    for k in range(MOST_ROUNDS):
         new = staged(_verified(pairs, reps, similarity), "verified")
-        found = new if found is None else found.union(new)
-        return new
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("label", F.col("rep"))
-        return (rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                .withColumn("label", F.coalesce("label", "rep")))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows with labels of the buckets that hold several components."""
-        rows = staged(labelled(rows), "labelled")
-        keys = staged(rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                      .filter("x != y").select("key"), "mixed")
-        return rows.join(keys, "key")
-
-    for k in range(HUB_ROUNDS):
-        live = staged(mixed(rows), "live")
-        # the hub: the smallest identifier, then by other hashes
-        rank = F.struct((F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))).alias("order"), F.col("rep"), F.col("n"), F.col("label"))
-        hubs = staged(live.groupBy("key").agg(F.min(rank).alias("hub"))
-                      .select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"),
-                              F.col("hub.label").alias("hub_label")), "hubs")
-        pairs = (live.join(hubs, "key").filter("label != hub_label").filter(_close("n", "hub_n", similarity))
-                 .select(*_pair("rep", "hub")))
-        if judge(pairs).limit(1).count():
-            labels = components(found)
-        rows = live.select("key", "rep", "n")
-
-    depth = 0
-    rows = rows.withColumn("used", F.array(F.col("key")))
-    bands = reps.select("rep", "bands")
-    while True:
-        live = staged(mixed(rows), "live")
-        if not live.limit(1).count():
-            break
-        parts = live.groupBy("key", "label").agg(F.count("*").alias("c"))
-        top = staged(parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
-                     .select("key", F.col("top.label").alias("top"), (F.col("size") - F.col("top.c")).alias("minor")), "tops")
-        marked = staged(live.join(top, "key"), "marked")
-        small = marked.filter(F.col("minor") <= MINOR)
-        minor = small.filter("label != top").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("label").alias("l"))
-        # at most MINOR partners for each member of a bucket
-        new = judge(small.join(minor, "key").filter("label != l").filter(_close("n", "m", similarity)).select(*_pair("rep", "r")))
         if new.limit(1).count():
+            found, quiet = new if found is None else found.union(new), 0
             labels = components(found)
-        large = marked.filter(F.col("minor") > MINOR).select("key", "rep", "n", "used")
-        depth += 1
-        if depth > BANDS // 2 or not large.limit(1).count():
+        elif k:
+            quiet += 1
+        if quiet == QUIET:
             break
-        # split by a further band: those not used yet, so that equal texts of the bucket meet again
-        deeper = (large.join(bands, "rep")
-                  .select("rep", "n", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-                  .select("rep", "n", F.array_sort(F.array_append("used", F.col("band"))).alias("used"))
-                  .distinct().withColumn("key", F.xxhash64("used")))
-        again = staged(deeper.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "again")
-        rows = staged(deeper.join(again, "key"), "deeper")
+        named = live if labels is None else live.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        named = named.withColumn("label", F.coalesce("label", "rep") if labels is not None else F.col("rep"))
+        step = 1 + k * 7 % (BANDS - 1)
+        rotated = F.transform("bands", lambda x, i: F.struct(
+            x.alias("key"), F.col("bands")[F.pmod(i + step, F.lit(BANDS))].alias("b1"),
+            F.col("bands")[F.pmod(i + 2 * step, F.lit(BANDS))].alias("b2"),
+            F.col("bands")[F.pmod(i + 3 * step, F.lit(BANDS))].alias("b3")))
+        sorted_rows = named.select("rep", "n", "label", F.explode(rotated).alias("r")).select("rep", "n", "label", "r.*")
+        # parts of a bucket again, but texts with equal next bands stay together
+        near = Window.partitionBy("key", F.pmod("b1", F.lit(SALTS))).orderBy("b1", "b2", "b3", "rep")
+        me = F.struct("rep", "n", "label")
+        before = sorted_rows.withColumn("at", F.lag(me).over(near)).filter("at IS NOT NULL AND at.label <> label")
+        pairs = (before.filter(_close("n", "at.n", similarity)).select(*_pair("rep", "at.rep")).distinct()
+                 .join(tried, ["a", "b"], "left_anti"))
+        pairs = staged(pairs, "pairs")
+        tried = tried.union(pairs)
     return found, labels
 
 
@@ -285,10 +270,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     least = some.select("same1", "same2", "salt", F.min("least").over(text).alias("rep_id"))
     member = staged(wordy.join(least, ["same1", "same2", "salt"]).select("id", "rep_id")
                     .union(ids.filter("n = 0").select("id", F.col("id").alias("rep_id"))), "members")
-    first = (rows.join(member.filter("id = rep_id").select("id").distinct(), "id")
-             .dropDuplicates(["id"]).withColumnRenamed("id", "rep"))
-    reps = staged(first.select("rep", "n", "cells", "bands"), "representatives")
-    _, labels = links(reps, similarity)
+    names = member.filter("id = rep_id").select("id").distinct()
+    bands = staged(rows.filter("n > 0").select("id", "n", "bands").join(names, "id").dropDuplicates(["id"])
+                   .withColumnRenamed("id", "rep"), "representatives")
+    _, labels = links(bands, rows.select(F.col("id").alias("rep"), "cells"), similarity)
     if labels is None:
         return member.select(F.col("id").alias(id_col), F.col("rep_id").alias("class_id"), "rep_id",
                              F.coalesce(F.col("id") == F.col("rep_id"), F.lit(False)).alias("kept"))
