@@ -21,7 +21,7 @@ def test_op2_classes(spark, small_docs):
     assert got == brute_classes([(r.doc_id, r.text) for r in small_docs.collect()])
 
 
-def test_groups_of_near_copies(spark, monkeypatch):
+def test_groups_of_near_copies(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows = []
@@ -38,9 +38,6 @@ def test_groups_of_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
     assert classes(df) == want
-    monkeypatch.setattr(near_dedup, "MINOR", 1)
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
-    assert classes(df) == want
 
 
 def test_odd_rows(odd_docs, no_docs):
