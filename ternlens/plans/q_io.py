@@ -90,11 +90,11 @@ def alert_store_dedup(spark, sf):
 def stream_scored_chat_records(spark, sf):
     ev = bridge.chat_events(spark, sf)
     src, out, chk = _scratch(spark, "st-src"), _scratch(spark, "st-out"), _scratch(spark, "st-chk")
-    ST.stage_in_time_chunks(ev, src, chunks=4)
+    ST.create_source(spark, src, ev.schema)
     scored = ST.scored_stream(ST.event_stream(spark, src, ev.schema))
     w = (scored.select(*_SCORED_COLS).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", chk).outputMode("append"))
-    ST.drain(w)
+    ST.replay(ev, src, w, chunks=4)
     return spark.read.parquet(out).select(*_SCORED_COLS)
 
 
@@ -104,11 +104,11 @@ def stream_scored_chat_records(spark, sf):
 def stream_alert_cooldown(spark, sf):
     a = AL.threshold_breaches(bridge.records(spark, sf)).select(*_ALERT_COLS.split(", "), "timestamp")
     src, out, chk = _scratch(spark, "st-src"), _scratch(spark, "st-out"), _scratch(spark, "st-chk")
-    ST.stage_in_time_chunks(a, src, chunks=4)
+    ST.create_source(spark, src, a.schema)
     fired = ST.stateful_cooldown(ST.event_stream(spark, src, a.schema), 10800)
     w = (fired.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
          .outputMode("append"))
-    ST.drain(w)
+    ST.replay(a, src, w, chunks=4)
     return spark.read.parquet(out).select(*_ALERT_COLS.split(", "), "timestamp")
 
 
@@ -117,13 +117,19 @@ def stream_alert_cooldown(spark, sf):
 def stream_time_series(spark, sf):
     rec = bridge.records(spark, sf).select("id", "app_name", "timestamp", "health_score")
     src, out, chk = _scratch(spark, "st-src"), _scratch(spark, "st-out"), _scratch(spark, "st-chk")
-    ST.stage_in_time_chunks(rec, src, chunks=4)
+    ST.create_source(spark, src, rec.schema)
     agg = ST.windowed_time_series(ST.event_stream(spark, src, rec.schema))
-
-    def write(batch, _bid):
-        batch.write.mode("overwrite").parquet(out)
-
-    ST.drain(agg.writeStream.outputMode("complete").option("checkpointLocation", chk).foreachBatch(write))
+    w = (agg.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).outputMode("append"))
+    ST.replay(rec, src, w, chunks=4)
+    # rows of a day later: the first moves the watermark past the last windows, the second is the
+    # batch that writes them; their own window stays open, so it is never written
+    end = (rec.groupBy().agg(F.max("timestamp").alias("t"))
+           .select(F.lit("end").alias("id"), F.lit(None).cast("string").alias("app_name"),
+                   (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("timestamp"),
+                   F.lit(0).cast(rec.schema["health_score"].dataType).alias("health_score")))
+    for _ in range(2):
+        end.write.mode("append").parquet(src)
+        ST.drain(w)
     return spark.read.parquet(out).withColumn("avg_value", r9("avg_value"))
 
 
@@ -136,10 +142,12 @@ def stream_upsert_records(spark, sf):
              .withColumn("health_score", F.least(F.col("health_score") + 7, F.lit(100)))
              .withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY")))
     src, path, chk = _scratch(spark, "st-src"), _scratch(spark, "st-table"), _scratch(spark, "st-chk")
-    rec.coalesce(1).write.mode("append").parquet(src)
-    again.coalesce(1).write.mode("append").parquet(src)
+    ST.create_source(spark, src, rec.schema)
     stream = ST.event_stream(spark, src, rec.schema)
-    ST.drain(stream.writeStream.option("checkpointLocation", chk).foreachBatch(ST.upsert_sink(path)))
+    w = stream.writeStream.option("checkpointLocation", chk).foreachBatch(ST.upsert_sink(path))
+    for delivery in (rec, again):
+        delivery.write.mode("append").parquet(src)
+        ST.drain(w)
     return IO.read_records(spark, path).select("id", "app_name", "health_score")
 
 

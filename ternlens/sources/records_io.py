@@ -7,12 +7,15 @@ overwrite), never the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
 from ternlens.functions.text import iso_utc
-from ternlens.schemas import ALERT_SCHEMA, STORED_RECORD_SCHEMA
+from ternlens.schemas import ALERT_SCHEMA
+from ternlens.session import checkpoint_dir
 
 _ARRAY_COLUMNS = {"tags": "array<string>", "flagged_claims": "array<string>", "embedding_vector": "array<double>"}
 
@@ -21,10 +24,25 @@ def with_partition_columns(records: DataFrame) -> DataFrame:
     return records.withColumn("event_date", F.to_date("timestamp"))
 
 
+#: Files of one (app, date) partition that a write makes at most.
+FILES = 8
+
+
+RECORD_PARTITIONS = ("app_name", "event_date")
+
+
+def _stored(records: DataFrame, key: str = "id", parts: tuple[str, ...] = RECORD_PARTITIONS) -> DataFrame:
+    """With the partition columns and ``created_at`` (the time of storing, if not given), dealt so that a
+    partition gets a few files and a hot one isn't written by one task."""
+    if "created_at" not in records.columns:
+        records = records.withColumn("created_at", F.current_timestamp())
+    return (with_partition_columns(records)
+            .repartition(*parts, F.pmod(F.xxhash64(key), F.lit(FILES))))
+
+
 def save_records(records: DataFrame, path: str, mode: str = "append") -> None:
     """Append scored records (an empty frame writes nothing)."""
-    (with_partition_columns(records).write.mode(mode)
-     .partitionBy("app_name", "event_date").parquet(path))
+    _stored(records).write.mode(mode).partitionBy("app_name", "event_date").parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -33,14 +51,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_version(df: DataFrame, key: str = "id", order: str = "created_at") -> DataFrame:
-    """S6 core: keep the newest row per key (later write wins on equal keys).
+    """S6 core: one row per key, of the latest delivery (``_seq``), whatever ``created_at`` says;
+    within one delivery the newest ``created_at``, nulls last.
 
-    ``row_number() = 1`` over the key is planned as a shuffle by key followed by a
-    per-key pick; Spark adds a map-side group limit so duplicates are cut before
-    the exchange.
+    A ``max_by`` over the key: combined before the shuffle.
     """
-    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.col("_seq").desc())
-    return (df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_seq"))
+    cols = [c for c in df.columns if c != "_seq"]
+    best = F.max_by(F.struct(*cols), F.struct("_seq", F.col(order).isNotNull(), order))
+    return df.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
 
 
 def upsert_frames(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str = "created_at") -> DataFrame:
@@ -51,34 +69,52 @@ def upsert_frames(existing: DataFrame, incoming: DataFrame, key: str = "id", ord
     return latest_version(both, key, order)
 
 
-def upsert_records(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """S6 on disk: rewrite only the (app, date) partitions named by the incoming rows.
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def upsert_records(spark: SparkSession, incoming: DataFrame, path: str, key: str = "id",
+                   parts: tuple[str, ...] = RECORD_PARTITIONS) -> None:
+    """S6 on disk: rewrite only the partitions (by default app and date) named by the incoming rows.
 
     The event timestamp of an id is immutable, so a re-delivered id always lands in
-    the partition it was first written to. The touched partitions are read, merged
-    and staged in the shared checkpoint folder first, then overwritten dynamically.
+    the partition it was first written to.  The incoming rows are computed once and the
+    touched partitions are merged into a staging folder of the shared checkpoint folder, then
+    overwritten dynamically (a writer option, so other jobs of the session are not
+    affected); the staging folder is removed at the end.
     """
-    from ternlens.session import checkpoint_dir
-    import uuid
-
-    incoming = with_partition_columns(incoming)
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # first write
-        save_records(incoming.drop("event_date"), path)
-        return
-    touched = incoming.select("app_name", "event_date").distinct()
-    old = existing.join(touched, ["app_name", "event_date"], "left_semi")
-    merged = upsert_frames(old.select(*incoming.columns), incoming)
     stage = f"{checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    merged.write.mode("overwrite").partitionBy("app_name", "event_date").parquet(stage)
-    staged = spark.read.parquet(stage)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        staged.write.mode("overwrite").partitionBy("app_name", "event_date").parquet(path)
+        _stored(incoming, key, parts).write.parquet(f"{stage}/in")
+        fresh = spark.read.parquet(f"{stage}/in")
+        if _exists(spark, path):
+            # the touched partitions as literals (one delivery's apps, and its span of dates), so that
+            # the scan is pruned to them; the semi-join is exact
+            touched = fresh.select(*parts).distinct()
+            span = touched.agg(*[F.collect_set(c).alias(c) for c in parts if c != "event_date"],
+                               F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
+            old = spark.read.parquet(path).where(F.col("event_date").between(span["lo"], span["hi"]))
+            for c in parts:
+                if c != "event_date":
+                    old = old.where(F.col(c).isin(span[c]))
+            old = old.join(touched, list(parts), "left_semi")
+            merged = upsert_frames(old.select(*fresh.columns), fresh, key)
+        else:
+            merged = latest_version(fresh.withColumn("_seq", F.lit(1)), key)
+        merged.write.parquet(f"{stage}/out")
+        (spark.read.parquet(f"{stage}/out")
+         .repartition(*parts, F.pmod(F.xxhash64(key), F.lit(FILES)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        _remove(spark, stage)
 
 
 # ------------------------------------------------------------------ S7 JSON-text codec
@@ -113,13 +149,14 @@ def decode_from_text_store(rows: DataFrame, now: Column | None = None) -> DataFr
 
 # ------------------------------------------------------------------ S8 alerts
 def save_alerts(alerts: DataFrame, path: str) -> None:
-    """Alerts are upserted by id like records (deterministic ids make retries idempotent)."""
-    alerts.select(*[f.name for f in ALERT_SCHEMA.fields]).write.mode("append").parquet(path)
+    """Alerts are upserted by id like records; ids are deterministic, so a retry changes nothing."""
+    rows = (alerts.select(*[f.name for f in ALERT_SCHEMA.fields])
+            .withColumn("created_at", F.col("timestamp")))
+    upsert_records(alerts.sparkSession, rows, path, parts=("event_date",))
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return latest_version(spark.read.parquet(path).withColumn("_seq", F.lit(0))
-                          .withColumn("created_at", F.col("timestamp")), "id").drop("created_at")
+    return spark.read.parquet(path).select(*[f.name for f in ALERT_SCHEMA.fields])
 
 
 # ------------------------------------------------------------------ S9 CSV export
@@ -131,7 +168,3 @@ def export_projection(records: DataFrame, n: int = K.CSV_EXPORT_ROWS) -> DataFra
 
 def export_csv(records: DataFrame, path: str, n: int = K.CSV_EXPORT_ROWS) -> None:
     export_projection(records, n).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-def stored_schema():
-    return STORED_RECORD_SCHEMA

@@ -34,10 +34,18 @@ from ternlens.operators import scoring as SC
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                 max_files_per_trigger: int = 1) -> DataFrame:
-    """S1 (streaming): files under ``path`` with a fixed schema, oldest first."""
-    return (spark.readStream.schema(schema).format(fmt)
-            .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """S1 (streaming): files under ``path`` with a fixed schema, oldest first; a trigger takes all
+    new files, or so many of them."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(path)
+
+
+def create_source(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty folder of files, which a stream can be started on."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
 
 # ------------------------------------------------------------------ ST2
@@ -153,8 +161,7 @@ def upsert_sink(path: str):
     def sink(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        newest = latest_version(batch.withColumn("_seq", F.lit(0)), "id", "created_at")
-        upsert_records(batch.sparkSession, newest, path)
+        upsert_records(batch.sparkSession, latest_version(batch.withColumn("_seq", F.lit(0))), path)
 
     return sink
 
@@ -168,9 +175,11 @@ def drain(writer, timeout: float | None = None):
 
 def windowed_time_series(records: DataFrame, metric: str = "health_score", window: str = "1 hour",
                          watermark: str = "10 minutes", by: tuple[str, ...] = ("app_name",)) -> DataFrame:
-    """ST6: G1 on a stream — tumbling event-time windows per key with a watermark."""
+    """ST6: G1 on a stream — tumbling event-time windows per key with a watermark, for append mode: a
+    window is written once, when the watermark has passed it, and its state is dropped.  Rows without
+    the metric only advance the watermark."""
     v = F.col(metric).cast("double")
-    agg = (records.where(F.col(metric).isNotNull()).withWatermark("timestamp", watermark)
+    agg = (records.withWatermark("timestamp", watermark).where(F.col(metric).isNotNull())
            .groupBy(F.window("timestamp", window), *by)
            .agg(F.avg(v).alias("avg_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
                 F.count(F.lit(1)).alias("count")))
@@ -178,16 +187,23 @@ def windowed_time_series(records: DataFrame, metric: str = "health_score", windo
                       "avg_value", "min_value", "max_value", "count")
 
 
-def stage_in_time_chunks(df: DataFrame, path: str, chunks: int = 4, ts: str = "timestamp") -> None:
-    """Write ``df`` as ``chunks`` files in event-time order (one append per time range), so a
-    file stream with ``maxFilesPerTrigger=1`` delivers it in time order. Replays and tests only."""
+def replay(df: DataFrame, path: str, writer, chunks: int = 4, ts: str = "timestamp") -> None:
+    """Deliver ``df`` to a running table of files in ``chunks`` time ranges and drain the stream after each,
+    so each micro-batch is one time range of as many files as its rows make. Replays and tests only.
+
+    The rows are computed once, partitioned by time range; the stream restarts from its checkpoint each time.
+    """
+    spark = df.sparkSession
     bounds = df.agg(F.min(F.unix_micros(ts)).alias("lo"), F.max(F.unix_micros(ts)).alias("hi")).first()
     if bounds["lo"] is None:                 # nothing to replay: still create the folder
-        df.coalesce(1).write.mode("append").parquet(path)
+        df.write.mode("append").parquet(path)
+        drain(writer)
         return
     lo, hi = int(bounds["lo"]), int(bounds["hi"])
     width = max(1, (hi - lo) // chunks + 1)
-    tagged = df.withColumn("_chunk", F.floor((F.unix_micros(ts) - F.lit(lo)) / F.lit(width)).cast("int"))
-    for i in range(chunks):  # a handful of sequential appends, one per time range
-        part = tagged.where(F.col("_chunk") == i).drop("_chunk")
-        part.coalesce(1).write.mode("append").parquet(path)
+    chunk = F.floor((F.unix_micros(ts) - F.lit(lo)) / F.lit(width)).cast("int")
+    held = f"{path.rstrip('/')}-held"
+    (df.withColumn("_chunk", chunk).repartitionByRange("_chunk", ts).write.partitionBy("_chunk").parquet(held))
+    for i in range(chunks):  # a handful of sequential deliveries, one per time range
+        spark.read.parquet(held).where(F.col("_chunk") == i).drop("_chunk").write.mode("append").parquet(path)
+        drain(writer)

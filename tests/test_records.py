@@ -96,3 +96,21 @@ def test_normalize_truncates_text_and_tags(spark):
     out = SC.normalize_events(df, max_chars=10, max_tags=2, max_tag_chars=3).first()
     assert out.response == "x" * 10 and out.tags == ["abc", "gh"]
     assert out.app_name == "default" and out.model_name == "unknown" and out.query == "" and out.latency_ms == 0
+
+
+def test_later_delivery_wins_and_first_write_is_deduplicated(spark):
+    import datetime as dt
+    import uuid
+    from ternlens.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark)}/t-upsert-{uuid.uuid4().hex}"
+    t = dt.datetime(2024, 1, 1)
+    schema = "id string, app_name string, timestamp timestamp, health_score int, created_at timestamp"
+    def rows(*parts):
+        return spark.createDataFrame([(i, "x", t, h, c) for i, h, c in parts], schema)
+    IO.upsert_records(spark, rows(("a", 50, t), ("a", 60, t + dt.timedelta(days=1)), ("b", 1, None)), path)
+    assert {r.id: r.health_score for r in IO.read_records(spark, path).collect()} == {"a": 60, "b": 1}
+    IO.upsert_records(spark, rows(("a", 90, None), ("b", 2, t - dt.timedelta(days=9))), path)
+    IO.upsert_records(spark, rows(("c", 5, t)).drop("created_at"), path)
+    got = {r.id: r.health_score for r in IO.read_records(spark, path).collect()}
+    assert got == {"a": 90, "b": 2, "c": 5}

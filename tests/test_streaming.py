@@ -13,10 +13,10 @@ COLS = ["id", "hallucination_score", "drift_score", "groundedness_score", "healt
 def test_stream_equals_batch_with_shuffled_files(spark, sf):
     ev = bridge.chat_events(spark, sf)
     base = f"{checkpoint_dir(spark)}/t-stream-{uuid.uuid4().hex}"
-    ST.stage_in_time_chunks(ev, f"{base}/src", chunks=3)
+    ST.create_source(spark, f"{base}/src", ev.schema)
     scored = ST.scored_stream(ST.event_stream(spark, f"{base}/src", ev.schema))
-    ST.drain(scored.select(*COLS).writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/chk"))
+    ST.replay(ev, f"{base}/src", scored.select(*COLS).writeStream.format("parquet").option("path", f"{base}/out")
+              .option("checkpointLocation", f"{base}/chk"), chunks=3)
     got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").select(*COLS).collect())
     want = sorted(tuple(r) for r in SC.evaluate(ev).select(*COLS).collect())
     assert got == want
