@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame
 
 from ternlens.llm.common import own
 
-CACHE = 250_000
-CELLS = 2_000_000
+CACHE = 500_000
+CELLS = 1_000_000
+MARKS = ".,;:!?"
 NEVER = 1 << 60
 #: FIXED VALUE: the byte-level split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -77,6 +78,11 @@ class MergeAutomaton:
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._add_gadget(vocab[u], vocab[v], vocab[u + v], rank)
         self.longest = max(map(len, self.arc))
+        # the longest label by its first four bytes: where the search for the next arc starts
+        self.reach: dict[bytes, int] = {}
+        for label in self.arc:
+            if len(label) > 3:
+                self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 0))
         self._cells: dict[int, bool] = {}
 
     def _add_gadget(self, u: int, v: int, w: int, rank: int) -> None:
@@ -127,13 +133,13 @@ class MergeAutomaton:
 
         A prefix has one correct encoding, so a place that led nowhere never needs another visit.
         """
-        arc, cells, cell, longest, n = self.arc.get, self._cells.get, self.cell, self.longest, len(word)
+        arc, cells, cell, reach, n = self.arc.get, self._cells.get, self.cell, self.reach.get, len(word)
         t = arc(word)
         if t is not None:  # the whole word is one arc from the start
             return [t]
         out: list[int] = []
         dead: set[int] = set()
-        at, s, end = 0, -1, min(n, longest)
+        at, s, end = 0, -1, min(n, reach(word[:4], 3))
         while at < n:
             while end > at:
                 t = arc(word[at:end])
@@ -143,7 +149,7 @@ class MergeAutomaton:
                 end -= 1
             if end > at:
                 out.append(t)
-                at, s, end = end, t, min(n, end + longest)
+                at, s, end = end, t, min(n, end + reach(word[end:end + 4], 3))
             else:
                 dead.add(at)
                 t = out.pop()
@@ -173,15 +179,18 @@ class _Table(dict):
         self.old: dict = {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
 
 class Splitter:
     """Texts as lists of values, one for each chunk.
@@ -211,6 +220,8 @@ class Splitter:
             return self.of_word(" " + chunk, False)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Blank
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():  # a word and a mark behind it
+            return self.joined([self.later[chunk[:-1]], self.words[chunk[-1]]])
         words = self.split(" " + chunk)
         if len(words) == 1:
             return self.of_word(words[0], False)

@@ -25,6 +25,7 @@ table gives an empty table; extra columns are ignored; no piece is dropped.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -33,26 +34,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from ternlens.llm.bpe_automaton import Splitter, automaton
+from ternlens.llm.bpe_automaton import Splitter, byte_symbols
 from ternlens.llm.common import own, staged
 
 CAPACITY = 1024
 END = 2
 #: Hash buckets in which pieces of one length are ranked; the bucket table has capacity x BUCKETS rows at most.
 BUCKETS = 64
+#: Chunks that are encoded as one text.
+TOGETHER = 1000
+
+
+class IdSplitter(Splitter):
+    """Chunks to their ids as little-endian bytes; new chunks are encoded by the tokenizers library, many at once.
+
+    A chunk's ids don't depend on its neighbours (see ``bpe_automaton``), so they are those in the whole text.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task uses its own core only
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        blank = byte_symbols()[32]
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith(blank) for i in range(len(self.four))])
+        super().__init__(special, lambda word, is_special: self._encode([word])[0], b"".join)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        four = self.four.__getitem__
+        return [b"".join(map(four, e.ids)) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the texts' chunks that the table doesn't hold.
+
+        They are encoded as texts of ``TOGETHER`` chunks: each chunk stands behind a blank and has none inside, so
+        the ids of the next chunk start at the next token that starts with a blank.
+        """
+        chunks: set[str] = set()
+        for t in texts:
+            chunks.update(t.split(" "))
+        table = self.later
+        new = [c for c in chunks if c and c not in table and c not in table.old and not c[0].isspace() and not c[-1].isspace()
+               and not any(s in c for s in self.special)]
+        groups = [new[k:k + TOGETHER] for k in range(0, len(new), TOGETHER)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw = ids.tobytes()
+            at = (4 * np.flatnonzero(self.starts[ids])).tolist()
+            if len(at) != len(group):
+                raise ValueError("a vocabulary without byte-level blanks")
+            for c, a, z in zip(group, at, at[1:] + [len(raw)]):
+                table.put(c, raw[a:z])
 
 
 @lru_cache(maxsize=2)
-def id_splitter(path: str) -> Splitter:
-    """Chunks to their ids as little-endian bytes; kept by the Python worker from task to task."""
-    auto = automaton(path)
-    four = {i: i.to_bytes(4, "little") for i in auto.label}
-
-    def of_word(word: str, special: bool) -> bytes:
-        return four[auto.special[word]] if special else b"".join(map(four.__getitem__, auto.encode(word.encode())))
-
-    return Splitter(auto.special, of_word, b"".join)
+def id_splitter(path: str) -> IdSplitter:
+    """Kept by the Python worker from task to task."""
+    return IdSplitter(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END, id_col: str = "doc_id",
@@ -63,7 +105,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         last, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             ids, piece, start, length, crc, raw = [], [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts = b.column(1).to_pylist()
+            learned = 0
+            for at_row, (i, t) in enumerate(zip(b.column(0).to_pylist(), texts)):
+                if at_row == learned:  # some texts at a time, so that what is learned stays in the table
+                    chars = 0
+                    while learned < len(texts) and (learned == at_row or chars < 2_000_000):
+                        chars += len(texts[learned] or "")
+                        learned += 1
+                    sp.learn([x for x in texts[at_row:learned] if x])
                 blob = b"".join([*sp.values(t), last]) if t else last
                 first = len(blob) % size or size
                 for k, (at, to) in enumerate([(0, first), *((x, x + size) for x in range(first, len(blob), size))]):
