@@ -144,14 +144,15 @@ def _successor_pointers(hot: DataFrame, summary: DataFrame, cd: int) -> DataFram
     queries = rows.select("_key", (F.col("_bucket") + 1).alias("_tb"), (F.col("_ts") + F.lit(cd)).alias("_ts"),
                           F.lit(0).alias("_kind"), "record_id", F.lit(None).cast(breaches.schema["_cand"].dataType)
                           .alias("_cand"), F.col("_node").alias("_q"))
-    w = (Window.partitionBy("_key", "_tb").orderBy("_ts", "_kind", "record_id")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Backwards in time, so that the frame only grows: linear in the bucket's rows.
+    w = (Window.partitionBy("_key", "_tb").orderBy(F.desc("_ts"), F.desc("_kind"), F.desc("record_id"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inb = (breaches.unionByName(queries)
-           .withColumn("_hit", F.first("_cand", ignorenulls=True).over(w))
+           .withColumn("_hit", F.last("_cand", ignorenulls=True).over(w))
            .where(F.col("_kind") == 0)
            .select(F.col("_q").alias("_node"), F.col("_hit")))
-    ws = Window.partitionBy("_key").orderBy("_bucket").rangeBetween(2, Window.unboundedFollowing)
-    after2 = summary.select("_key", "_bucket", F.first("_first", ignorenulls=True).over(ws).alias("_after2"))
+    ws = Window.partitionBy("_key").orderBy(-F.col("_bucket")).rangeBetween(Window.unboundedPreceding, -2)
+    after2 = summary.select("_key", "_bucket", F.last("_first", ignorenulls=True).over(ws).alias("_after2"))
     base = rows.join(after2, ["_key", "_bucket"], "left").join(inb, "_node", "left")
     nxt = F.coalesce(F.col("_hit"), F.col("_after2"))
     return base.select("_key", "_run", "_node", "record_id", "metric", "_ts",
