@@ -64,6 +64,7 @@ HALLUCINATION_JUDGE_WEIGHT = 0.4
 CLAIM_MIN_SENTENCE_CHARS = 20
 CLAIM_MAX_CHARS = 200
 CLAIMS_PER_RESPONSE = 5
+# Cuts of the bounded original; the default reads whole texts, these are for parity (``TextLimits``).
 RAG_MAX_TEXT_CHARS = 10_000
 RAG_MIN_SENTENCE_CHARS = 15
 RAG_MAX_SENTENCES = 10
@@ -141,3 +142,16 @@ class ModuleFlags:
     quality: bool = True
     regression: bool = False
     extra: tuple = field(default_factory=tuple)
+
+
+@dataclass(frozen=True)
+class TextLimits:
+    """How much of texts and lists the scorers read; ``None`` is everything."""
+    rag_chars: int | None = None
+    rag_sentences: int | None = None
+    claims: int | None = None
+    claim_chars: int | None = None
+
+
+WHOLE_TEXTS = TextLimits()
+PARITY_LIMITS = TextLimits(RAG_MAX_TEXT_CHARS, RAG_MAX_SENTENCES, CLAIMS_PER_RESPONSE, CLAIM_MAX_CHARS)

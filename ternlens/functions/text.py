@@ -93,9 +93,9 @@ def key_terms(sentence: Column) -> Column:
     return F.filter(words, lambda w: w.rlike(_CAP_WORD) | w.rlike(_DIGITS))
 
 
-def flagged_claims(response, context) -> Column:
+def flagged_claims(response, context, limits: K.TextLimits = K.WHOLE_TEXTS) -> Column:
     """Sentences (T7, >20 chars) with a factual marker whose key terms are mostly
-    absent from the context; first 5, each cut to 200 chars. No context/response → [].
+    absent from the context (with ``limits``: the first few, each cut). No context/response → [].
 
     The lower-cased context and each sentence's key terms are bound once (``let``), so
     the work per row is linear in sentences × terms, not in repeated context copies.
@@ -113,7 +113,11 @@ def flagged_claims(response, context) -> Column:
 
     flagged = let(F.lower(c), lambda ctx: F.filter(sentences(r, K.CLAIM_MIN_SENTENCE_CHARS),
                                                    lambda s: per_sentence(ctx, s)))
-    out = F.slice(F.transform(flagged, lambda s: F.substring(s, 1, K.CLAIM_MAX_CHARS)), 1, K.CLAIMS_PER_RESPONSE)
+    out = flagged
+    if limits.claim_chars is not None:
+        out = F.transform(out, lambda s: F.substring(s, 1, limits.claim_chars))
+    if limits.claims is not None:
+        out = F.slice(out, 1, limits.claims)
     empty = F.array().cast("array<string>")
     return F.when(c.isNull() | (c == F.lit("")) | r.isNull() | (r == F.lit("")), empty).otherwise(out)
 

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from ternlens import constants as K
 
-#: T5: blank texts and texts of fewer characters (trimmed) get the default language.
-SHORT_TEXT, DEFAULT_LANGUAGE = 10, "en"
 
 
 def _c(x) -> Column:
@@ -86,7 +84,7 @@ def train_language_profile(docs: DataFrame, text: str = "text", label: str = "la
 def detect_language(df: DataFrame, profile: DataFrame, text: str = "text", id_col: str = "id",
                     out: str = "language_pred", keep: list[str] | None = None) -> DataFrame:
     """T5 scoring: argmax over languages of prior + Σ log P(gram | lang); blank texts and
-    texts of fewer than ``SHORT_TEXT`` characters are ``DEFAULT_LANGUAGE``.
+    texts of fewer than ``MIN_LANGUAGE_TEXT_CHARS`` characters are ``DEFAULT_LANGUAGE``.
 
     score(lang) = log_prior + n·unseen + Σ_{grams seen for lang} ln(count+1).
     A text's trigrams are counted first, so only its distinct ones are joined with the
@@ -98,7 +96,7 @@ def detect_language(df: DataFrame, profile: DataFrame, text: str = "text", id_co
     prof = profile.groupBy("gram").agg(F.collect_list(F.struct("lang", "log_count")).alias("_p"))  # a row per language
     info = profile.groupBy("lang").agg(F.first("unseen").alias("unseen"), F.first("log_prior").alias("log_prior"))
     trimmed = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)^\s+|\s+$", "")
-    short = F.length(trimmed) < SHORT_TEXT
+    short = F.length(trimmed) < K.MIN_LANGUAGE_TEXT_CHARS
     counted = gram_counts(df.where(~short), id_col, text).withColumnRenamed("key", "_id")
     sums = (counted.join(prof, "gram").select("_id", "n", F.explode("_p").alias("_p"))
             .groupBy("_id", F.col("_p.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("_p.log_count")).alias("_s")))
@@ -110,7 +108,7 @@ def detect_language(df: DataFrame, profile: DataFrame, text: str = "text", id_co
     score = F.transform("_langs", lambda l: F.struct(
         (l["log_prior"] + F.col("_n") * l["unseen"] + F.coalesce(F.col("_seen")[l["lang"]], F.lit(0.0))).alias("s"),
         l["lang"].alias("l")))
-    return scored.select(id_col, *keep, F.when(F.col("_short"), F.lit(DEFAULT_LANGUAGE))
+    return scored.select(id_col, *keep, F.when(F.col("_short"), F.lit(K.DEFAULT_LANGUAGE))
                          .otherwise(F.array_max(score)["l"]).alias(out))
 
 

@@ -124,7 +124,7 @@ def validate_records(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ shared embedding stage
-def _embed_struct(dim: int, embedder=None):
+def _embed_struct(dim: int, embedder=None, cut: int | None = None):
     """``embedder`` (U3): optional ``factory() -> fn(text) -> vector``; the factory runs
     once per task (load a model there), the function once per text."""
     from ternlens.functions.vectors import embed_text as _default
@@ -132,7 +132,6 @@ def _embed_struct(dim: int, embedder=None):
     @F.pandas_udf(EMB_STRUCT)
     def emb(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
-        cut = K.RAG_MAX_TEXT_CHARS
         if embedder is None:
             def embed_text(t, _dim, _cache):
                 return _default(t, _dim, _cache)
@@ -169,14 +168,18 @@ def _embed_struct(dim: int, embedder=None):
     return emb
 
 
-def with_embeddings(events: DataFrame, dim: int = V.DEFAULT_DIM, embedder=None) -> DataFrame:
+def with_embeddings(events: DataFrame, dim: int = V.DEFAULT_DIM, embedder=None,
+                    limits: K.TextLimits = K.WHOLE_TEXTS) -> DataFrame:
     """One Arrow stage: every vector the scorers need, as struct column ``_emb``."""
-    cut = K.RAG_MAX_TEXT_CHARS
-    r_cut = F.substring(F.coalesce("response", F.lit("")), 1, cut)
-    q_cut = F.substring(F.coalesce("query", F.lit("")), 1, cut)
+    cut = limits.rag_chars
+    r_cut, q_cut = F.coalesce("response", F.lit("")), F.coalesce("query", F.lit(""))
+    if cut is not None:
+        r_cut, q_cut = F.substring(r_cut, 1, cut), F.substring(q_cut, 1, cut)
     rag_ok = ~TX.is_blank("context") & ~TX.is_blank(q_cut) & ~TX.is_blank(r_cut)
-    sents = F.slice(TX.sentences(r_cut, K.RAG_MIN_SENTENCE_CHARS), 1, K.RAG_MAX_SENTENCES)
-    return events.withColumn("_emb", _embed_struct(dim, embedder)(F.col("query"), F.col("context"),
+    sents = TX.sentences(r_cut, K.RAG_MIN_SENTENCE_CHARS)
+    if limits.rag_sentences is not None:
+        sents = F.slice(sents, 1, limits.rag_sentences)
+    return events.withColumn("_emb", _embed_struct(dim, embedder, cut)(F.col("query"), F.col("context"),
                                                                   F.col("response"), rag_ok, sents))
 
 
@@ -201,7 +204,8 @@ def quality_scores(df: DataFrame, toxicity: Column | None = None, language: Colu
     })
 
 
-def hallucination_scores(df: DataFrame, judge: Column | None = None) -> DataFrame:
+def hallucination_scores(df: DataFrame, judge: Column | None = None,
+                         limits: K.TextLimits = K.WHOLE_TEXTS) -> DataFrame:
     """M1 + M2 + T8: embedding consistency against context (when non-empty) or query,
     optionally blended 0.6/0.4 with a judge score; blank response → 0.0 / none / []."""
     e = F.col("_emb")
@@ -220,12 +224,12 @@ def hallucination_scores(df: DataFrame, judge: Column | None = None) -> DataFram
         "hallucination_score": F.when(blank, F.lit(0.0)).otherwise(S.round4(score)),
         "hallucination_method": F.when(blank, F.lit("none")).otherwise(method),
         "flagged_claims": F.when(blank, F.array().cast("array<string>"))
-                           .otherwise(TX.flagged_claims(F.col("response"), F.col("context"))),
+                           .otherwise(TX.flagged_claims(F.col("response"), F.col("context"), limits)),
     })
 
 
 def rag_scores(df: DataFrame) -> DataFrame:
-    """M3 + M4 + M5 on the 10 000-char cuts; null when context, query or response is blank."""
+    """M3 + M4 + M5 on the texts that ``with_embeddings`` took; null when context, query or response is blank."""
     e = F.col("_emb")
     ok = e["rag_q"].isNotNull()
     cr = S.clamp01(V.dot(e["rag_q"], e["rag_c"]))
@@ -269,7 +273,8 @@ def drift_scores(df: DataFrame, cap: int | None = None, materialize: bool = True
 
 def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int = V.DEFAULT_DIM,
              judge: Column | None = None, toxicity: Column | None = None, language: Column | None = None,
-             sentiment: Column | None = None, plugins: tuple = (), embedder=None) -> DataFrame:
+             sentiment: Column | None = None, plugins: tuple = (), embedder=None,
+             limits: K.TextLimits = K.WHOLE_TEXTS) -> DataFrame:
     """P5: events → scored records with the modules quality, drift, hallucination and
     RAG (drift executes last — score columns are disjoint, so the record is the same as
     in the original order), then extra plug-in scorers (U1), clamp (P4) and health (M8).
@@ -285,7 +290,7 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
             extra[name] = col
     src = events.withColumns(extra) if extra else events
     rec = event_to_record(normalize_events(src, keep=list(extra)))
-    rec = with_embeddings(rec, dim, embedder)
+    rec = with_embeddings(rec, dim, embedder, limits)
     # Rows whose embedding failed keep module defaults; the count is kept per row.
     rec = rec.withColumn("score_errors", F.col("_emb")["errors"])
     if flags.quality:
@@ -293,7 +298,7 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
                              language=F.col("_lang") if "_lang" in extra else None,
                              sentiment=F.col("_sent") if "_sent" in extra else None)
     if flags.hallucination:
-        rec = hallucination_scores(rec, judge=F.col("_judge") if "_judge" in extra else None)
+        rec = hallucination_scores(rec, judge=F.col("_judge") if "_judge" in extra else None, limits=limits)
     if flags.rag:
         rec = rag_scores(rec)
     # Drift last: it is the only step that moves rows, and it no longer needs the text vectors.

@@ -34,18 +34,19 @@ def _dot(a: str, b: str) -> str:
     return f"list_inner_product({a}, {b})"
 
 
-def scored_sql(src: str = "v_evt") -> str:
+def scored_sql(src: str = "v_evt", limits: K.TextLimits = K.WHOLE_TEXTS) -> str:
     """CTEs ending in ``scored``: the evaluate chain in SQL over an event relation."""
+    def cut(x: str) -> str:
+        return x if limits.rag_chars is None else f"substring({x}, 1, {limits.rag_chars})"
+    first = "" if limits.rag_sentences is None else f"[1:{limits.rag_sentences}]"
     return f"""ev AS (
-  SELECT *, substring(query, 1, {K.RAG_MAX_TEXT_CHARS}) AS q10,
-         substring(coalesce(context, ''), 1, {K.RAG_MAX_TEXT_CHARS}) AS c10,
-         substring(response, 1, {K.RAG_MAX_TEXT_CHARS}) AS r10,
-         (NOT {blank_sql('context')} AND NOT {blank_sql(f'substring(query, 1, {K.RAG_MAX_TEXT_CHARS})')}
-          AND NOT {blank_sql(f'substring(response, 1, {K.RAG_MAX_TEXT_CHARS})')}) AS rag_ok
+  SELECT *, {cut("query")} AS q10, {cut("coalesce(context, '')")} AS c10, {cut("response")} AS r10,
+         (NOT {blank_sql('context')} AND NOT {blank_sql(cut('query'))}
+          AND NOT {blank_sql(cut('response'))}) AS rag_ok
   FROM {src}),
 sent AS (
   SELECT id, unnest(s) AS stext, unnest(range(1, len(s) + 1)) AS sidx
-  FROM (SELECT id, ({sentences_sql('r10', K.RAG_MIN_SENTENCE_CHARS)})[1:{K.RAG_MAX_SENTENCES}] AS s FROM ev WHERE rag_ok)),
+  FROM (SELECT id, ({sentences_sql('r10', K.RAG_MIN_SENTENCE_CHARS)}){first} AS s FROM ev WHERE rag_ok)),
 txt AS (
   SELECT id || '|r' AS eid, response AS t FROM ev
   UNION ALL SELECT id || '|c', context FROM ev WHERE context IS NOT NULL AND context <> ''
@@ -156,6 +157,17 @@ def rag_quality_scores(spark, sf):
         "id", "faithfulness_score", "context_relevance", "answer_relevancy", "groundedness_score")
 
 
+@register("rag_quality_scores_parity", ops="M3 M4 M5 (first 10 000 characters and 10 sentences)",
+          sql=with_views(V_EVT, scored_sql(limits=K.PARITY_LIMITS)) + """
+SELECT id, faithfulness_score, context_relevance, answer_relevancy, groundedness_score
+FROM scored WHERE groundedness_score IS NOT NULL""")
+def rag_quality_scores_parity(spark, sf):
+    ev = SC.event_to_record(SC.normalize_events(bridge.chat_events(spark, sf)))
+    rec = SC.rag_scores(SC.with_embeddings(ev, limits=K.PARITY_LIMITS))
+    return rec.where(F.col("groundedness_score").isNotNull()).select(
+        "id", "faithfulness_score", "context_relevance", "answer_relevancy", "groundedness_score")
+
+
 @register("hallucination_scores", ops="M1 M2 T8", sql=with_views(V_EVT, scored_sql()) + """
 SELECT id, hallucination_score, hallucination_method, flagged_claims FROM scored""")
 def hallucination_scores(spark, sf):

@@ -62,7 +62,7 @@ def word_count_sql(x: str) -> str:
     return f"CAST(CASE WHEN {blank_sql(x)} THEN 0 ELSE len({tokens_sql(x)}) END AS INTEGER)"
 
 
-def claims_sql(resp: str, ctx: str) -> str:
+def claims_sql(resp: str, ctx: str, limits: K.TextLimits = K.WHOLE_TEXTS) -> str:
     terms = (f"list_filter(regexp_extract_all(s, '[\\pL\\pN_]+'), "
              f"lambda w: regexp_full_match(w, '[A-Z][a-z]+') OR regexp_full_match(w, '\\p{{Nd}}+'))")
     marker = (f"(regexp_matches(s, '(^|{NW})\\p{{Nd}}{{2,}}($|{NW})') OR contains(s, '\"') OR contains(s, '''') "
@@ -70,7 +70,11 @@ def claims_sql(resp: str, ctx: str) -> str:
     hits = f"len(list_filter({terms}, lambda t: contains(lower({ctx}), lower(t))))"
     flagged = (f"list_filter({sentences_sql(resp, K.CLAIM_MIN_SENTENCE_CHARS)}, "
                f"lambda s: {marker} AND len({terms}) > 0 AND CAST({hits} AS DOUBLE) < len({terms}) / 2.0::DOUBLE)")
-    out = f"list_transform({flagged}, lambda s: substring(s, 1, {K.CLAIM_MAX_CHARS}))[1:{K.CLAIMS_PER_RESPONSE}]"
+    out = flagged
+    if limits.claim_chars is not None:
+        out = f"list_transform({out}, lambda s: substring(s, 1, {limits.claim_chars}))"
+    if limits.claims is not None:
+        out = f"{out}[1:{limits.claims}]"
     return (f"(CASE WHEN {ctx} IS NULL OR {ctx} = '' OR {resp} IS NULL OR {resp} = '' "
             f"THEN CAST([] AS VARCHAR[]) ELSE {out} END)")
 
@@ -122,6 +126,13 @@ def response_flagged_claims(spark, sf):
     return e.select("id", TX.flagged_claims("response", "context").alias("flagged_claims"))
 
 
+@register("response_flagged_claims_parity", ops="T8 (first 5 claims of 200 characters)", sql=W_EVT + f"""
+SELECT id, {claims_sql('response', 'context', K.PARITY_LIMITS)} AS flagged_claims FROM v_evt""")
+def response_flagged_claims_parity(spark, sf):
+    e = bridge.chat_events(spark, sf)
+    return e.select("id", TX.flagged_claims("response", "context", K.PARITY_LIMITS).alias("flagged_claims"))
+
+
 @register("document_claims_vs_benchmark", ops="T8 (documents against benchmark passages)", sql=f"""
 SELECT d.doc_id, {claims_sql('d.text', 'b.text')} AS flagged_claims
 FROM documents d JOIN benchmark b ON d.doc_id = b.item_id""")
