@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ternlens.session import checkpoint_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs only the reading tasks, not the stages
-    before.  The folder is removed when the driver's Python ends.
+    before.  The folder is removed when the driver's Python ends.  ``slim``: rows of a few
+    numbers, written by one task for each core, not one for each shuffle partition.
     """
     spark = df.sparkSession
+    if slim:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)

@@ -17,10 +17,10 @@ represents them.  A bucket's pairs are never all emitted; what is wanted is the
 
 * each text is compared with a hub, the smallest identifier of its buckets (found per salted part of a bucket, so
   that no bucket is gathered whole);
-* then, round after round, a bucket's texts are sorted by their further bands, and each is compared with the next
-  one before it that is in another component so far.  Texts that agree in more bands stand closer together, so the
-  likeliest partners meet first; a text has up to ``BANDS`` such neighbours a round.  The rounds differ in the bands
-  they sort by, and end when ``QUIET`` of them have found no new link.
+* then, round after round, a bucket's texts are sorted by their further bands, and each is compared with the
+  ``NEIGHBOURS`` before it, where they are in another component so far.  Texts that agree in more bands stand closer together, so the
+  likeliest partners meet first; a text has such neighbours in up to ``BANDS`` buckets a round.  The rounds differ in the bands
+  they sort by, and end when ``QUIET`` of them found no new link.
 
 The work of a round is linear in the band rows, however large a group of near copies is.  Every link is verified
 exactly, on the cells of both texts.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ternlens.llm.bpe_automaton import _Table
 from ternlens.llm.common import own, staged
-from ternlens.llm.components import components
+from ternlens.llm.components import merged
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -52,7 +52,7 @@ COORDINATES = ROWS * BANDS
 #: Ends of the time blocks: doubling from 2^-14 to 1, then one by one.
 EDGES = np.array([2.0 ** k for k in range(-14, 1)] + [float(k) for k in range(2, 17)])
 BLOCKS = len(EDGES)
-QUIET, MOST_ROUNDS = 2, 12
+QUIET, MOST_ROUNDS, NEIGHBOURS = 2, 12, 2
 SALTS = 16
 _WORD = re.compile(r"\w+")
 _MASK = np.uint64(0xFFFFFFFF)
@@ -211,16 +211,16 @@ def links(bands: DataFrame, cells_: DataFrame, similarity: float = SIMILARITY) -
     bucket = Window.partitionBy("key")
     parts = (parts.select("key", "c", "hub", F.sum("c").over(bucket).alias("size"), F.min("hub").over(bucket).alias("first"))
              .filter("size > 1"))
-    parts = staged(parts, "parts")
+    parts = staged(parts, "parts", slim=True)
     part_of = Window.partitionBy("key", salt).orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # members that aren't their part's hub
     others = staged(rows.withColumn("hub", F.first(F.struct("rep", "n")).over(part_of)).filter("rep <> hub.rep")
-                    .select("rep", "n", "hub"), "others")
+                    .select("rep", "n", "hub"), "others", slim=True)
     # each goes to a hub (of all its bands the smallest), the parts' hubs to their bucket's
     to_hub = others.filter(_close("n", "hub.n", similarity)).groupBy("rep").agg(F.min("hub.rep").alias("hub"))
     to_first = (parts.filter("hub.rep <> first.rep").filter(_close("hub.n", "first.n", similarity))
                 .groupBy(F.col("hub.rep").alias("rep")).agg(F.min("first.rep").alias("hub")))
-    pairs = staged(to_hub.union(to_first).select(*_pair("rep", "hub")).distinct(), "pairs")
+    pairs = staged(to_hub.union(to_first).select(*_pair("rep", "hub")).distinct(), "pairs", slim=True)
 
     # texts that share a bucket with another one
     member = others.select("rep").union(parts.select("hub.rep")).distinct()
@@ -229,10 +229,10 @@ def links(bands: DataFrame, cells_: DataFrame, similarity: float = SIMILARITY) -
 
     found, tried, labels, quiet = None, pairs, None, 0
     for k in range(MOST_ROUNDS):
-        new = staged(_verified(pairs, reps, similarity), "verified")
+        new = staged(_verified(pairs, reps, similarity), "verified", slim=True)
         if new.limit(1).count():
             found, quiet = new if found is None else found.union(new), 0
-            labels = components(found)
+            labels = merged(labels, new)
         elif k:
             quiet += 1
         if quiet == QUIET:
@@ -248,10 +248,13 @@ def links(bands: DataFrame, cells_: DataFrame, similarity: float = SIMILARITY) -
         # parts of a bucket again, but texts with equal next bands stay together
         near = Window.partitionBy("key", F.pmod("b1", F.lit(SALTS))).orderBy("b1", "b2", "b3", "rep")
         me = F.struct("rep", "n", "label")
-        before = sorted_rows.withColumn("at", F.lag(me).over(near)).filter("at IS NOT NULL AND at.label <> label")
+        lags = F.array(*[F.lag(me, k + 1).over(near) for k in range(NEIGHBOURS)])
+        before = (sorted_rows.withColumn("lags", lags)
+                  .withColumn("lags", F.filter("lags", lambda x: x["label"] != F.col("label")))  # null: none there
+                  .select("rep", "n", F.explode("lags").alias("at")))
         pairs = (before.filter(_close("n", "at.n", similarity)).select(*_pair("rep", "at.rep")).distinct()
                  .join(tried, ["a", "b"], "left_anti"))
-        pairs = staged(pairs, "pairs")
+        pairs = staged(pairs, "pairs", slim=True)
         tried = tried.union(pairs)
     return found, labels
 
