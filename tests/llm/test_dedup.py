@@ -65,7 +65,11 @@ def test_signatures_estimate_the_similarity():
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(60, 50), (50, 60)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 1 for i in range(1, 41)} | {k: 100 for k in range(100, 130)} | {50: 50, 60: 50}
+    want = {i: 1 for i in range(1, 41)} | {k: 100 for k in range(100, 130)} | {50: 50, 60: 50}
+    assert got == want
+    more = components.merged(spark.createDataFrame(list(got.items()), "node long, label long"),
+                             spark.createDataFrame([(129, 60), (7, 8), (200, 201)], "a long, b long"))
+    assert {r.node: r.label for r in more.collect()} == want | {k: 50 for k in range(100, 130)} | {200: 200, 201: 200}
 
 
 # ---- repeated strings
