@@ -114,3 +114,31 @@ def test_later_delivery_wins_and_first_write_is_deduplicated(spark):
     IO.upsert_records(spark, rows(("c", 5, t)).drop("created_at"), path)
     got = {r.id: r.health_score for r in IO.read_records(spark, path).collect()}
     assert got == {"a": 90, "b": 2, "c": 5}
+
+
+def test_timeline_is_ascending(spark, sf):
+    from ternlens.operators import analytics as A
+    from ternlens.sources import bridge
+
+    rows = A.timeline(bridge.records(spark, sf), ["health_score"], window=50).collect()
+    assert [(r.timestamp, r.id) for r in rows] == sorted((r.timestamp, r.id) for r in rows) and len(rows) == 50
+
+
+def test_preview_rounds_as_python_does(spark, sf):
+    from pyspark.sql import functions as F
+    from ternlens.operators import records as R
+    from ternlens.sources import bridge
+
+    one = bridge.records(spark, sf).limit(1)
+    for value in (0.0625, 0.1875, 0.0005, 0.12345):
+        got = R.preview(one.withColumn("hallucination_score", F.lit(value))).first()
+        assert got.score_text == f"{value:.3f}"
+
+
+def test_malformed_webhook_is_invalid(spark):
+    from pyspark.sql import functions as F
+    from ternlens.operators import alerts as AL
+
+    urls = [("https://hooks.slack.com/x", True), ("https://exa mple.com/%%", False), ("http://hooks.slack.com/x", False), (None, False)]
+    df = spark.createDataFrame(urls, "u string, ok boolean")
+    assert all(r.got == r.ok for r in df.withColumn("got", AL.valid_webhook(F.col("u"))).collect())
