@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from ternlens.llm.common import own
 
-CACHE = 500_000
+CACHE = 350_000
 CELLS = 1_000_000
 MARKS = ".,;:!?"
 NEVER = 1 << 60
