@@ -36,6 +36,8 @@ LIMIT = 512
 def word_counts(auto: MergeAutomaton, word: str) -> list[int]:
     """The number of tokens of each prefix of ``word``, by code points (1, 2, ... all)."""
     _, count = auto.states(word.encode())
+    if word.isascii():
+        return count[1:]
     ends = accumulate(len(c.encode()) for c in word)
     return [count[e] for e in ends]
 
