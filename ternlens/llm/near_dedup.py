@@ -13,17 +13,16 @@ coordinate with the probability of their similarity.
 
 Joining.  ``BANDS`` bands of ``ROWS`` coordinates are joined on their hash: a pair at similarity 0.8 shares no
 band with probability 5e-6, and ten bands on average.  Texts with equal multisets are first put together, and one
-represents them.  A bucket's pairs are never all emitted; what is wanted is the components:
+represents them.  What is wanted is the components:
 
 * each text is compared with a hub, the smallest identifier of its buckets (found per salted part of a bucket, so
-  that no bucket is gathered whole);
-* then, round after round, a bucket's texts are sorted by their further bands, and each is compared with the
-  ``NEIGHBOURS`` before it, where they are in another component so far.  Texts that agree in more bands stand closer together, so the
-  likeliest partners meet first; a text has such neighbours in up to ``BANDS`` buckets a round.  The rounds differ in the bands
-  they sort by, and end when ``QUIET`` of them found no new link.
+  that no bucket is gathered whole), and the links make first components;
+* then every pair of texts that share a band and are in different components is compared.  Buckets of up to ``SMALL``
+  texts give their pairs; larger ones are cut into blocks, each block meets each other one in a task of its own, and
+  pairs are compared by matrix products, each in the first of its common bands.
 
-The work of a round is linear in the band rows, however large a group of near copies is.  Every link is verified
-exactly, on the cells of both texts.
+So a link is missed only by texts that share no band.  The work grows with the pairs between different components
+that share a band; pairs within a component cost nothing.  Every link is verified exactly, on the cells of both texts.
 
 Defined results: a text with fewer than ``WORDS`` words has one shingle, all its words; null texts and texts without a word
 are alone, each its own class; repeated rows are each returned, in one class; a class is named by its smallest
@@ -52,8 +51,9 @@ COORDINATES = ROWS * BANDS
 #: Ends of the time blocks: doubling from 2^-14 to 1, then one by one.
 EDGES = np.array([2.0 ** k for k in range(-14, 1)] + [float(k) for k in range(2, 17)])
 BLOCKS = len(EDGES)
-QUIET, MOST_ROUNDS, NEIGHBOURS = 2, 12, 2
 SALTS = 16
+#: Texts of a bucket that is compared pair by pair; texts and cells of a block of a larger bucket (about); columns of a product.
+SMALL, BLOCK, BLOCK_CELLS, COLUMNS = 16, 128, 4_000_000, 8192
 _WORD = re.compile(r"\w+")
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -227,36 +227,119 @@ def links(bands: DataFrame, cells_: DataFrame, similarity: float = SIMILARITY) -
     live = staged(bands.join(member, "rep"), "live")
     reps = staged(cells_.join(live.select("rep", "n"), "rep").dropDuplicates(["rep"]), "cells")
 
-    found, tried, labels, quiet = None, pairs, None, 0
-    for k in range(MOST_ROUNDS):
-        new = staged(_verified(pairs, reps, similarity), "verified", slim=True)
-        if new.limit(1).count():
-            found, quiet = new if found is None else found.union(new), 0
-            labels = merged(labels, new)
-        elif k:
-            quiet += 1
-        if quiet == QUIET:
-            break
-        named = live if labels is None else live.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.withColumn("label", F.coalesce("label", "rep") if labels is not None else F.col("rep"))
-        step = 1 + k * 7 % (BANDS - 1)
-        rotated = F.transform("bands", lambda x, i: F.struct(
-            x.alias("key"), F.col("bands")[F.pmod(i + step, F.lit(BANDS))].alias("b1"),
-            F.col("bands")[F.pmod(i + 2 * step, F.lit(BANDS))].alias("b2"),
-            F.col("bands")[F.pmod(i + 3 * step, F.lit(BANDS))].alias("b3")))
-        sorted_rows = named.select("rep", "n", "label", F.explode(rotated).alias("r")).select("rep", "n", "label", "r.*")
-        # parts of a bucket again, but texts with equal next bands stay together
-        near = Window.partitionBy("key", F.pmod("b1", F.lit(SALTS))).orderBy("b1", "b2", "b3", "rep")
-        me = F.struct("rep", "n", "label")
-        lags = F.array(*[F.lag(me, k + 1).over(near) for k in range(NEIGHBOURS)])
-        before = (sorted_rows.withColumn("lags", lags)
-                  .withColumn("lags", F.filter("lags", lambda x: x["label"] != F.col("label")))  # null: none there
-                  .select("rep", "n", F.explode("lags").alias("at")))
-        pairs = (before.filter(_close("n", "at.n", similarity)).select(*_pair("rep", "at.rep")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
-        pairs = staged(pairs, "pairs", slim=True)
-        tried = tried.union(pairs)
-    return found, labels
+    found = staged(_verified(pairs, reps, similarity), "verified", slim=True)
+    labels = merged(None, found) if found.limit(1).count() else None
+    few, many = _between(live, reps, labels, pairs, similarity)
+    more = staged(few.union(many), "verified", slim=True)
+    if more.limit(1).count():
+        found, labels = found.union(more), merged(labels, more)
+    return (None, None) if labels is None else (found, labels)
+
+
+def _between(live: DataFrame, reps: DataFrame, labels: DataFrame | None, tried: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) among all pairs that share a band and are in different components: of small and of large buckets."""
+    if labels is not None:
+        live = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    live = live.withColumn("label", F.coalesce("label", "rep") if labels is not None else F.col("rep"))
+    rows = live.select("rep", "n", "label", "bands", F.posexplode("bands").alias("b", "key"))
+    weight = F.count("*") / BLOCK + F.sum("n") / BLOCK_CELLS
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"), weight.alias("w"))
+    keys = each.groupBy("key").agg(
+        F.count("*").alias("labels"), F.sum("c").alias("size"),
+        F.ceil(F.sum(F.when(F.col("w") <= 1, F.col("w")).otherwise(0.0))).cast("int").alias("pool"),
+        F.collect_list(F.when(F.col("w") > 1, F.struct("label", F.ceil("w").cast("int").alias("k")))).alias("large"))
+    keys = staged(keys.filter("labels > 1"), "keys", slim=True)
+
+    pair = F.expr("filter(flatten(transform(m, x -> transform(m, y -> struct(x, y)))), p -> p.x.rep < p.y.rep AND p.x.label <> p.y.label)")
+    small = (rows.join(keys.filter(F.col("size") <= SMALL).select("key"), "key")
+             .groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label")).alias("m"))
+             .select(F.explode(pair).alias("p")).filter(_close("p.x.n", "p.y.n", similarity))
+             .select(F.col("p.x.rep").alias("a"), F.col("p.y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    few = _verified(staged(small, "pairs", slim=True), reps, similarity)
+
+    # A large component's members fill blocks (g, k) of their own; those of the others share the blocks (0, k).
+    blocks = F.expr("""flatten(concat(
+        array(if(pool > 0, transform(sequence(0, greatest(pool, 1) - 1), k -> struct(0 AS g, k AS k)), array())),
+        transform(large, (l, i) -> transform(sequence(0, l.k - 1), k -> struct(i + 1 AS g, k AS k)))))""")
+    large = (keys.filter(F.col("size") > SMALL).select("key", "pool", "large", blocks.alias("blocks"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    place = F.expr("""if(array_position(transform(large, l -> l.label), label) = 0,
+        struct(0 AS g, CAST(pmod(xxhash64(label), greatest(pool, 1)) AS INT) AS k),
+        struct(CAST(array_position(transform(large, l -> l.label), label) AS INT) AS g,
+               CAST(pmod(xxhash64(rep, 1), large[CAST(array_position(transform(large, l -> l.label), label) AS INT) - 1].k) AS INT) AS k))""")
+    placed = (rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(large, ["key", "salt"])
+              .withColumn("me", place).select("rep", "n", "label", "bands", "b", "key", "me", "blocks"))
+    # a block of one component needs no comparison within that component
+    met = (placed.join(reps.select("rep", "cells"), "rep")
+           .withColumn("other", F.explode(F.expr("filter(blocks, o -> o.g = 0 OR o.g <> me.g)")))
+           .select("key", "b", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
+                   (F.col("me") <= F.col("other")).alias("left"), "rep", "n", "label", "bands", "cells"))
+    kind = live.schema["rep"].dataType.simpleString()
+    many = met.groupBy("key", "x", "y").applyInArrow(lambda t: _block_links(t, similarity), f"a {kind}, b {kind}")
+    return few, many
+
+
+def _shared(parts: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``parts[i]`` and ``parts[j]``."""
+    one, at_i = np.unique(i, return_inverse=True)
+    two, at_j = np.unique(j, return_inverse=True)
+    if len(i) * 8 < len(one) * len(two):
+        return np.array([len(np.intersect1d(parts[x], parts[y], assume_unique=True)) for x, y in zip(i, j)])
+    used = [parts[k] for k in (*one, *two)]
+    _, cell, times = np.unique(np.concatenate(used), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(used)), [len(p) for p in used])
+    common = times[cell] > 1
+    cell, owner = np.unique(cell[common], return_inverse=True)[1], owner[common]
+    order = np.argsort(cell, kind="stable")
+    cell, owner = cell[order], owner[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, int(cell[-1]) + 1 if len(cell) else 0, COLUMNS):
+        a, b = np.searchsorted(cell, [lo, lo + COLUMNS])
+        has = np.zeros((len(used), COLUMNS), np.float32)
+        has[owner[a:b], cell[a:b] - lo] = 1
+        out += has[:len(one)] @ has[len(one):].T
+    return out[at_i, at_j].astype(np.int64)
+
+
+def _block_links(t: pa.Table, similarity: float) -> pa.Table:
+    """Of two blocks of a bucket, the verified links between components: as many as join these components.
+
+    A pair is compared in the first of its common bands only.
+    """
+    label = np.unique(np.array(t.column("label").to_pylist()), return_inverse=True)[1]
+    n, b = t.column("n").to_numpy(), t.column("b")[0].as_py()
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    same = t.column("x")[0] == t.column("y")[0]
+    one = np.nonzero(t.column("left").to_numpy())[0]
+    two = one if same else np.nonzero(~t.column("left").to_numpy())[0]
+    untried = (label[one][:, None] != label[two]) & (
+        np.minimum(n[one][:, None], n[two]) >= similarity * np.maximum(n[one][:, None], n[two]))
+    if same:
+        untried &= one[:, None] < two
+    for k in range(b):
+        untried &= bands[one, k][:, None] != bands[two, k]
+    i, j = np.nonzero(untried)
+    i, j = one[i], two[j]
+    a, c = [], []
+    if len(i):
+        ids = t.column("rep").to_pylist()
+        parts = [np.unique(x.values.to_numpy()) for x in t.column("cells")]
+        both = _shared(parts, i, j)
+        ok = both >= similarity * (n[i] + n[j] - both) - 1e-9
+        parent = list(range(len(label)))
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+        for x, y in zip(i[ok], j[ok]):
+            p, q = top(label[x]), top(label[y])
+            if p != q:
+                parent[p] = q
+                a.append(min(ids[x], ids[y]))
+                c.append(max(ids[x], ids[y]))
+    kind = t.schema.field("rep").type
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(c, kind)})
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

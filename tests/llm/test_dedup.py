@@ -40,6 +40,22 @@ def test_groups_of_near_copies(spark):
     assert classes(df) == want
 
 
+def test_pairs_among_texts_of_one_template(spark, monkeypatch):
+    for n, small in ((1200, {}), (300, {"BLOCK": 16, "COLUMNS": 64})):
+        for k, v in small.items():
+            monkeypatch.setattr(near_dedup, k, v)
+        rng = random.Random(12)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+        template, rows = [word() for _ in range(173)], []
+        for k in range(n):
+            w = template + [word() for _ in range(25)]  # any two of these are at 0.77
+            rows += [(k, " ".join(w))]
+            if k % 4 == 0:  # at 0.82 with the one before, with the others below 0.77
+                rows += [(5000 - k, " ".join(w[:-19] + [word() for _ in range(19)]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert classes(df) == {i: 5000 - i if i > n else i for i, _ in rows}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = near_dedup.near_copies(odd_docs).collect()
