@@ -46,3 +46,33 @@ def crc_mod(id_col: str, m: int) -> Column:
 def own(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns: extra columns of the input, whatever their names, take no part."""
     return df.select(*[df[c].alias(c) for c in cols])
+
+
+def text_hash(text: Column) -> Column:
+    """SHA-256 (binary) of a text; empty for null."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, sha, row: a number for each different (identifier, text), ascending by identifier (null last) and hash."""
+    each = docs.select(docs[id_col].alias("id"), text_hash(docs[text_col]).alias("sha")).distinct()
+    return staged(each.orderBy(F.col("id").asc_nulls_last(), "sha").withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def with_row(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, text of every row of ``docs``."""
+    texts = docs.select(docs[id_col].alias("i"), text_hash(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    return texts.join(keys, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("sha"))).select("row", "text")
+
+
+def rows_among(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose (identifier, text) is among ``kept`` (id, sha); null identifiers are equal."""
+    kept = kept.select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (text_hash(docs[text_col]) == kept["__sha"]), "left_semi")
+
+
+def one_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each (identifier, text)."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = docs.select(docs[id_col].alias("id"), text_hash(docs[text_col]).alias("sha"), row)
+    return keyed.groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*")

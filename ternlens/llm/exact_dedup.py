@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import own
+from ternlens.llm.common import one_each, own, row_keys, rows_among, with_row
 from ternlens.session import cut_lineage
 
 SALTS = 64
@@ -72,6 +72,13 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies: the pipeline's form of the operator."""
+    """``docs`` without the copies, by identifier: repeated rows all stay, rows without an identifier go."""
     kept = exact_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept"))
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+
+
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each class of equal texts, also of repeated rows and of rows without an identifier: the pipeline's form."""
+    keys = row_keys(docs, id_col, text_col)
+    kept = exact_copies(with_row(docs, keys, id_col, text_col), "row", "text").filter("kept").select("row")
+    return one_each(rows_among(docs, keys.join(kept, "row", "left_semi"), id_col, text_col), id_col, text_col)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternlens.llm.bpe_automaton import _Table
-from ternlens.llm.common import own, staged
+from ternlens.llm.common import one_each, own, row_keys, rows_among, staged, with_row
 from ternlens.llm.components import merged
 
 WORDS = 5
@@ -369,6 +369,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class: the pipeline's form of the operator."""
+    """One document of each class, by identifier: repeated rows all stay, rows without an identifier go."""
     kept = near_copies(docs, SIMILARITY, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept"))
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+
+
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each class, also of repeated rows and of rows without an identifier: the pipeline's form."""
+    keys = row_keys(docs, id_col, text_col)
+    kept = near_copies(with_row(docs, keys, id_col, text_col), SIMILARITY, "row", "text").filter("kept").select("row")
+    return one_each(rows_among(docs, keys.join(kept, "row", "left_semi"), id_col, text_col), id_col, text_col)
