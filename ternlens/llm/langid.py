@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import crc_mod, own, staged
+from ternlens.llm.common import crc_mod, own, rows_among, staged, text_hash
 
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
@@ -231,8 +231,9 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, models: CharacterModels | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score, cross_entropy, symbols of every row."""
+def identify(docs: DataFrame, models: CharacterModels | None, id_col: str = "doc_id", text_col: str = "text",
+             sha: bool = False) -> DataFrame:
+    """id, lang_pred, score, cross_entropy, symbols (and, if asked for, sha: the text's hash) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
@@ -263,19 +264,22 @@ def identify(docs: DataFrame, models: CharacterModels | None, id_col: str = "doc
                         size.append(int(m))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()),
-                 pa.array(size, pa.int64())], names=[id_col, "lang_pred", "score", "cross_entropy", "symbols"])
+                 pa.array(size, pa.int64()), *b.columns[2:]],
+                names=[id_col, "lang_pred", "score", "cross_entropy", "symbols", *["sha"] * sha])
     kind = docs.schema[id_col].dataType.simpleString()
-    return own(docs, id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, lang_pred string, score double, cross_entropy double, symbols long")
+    rows = own(docs, id_col, text_col)
+    return (rows.withColumn("sha", text_hash(F.col(text_col))) if sha else rows).mapInArrow(
+        run, f"`{id_col}` {kind}, lang_pred string, score double, cross_entropy double, symbols long" + ", sha binary" * sha)
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, cross_entropy, accepted for every row, trained on the rows not held out."""
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+              sha: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, cross_entropy, accepted (and sha) for every row, trained on the rows not held out."""
     rows = own(docs, id_col, text_col, lang_col)
     held_out = crc_mod(id_col, FOLDS) == HELD_OUT
     # a null identifier has no fold: it takes no part in training
     models = train(rows.filter(~held_out), lang_col, text_col)
-    found = staged(identify(rows, models, id_col, text_col), "languages").withColumn("held_out", held_out)
+    found = staged(identify(rows, models, id_col, text_col, sha), "languages").withColumn("held_out", held_out)
     usual = F.broadcast(found.filter(~F.col("held_out") & (F.col("lang_pred") != "und")).groupBy("lang_pred").agg(
         F.avg("cross_entropy").alias("mean")))  # a row for each language
     chance = F.create_map(*[F.lit(x) for k, lang in enumerate(models.langs if models else [])
@@ -284,10 +288,10 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
              + ALLOWANCE / F.sqrt(F.greatest("symbols", F.lit(1))))
     return found.join(usual, "lang_pred", "left").select(
         id_col, "held_out", "lang_pred", "score", "cross_entropy",
-        ((F.col("lang_pred") != "und") & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).alias("accepted"))
+        ((F.col("lang_pred") != "und") & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).alias("accepted"), *["sha"] * sha)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is rejected: the pipeline's form of the operator."""
-    kept = languages(docs, id_col, text_col, lang_col).filter("accepted").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+    """``docs`` without the rows whose language is rejected, decided by the row's own text: the pipeline's form of the operator."""
+    kept = languages(docs, id_col, text_col, lang_col, sha=True).filter("accepted").select(F.col(id_col).alias("id"), "sha").distinct()
+    return rows_among(docs, kept, id_col, text_col)
