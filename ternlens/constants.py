@@ -151,7 +151,11 @@ class TextLimits:
     rag_sentences: int | None = None
     claims: int | None = None
     claim_chars: int | None = None
+    event_chars: int | None = None
+    tags: int | None = None
+    tag_chars: int | None = None
 
 
 WHOLE_TEXTS = TextLimits()
-PARITY_LIMITS = TextLimits(RAG_MAX_TEXT_CHARS, RAG_MAX_SENTENCES, CLAIMS_PER_RESPONSE, CLAIM_MAX_CHARS)
+PARITY_LIMITS = TextLimits(RAG_MAX_TEXT_CHARS, RAG_MAX_SENTENCES, CLAIMS_PER_RESPONSE, CLAIM_MAX_CHARS,
+                           MAX_TEXT_CHARS, MAX_TAGS, MAX_TAG_CHARS)

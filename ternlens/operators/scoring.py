@@ -38,9 +38,9 @@ EMB_STRUCT = T.StructType([
 
 # ------------------------------------------------------------------ P1 / P2 / P3 / P4
 def normalize_events(events: DataFrame, keep: list[str] | None = None,
-                     max_chars: int = K.MAX_TEXT_CHARS, max_tags: int = K.MAX_TAGS,
-                     max_tag_chars: int = K.MAX_TAG_CHARS) -> DataFrame:
-    """Defaults, text truncation (200 000 chars), tags → first 50 × 100 chars.
+                     max_chars: int | None = None, max_tags: int | None = None,
+                     max_tag_chars: int | None = None) -> DataFrame:
+    """Defaults; texts and tags are whole unless cut to ``max_chars`` and ``max_tags`` × ``max_tag_chars``.
 
     A missing id becomes md5 of (app, timestamp, query, response) so retries and
     re-runs produce the same key.
@@ -49,8 +49,10 @@ def normalize_events(events: DataFrame, keep: list[str] | None = None,
     missing = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA.fields if f.name not in events.columns}
     if missing:
         events = events.withColumns(missing)
-    cut = max_chars
+    def cut(text: Column, chars: int | None) -> Column:
+        return text if chars is None else F.substring(text, 1, chars)
     tags = F.coalesce(F.col("tags").cast("array<string>"), F.array().cast("array<string>"))
+    tags = tags if max_tags is None else F.slice(tags, 1, max_tags)
     ident = F.coalesce(F.col("id"), F.md5(F.concat_ws("\u0001", F.col("app_name"),
                                                        F.col("timestamp").cast("string"),
                                                        F.col("query"), F.col("response"))))
@@ -58,12 +60,12 @@ def normalize_events(events: DataFrame, keep: list[str] | None = None,
         ident.alias("id"),
         F.coalesce(F.col("app_name"), F.lit(K.DEFAULT_APP)).alias("app_name"),
         F.coalesce(F.col("timestamp"), F.current_timestamp()).alias("timestamp"),
-        F.substring(F.coalesce(F.col("query"), F.lit("")), 1, cut).alias("query"),
-        F.when(F.col("context").isNotNull(), F.substring("context", 1, cut)).alias("context"),
-        F.substring(F.coalesce(F.col("response"), F.lit("")), 1, cut).alias("response"),
+        cut(F.coalesce(F.col("query"), F.lit("")), max_chars).alias("query"),
+        cut(F.col("context"), max_chars).alias("context"),
+        cut(F.coalesce(F.col("response"), F.lit("")), max_chars).alias("response"),
         F.coalesce(F.col("model_name"), F.lit(K.DEFAULT_MODEL)).alias("model_name"),
         F.coalesce(F.col("latency_ms"), F.lit(0)).cast("int").alias("latency_ms"),
-        F.transform(F.slice(tags, 1, max_tags), lambda t: F.substring(t, 1, max_tag_chars)).alias("tags"),
+        (tags if max_tag_chars is None else F.transform(tags, lambda t: cut(t, max_tag_chars))).alias("tags"),
         *(keep or []),
     )
 
@@ -289,7 +291,7 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
         if col is not None:
             extra[name] = col
     src = events.withColumns(extra) if extra else events
-    rec = event_to_record(normalize_events(src, keep=list(extra)))
+    rec = event_to_record(normalize_events(src, list(extra), limits.event_chars, limits.tags, limits.tag_chars))
     rec = with_embeddings(rec, dim, embedder, limits)
     # Rows whose embedding failed keep module defaults; the count is kept per row.
     rec = rec.withColumn("score_errors", F.col("_emb")["errors"])

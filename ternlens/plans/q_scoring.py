@@ -271,7 +271,7 @@ def normalized_document_events(spark, sf):
                   F.lit(None).cast("string").alias("context"), F.col("text").alias("response"),
                   F.col("lang").alias("model_name"), F.lit(None).cast("int").alias("latency_ms"),
                   F.array("lang", "source", "lang").alias("tags"))
-    n = SC.normalize_events(ev)
+    n = SC.normalize_events(ev, max_chars=K.MAX_TEXT_CHARS, max_tags=K.MAX_TAGS, max_tag_chars=K.MAX_TAG_CHARS)
     return n.select("id", "app_name", "response", "model_name", "tags",
                     F.length("response").alias("response_chars"))
 

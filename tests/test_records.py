@@ -142,3 +142,17 @@ def test_malformed_webhook_is_invalid(spark):
     urls = [("https://hooks.slack.com/x", True), ("https://exa mple.com/%%", False), ("http://hooks.slack.com/x", False), (None, False)]
     df = spark.createDataFrame(urls, "u string, ok boolean")
     assert all(r.got == r.ok for r in df.withColumn("got", AL.valid_webhook(F.col("u"))).collect())
+
+
+def test_events_are_whole_but_for_parity(spark):
+    from ternlens import constants as K
+    from ternlens.operators import scoring as SC
+    long = "word " * 40_001 + "end"  # over 200 000 characters
+    df = spark.createDataFrame([("a", long, long, long, ["t" * 120] * 60)],
+                               "id string, query string, context string, response string, tags array<string>")
+    off = K.ModuleFlags(drift=False, rag=False, hallucination=False)
+    whole = SC.evaluate(df, off).first()
+    assert whole.query == whole.context == whole.response == long and whole.tags == ["t" * 120] * 60
+    assert whole.response_length == 40_002
+    cut = SC.evaluate(df, off, limits=K.PARITY_LIMITS).first()
+    assert cut.query == cut.context == cut.response == long[:200_000] and cut.tags == ["t" * 100] * 50
