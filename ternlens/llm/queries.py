@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternlens.llm import bpe_automaton, exact_dedup, graph_search, langid, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity
+from ternlens.llm import (bpe_automaton, exact_dedup, fill_middle, graph_search, langid, near_dedup, packing, periodic_runs,
+                          quality, suffix_dedup, token_counts, toxicity)
 from ternlens.session import ship_package
 from ternlens.sources.tables import table
 
@@ -63,6 +64,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_digests(fill_middle.fill_middle(table(spark, sf_dir, "documents")))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -76,6 +85,35 @@ SELECT doc_id,
 FROM d
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines
+  FROM documents),
+h AS (
+  SELECT doc_id, text, lines, CAST(len(lines) AS BIGINT) AS n,
+         CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2,
+         CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+              THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+         array_to_string(lines[b + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     "op1_pruned_graph_search": op1_pruned_graph_search,
     "op2_dart_minhash": op2_dart_minhash,
@@ -87,8 +125,10 @@ QUERIES = {
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_discriminant": op10_quality_discriminant,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_fill_middle": op13_fill_middle,
 }
-ORACLE = {"op9_exact_dedup": OP9_SQL}
+ORACLE = {"op9_exact_dedup": OP9_SQL, "op13_fill_middle": OP13_SQL}
 
 
 def shipped(fn):
