@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternlens.llm import (bpe_automaton, exact_dedup, fill_middle, graph_search, langid, near_dedup, packing, periodic_runs,
-                          quality, suffix_dedup, token_counts, toxicity)
+                          quality, segment_join, suffix_dedup, token_counts, toxicity)
 from ternlens.session import ship_package
 from ternlens.sources.tables import table
 
@@ -68,6 +68,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
 
 
+def op12_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_digests(fill_middle.fill_middle(table(spark, sf_dir, "documents")))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_discriminant": op10_quality_discriminant,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_segment_join": op12_segment_join,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLE = {"op9_exact_dedup": OP9_SQL, "op13_fill_middle": OP13_SQL}
