@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,56 @@ def staged(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _FOLDERS:
+        atexit.register(_remove_all)
+    _FOLDERS[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of this driver's staged tables, in the order they were written.
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def _collect(spark: SparkSession) -> None:
+    """Lets the driver's collector find the shuffles of finished steps, whose files Spark's cleaner then removes."""
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.java.lang.System.gc()
+
+
+def releasing(operator):
+    """The operator's result (a DataFrame) keeps the staged tables that it reads; the others written meanwhile are removed."""
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        before = set(_FOLDERS)
+        out = operator(*args, **kwargs)
+        release(set(_FOLDERS) - before, out)
+        _collect(out.sparkSession)
+        return out
+    return run
+
+
+def release(paths: set[str], result: DataFrame | None = None) -> None:
+    """Removes the staged folders ``paths`` but for those that ``result`` reads."""
+    used = result.inputFiles() if result is not None else []
+    read = {p for p in paths if any(p.rsplit("/", 1)[1] in f for f in used)}
+    for path in paths - read:
+        _remove(_FOLDERS.pop(path), path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of staged tables that nothing reads any more, and the shuffles that made them."""
+    for t in tables:
+        release({p for p in list(_FOLDERS) if any(p.rsplit("/", 1)[1] in f for f in t.inputFiles())})
+    if tables:
+        _collect(tables[0].sparkSession)
+
+
+def _remove_all() -> None:
+    for path, spark in _FOLDERS.items():
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = getattr(spark.sparkContext, "_jvm", None)
     if jvm is None or spark.sparkContext._jsc is None:

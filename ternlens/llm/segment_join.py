@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternlens.llm.bpe_automaton import _Table
-from ternlens.llm.common import own, staged
+from ternlens.llm.common import discard, own, releasing, staged
 from ternlens.llm.components import merged
 
 WORDS = 4
@@ -119,49 +119,48 @@ class Segments:
         deleted = [_mix(total[j] - element[edge[j]:edge[j + 1]]) for j in range(self.capable(m))]
         return _mix(total), deleted
 
-    def all_keys(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return s
+    def all_keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set under all its bands, and of each its tag: 4 * segment + 2 * (one element deleted) + (band below)."""
         element = _mix(s + _GOLD)
-        parts = [k for band in self.bands(len(s)) for whole, deleted in [self.keys(s, element, band)] for k in (whole, *deleted)]
-        return np.concatenate(parts)
-
-    def allocated(self, s: np.ndarray, cost: dict[int, int]) -> dict[int, int]:
-        """Flags by key of those keys that have a ``cost`` (sets met there); segments are allocated so that the sum of costs is least."""
-        element, n = _mix(s + _GOLD), len(s)
-        out: dict[int, int] = {}
-
-        def flag(key: int, bits: int) -> None:
-            if key in cost:
-                out[key] = out.get(key, 0) | bits
-
-        for k, band in enumerate(self.bands(n)):
+        keys, tags = [], []
+        for below, band in enumerate(self.bands(len(s))):
             whole, deleted = self.keys(s, element, band)
-            whole, deleted = whole.view(np.int64).tolist(), [d.view(np.int64).tolist() for d in deleted]
-            if k == 0:
-                for key in whole:
-                    flag(key, INDEX)
-                for key in (x for d in deleted for x in d):
-                    flag(key, INDEX_DELETED)
-            spare = len(whole) - self.apart(n, min(n, self.high(band))) - 1
-            price = [cost.get(key, 0) for key in whole]
-            near = sorted((price[j] + sum(cost.get(key, 0) for key in d), j) for j, d in enumerate(deleted))
+            keys += [whole, *deleted]
+            tags += [np.arange(len(whole)) * 4 + below, *[np.full(len(d), 4 * j + 2 + below) for j, d in enumerate(deleted)]]
+        return np.concatenate(keys), np.concatenate(tags).astype(np.int32)
+
+    def allocated(self, n: int, tags: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        """Flags of the keys (by tag) of a set of ``n`` elements that meet others, at a ``cost`` (sets met; 0 for all keys not named).
+
+        Segments are allocated so that the sum of the costs is least.
+        """
+        flags = np.zeros(len(tags), np.int32)
+        below, deleted, segment = tags & 1, tags & 2 > 0, tags >> 2
+        flags[(below == 0) & ~deleted] |= INDEX
+        flags[(below == 0) & deleted] |= INDEX_DELETED
+        for k, band in enumerate(self.bands(n)):
+            m = self.count(band)
+            whole, gone = (below == k) & ~deleted, (below == k) & deleted
+            price, near = np.zeros(m, np.int64), np.zeros(self.capable(m), np.int64)
+            np.add.at(price, segment[whole], cost[whole])
+            np.add.at(near, segment[gone], cost[gone])
+            near += price[:len(near)]
+            spare = m - self.apart(n, min(n, self.high(band))) - 1
+            order, cheap = np.argsort(-price, kind="stable"), np.argsort(near, kind="stable")
             best = None
             for raised in range(len(near) + 1):
-                up = {j for _, j in near[:raised]}
-                order = sorted((j for j in range(len(whole)) if j not in up), key=lambda j: -price[j])
-                gone = order[:spare + raised]
-                total = sum(price[j] for j in order[spare + raised:]) + sum(c for c, _ in near[:raised])
+                up = cheap[:raised]
+                rest = order[~np.isin(order, up)]
+                total = price[rest[spare + raised:]].sum() + near[up].sum()
                 if best is None or total < best[0]:
-                    best = (total, set(gone), up)
-            _, gone, up = best
-            for j, key in enumerate(whole):
-                if j not in gone:
-                    flag(key, PROBE_NEAR | PROBE if j in up else PROBE)
-            for j in up:
-                for key in deleted[j]:
-                    flag(key, PROBE_DELETED)
-        return out
+                    best = (total, rest[:spare + raised], up)
+            level = np.ones(m, np.int64)
+            level[best[1]], level[best[2]] = 0, 2
+            got = np.where(below == k, level[np.minimum(segment, m - 1)], 0)
+            flags[whole & (got > 0)] |= PROBE
+            flags[whole & (got > 1)] |= PROBE_NEAR
+            flags[gone & (got > 1)] |= PROBE_DELETED
+        return flags
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -193,103 +192,92 @@ def _groups(texts: list, most: int = 4_000_000):
 
 
 def signed(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """id, th (hash of the text), n, node (hash of the set; null if empty), keys array<long> (null for copies the task has seen)."""
+    """id, th (hash of the text), n, node (hash of the set; null if empty), and once for a task's copies: keys, tags, bits (the sketch)."""
     def run(batches):
         hashes, segments, seen = _Table(xxhash.xxh64_intdigest), Segments(similarity), set()
         for b in batches:
             ids, texts, th = b.column(0), b.column(1).to_pylist(), b.column(2)
             for lo, hi in _groups(texts):
-                n, node, keys = [], [], []
+                n, node, keys, tags, bits = [], [], [], [], []
                 for t in texts[lo:hi]:
                     s = shingles(t, hashes)
                     n.append(len(s))
-                    if not len(s):
-                        node.append(None)
-                        keys.append(None)
-                        continue
-                    name = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    name = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                     node.append(name)
-                    if name in seen:
-                        keys.append(None)
+                    if name is None or name in seen:
+                        for column in (keys, tags, bits):
+                            column.append(None)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    keys.append(segments.all_keys(s).view(np.int64))
+                    key, tag = segments.all_keys(s)
+                    keys.append(key.view(np.int64))
+                    tags.append(tag)
+                    bits.append(sketch(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), th.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "n", "node", "keys"])
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(tags, pa.list_(pa.int32())), pa.array(bits, pa.binary())],
+                    names=["id", "th", "n", "node", "keys", "tags", "bits"])
     kind = docs.schema[id_col].dataType.simpleString()
     rows = own(docs, id_col, text_col).withColumn("th", F.xxhash64(F.col(text_col)))
-    return rows.mapInArrow(run, f"id {kind}, th long, n long, node long, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, th long, n long, node long, keys array<long>, tags array<int>, bits binary")
 
 
 def meetings(keys: DataFrame) -> DataFrame:
-    """key, node, c (rows under the key), hub (its least node) of all keys under which different nodes meet.
+    """key, node, tag, c (rows under the key), hub (its least node) of all keys under which different nodes meet.
 
-    ``keys`` (key, node) are shuffled once.  Keys that a sample shows under a large share of all nodes are dealt over several tasks;
-    there are at most (keys a node) / HEAVY_SHARE of them, so they can be broadcast.
+    ``keys`` (key, node, tag) are shuffled once.  Keys that a sample shows under a large share of all nodes are dealt over several
+    tasks; there are at most (keys a node) / HEAVY_SHARE of them, so they can be broadcast.
     """
     some = keys.filter(F.pmod("node", F.lit(SAMPLE)) == 0)
     total = some.agg((F.approx_count_distinct("node") * HEAVY_SHARE).alias("least"))
     heavy = (some.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") >= HEAVY)
              .join(F.broadcast(total), F.col("k") >= F.col("least")).select("key", F.lit(True).alias("heavy")))
     heavy = staged(heavy, "heavy", slim=True)
-    dealt = (keys.join(F.broadcast(heavy), "key", "left")
-             .select("key", "node", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt")))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt")
+    dealt = keys.join(F.broadcast(heavy), "key", "left").select("key", "node", "tag", salt)
     part = Window.partitionBy("key", "salt")
-    met = dealt.select("key", "node", "salt", F.min("node").over(part).alias("hub"), F.max("node").over(part).alias("top"),
+    met = dealt.select("key", "node", "tag", "salt", F.min("node").over(part).alias("hub"), F.max("node").over(part).alias("top"),
                        F.count("*").over(part).alias("c"))
     met = staged(met.filter("salt > 0 OR hub <> top").distinct(), "met")
-    light = met.filter("salt = 0").select("key", "node", "c", "hub")
+    light = met.filter("salt = 0").select("key", "node", "tag", "c", "hub")
     # of a heavy key, the parts are put together: SALTS rows for each at most
     parts = met.filter("salt > 0").groupBy("key", "salt").agg(F.max("c").alias("c"), F.min("hub").alias("hub"), F.max("top").alias("top"))
     key = Window.partitionBy("key")
     whole = (parts.select("key", "salt", F.sum("c").over(key).alias("c"), F.min("hub").over(key).alias("hub"), F.max("top").over(key).alias("top"))
              .filter("hub <> top").select("key", "salt", "c", "hub"))
-    return light.union(met.filter("salt > 0").select("key", "salt", "node").join(whole, ["key", "salt"]).select("key", "node", "c", "hub"))
+    out = staged(light.union(met.filter("salt > 0").select("key", "salt", "node", "tag").join(whole, ["key", "salt"])
+                             .select("key", "node", "tag", "c", "hub")), "meetings")
+    discard(heavy, met)
+    return out
 
 
-def allocations(docs: DataFrame, names: DataFrame, met: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """node, n, cells (the set), bits (its sketch), first (the node it meets under most keys), rows (key, flags) of nodes that meet others."""
-    hits = met.groupBy("node").agg(F.collect_list(F.struct("key", "c", "hub")).alias("hits"))
-    texts = own(docs, id_col, text_col).select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    found = names.join(hits, "node")
-    rows = (texts.join(found, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))).select("node", "text", "hits")
-            .dropDuplicates(["node"]))
+def allocations(met: DataFrame, names: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """node, n, bits, first (the node it meets under most keys), rows (key, flags) of the nodes that meet others."""
+    hits = met.groupBy("node").agg(F.collect_list(F.struct("key", "tag", "c", "hub")).alias("hits"))
 
     def run(batches):
-        hashes, segments = _Table(xxhash.xxh64_intdigest), Segments(similarity)
+        segments = Segments(similarity)
         for b in batches:
-            nodes, texts, hits = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            node, n, hits = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
             edge = hits.offsets.to_numpy()
-            key, c, hub = (hits.values.field(k).to_numpy() for k in range(3))
-            for lo, hi in _groups(texts):
-                out: list[list] = [[] for _ in range(5)]
-                for k in range(lo, hi):
-                    s = shingles(texts[k], hashes)
-                    at = slice(edge[k], edge[k + 1])
-                    cost = dict(zip(key[at].tolist(), (c[at] - 1).tolist()))
-                    flags = segments.allocated(s, cost)
-                    others, times = np.unique(hub[at][hub[at] != nodes[k]], return_counts=True)
-                    out[0].append(len(s))
-                    out[1].append(s.view(np.int64))
-                    out[2].append(sketch(s).tobytes())
-                    out[3].append(int(others[times.argmax()]) if len(others) else None)
-                    out[4].append(flags)
-                sizes = np.concatenate([[0], np.cumsum([len(f) for f in out[4]])]).astype(np.int32)
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array([x for f in out[4] for x in f], pa.int64()), pa.array([x for f in out[4] for x in f.values()], pa.int32())],
-                    names=["key", "flags"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[lo:hi], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())),
-                     pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pairs)],
-                    names=["node", "n", "cells", "bits", "first", "rows"])
-    return rows.mapInArrow(run, "node long, n long, cells array<long>, bits binary, first long, rows array<struct<key:long,flags:int>>")
-
-
-def verified(pairs: DataFrame, live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar: by the sketches, then by the sets."""
+            key, tag, c, hub = (hits.values.field(k).to_numpy() for k in range(4))
+            first, flags = [], np.zeros(len(key), np.int32)
+            for k in range(len(node)):
+                at = slice(edge[k], edge[k + 1])
+                flags[at] = segments.allocated(int(n[k]), tag[at], c[at] - 1)
+                others, times = np.unique(hub[at][hub[at] != node[k]], return_counts=True)
+                first.append(int(others[times.argmax()]) if len(others) else None)
+            rows = pa.StructArray.from_arrays([pa.array(key), pa.array(flags)], names=["key", "flags"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(first, pa.int64()), pa.ListArray.from_arrays(pa.array(edge), rows)],
+                                             names=["node", "n", "bits", "first", "rows"])
+    return (names.select("node", "n", "bits").join(hits, "node")
+            .mapInArrow(run, "node long, n long, bits binary, first long, rows array<struct<key:long,flags:int>>"))
+
+
+def near_pairs(pairs: DataFrame, live: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and sketches allow to be similar."""
     num, den = similarity
 
     def run(batches):
@@ -299,14 +287,40 @@ def verified(pairs: DataFrame, live: DataFrame, similarity: tuple[int, int]) ->
             near = [sketch_distance(x, y) <= segments.apart(int(p), int(q))
                     for x, y, p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), na, nb)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-    side = lambda c, *cols: live.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
-    sized = (pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    side = lambda c: live.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    sized = (pairs.join(side("a"), "a").join(side("b"), "b")
              .filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
              .select("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
-    near = staged(sized.mapInArrow(run, "a long, b long"), "near", slim=True)
+    return sized.mapInArrow(run, "a long, b long")
+
+
+def sets(docs: DataFrame, names: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, cells (the whole set) of the nodes, from the text that ``names`` has for each."""
+    def run(batches):
+        hashes = _Table(xxhash.xxh64_intdigest)
+        for b in batches:
+            node, texts = b.column(0), b.column(1).to_pylist()
+            for lo, hi in _groups(texts):
+                yield pa.RecordBatch.from_arrays(
+                    [node.slice(lo, hi - lo), pa.array([shingles(t, hashes).view(np.int64) for t in texts[lo:hi]], pa.list_(pa.int64()))],
+                    names=["node", "cells"])
+    texts = own(docs, id_col, text_col).select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    wanted = names.select("node", "id", "th").join(nodes, "node")
+    return (texts.join(wanted, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))).select("node", "text")
+            .mapInArrow(run, "node long, cells array<long>").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, live: DataFrame, texts: tuple, similarity: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar: by the sketches, then by the sets (``texts``: the further arguments of ``sets``)."""
+    num, den = similarity
+    near = staged(near_pairs(pairs, live, similarity), "near", slim=True)
+    docs, names, *columns = texts
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    cells = staged(sets(docs, names, nodes, *columns), "sets")
+    one, two = cells.toDF("a", "cells_a"), cells.toDF("b", "cells_b")
     both = F.size(F.array_intersect("cells_a", "cells_b"))
-    return (near.join(side("a", "n", "cells"), "a").join(side("b", "n", "cells"), "b")
-            .filter(both * den >= (F.col("n_a") + F.col("n_b") - both) * num).select("a", "b"))
+    return (near.join(one, "a").join(two, "b")
+            .filter(both * den >= (F.size("cells_a") + F.size("cells_b") - both) * num).select("a", "b"))
 
 
 def block_pairs(batches):
@@ -371,19 +385,25 @@ def set_join(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, id_col:
              ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(id, n, node of every row; verified links (a, b) between nodes that join the components; node, label of linked nodes)."""
     rows = staged(signed(docs, similarity, id_col, text_col), "signed")
-    members = rows.select("id", "th", "n", "node")
-    names = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("one")).select("node", "one.id", "one.th")
-    met = staged(meetings(rows.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")), "meetings")
-    live = staged(allocations(docs, names, met, similarity, id_col, text_col), "live")
+    met = meetings(rows.filter("keys IS NOT NULL").select("node", F.explode(F.arrays_zip("keys", "tags")).alias("k"))
+                   .select(F.col("k.keys").alias("key"), "node", F.col("k.tags").alias("tag")))
+    members = staged(rows.select("id", "th", "n", "node"), "members")
+    names = (rows.filter("bits IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "th", "n", "bits")).alias("one"))
+             .select("node", "one.*"))
+    live = staged(allocations(met, names, similarity), "live")
+    names = staged(names.join(live.select("node"), "node", "left_semi").select("node", "id", "th"), "names")
+    discard(rows, met)
+    texts = (docs, names, id_col, text_col)
     first = live.filter("first IS NOT NULL").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    found = staged(verified(first, live, similarity), "links", slim=True)
+    found = staged(verified(first, live, texts, similarity), "links", slim=True)
     labels = merged(None, found) if found.limit(1).count() else None
-    more = staged(verified(questions(live, labels), live, similarity), "links", slim=True)
+    more = staged(verified(questions(live, labels), live, texts, similarity), "links", slim=True)
     if more.limit(1).count():
         found, labels = found.union(more), merged(labels, more)
     return members, (found if labels is not None else None), labels
 
 
+@releasing
 def linked_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, and ``set_id`` (equal for documents with equal sets; null if empty) for every row."""
     members, _, labels = set_join(docs, similarity, id_col, text_col)

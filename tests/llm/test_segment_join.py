@@ -83,6 +83,17 @@ def test_edited_families_against_brute_force(spark, similarity):
     assert found(sj.linked_components(docs, similarity)) == sorted(brute(rows, *similarity), key=repr)
 
 
+def flagged(segments, x, cost):
+    """Flags by key of the set ``x``."""
+    keys, tags = segments.all_keys(x)
+    keys = keys.view(np.int64).tolist()
+    flags = segments.allocated(len(x), tags, np.array([cost(k) for k in keys]))
+    out = {}
+    for k, f in zip(keys, flags.tolist()):
+        out[k] = out.get(k, 0) | f
+    return out
+
+
 def test_pairs_at_the_border_are_always_candidates():
     """Every similar pair meets as index and probe, whatever the costs say."""
     rng, segments = np.random.default_rng(5), sj.Segments()
@@ -99,9 +110,7 @@ def test_pairs_at_the_border_are_always_candidates():
         if 100 * both < 85 * (len(base) + len(other) - both):
             continue
         small, large = sorted((base, other), key=len)
-        keys = np.concatenate([segments.all_keys(small), segments.all_keys(large)]).view(np.int64).tolist()
-        cost = {k: costs.choice([0, 1, 5, 1000]) for k in keys}
-        r, s = segments.allocated(small, cost), segments.allocated(large, cost)
+        r, s = (flagged(segments, x, lambda key: costs.choice([0, 1, 5, 1000])) for x in (small, large))
         probing = sj.PROBE | sj.PROBE_NEAR | sj.PROBE_DELETED
         meets = any((r[k] & sj.INDEX and s[k] & probing) or (r[k] & sj.INDEX_DELETED and s[k] & sj.PROBE_NEAR) for k in r.keys() & s.keys())
         if len(small) == len(large):  # of equal sizes either may be taken as the smaller
@@ -116,8 +125,8 @@ def test_costs_decide_what_is_left_out():
     whole, deleted = segments.keys(s, sj._mix(s + sj._GOLD), segments.bands(len(s))[0])
     keys = whole.view(np.int64).tolist()
     spare = len(keys) - segments.apart(len(s), len(s)) - 1
-    cost = dict.fromkeys(keys, 1) | dict.fromkeys(keys[-(spare + 1):], 10_000) | dict.fromkeys(deleted[0].view(np.int64).tolist(), 1)
-    flags = segments.allocated(s, cost)
+    cost = dict.fromkeys(keys, 1) | dict.fromkeys(keys[-(spare + 1):], 10_000)
+    flags = flagged(segments, s, lambda k: cost.get(k, 0))
     assert all(not flags[k] & sj.PROBE for k in keys[-(spare + 1):])  # one more than there is to spare ...
     assert flags[keys[0]] & sj.PROBE_NEAR  # ... paid for by a deletion neighbourhood
 
