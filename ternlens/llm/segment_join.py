@@ -17,9 +17,10 @@ Verification.  Pairs are first held against a parity sketch (bits toggled by the
 than the sets do), which drops no similar pair, and then on the sets themselves: the intersection is exact but for collisions of 64-bit
 hashes, about one in 1e13 for a pair of texts.
 
-Components.  Equal sets are one node.  Each node is compared with the set it meets under most keys, first; then all pairs that meet
-under a key and are in different components are compared, large buckets in blocks.  Only pairs already joined by links are spared, so
-no component is missed, and a big group of near copies isn't expanded into all pairs.
+Components.  Equal sets are one node.  Each node is compared with the set it meets under most keys, first.  Then all pairs that meet
+under a key and are in different components are compared by their sketches, large buckets in blocks; of the pairs left, the closest that
+would join a block's components are verified, and in a second round every pair that is still between two components.  Only
+pairs already joined by links are spared, so no component is missed, and a big group of near copies isn't expanded into all pairs.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing, component their own identifier;
 repeated rows and equal sets are one component; a null identifier is given a component by the other members, null if there are none; an
@@ -164,8 +165,8 @@ class Segments:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity bits (as bytes) by the elements' last bits; about four bits an element, a power of two."""
-    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    """Parity bits (as bytes) by the elements' last bits; eight bits an element or more, a power of two."""
+    size = 1 << max(6, (8 * len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1)
 
 
@@ -310,75 +311,128 @@ def sets(docs: DataFrame, names: DataFrame, nodes: DataFrame, id_col: str, text_
             .mapInArrow(run, "node long, cells array<long>").dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, live: DataFrame, texts: tuple, similarity: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar: by the sketches, then by the sets (``texts``: the further arguments of ``sets``)."""
+def verified(near: DataFrame, texts: tuple, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs ``near`` (a, b) whose sets are similar (``texts``: arguments of ``sets`` but for the nodes)."""
     num, den = similarity
-    near = staged(near_pairs(pairs, live, similarity), "near", slim=True)
     docs, names, *columns = texts
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cells = staged(sets(docs, names, nodes, *columns), "sets")
     one, two = cells.toDF("a", "cells_a"), cells.toDF("b", "cells_b")
     both = F.size(F.array_intersect("cells_a", "cells_b"))
-    return (near.join(one, "a").join(two, "b")
-            .filter(both * den >= (F.size("cells_a") + F.size("cells_b") - both) * num).select("a", "b"))
-
-
-def block_pairs(batches):
-    """Rows (key, x, y, left, node, n, label, flags), sorted by (key, x, y), to the pairs (a, b) in question of each two blocks."""
-    held: list[pa.RecordBatch] = []
-
-    def work(t: pa.Table):
-        node, n, label, flags = (t.column(c).to_numpy() for c in ("node", "n", "label", "flags"))
-        left = t.column("left").to_numpy(zero_copy_only=False)
-        same = t.column("x")[0] == t.column("y")[0]
-        i = np.nonzero(left)[0]
-        j = i if same else np.nonzero(~left)[0]
-        p, q = i[:, None], j[None, :]
-        larger = (n[p] > n[q]) | ((n[p] == n[q]) & (node[p] > node[q]))
-        small, large = np.where(larger, flags[q], flags[p]), np.where(larger, flags[p], flags[q])
-        ok = (label[p] != label[q]) & (((small & INDEX > 0) & (large & (PROBE | PROBE_NEAR | PROBE_DELETED) > 0))
-                                       | ((small & INDEX_DELETED > 0) & (large & PROBE_NEAR > 0)))
-        a, b = np.nonzero(ok & (node[p] < node[q]) if same else ok)
-        a, b = node[i[a]], node[j[b]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def whole(t: pa.Table, last: bool):
-        """Groups of ``t`` that have ended, and what is left."""
-        key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
-        edge = np.nonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[0].tolist()
-        ends = [*edge[1:], len(key)] if last else edge[1:]
-        return [t.slice(s, e - s) for s, e in zip(edge, ends)], None if last else t.slice(edge[-1])
-
-    for b in batches:
-        if not b.num_rows:
+    out = staged(near.join(one, "a").join(two, "b")
+                 .filter(both * den >= (F.size("cells_a") + F.size("cells_b") - both) * num).select("a", "b"), "links", slim=True)
+    discard(cells)
+    return out
+
+
+def distances(bits: list[bytes], i: np.ndarray, j: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Sketch distances of the pairs ``bits[i]``, ``bits[j]``."""
+    size = np.array([len(x) for x in bits])
+    out = np.zeros(len(i), np.int64)
+    shape = size[i] * (1 << 32) + size[j]
+    for s in np.unique(shape):
+        at = np.nonzero(shape == s)[0]
+        least = int(min(s >> 32, s & 0xFFFFFFFF))
+
+        def folded(k):
+            used, back = np.unique(k, return_inverse=True)
+            rows = np.frombuffer(b"".join([bits[x] for x in used]), np.uint8).reshape(len(used), -1, least)
+            return np.bitwise_xor.reduce(rows, axis=1), back
+        (p, pi), (q, qi) = folded(i[at]), folded(j[at])
+        step = max(1, most // least)
+        for lo in range(0, len(at), step):
+            differ = p[pi[lo:lo + step]] ^ q[qi[lo:lo + step]]
+            out[at[lo:lo + step]] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _block_pairs(t: pa.Table, segments: Segments, joining: bool) -> pa.RecordBatch:
+    """Of two blocks of a bucket, the pairs (a, b) between components whose sketches allow them to be similar, but for those that
+    have been tried; ``joining``: of these the closest ones that would join the components."""
+    node, n, label, flags = (t.column(c).to_numpy() for c in ("node", "n", "label", "flags"))
+    left = t.column("left").to_numpy()
+    i = np.nonzero(left)[0]
+    same = t.column("x")[0] == t.column("y")[0]
+    j = i if same else np.nonzero(~left)[0]
+    p, q = i[:, None], j[None, :]
+    larger = (n[p] > n[q]) | ((n[p] == n[q]) & (node[p] > node[q]))
+    small, large = np.where(larger, flags[q], flags[p]), np.where(larger, flags[p], flags[q])
+    ok = (label[p] != label[q]) & (((small & INDEX > 0) & (large & (PROBE | PROBE_NEAR | PROBE_DELETED) > 0))
+                                   | ((small & INDEX_DELETED > 0) & (large & PROBE_NEAR > 0)))
+    ok &= np.minimum(n[p], n[q]) * segments.den >= np.maximum(n[p], n[q]) * segments.num
+    if same:
+        ok &= node[p] < node[q]
+    a, b = np.nonzero(ok)
+    a, b = i[a], j[b]
+    if len(a):
+        most = (segments.den - segments.num) * (n[a] + n[b]) // (segments.den + segments.num)
+        far = distances(t.column("bits").to_pylist(), a, b)
+        near = far <= most
+        a, b, share = a[near], b[near], far[near] / np.maximum(most[near], 1)
+        a, b = a[np.argsort(share, kind="stable")], b[np.argsort(share, kind="stable")]
+    tried = {(x, y) for x, some in zip(node.tolist(), t.column("tried").to_pylist()) for y in some or ()}
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        pair = tuple(sorted((int(node[x]), int(node[y]))))
+        if pair in tried:
             continue
-        groups, rest = whole(pa.Table.from_batches([*held, b]).combine_chunks(), False)
-        yield from map(work, groups)
-        held = rest.to_batches()
-    if held:
-        yield from map(work, whole(pa.Table.from_batches(held).combine_chunks(), True)[0])
+        if joining:
+            u, v = top(int(label[x])), top(int(label[y]))
+            if u == v:
+                continue
+            parent[u] = v
+        out.append(pair)
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
 
+def _ended(t: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
+    """Groups (key, x, y) of ``t`` that have ended, and the rows left."""
+    key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
+    edge = np.nonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[0].tolist()
+    ends = [*edge[1:], len(key)] if last else edge[1:]
+    return [t.slice(s, e - s) for s, e in zip(edge, ends)], None if last else t.slice(edge[-1])
 
-def questions(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that meet under a key as index and probe."""
-    rows = live.select("node", "n", F.explode("rows").alias("r")).select("node", "n", "r.key", "r.flags")
+
+def questions(rows: DataFrame, live: DataFrame, labels: DataFrame | None, tried: DataFrame, similarity: tuple[int, int],
+              joining: bool) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that meet under a key as index and probe and may be similar by their sketches.
+
+    ``rows``: key, node, n, flags; ``tried``: pairs (a, b) verified before.
+    """
     if labels is not None:
         rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         rows = rows.withColumn("label", F.col("node"))
-    rows = staged(rows.select("key", "node", "n", "flags", "label"), "rows")
     probing = PROBE | PROBE_NEAR | PROBE_DELETED
     keys = (rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"),
                                     F.max(F.col("flags").bitwiseAND(INDEX | INDEX_DELETED) > 0).alias("index"),
                                     F.max(F.col("flags").bitwiseAND(probing) > 0).alias("probe"))
             .filter("lo <> hi AND index AND probe")
             .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    placed = (rows.join(keys, "key").withColumn("me", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    not_with = tried.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))
+    known = live.select("node", "bits").join(not_with, "node", "left")
+    placed = (rows.join(keys, "key").join(known, "node").withColumn("me", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
               .select("key", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
-                      (F.col("me") <= F.col("other")).alias("left"), "node", "n", "label", "flags"))
+                      (F.col("me") <= F.col("other")).alias("left"), "node", "n", "label", "flags", "bits", "tried"))
+
+    def run(batches):
+        segments, held = Segments(similarity), []
+        for b in batches:
+            if b.num_rows:
+                groups, rest = _ended(pa.Table.from_batches([*held, b]).combine_chunks(), False)
+                yield from (_block_pairs(g, segments, joining) for g in groups)
+                held = rest.to_batches()
+        if held:
+            yield from (_block_pairs(g, segments, joining) for g in _ended(pa.Table.from_batches(held).combine_chunks(), True)[0])
     return (placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            .mapInArrow(block_pairs, "a long, b long").distinct())
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def set_join(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
@@ -395,11 +449,19 @@ def set_join(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, id_col:
     discard(rows, met)
     texts = (docs, names, id_col, text_col)
     first = live.filter("first IS NOT NULL").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    found = staged(verified(first, live, texts, similarity), "links", slim=True)
-    labels = merged(None, found) if found.limit(1).count() else None
-    more = staged(verified(questions(live, labels), live, texts, similarity), "links", slim=True)
-    if more.limit(1).count():
-        found, labels = found.union(more), merged(labels, more)
+    asked = staged(near_pairs(first, live, similarity), "near", slim=True)
+    links = verified(asked, texts, similarity)
+    found, labels = links, merged(None, links) if links.limit(1).count() else None
+    tried = asked
+    rows = staged(live.select("node", "n", F.explode("rows").alias("r")).select("r.key", "node", "n", "r.flags"), "rows")
+    for joining in (True, False):
+        asked = staged(questions(rows, live, labels, tried, similarity, joining), "near", slim=True)
+        if not asked.limit(1).count():
+            break
+        links = verified(asked, texts, similarity)
+        if links.limit(1).count():
+            found, labels = found.union(links), merged(labels, links)
+        tried = tried.union(asked)
     return members, (found if labels is not None else None), labels
 
 
