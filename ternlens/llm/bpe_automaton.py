@@ -31,8 +31,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -77,7 +78,6 @@ class MergeAutomaton:
         for rank, pair in enumerate(spec["model"]["merges"]):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._add_gadget(vocab[u], vocab[v], vocab[u + v], rank)
-        self.longest = max(map(len, self.arc))
         # the longest label by its first four bytes: where the search for the next arc starts
         self.reach: dict[bytes, int] = {}
         for label in self.arc:
@@ -113,19 +113,26 @@ class MergeAutomaton:
             got = self._cells[key] = self._reads(s, t)
         return got
 
+    @cached_property
+    def endings(self):
+        """All labels in a matcher that names, for each byte of a word, the labels that end there, the longest first."""
+        found = ahocorasick.Automaton()
+        for label, t in self.arc.items():
+            found.add_word(label.decode("latin-1"), (len(label) - 1, t))
+        found.make_automaton()
+        return found
+
     def states(self, word: bytes) -> tuple[list[int], list[int]]:
         """For every byte prefix of ``word``: its last token, and its number of tokens."""
-        arc, cells, cell, longest = self.arc.get, self._cells.get, self.cell, self.longest
-        last, count = [-1], [0]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                t = arc(word[j:i])
-                if t is not None:
-                    s = last[j]
-                    if s < 0 or (ok := cells(s << 20 | t)) or (ok is None and cell(s, t)):
-                        last.append(t)
-                        count.append(count[j] + 1)
-                        break
+        cells, cell = self._cells.get, self.cell
+        last, count, known = [-1], [0], -1
+        for end, (before, t) in self.endings.iter(word.decode("latin-1")):
+            if end != known:  # the prefix up to here has no token yet
+                s = last[end - before]
+                if s < 0 or (ok := cells(s << 20 | t)) or (ok is None and cell(s, t)):
+                    last.append(t)
+                    count.append(count[end - before] + 1)
+                    known = end
         return last, count
 
     def encode(self, word: bytes) -> list[int]:
