@@ -1,15 +1,14 @@
 """Exact deduplication by a content sort, in DataFrame functions only.
 
-Normalised texts are range-partitioned by sampled splitters, sorted externally
-inside each partition so that equal texts are neighbours, and neighbours are
-compared in full; of equal texts one identifier stays.
+Normalised texts are range-partitioned by sampled splitters and sorted externally inside each partition, so that equal
+texts are neighbours.  Each row is compared in full with the one before it: where they differ, a new run begins.  Texts
+are ordered by content, then by length of the original (longest first) and identifier, so a run's first row is the one that stays.
 
-The splitters are sampled on a key of bounded size (first bytes, 64-bit hash, salt),
-so that the sample on the driver stays small whatever the texts' length.  Equality is
-decided on the whole text.  The salt (a hash of the identifier) spreads copies of one
-text over up to ``SALTS`` runs in as many partitions, hence a text that a third of all
-rows share doesn't meet in one task; the runs' results are put together by the text's SHA-256,
-over at most ``SALTS`` rows for each text, and go back to the rows by SHA-256 and salt.
+The splitters are sampled on a key of bounded size (first bytes, 64-bit hash, salt), so that the sample on the driver
+stays small whatever the texts' length.  The salt (a hash of the identifier) spreads copies of one text over up to
+``SALTS`` runs in as many partitions, hence a text that a third of all rows share doesn't meet in one task.  A second content sort,
+of the heads of runs that share first bytes and hash (at most ``SALTS`` for each text), compares these neighbours in full, too,
+and joins the runs.  Equality is decided on whole texts only; SHA-256 is output.
 
 Defined results: null text counts as empty; an empty table gives an empty table;
 repeated rows (same identifier) are each returned; ties in length go to the smallest
@@ -21,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import one_each, own, row_keys, rows_among, with_row
-from ternlens.session import cut_lineage
+from ternlens.llm.common import discard, one_each, own, releasing, row_keys, rows_among, staged, with_row
 
 SALTS = 64
 KEY_CHARS = 8
@@ -33,9 +31,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
+def _runs(rows: DataFrame, place: list[str], out: str) -> DataFrame:
+    """``rows`` with ``new`` (the text differs from the neighbour's before it) and ``out``, the number of the run of equal texts.
+
+    Sorted by content inside each ``place``, whose columns are the keys of the range partitioning: that one is used as it is.
+    """
+    order = Window.partitionBy(*place).orderBy("norm", F.col("n").desc(), F.col("id").asc_nulls_last())
+    to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("new", F.coalesce(F.lag("norm").over(order) != F.col("norm"), F.lit(True)))
+            .withColumn(out, F.sum(F.col("new").cast("int")).over(to_here)))
+
+
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: identifier, code points, salt, SHA-256 (binary) of the normalised
-    text, and ``leader``: the identifier that stays of the row's sorted run of equal texts."""
+    """One row per input row: id, n (code points), its sorted run (head, h, salt, run), sha (of the normalised text), and at
+    the run's first row ``new`` and the text itself (norm)."""
     rows = own(docs, id_col, text_col).select(
         F.col(id_col).alias("id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
@@ -45,29 +54,38 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.substring("norm", 1, KEY_CHARS).alias("head"),
         F.xxhash64("norm").alias("h"),
         F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    # The window's keys contain the range keys: the range partitioning is used as it is.
-    run = (Window.partitionBy("head", "h", "salt", "norm")
-           .orderBy(F.col("n").desc(), F.col("id").asc_nulls_last())
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (keyed.repartitionByRange("head", "h", "salt")
-            .select("id", "n", "salt", F.first("id").over(run).alias("leader"), "norm")
-            .select("id", "n", "salt", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "leader"))
-
-
+    place = ["head", "h", "salt"]
+    return (_runs(keyed.repartitionByRange(*place), place, "run")
+            .select("id", "n", *place, "run", "new", F.unhex(F.sha2("norm", 256)).alias("sha"),
+                    F.when(F.col("new"), F.col("norm")).alias("norm")))
+
+
+def joined_runs(rows: DataFrame) -> DataFrame:
+    """head, h, salt, run, keep (the identifier that stays) and group_size of every run of ``content_sort``."""
+    run, text = ["head", "h", "salt", "run"], ["head", "h"]
+    sizes = rows.groupBy(*run).agg(F.count("*").alias("size"))
+    shared = rows.filter("new").groupBy(*text).agg(F.count("*").alias("k")).filter("k > 1").select(*text)
+    heads = rows.filter("new").select("id", "n", "norm", *run).join(shared, text)
+    again = _runs(heads.repartitionByRange(*text), text, "group").select("id", "n", *run, "group")
+    group = Window.partitionBy(*text, "group")
+    best = group.orderBy(F.col("n").desc(), F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    several = (again.join(sizes, run)
+               .select(*run, F.first("id").over(best).alias("keep"), F.sum("size").over(group).alias("group_size")))
+    alone = (rows.filter("new").select("id", *run).join(shared, text, "left_anti").join(sizes, run)
+             .select(*run, F.col("id").alias("keep"), F.col("size").alias("group_size")))
+    return several.union(alone)
+
+
+@releasing
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    rows = cut_lineage(content_sort(docs, id_col, text_col))
-    runs = rows.groupBy("sha", "salt").agg(
-        F.count("*").alias("n_run"),
-        F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("best_run"))
-    text = Window.partitionBy("sha")  # SALTS rows of one text at most
-    groups = runs.select("sha", "salt", F.sum("n_run").over(text).alias("group_size"),
-                         F.max("best_run").over(text).alias("best"))
-    joined = rows.join(groups, ["sha", "salt"])
-    keep = -F.col("best.neg")
-    return joined.select(
-        F.col("id").alias(id_col), keep.alias("keep_id"), "group_size",
-        F.coalesce(F.col("id") == keep, F.lit(False)).alias("kept"),
+    rows = staged(content_sort(docs, id_col, text_col), "sorted")
+    runs = staged(joined_runs(rows), "runs", slim=True)
+    each = staged(rows.select("id", "head", "h", "salt", "run", "sha"), "rows")
+    discard(rows)
+    return each.join(runs, ["head", "h", "salt", "run"]).select(
+        F.col("id").alias(id_col), F.col("keep").alias("keep_id"), "group_size",
+        F.coalesce(F.col("id") == F.col("keep"), F.lit(False)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -77,6 +95,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
 
 
+@releasing
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of each class of equal texts, also of repeated rows and of rows without an identifier: the pipeline's form."""
     keys = row_keys(docs, id_col, text_col)

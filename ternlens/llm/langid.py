@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import crc_mod, own, rows_among, staged, text_hash
+from ternlens.llm.common import crc_mod, own, releasing, rows_among, staged, text_hash
 
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
@@ -291,6 +291,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         ((F.col("lang_pred") != "und") & F.coalesce(F.col("cross_entropy") <= limit, F.lit(True))).alias("accepted"), *["sha"] * sha)
 
 
+@releasing
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language is rejected, decided by the row's own text: the pipeline's form of the operator."""
     kept = languages(docs, id_col, text_col, lang_col, sha=True).filter("accepted").select(F.col(id_col).alias("id"), "sha").distinct()

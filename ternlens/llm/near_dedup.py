@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternlens.llm.bpe_automaton import _Table
-from ternlens.llm.common import one_each, own, row_keys, rows_among, staged, with_row
+from ternlens.llm.common import one_each, own, releasing, row_keys, rows_among, staged, with_row
 from ternlens.llm.components import merged
 
 WORDS = 5
@@ -342,6 +342,7 @@ def _block_links(t: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array(a, kind), "b": pa.array(c, kind)})
 
 
+@releasing
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, rep_id, kept for every row: the classes of linked near copies.
 
@@ -374,6 +375,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
 
 
+@releasing
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of each class, also of repeated rows and of rows without an identifier: the pipeline's form."""
     keys = row_keys(docs, id_col, text_col)

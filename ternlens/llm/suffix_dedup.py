@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import own, staged
+from ternlens.llm.common import discard, own, releasing, staged
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -439,6 +439,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return base, out
 
 
+@releasing
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     base, out = cleaned(docs, id_col, text_col)
@@ -449,6 +450,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")))
 
 
+@releasing
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated bytes taken out of the texts (and ``size_col``, if there, counted anew): the pipeline's form.
 
