@@ -9,12 +9,11 @@ only runs whose anchor's hash occurs twice or more go on.  No string is missed;
 
 Shards.  The bytes of a run (its starts and LENGTH - 1 bytes after) are a region.  Equal regions are counted and
 become one, so that a group of copies, however large, is one region; all its starts repeat.  The remaining
-distinct regions are dealt by anchor, so a shard holds all strings that could be equal to its own.  A shard gets a suffix array by
+distinct regions are dealt by anchor, ``REGIONS`` to a shard, so a shard holds strings that could be equal to its own.  A shard gets a suffix array by
 Larsson-Sadakane refinement (groups of equal prefixes are refined by the ranks ``h`` places on, with h doubling; sorted ones are left
 alone), and the common prefixes of neighbours by Kasai's method, run for all regions side by side: a start repeats if a neighbour
-shares LENGTH bytes.  An anchor with more than ``SHARD`` bytes is cut into several shards, which are merged by binary search: the
-strings of each are looked up in the sorted ones of the others.  One with more than ``SPLIT`` regions goes to no single task: its
-strings are counted by a 128-bit hash instead.
+shares LENGTH bytes.  Shards of one anchor are merged pair by pair, each pair in a task of its own, by binary search: the
+strings of each are looked up in the sorted ones of the other.  So an anchor with any number of regions goes to no single task.
 
 Defined results: null text counts as empty; texts shorter than LENGTH keep everything; repeated rows are copies of each other (all
 their strings repeat) and each is returned; empty tables give an empty table; extra columns are ignored; texts of any
@@ -37,10 +36,10 @@ from ternlens.llm.common import discard, own, releasing, staged
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 PIECE = 1 << 21
-#: Bytes of a shard (ranks and places are packed with 21 bits each), and regions of one anchor that one task takes.
+#: Bytes of a shard (ranks and places are packed with 21 bits each), and regions of one anchor in a shard (below these bytes).
 BITS = 21
 SHARD = (1 << BITS) - 2048
-SPLIT = 50_000
+REGIONS = 4096
 SENTINEL = 255  # not a byte of UTF-8
 _LOW = np.uint64((1 << BITS) - 1)
 _RNG = np.random.default_rng(20260101)
@@ -285,6 +284,24 @@ def repeated(regions: list[list[bytes]]) -> list[list[list[int]]]:
     return out
 
 
+def merged_spans(one: list[bytes], two: list[bytes]) -> list[list[int]]:
+    """Spans of repeated starts of the regions of two shards, of the first and then of the second."""
+    def parts(regions: list[bytes]) -> list[Shard]:
+        out, room = [], 0
+        for r in regions:
+            if room < len(r) + 1:
+                out.append([])
+                room = SHARD
+            out[-1].append(r)
+            room -= len(r) + 1
+        return [Shard(p) for p in out]
+    first, second = parts(one), parts(two)
+    for a in first:
+        for b in second:
+            a.merge(b)
+    return [s for shard in first + second for s in shard.spans()]
+
+
 # ---- Spark ---------------------------------------------------------------------------------------------------
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -339,44 +356,41 @@ _REGION_DDL = "array<struct<h:long,s:int,d:binary,content:binary>>"
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, d, content), sorted by h, to (d, spans); whole anchors at a time, about a shard of bytes together."""
-    held: list[tuple[int, bytes, bytes]] = []
+    """Rows (h, x, y, left, d, content), sorted by (h, x, y), to (d, spans): the shard x of an anchor itself, or merged with its shard y.
+
+    Shards of several anchors are worked on together, about ``SHARD`` bytes at a time.
+    """
+    held: list[tuple] = []
     size = 0
 
     def work(rows):
-        groups: dict[int, list[int]] = {}
-        for k, (h, _, _) in enumerate(rows):
-            groups.setdefault(h, []).append(k)
-        spans = repeated([[rows[k][2] for k in g] for g in groups.values()])
-        d, found = [], []
-        for g, some in zip(groups.values(), spans):
-            for k, s in zip(g, some):
-                if s:
-                    d.append(rows[k][1])
-                    found.append(s)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(found, pa.list_(pa.int32()))], names=["d", "spans"])
+        groups: dict[tuple, list[int]] = {}
+        pairs: dict[tuple, tuple[list[int], list[int]]] = {}
+        for k, (h, x, y, left, _, _) in enumerate(rows):
+            if x == y:
+                groups.setdefault((h, x), []).append(k)
+            else:
+                pairs.setdefault((h, x, y), ([], []))[not left].append(k)
+        found = dict(zip((k for g in groups.values() for k in g),
+                         (s for some in repeated([[rows[k][5] for k in g] for g in groups.values()]) for s in some)))
+        for one, two in pairs.values():
+            if one and two:
+                found |= dict(zip(one + two, merged_spans([rows[k][5] for k in one], [rows[k][5] for k in two])))
+        hit = [k for k, s in found.items() if s]
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][4] for k in hit], pa.binary()),
+                                           pa.array([found[k] for k in hit], pa.list_(pa.int32()))], names=["d", "spans"])
 
     for b in batches:
-        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if size >= SHARD * 3 // 4 and held and held[-1][0] != row[0]:
+        for row in zip(*(b.column(k).to_pylist() for k in range(6))):
+            if size >= SHARD * 3 // 4 and held and held[-1][:3] != row[:3]:
                 yield work(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[2]) + 1
+            size += len(row[5]) + 1
     if held:
         yield work(held)
 
 
-def _hashed_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (d, content) of split anchors to (d, at, key): a 128-bit hash of every string."""
-    for b in batches:
-        for d, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            n = len(content) - LENGTH + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d] * n, pa.binary()), pa.array(range(n), pa.int32()),
-                 pa.array([xxhash.xxh3_128_digest(content[k:k + LENGTH]) for k in range(n)], pa.binary())], names=["d", "at", "key"])
-
-
 def marked_starts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all rows without texts; k1, k2, text of those with candidates; k1, k2, starts: spans of repeated starts)."""
     rows = _keyed(docs, id_col, text_col)
@@ -387,21 +401,21 @@ def marked_starts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     with_text = (rows.select("k1", "k2", "text").join(marks, ["k1", "k2"]).select("k1", "k2", "text", "marks")
                  .mapInArrow(_regions, f"k1 long, k2 long, text string, regions {_REGION_DDL}"))
     with_text = staged(with_text, "regions")
+    discard(twice)
 
     places = with_text.select("k1", "k2", F.explode("regions").alias("r")).select("k1", "k2", "r.h", "r.s", "r.d", "r.content")
     distinct = staged(places.groupBy("h", "d").agg(F.count("*").alias("n"), F.max("content").alias("content")), "distinct")
     sizes = distinct.groupBy("h").agg(F.count("*").alias("k"))
-    several = sizes.filter(f"k between 2 and {SPLIT}").select("h")
-    split = sizes.filter(f"k > {SPLIT}").select("h")
-    found = (distinct.join(several, "h").select("h", "d", "content").repartition("h").sortWithinPartitions("h")
+    several = sizes.filter("k > 1").select("h", F.ceil(F.col("k") / REGIONS).cast("int").alias("shards"))
+    found = (distinct.join(several, "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
+             .withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
+             .select("h", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
+                     (F.col("me") <= F.col("other")).alias("left"), "d", "content")
+             .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
              .mapInArrow(_shards, "d binary, spans array<int>"))
-    strings_ = distinct.join(split, "h").select("d", "content").mapInArrow(_hashed_strings, "d binary, at int, key binary")
-    strings_twice = strings_.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    by_hash = (strings_.join(strings_twice, "key").groupBy("d").agg(F.array_sort(F.collect_set("at")).alias("at"))
-               .select("d", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("spans")))
     whole = distinct.filter("n > 1").select("d", F.array(F.lit(0), F.octet_length("content") - (LENGTH - 1)).alias("spans"))
     # a region that occurs twice repeats as a whole; what was found in it then says no more
-    spans = staged(whole.union(found.union(by_hash).join(whole.select("d"), "d", "left_anti")), "spans")
+    spans = staged(whole.union(found.join(whole.select("d"), "d", "left_anti")), "spans")
     starts = (places.join(spans, "d")
               .select("k1", "k2", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
               .groupBy("k1", "k2").agg(F.collect_set("spans").alias("starts")))
@@ -457,18 +471,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A character cut in two by a removal goes as a whole.
     """
     _, out = cleaned(docs, id_col, text_col)
-    out = out.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"))
 
     def decode(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())],
-                                             names=["__k1", "__k2", "__kept"])
-    out = out.mapInArrow(decode, "__k1 long, __k2 long, __kept string")
+                                             names=["k1", "k2", "kept"])
+    out = out.select("k1", "k2", "kept").mapInArrow(decode, "k1 long, k2 long, kept string")
     text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.withColumns({"__1": F.xxhash64(text),
-                              "__2": F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.length(text))})
-    joined = keyed.join(out, (F.col("__1") == F.col("__k1")) & (F.col("__2") == F.col("__k2")), "left")
-    new = {text_col: F.coalesce(F.col("__kept"), keyed[text_col])}
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(text).alias("k1"),
+                        F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.length(text)).alias("k2"))
+    joined = keyed.join(out, ["k1", "k2"], "left")
+    old = lambda c: F.col("row").getField(c)
+    new = {text_col: F.coalesce("kept", old(text_col))}
     if size_col in docs.columns:
-        new[size_col] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(keyed[size_col])
-    return joined.select(*[new[c].alias(c) if c in new else keyed[c] for c in docs.columns])
+        new[size_col] = F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(old(size_col))
+    return joined.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brute import brute_classes, brute_removed
 from ternlens.llm import components, near_dedup, queries, suffix_dedup
@@ -114,7 +115,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("change", [{}, {"SPLIT": 1}, {"PIECE": 128}, {"SHARD": 1500}])
+@pytest.mark.parametrize("change", [{}, {"REGIONS": 2}, {"PIECE": 128}, {"SHARD": 1500}])
 def test_planted_passages(spark, monkeypatch, change):
     for k, v in change.items():
         monkeypatch.setattr(suffix_dedup, k, v)
@@ -151,3 +152,26 @@ def test_odd_texts(odd_docs, no_docs):
     out = suffix_dedup.without_repeats(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert {r.text for r in out.collect() if r.doc_id == 10} == {" end"}
+
+
+def test_one_anchor_over_many_shards(spark, monkeypatch):
+    """Shards of two regions: what repeats is found by merging shards in pairs."""
+    monkeypatch.setattr(suffix_dedup, "REGIONS", 2)
+    rng = random.Random(2)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(90)) + common + "".join(rng.choice("abcdefgh ") for _ in range(90))) for k in range(23)]
+    rows += [(100, common[30:] + "x" * 300), (101, "y" * 150 + common[:205])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = brute_removed([t.encode() for _, t in rows])
+    assert got == {i: (int(g.sum()), int((np.diff(np.append(0, g.astype(int))) == 1).sum())) for (i, _), g in zip(rows, gone)}
+
+
+def test_clashing_names_in_the_pipeline_form(spark):
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(400))
+    names = ("k1", "k2", "kept", "row", "__k1", "__k2", "__kept", "__1", "__2", "marks", "starts")
+    df = spark.createDataFrame([(1, text, 400), (2, text + "z", 401), (3, "short", 5)], "doc_id long, text string, n_chars long")
+    df = df.withColumns({c: F.lit(c) for c in names})
+    out = suffix_dedup.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.n_chars, r["__k1"], r.kept) for r in out.collect()) == [
+        (1, "", 0, "__k1", "kept"), (2, "z", 1, "__k1", "kept"), (3, "short", 5, "__k1", "kept")]
