@@ -120,7 +120,7 @@ def _fold_runs(cooldown_us: int):
                     fired.append(s + j)
                     last, prev = int(seg[j]), j
             if fired:
-                yield pdf.iloc[fired][["_key", "record_id", "metric"]]
+                yield pdf.iloc[fired][["record_id", "metric", "_ts"]]
 
     return fold
 
@@ -128,6 +128,10 @@ def _fold_runs(cooldown_us: int):
 HOT_RUN_ROWS = 2_000_000
 
 
+def _node() -> Column:
+    return F.concat_ws("\u0001", "record_id", "metric", F.col("_ts").cast("string"))
+
+
 def _successor_pointers(hot: DataFrame, summary: DataFrame, cd: int) -> DataFrame:
     """For every breach p of a hot run: ``_next`` = the first breach (ts, record order) of
     the same run with ts ≥ ts_p + cooldown, or null.
@@ -136,7 +140,7 @@ def _successor_pointers(hot: DataFrame, summary: DataFrame, cd: int) -> DataFram
     of the buckets ≥ b+2. The first part is one window per (key, bucket b+1) over the
     bucket's breaches and the shifted queries; the second comes from the bucket summary.
     """
-    node = F.concat_ws("\u0001", "record_id", "metric")
+    node = _node()
     rows = hot.select("_key", "_run", "_bucket", "_ts", "record_id", "metric", node.alias("_node"))
     me = F.struct(F.col("_ts"), F.col("record_id"), F.col("_node"), F.col("_run"))
     breaches = rows.select("_key", F.col("_bucket").alias("_tb"), "_ts", F.lit(1).alias("_kind"), "record_id",
@@ -181,11 +185,24 @@ def _pointer_jumping_fires(hot: DataFrame, summary: DataFrame, cd: int, levels:
             a, b = jump.alias("a"), jump.alias("b")
             jump = cut_lineage(a.join(b, F.col("a._next") == F.col("b._node"), "left")
                                .select(F.col("a._node").alias("_node"), F.col("b._next").alias("_next")))
-    return fired.join(ptr.select("_node", "record_id", "metric"), "_node").select("record_id", "metric")
+    return fired.join(ptr.select("_node", "record_id", "metric", "_ts"), "_node").select("record_id", "metric", "_ts")
+
+
+def _cooldown_key(scope: str) -> list[str]:
+    return ["metric"] if scope == "metric" else ["app_name", "metric"]
+
+
+def cooldown_state(fired: DataFrame, start: DataFrame | None = None, scope: str = "app_metric") -> DataFrame:
+    """(key columns, last_fired): the last fire of every key, of ``start`` and the given fired alerts."""
+    key_cols = _cooldown_key(scope)
+    new = fired.select(*key_cols, F.col("timestamp").alias("last_fired"))
+    both = new if start is None else start.select(*key_cols, "last_fired").unionByName(new)
+    return both.groupBy(*key_cols).agg(F.max("last_fired").alias("last_fired"))
 
 
 def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN_SECONDS,
-                   scope: str = "app_metric", hot_run_rows: int = HOT_RUN_ROWS) -> DataFrame:
+                   scope: str = "app_metric", hot_run_rows: int = HOT_RUN_ROWS,
+                   start: DataFrame | None = None) -> DataFrame:
     """Keep the alerts that fire under a per-key cooldown in event time.
 
     The first breach of a key fires; a later one fires when at least ``cooldown``
@@ -196,15 +213,21 @@ def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN
     Runs (see module docstring) of up to ``hot_run_rows`` breaches are folded by the
     streaming ``mapInPandas`` pass; larger runs — one noisy key breaching without pause —
     go through ``_pointer_jumping_fires`` so no single task has to walk them.
+
+    A breach given more than once (same record, metric and instant) is one breach and fires once at most.
+    ``start`` (``cooldown_state`` of earlier alerts): breaches less than the cooldown after a key's last fire don't fire.
     """
-    key_cols = ["metric"] if scope == "metric" else ["app_name", "metric"]
+    key_cols = _cooldown_key(scope)
     cd = int(cooldown_seconds) * 1_000_000
+    if start is not None:
+        alerts = (alerts.join(start.select(*key_cols, F.col("last_fired").alias("_last")), key_cols, "left")
+                  .where(F.col("_last").isNull() | (F.unix_micros("timestamp") - F.unix_micros("_last") >= cd)).drop("_last"))
     slim = alerts.select(F.concat_ws("\u0001", *[F.col(c) for c in key_cols]).alias("_key"),
-                         F.unix_micros("timestamp").alias("_ts"), "record_id", "metric")
+                         F.unix_micros("timestamp").alias("_ts"), "record_id", "metric").distinct()
     slim = slim.withColumn("_bucket", F.floor(F.col("_ts") / F.lit(cd)).cast("long"))
     summary = slim.groupBy("_key", "_bucket").agg(
         F.min("_ts").alias("_min"), F.max("_ts").alias("_max"), F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("_ts", "record_id", F.concat_ws("\u0001", "record_id", "metric").alias("_node")))
+        F.min(F.struct("_ts", "record_id", _node().alias("_node")))
         .alias("_first0"))
     w = Window.partitionBy("_key").orderBy("_bucket")
     prev_max = F.lag("_max").over(w)
@@ -219,7 +242,7 @@ def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN
     ordered = (normal.repartition("_key", "_run")
                .sortWithinPartitions("_key", "_run", "_ts", "record_id"))
     fired = ordered.select("_key", "_run", "_ts", "record_id", "metric").mapInPandas(
-        _fold_runs(cd), schema="_key string, record_id string, metric string").select("record_id", "metric")
+        _fold_runs(cd), schema="record_id string, metric string, _ts long")
 
     hot_runs = run_size.where(F.col("_rows") > hot_run_rows)
     longest = hot_runs.agg(F.max("_buckets")).first()[0]   # one small aggregate row
@@ -232,7 +255,9 @@ def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN
                                                            F.col("_first0._node").alias("_node"),
                                                            F.col("_run")).alias("_first")))
         fired = fired.unionByName(_pointer_jumping_fires(hot, hot_summary, cd, levels))
-    return alerts.join(fired, ["record_id", "metric"], "left_semi")
+    fired = fired.select("record_id", "metric", F.timestamp_micros("_ts").alias("timestamp"))
+    ident = ["record_id", "metric", "timestamp"]
+    return alerts.join(fired, ident, "left_semi").dropDuplicates(ident)
 
 
 def alert_feed(alerts: DataFrame, n: int = K.ALERT_FEED_SIZE) -> DataFrame:

@@ -11,7 +11,10 @@ Plan at scale, the same for one hot app as for many small ones:
 * each (app, block) gives a count and a vector sum, combined before the shuffle, and the
   exclusive prefix sums run over this block table (about one row for each partition);
 * blocks are scored on their own with a cumulative sum from their prefix, and the scores
-  are joined back by app and id.
+  are joined back by a number given to each input row, so repeated rows stay as many as they were.
+
+A stream carries the history from batch to batch as one (app, count, sum) row per app
+(``drift_state``): ``start`` goes into the blocks' prefixes, and no app is gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ternlens import constants as K
 from ternlens.functions import vectors as V
-from ternlens.session import cut_lineage
+from ternlens.session import stage
 
 
 def _stored(vecs: DataFrame, vector: str) -> DataFrame:
@@ -77,6 +80,15 @@ def snapshot_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector
             .drop("centroid"))
 
 
+def drift_state(vecs: DataFrame, start: DataFrame | None = None, key: str = "app_name", vector: str = "vector") -> DataFrame:
+    """(key, count, total): what the running centroid needs to know of all vectors so far, ``start`` and the given ones."""
+    new = (_stored(vecs, vector).groupBy(key).agg(F.count(F.lit(1)).alias("count"), _sum(vector).alias("total")))
+    if start is None:
+        return new
+    return (start.select(key, "count", "total").unionByName(new).groupBy(key)
+            .agg(F.sum("count").alias("count"), _sum("total").alias("total")))
+
+
 def _number_rows(keys: list[str]):
     """Adds ``_k``: the row's place within its key in a partition sorted by key."""
     def number(batches):
@@ -110,49 +122,55 @@ def _block_distances(order: list[str], cap: int | None):
         vn, cn = np.sqrt(np.einsum("ij,ij->i", m, m)), np.sqrt(np.einsum("ij,ij->i", cen, cen))
         zero = (vn == 0) | (cn == 0)
         dist = np.where(zero, 1.0, 1.0 - np.einsum("ij,ij->i", m, cen) / np.where(zero, 1.0, vn * cn))
-        return pd.DataFrame({"_key": pdf["_key"], "_id": pdf["_id"], "_dist": dist, "_rank": rank})
+        return pd.DataFrame({"_row": pdf["_row"], "_dist": dist, "_rank": rank})
     return score
 
 
 def online_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
                  order: tuple[str, ...] = ("timestamp", "id"), cap: int | None = None,
                  min_baseline: int = K.MIN_DRIFT_BASELINE, keep_vector: str | None = None,
-                 id_col: str = "id") -> DataFrame:
+                 start: DataFrame | None = None) -> DataFrame:
     """Running-centroid drift in arrival order per key (see module docstring).
 
     Rows without a vector (blank responses) are not stored and get a null score.
     Returns the input columns (minus the vector) plus ``drift_score``; with
-    ``keep_vector`` the vector is also returned under that name.  The staging of
-    (key, id, vector) is an eager job.
+    ``keep_vector`` the vector is also returned under that name.  Every input row is returned once,
+    repeated ones too.  ``start`` (``drift_state`` of earlier vectors) is the history before these.
+    The staging of the input and of (key, row, vector) are eager jobs.
     """
-    cols = [F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"),
+    vecs = stage(vecs.withColumn("_row", F.monotonically_increasing_id()), "drift-input")
+    cols = [F.col(key).alias("_key"), "_row", F.col(vector).cast("array<double>").alias("_v"),
             *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]]
-    by = ["_key", *[f"_o{i}" for i in range(len(order))]]
+    by = ["_key", *[f"_o{i}" for i in range(len(order))], "_row"]
     dealt = (_stored(vecs, vector).select(*cols).repartitionByRange(*by).sortWithinPartitions(*by)
-             .withColumn("_block", F.spark_partition_id()).select("_key", "_block", "_id", "_v"))
+             .withColumn("_block", F.spark_partition_id()).select("_key", "_block", "_row", "_v"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    rows = cut_lineage(dealt.mapInPandas(_number_rows(["_key"]), f"{fields}, _k long"))
+    rows = stage(dealt.mapInPandas(_number_rows(["_key"]), f"{fields}, _k long"), "drift-rows")
 
     # The block table: counts first, then sums of the rows that still belong to the baseline.
     upto = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select("_key", "_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    counted = rows.join(counts, ["_key", "_block"])
+    if start is not None:
+        counts = (counts.join(start.select(F.col(key).alias("_key"), F.col("count").alias("_c"), F.col("total").alias("_total")), "_key", "left")
+                  .select("_key", "_block", (F.col("_before") + F.coalesce("_c", F.lit(0))).alias("_before"), "_total"))
+    else:
+        counts = counts.withColumn("_total", F.lit(None).cast("array<double>"))
+    counted = rows.join(counts.drop("_total"), ["_key", "_block"])
     baseline = counted if cap is None else counted.where(F.col("_before") + F.col("_k") < cap)
     sums = (baseline.groupBy("_key", "_block").agg(_sum("_v").alias("_s"))
             .select("_key", "_block", F.posexplode("_s").alias("_pos", "_x")))
     later = Window.partitionBy("_key", "_pos").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    every = counts.join(sums.select("_key", "_pos").distinct(), "_key").join(sums, ["_key", "_block", "_pos"], "left")
+    every = counts.drop("_total").join(sums.select("_key", "_pos").distinct(), "_key").join(sums, ["_key", "_block", "_pos"], "left")
     prefix = (every.withColumn("_p", F.sum("_x").over(later)).where(F.col("_p").isNotNull())
               .groupBy("_key", "_block").agg(F.sort_array(F.collect_list(F.struct("_pos", "_p"))).alias("_ps"))
               .select("_key", "_block", F.col("_ps._p").alias("_prefix")))
-    blocks = cut_lineage(counts.join(prefix, ["_key", "_block"], "left"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    both = (F.when(F.col("_prefix").isNull(), F.col("_total")).when(F.col("_total").isNull(), F.col("_prefix"))
+            .otherwise(F.zip_with("_prefix", "_total", lambda x, y: x + y)))
+    blocks = stage(counts.join(prefix, ["_key", "_block"], "left").select("_key", "_block", "_before", both.alias("_prefix")), "drift-blocks")
     dist = (rows.join(blocks, ["_key", "_block"]).groupBy("_key", "_block")
-            .applyInPandas(_block_distances(list(order), cap),
-                           f"_key {kinds['_key']}, _id {kinds['_id']}, _dist double, _rank long"))
-    scores = dist.select(F.col("_key"), F.col("_id"),
-                         F.when(F.col("_rank") >= min_baseline, drift_from_distance(F.col("_dist"))).alias("drift_score"))
+            .applyInPandas(_block_distances(list(order), cap), "_row long, _dist double, _rank long"))
+    scores = dist.select("_row", F.when(F.col("_rank") >= min_baseline, drift_from_distance(F.col("_dist"))).alias("drift_score"))
     kept = vecs.drop("drift_score")
     kept = kept.withColumnRenamed(vector, keep_vector) if keep_vector else kept.drop(vector)
-    return kept.join(scores, (kept[key] == F.col("_key")) & (kept[id_col] == F.col("_id")), "left").drop("_key", "_id")
+    return kept.join(scores, "_row", "left").drop("_row")

@@ -28,27 +28,48 @@ class Scorer(Protocol):
 
 @dataclass
 class PandasScorer:
-    """U1 helper: ``fn(pdf) -> pdf of new columns`` applied batch-wise with ``mapInPandas``.
+    """U1 helper: ``fn(pdf) -> pdf of new columns`` applied batch-wise inside a ``pandas_udf``.
 
     ``inputs`` are the columns ``fn`` reads; ``columns`` is the schema of what it adds.
-    Only the inputs travel through Python (a ``pandas_udf`` over them); the new columns are
-    unpacked from its struct in the same task.
+    Only the inputs travel through Python; the new columns are unpacked from its struct in the same task.
+
+    P6: if ``fn`` fails on a batch (it raises, or returns other rows or columns), the batch is tried again row by
+    row; the rows on which it still fails get ``defaults`` (by column; null if not named) and a 1 in ``plugin_errors``, so one
+    bad row or a broken plug-in doesn't end the job.
     """
     name: str
     fn: Callable[[pd.DataFrame], pd.DataFrame]
     inputs: list[str]
     columns: T.StructType
+    defaults: dict | None = None
 
     def apply(self, records: DataFrame) -> DataFrame:
         fn, inputs, new = self.fn, self.inputs, [f.name for f in self.columns.fields]
+        missing = {c: (self.defaults or {}).get(c) for c in new}
+        schema = T.StructType([*self.columns.fields, T.StructField("plugin_errors", T.IntegerType())])
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            got = fn(pdf)[new]
+            if len(got) != len(pdf):
+                raise ValueError("a scorer returns one row for each row")
+            return got.reset_index(drop=True).assign(plugin_errors=0)
 
-        @F.pandas_udf(self.columns)
+        @F.pandas_udf(schema)
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield fn(pdf)[new]
+                try:
+                    yield whole(pdf)
+                except Exception:  # noqa: BLE001 - the plug-in's own
+                    rows = []
+                    for k in range(len(pdf)):
+                        try:
+                            rows.append(whole(pdf.iloc[k:k + 1].reset_index(drop=True)).iloc[0].to_dict())
+                        except Exception:  # noqa: BLE001
+                            rows.append({**missing, "plugin_errors": 1})
+                    yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in [*new, "plugin_errors"]})
 
         added = records.withColumn("_added", run(F.struct(*inputs)))
-        return added.select(*records.columns, *[F.col("_added")[c].alias(c) for c in new])
+        return added.select(*records.columns, *[F.col("_added")[c].alias(c) for c in [*new, "plugin_errors"]])
 
 
 def judge_scores(events: DataFrame, judge: Callable[[str, str | None, str], object],

@@ -253,34 +253,31 @@ def rag_scores(df: DataFrame) -> DataFrame:
     })
 
 
-def drift_scores(df: DataFrame, cap: int | None = None, materialize: bool = True) -> DataFrame:
+def drift_scores(df: DataFrame, cap: int | None = None, start: DataFrame | None = None) -> DataFrame:
     """W1 on response vectors per app in (timestamp, id) order; blank response → null.
 
-    Only ids and vectors move; the scores are joined back by app and id.
+    The rows are staged once, so the Arrow embedding stage and the fused scorers run once; only
+    row numbers and vectors move, and the scores are joined back by row number.  ``start``: the
+    drift state of earlier records (streams).
     """
     from ternlens.operators.drift import online_drift
 
     blank = TX.is_blank(F.coalesce(F.col("response"), F.lit("")))
     vec = F.when(blank, F.lit(None).cast("array<double>")).otherwise(F.col("_emb")["v_r"])
     keyed = df.drop("drift_score", "embedding_vector").withColumn("_v", vec).drop("_emb")
-    if materialize:
-        # Drift reads its input twice (vectors, and the rows to which the scores go back);
-        # checkpointing once (shared checkpoint folder, survives executor loss) keeps the
-        # Arrow embedding stage and the fused scorers from running twice.
-        from ternlens.session import cut_lineage
-        keyed = cut_lineage(keyed)
-    out = online_drift(keyed, vector="_v", cap=cap, keep_vector="embedding_vector")
+    out = online_drift(keyed, vector="_v", cap=cap, keep_vector="embedding_vector", start=start)
     return out.withColumn("embedding_vector", F.coalesce("embedding_vector", F.array().cast("array<double>")))
 
 
 def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int = V.DEFAULT_DIM,
              judge: Column | None = None, toxicity: Column | None = None, language: Column | None = None,
              sentiment: Column | None = None, plugins: tuple = (), embedder=None,
-             limits: K.TextLimits = K.WHOLE_TEXTS) -> DataFrame:
+             limits: K.TextLimits = K.WHOLE_TEXTS, drift_start: DataFrame | None = None) -> DataFrame:
     """P5: events → scored records with the modules quality, drift, hallucination and
     RAG (drift executes last — score columns are disjoint, so the record is the same as
     in the original order), then extra plug-in scorers (U1), clamp (P4) and health (M8).
-    With drift on, the pre-drift records are checkpointed once (an eager job).
+    With drift on, the pre-drift records are staged once (an eager job); ``drift_start`` is the
+    drift state of earlier records.  Repeated events are records as often as they are given.
 
     ``judge``/``toxicity``/``language``/``sentiment`` are optional columns already on
     ``events`` (for example joined from a judge table, J3, or produced by a spark.ml
@@ -305,10 +302,12 @@ def evaluate(events: DataFrame, flags: K.ModuleFlags = K.ModuleFlags(), dim: int
         rec = rag_scores(rec)
     # Drift last: it is the only step that moves rows, and it no longer needs the text vectors.
     if flags.drift:
-        rec = drift_scores(rec)
+        rec = drift_scores(rec, start=drift_start)
     else:
         rec = rec.drop("_emb")
     for plugin in plugins:
         rec = plugin.apply(rec)
+        if "plugin_errors" in rec.columns:  # P6: rows on which it failed keep its defaults
+            rec = rec.withColumn("score_errors", F.col("score_errors") + F.col("plugin_errors")).drop("plugin_errors")
     rec = clamp_scores(rec.drop(*extra.keys()))
     return rec.withColumn("health_score", S.health_score())

@@ -13,15 +13,16 @@ from ternlens.operators import plugins as PL
 from ternlens.operators import regression as RG
 from ternlens.operators import scoring as SC
 from ternlens.plans.catalog import r9, register
-from ternlens.plans.q_alerts import _ALERT_COLS, _BREACHES, _cooldown_sql
+from ternlens.plans.q_alerts import _ALERT_COLS, _BREACHES, _CHANNELS, _cooldown_sql
 from ternlens.plans.q_records import _ts_sql
 from ternlens.plans.q_scoring import _SCORED_COLS, scored_sql
 from ternlens.plans.sqlviews import V_EVT, V_GOLD, V_REC, with_views
-from ternlens.session import checkpoint_dir
+from ternlens.session import checkpoint_dir, stage, unstage
 from ternlens.sources import bridge
 from ternlens.sources import records_io as IO
 from ternlens.sources.tables import table
 from ternlens.streaming import stream as ST
+from ternlens.streaming.chain import MonitoredBatches, ScoredBatches, deduplicated
 
 
 def _scratch(spark, tag: str) -> str:
@@ -58,6 +59,21 @@ def record_upsert(spark, sf):
     return IO.read_records(spark, path).select("id", "app_name", "health_score")
 
 
+@register("record_upsert_moved_ids", ops="S6 (second delivery moves a third of the ids to another date and app: one row per id)",
+          sql=with_views(V_REC) + f"""
+SELECT id, CASE WHEN {_REDELIVER} THEN 'app_moved' ELSE app_name END AS app_name,
+       CASE WHEN {_REDELIVER} THEN "timestamp" + INTERVAL 400 DAY ELSE "timestamp" END AS "timestamp", health_score
+FROM v_rec""")
+def record_upsert_moved_ids(spark, sf):
+    rec = bridge.records(spark, sf).select("id", "app_name", "timestamp", "health_score", "created_at")
+    moved = (rec.where(F.col("id").cast("long") % 3 == 0)
+             .withColumns({"app_name": F.lit("app_moved"), "timestamp": F.col("timestamp") + F.expr("INTERVAL 400 DAYS")}))
+    path = _scratch(spark, "upsert")
+    IO.save_records(rec, path)
+    IO.upsert_records(spark, moved, path)
+    return IO.read_records(spark, path).select("id", "app_name", "timestamp", "health_score")
+
+
 @register("json_text_codec", ops="S7 (arrays/booleans/timestamps through JSON text and back)",
           sql=with_views(V_REC) + """
 SELECT r.id, [e.event_type, 'u' || CAST(e.user_id AS VARCHAR)] AS tags, r.is_denial, r."timestamp",
@@ -89,26 +105,80 @@ def alert_store_dedup(spark, sf):
           sql=with_views(V_EVT, scored_sql()) + f"SELECT {', '.join(_SCORED_COLS)} FROM scored")
 def stream_scored_chat_records(spark, sf):
     ev = bridge.chat_events(spark, sf)
-    src, out, chk = _scratch(spark, "st-src"), _scratch(spark, "st-out"), _scratch(spark, "st-chk")
+    src, chk = _scratch(spark, "st-src"), _scratch(spark, "st-chk")
+    batches = ScoredBatches(_scratch(spark, "st-scored"))
     ST.create_source(spark, src, ev.schema)
-    scored = ST.scored_stream(ST.event_stream(spark, src, ev.schema))
-    w = (scored.select(*_SCORED_COLS).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", chk).outputMode("append"))
+    w = ST.event_stream(spark, src, ev.schema).writeStream.option("checkpointLocation", chk).foreachBatch(batches)
     ST.replay(ev, src, w, chunks=4)
-    return spark.read.parquet(out).select(*_SCORED_COLS)
+    return batches.scores(spark).select(*_SCORED_COLS)
+
+
+def _monitored(spark, sf):
+    """The whole chain on the chat events, the first half delivered twice in one file and the second half twice in two."""
+    ev = bridge.chat_events(spark, sf)
+    src, chk = _scratch(spark, "st-src"), _scratch(spark, "st-chk")
+    batches = MonitoredBatches(_scratch(spark, "st-monitor"), _CHANNELS, cooldown_seconds=10800)
+    ST.create_source(spark, src, ev.schema)
+    stream = deduplicated(ST.event_stream(spark, src, ev.schema), "20 days")
+    w = stream.writeStream.option("checkpointLocation", chk).foreachBatch(batches)
+    ev = stage(ev, "events")
+    half = ev.agg(F.percentile_approx(F.unix_micros("timestamp"), 0.5).alias("t"))  # one row
+    first = ev.join(F.broadcast(half), F.unix_micros("timestamp") <= F.col("t")).drop("t")
+    second = ev.join(F.broadcast(half), F.unix_micros("timestamp") > F.col("t")).drop("t")
+    for delivery in (first.union(first), second, second):
+        delivery.select(*ev.columns).write.mode("append").parquet(src)
+        ST.drain(w)
+    unstage(ev)
+    return batches
+
+
+_SCORED_REC = "v_rec AS (SELECT * FROM scored)"
+
+
+@register("stream_monitored_alerts", ops="ST1 ST2 ST4 (micro-batches: evaluate, upsert, alert, cooldown; repeated deliveries = batch)",
+          sql=with_views(V_EVT, scored_sql(), _SCORED_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric"))
+          + """
+SELECT a.id, a.record_id, a.metric, a.severity, a.value, a.threshold, a.message, a."timestamp",
+       r.app_name, r.health_score FROM v_fired a JOIN v_rec r ON r.id = a.record_id""")
+def stream_monitored_alerts(spark, sf):
+    batches = _monitored(spark, sf)
+    rec = batches.records(spark).select(F.col("id").alias("record_id"), "app_name", "health_score")
+    return batches.alerts(spark).join(rec, "record_id").select(
+        "id", "record_id", "metric", "severity", "value", "threshold", "message", "timestamp", "app_name", "health_score")
+
+
+@register("stream_monitored_outbox", ops="ST1 A5 (outbox of the micro-batches = batch outbox)",
+          sql=with_views(V_EVT, scored_sql(), _SCORED_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric")) + """
+SELECT a.id AS alert_id, ch.channel, ch.target, coalesce(ch.channel = 'email' OR ch.target LIKE 'https:%', false) AS valid
+FROM v_fired a, (VALUES ('email', 'oncall@example.org'), ('slack', 'https://hooks.slack.com/services/T000/B000/XXXX'),
+                        ('slack', 'http://hooks.slack.com/services/T000/B000/YYYY')) ch(channel, target)""")
+def stream_monitored_outbox(spark, sf):
+    return _monitored(spark, sf).outbox(spark).select("alert_id", "channel", "target", "valid")
 
 
-@register("stream_alert_cooldown", ops="ST3 (stateful cooldown = batch W3)",
+@register("stream_alert_cooldown", ops="ST3 (event-time cooldown; deliveries out of order and repeated = batch W3)",
           sql=with_views(V_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric"))
           + f'SELECT {_ALERT_COLS}, "timestamp" FROM v_fired')
 def stream_alert_cooldown(spark, sf):
-    a = AL.threshold_breaches(bridge.records(spark, sf)).select(*_ALERT_COLS.split(", "), "timestamp")
+    a = stage(AL.threshold_breaches(bridge.records(spark, sf)).select(*_ALERT_COLS.split(", "), "timestamp"), "breaches")
     src, out, chk = _scratch(spark, "st-src"), _scratch(spark, "st-out"), _scratch(spark, "st-chk")
     ST.create_source(spark, src, a.schema)
-    fired = ST.stateful_cooldown(ST.event_stream(spark, src, a.schema), 10800)
+    fired = ST.stateful_cooldown(ST.event_stream(spark, src, a.schema), 10800, watermark="10000 days")
     w = (fired.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
          .outputMode("append"))
-    ST.replay(a, src, w, chunks=4)
+    # by a hash of the id, so that every delivery spans the whole time; the second brings the first one's rows again
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    for delivery in (a.where(part == 2), a.where(part >= 1), a.where(part == 0)):
+        delivery.write.mode("append").parquet(src)
+        ST.drain(w)
+    # two rows far later: the first moves the watermark past all breaches, the second's batch gives them out
+    end = (a.groupBy().agg(F.max("timestamp").alias("t"))
+           .select(*[(F.col("t") + F.expr("INTERVAL 20000 DAYS")).alias(c) if c == "timestamp" else F.lit("end").alias(c)
+                     if a.schema[c].dataType == T.StringType() else F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a.columns]))
+    for _ in range(2):
+        end.write.mode("append").parquet(src)
+        ST.drain(w)
+    unstage(a)
     return spark.read.parquet(out).select(*_ALERT_COLS.split(", "), "timestamp")
 
 
@@ -151,6 +221,23 @@ def stream_upsert_records(spark, sf):
     return IO.read_records(spark, path).select("id", "app_name", "health_score")
 
 
+@register("stream_upsert_scored_records", ops="ST4 (scored records, ids repeated within and across batches)",
+          sql=with_views(V_EVT, scored_sql()) + "SELECT id, app_name, hallucination_score, groundedness_score, health_score FROM scored")
+def stream_upsert_scored_records(spark, sf):
+    rec = stage(SC.evaluate(bridge.chat_events(spark, sf)).drop("score_errors"), "scored")
+    src, path, chk = _scratch(spark, "st-src"), _scratch(spark, "st-table"), _scratch(spark, "st-chk")
+    ST.create_source(spark, src, rec.schema)
+    stream = (ST.event_stream(spark, src, rec.schema).withWatermark("timestamp", "10000 days")
+              .dropDuplicatesWithinWatermark(["id", "health_score"]))
+    w = stream.writeStream.option("checkpointLocation", chk).foreachBatch(ST.upsert_sink(path))
+    wrong = rec.withColumn("health_score", F.lit(-1))  # replaced by the next delivery
+    for delivery in (wrong.union(wrong), rec.union(rec), rec):
+        delivery.write.mode("append").parquet(src)
+        ST.drain(w)
+    unstage(rec)
+    return IO.read_records(spark, path).select("id", "app_name", "hallucination_score", "groundedness_score", "health_score")
+
+
 # ---------------------------------------------------------------- J3 judge join, U1, U2, U4
 def _judge_table(spark, sf):
     """Offline judge answers for chat events: a score for two of three calls, none for the rest."""
@@ -196,6 +283,24 @@ def plugin_scorer_column(spark, sf):
     return rec.select("id", "response_chars")
 
 
+def _fragile_chars(pdf):
+    """A scorer that fails on a whole batch if one response in it has the word."""
+    if pdf["response"].fillna("").str.contains("Guido").any():
+        raise RuntimeError("scorer failed")
+    return _chars(pdf)
+
+
+@register("plugin_failure_isolated", ops="P6 U1 (a plug-in that fails on some rows leaves its defaults there, counted in score_errors)",
+          sql=with_views(V_EVT) + """
+SELECT id, CASE WHEN contains(response, 'Guido') THEN CAST(-1 AS BIGINT) ELSE CAST(length(response) AS BIGINT) END AS response_chars,
+       CASE WHEN contains(response, 'Guido') THEN 1 ELSE 0 END AS score_errors FROM v_evt""")
+def plugin_failure_isolated(spark, sf):
+    plug = PL.PandasScorer("response_chars", _fragile_chars, ["response"],
+                           T.StructType([T.StructField("response_chars", T.LongType())]), {"response_chars": -1})
+    rec = SC.evaluate(bridge.chat_events(spark, sf), flags=K.ModuleFlags(drift=False), plugins=(plug,))
+    return rec.select("id", "response_chars", "score_errors")
+
+
 def _echo(query: str) -> str:
     return f"Response to: {query}"
 

@@ -125,6 +125,15 @@ def chat_records_scored(spark, sf):
     return rec.select(*_SCORED_COLS, F.size("flagged_claims").alias("n_claims"))
 
 
+@register("repeated_chat_records", ops="P5 W1 (events delivered twice are two records each)", sql=with_views(
+    V_EVT.replace("v_evt AS (", "v_once AS (", 1), """v_evt AS (SELECT * FROM v_once)""",
+    scored_sql("(SELECT * REPLACE (id || '|' || CAST(copy AS VARCHAR) AS id) FROM v_evt, (VALUES (1), (2)) c(copy))")) + """
+SELECT split_part(id, '|', 1) AS id, app_name, hallucination_score, drift_score, health_score FROM scored""")
+def repeated_chat_records(spark, sf):
+    ev = bridge.chat_events(spark, sf)
+    return SC.evaluate(ev.union(ev)).select("id", "app_name", "hallucination_score", "drift_score", "health_score")
+
+
 @register("app_health_overview", ops="flagship: S2/V_EVT → P5 → M8 → G3 per app",
           sql=with_views(V_EVT, scored_sql()) + """
 SELECT app_name, count(*) AS records,

@@ -113,12 +113,12 @@ def snapshot_drift(spark, sf):
     return D.snapshot_drift(bridge.vectors(spark, sf)).select("id", "app_name", "drift_score")
 
 
-def _online_sql(cap: int) -> str:
+def _online_sql(cap: int | None) -> str:
     return W_VEC + f""",
 e AS (SELECT id, app_name, vector, row_number() OVER (PARTITION BY app_name ORDER BY id) AS r FROM v_vec),
 u AS (SELECT id, app_name, r, unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM e),
 rs AS (SELECT id, app_name, r, pos, x,
-              sum(CASE WHEN r <= {cap} THEN x ELSE 0.0 END) OVER (PARTITION BY app_name, pos ORDER BY r
+              sum({'x' if cap is None else f'CASE WHEN r <= {cap} THEN x ELSE 0.0 END'}) OVER (PARTITION BY app_name, pos ORDER BY r
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM u),
 a AS (SELECT id, app_name, r, sum(x * s) AS xs, sum(x * x) AS xx, sum(s * s) AS ss FROM rs GROUP BY id, app_name, r)
 SELECT id, app_name,
@@ -127,7 +127,7 @@ SELECT id, app_name,
 FROM a"""
 
 
-@register("online_drift", ops="W1 ST2-batch", sql=_online_sql(10000))
+@register("online_drift", ops="W1 ST2-batch", sql=_online_sql(None))
 def online_drift(spark, sf):
     vecs = bridge.vectors(spark, sf)
     return D.online_drift(vecs, order=("id",)).select("id", "app_name", "drift_score")

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,6 +106,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+#: Folders of this driver's staged tables.
+_STAGED: dict[str, SparkSession] = {}
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read back: computed once, survives lost executors, and
+    a reader of a few columns reads only these.  Removed when the driver's Python ends, or by ``unstage``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STAGED:
+        atexit.register(unstage)
+    _STAGED[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes the folders that the given staged tables read (all of this driver's, if none is given)."""
+    files = [f for t in tables for f in t.inputFiles()]
+    for path in [x for x in _STAGED if not tables or any(x.rsplit("/", 1)[1] in f for f in files)]:
+        remove_folder(_STAGED.pop(path), path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is (at the interpreter's end the JVM may be gone)."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        if spark.sparkContext._jsc is not None:
+            raise
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

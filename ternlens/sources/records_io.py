@@ -1,13 +1,18 @@
 """Record and alert storage: append, idempotent upsert, JSON-text codec, CSV export.
 
 The record table is Parquet partitioned by ``app_name, event_date``. Upserts
-rewrite only the date partitions the incoming rows touch (dynamic partition
-overwrite), never the whole table.
+rewrite only the partitions that the incoming rows touch (dynamic partition
+overwrite), never the whole table.  Beside the table lies an index, an append-only log of where each
+id was put (id → partition, by a hash of the id); it tells an upsert which partitions hold earlier
+versions of the incoming ids, so an id that moves to another app or date leaves its old place.
+
+Writers deal rows by size (``rebalance``): small partitions get one file, a hot one as many tasks
+and files as its rows make.
 """
 
 from __future__ import annotations
 
-import uuid
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 from ternlens import constants as K
 from ternlens.functions.text import iso_utc
 from ternlens.schemas import ALERT_SCHEMA
-from ternlens.session import checkpoint_dir
+from ternlens.session import remove_folder, stage, unstage
 
 _ARRAY_COLUMNS = {"tags": "array<string>", "flagged_claims": "array<string>", "embedding_vector": "array<double>"}
 
@@ -24,25 +29,62 @@ def with_partition_columns(records: DataFrame) -> DataFrame:
     return records.withColumn("event_date", F.to_date("timestamp"))
 
 
-#: Files of one (app, date) partition that a write makes at most.
-FILES = 8
-
-
 RECORD_PARTITIONS = ("app_name", "event_date")
 
 
-def _stored(records: DataFrame, key: str = "id", parts: tuple[str, ...] = RECORD_PARTITIONS) -> DataFrame:
-    """With the partition columns and ``created_at`` (the time of storing, if not given), dealt so that a
-    partition gets a few files and a hot one isn't written by one task."""
+def _stored(records: DataFrame, parts: tuple[str, ...] = RECORD_PARTITIONS) -> DataFrame:
+    """With the partition columns and ``created_at`` (the time of storing, if not given)."""
     if "created_at" not in records.columns:
         records = records.withColumn("created_at", F.current_timestamp())
-    return (with_partition_columns(records)
-            .repartition(*parts, F.pmod(F.xxhash64(key), F.lit(FILES))))
+    return with_partition_columns(records)
+
+
+def _dealt(rows: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """Dealt by partition and size: AQE splits hot partitions and puts small ones together."""
+    return rows.hint("rebalance", *[F.col(c) for c in parts])
+
+
+# ------------------------------------------------------------------ id index
+def index_path(path: str) -> str:
+    return path.rstrip("/") + "-index"
+
+
+def _append_index(rows: DataFrame, path: str, key: str, parts: tuple[str, ...]) -> None:
+    """Logs where the ids of ``rows`` are now."""
+    place = F.struct(*parts).alias("place")
+    (rows.select(F.xxhash64(key).alias("h"), F.col(key).alias("key"), place, F.lit(time.time_ns()).alias("written"))
+     .write.mode("append").parquet(index_path(path)))
+
+
+def locations(spark: SparkSession, path: str, ids: DataFrame, key: str = "id",
+              parts: tuple[str, ...] = RECORD_PARTITIONS) -> DataFrame:
+    """(key, partition columns): where the table holds the given ids, by the index's latest entry for each.
+
+    A table without an index (written by other means) gets one from its own ids first.
+    """
+    if not _exists(spark, index_path(path)):
+        _append_index(spark.read.parquet(path), path, key, parts)
+    log = spark.read.parquet(index_path(path))
+    wanted = ids.select(F.xxhash64(key).alias("h"), F.col(key).alias("key")).distinct()
+    last = log.join(wanted, ["h", "key"], "left_semi").groupBy("key").agg(F.max_by("place", "written").alias("place"))
+    return last.select(F.col("key").alias(key), "place.*")
+
+
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Rewrites the index with one entry per id (the log grows by every delivery)."""
+    log = spark.read.parquet(index_path(path))
+    last = stage(log.groupBy("h", "key").agg(F.max_by("place", "written").alias("place"), F.max("written").alias("written")), "index")
+    last.write.mode("overwrite").parquet(index_path(path))
+    unstage(last)
 
 
 def save_records(records: DataFrame, path: str, mode: str = "append") -> None:
-    """Append scored records (an empty frame writes nothing)."""
-    _stored(records).write.mode(mode).partitionBy("app_name", "event_date").parquet(path)
+    """Append scored records (an empty frame writes nothing) and log their places in the index."""
+    rows = _stored(records)
+    _dealt(rows, RECORD_PARTITIONS).write.mode(mode).partitionBy(*RECORD_PARTITIONS).parquet(path)
+    if mode == "overwrite":
+        remove_folder(records.sparkSession, index_path(path))
+    _append_index(rows, path, "id", RECORD_PARTITIONS)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -75,46 +117,55 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _partition_folder(spark: SparkSession, path: str, place: dict) -> str:
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return "/".join([path.rstrip("/"), *(escape(c, None if v is None else str(v)) for c, v in place.items())])
 
 
 def upsert_records(spark: SparkSession, incoming: DataFrame, path: str, key: str = "id",
                    parts: tuple[str, ...] = RECORD_PARTITIONS) -> None:
-    """S6 on disk: rewrite only the partitions (by default app and date) named by the incoming rows.
+    """S6 on disk: one row per id, the latest delivery's, rewriting only the partitions that the delivery touches.
 
-    The event timestamp of an id is immutable, so a re-delivered id always lands in
-    the partition it was first written to.  The incoming rows are computed once and the
-    touched partitions are merged into a staging folder of the shared checkpoint folder, then
-    overwritten dynamically (a writer option, so other jobs of the session are not
-    affected); the staging folder is removed at the end.
+    These are the partitions of the incoming rows and those in which the index has earlier versions of
+    their ids.  The incoming rows are computed once and the touched partitions merged into a staging folder of the
+    shared checkpoint folder, then overwritten dynamically (a writer option, so other jobs of the session are not
+    affected); partitions that have lost all their rows are deleted, and the new places logged last.  A
+    delivery that is stopped anywhere and given again leaves the same table.
     """
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    staged = []
+
+    def put(df: DataFrame) -> DataFrame:
+        staged.append(stage(df, "upsert"))
+        return staged[-1]
     try:
-        _stored(incoming, key, parts).write.parquet(f"{stage}/in")
-        fresh = spark.read.parquet(f"{stage}/in")
+        fresh = put(latest_version(_stored(incoming, parts).withColumn("_seq", F.lit(1)), key))
+        new_places = fresh.select(*parts)
         if _exists(spark, path):
-            # the touched partitions as literals (one delivery's apps, and its span of dates), so that
-            # the scan is pruned to them; the semi-join is exact
-            touched = fresh.select(*parts).distinct()
-            span = touched.agg(*[F.collect_set(c).alias(c) for c in parts if c != "event_date"],
-                               F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
-            old = spark.read.parquet(path).where(F.col("event_date").between(span["lo"], span["hi"]))
-            for c in parts:
-                if c != "event_date":
-                    old = old.where(F.col(c).isin(span[c]))
-            old = old.join(touched, list(parts), "left_semi")
-            merged = upsert_frames(old.select(*fresh.columns), fresh, key)
+            places = put(new_places.union(locations(spark, path, fresh, key, parts).select(*parts)).distinct())
+            # the span of every partition column, so that the scan is pruned to it; the semi-join is exact
+            span = places.agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("lo", F.min), ("hi", F.max))]).first()
+            old = spark.read.parquet(path)
+            if not all(isinstance(span[f"lo_{c}"], type(None)) for c in parts):
+                for c in parts:
+                    old = old.where(F.col(c).between(span[f"lo_{c}"], span[f"hi_{c}"]) | F.col(c).isNull())
+            same = [old[c].eqNullSafe(places[c]) for c in parts]
+            old = old.join(places, same, "left_semi")
+            for f in fresh.schema.fields:
+                if f.name not in old.columns:  # a column that is new in this delivery
+                    old = old.withColumn(f.name, F.lit(None).cast(f.dataType))
+            merged = put(upsert_frames(old.select(*fresh.columns), fresh, key))
+            kept = merged.select(*parts).distinct()
+            emptied = places.join(kept, [places[c].eqNullSafe(kept[c]) for c in parts], "left_anti")
         else:
-            merged = latest_version(fresh.withColumn("_seq", F.lit(1)), key)
-        merged.write.parquet(f"{stage}/out")
-        (spark.read.parquet(f"{stage}/out")
-         .repartition(*parts, F.pmod(F.xxhash64(key), F.lit(FILES)))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+            merged, emptied = fresh, None
+        (_dealt(merged, parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*parts).parquet(path))
+        for row in emptied.toLocalIterator() if emptied is not None else ():  # folders, a few for each delivery
+            remove_folder(spark, _partition_folder(spark, path, row.asDict()))
+        _append_index(fresh, path, key, parts)
     finally:
-        _remove(spark, stage)
+        for t in staged:
+            unstage(t)
 
 
 # ------------------------------------------------------------------ S7 JSON-text codec

@@ -1,16 +1,11 @@
 """Structured Streaming forms of the pipeline (ST1–ST6).
 
-* ST1 ``scored_stream``: file source (``maxFilesPerTrigger``) → normalise → one Arrow
-  embedding stage → stateless scorers → ST2 drift → clamp → health.
-* ST2 ``stateful_drift``: ``applyInPandasWithState`` keyed by app; state = (stored
-  count, vector sum) frozen at the baseline cap; rows of a batch are taken in
-  (timestamp, id) order, so a stream delivered in time order equals batch W1.
-* ST3 ``stateful_cooldown``: ``applyInPandasWithState`` keyed by (app, metric); state =
-  last fired time; an event-time timeout at last_fired + cooldown drops idle keys
-  (any later breach fires anyway once the watermark passed that point).
-* ST4 ``upsert_sink``: ``foreachBatch`` that keeps the newest row per id inside the
-  batch and merges into the record table touching only the partitions it names;
-  a re-delivered batch id rewrites the same rows (idempotent).
+* ST1, ST2 are in ``streaming.chain``: whole micro-batches with a ledger.
+* ST3 ``stateful_cooldown``: ``transformWithState`` keyed by (app, metric), with a list of pending
+  breaches, the last fired time, and event-time timers: a breach is decided when the watermark has passed it, so
+  the order of delivery inside the watermark doesn't matter.
+* ST4 ``upsert_sink``: ``foreachBatch`` that merges each micro-batch into the record table, touching only the
+  partitions it needs; a batch id entered in the ledger is skipped when it is delivered again.
 * ST5 ``drain``: ``trigger(availableNow=True)`` then ``awaitTermination(timeout)``.
 * ST6 ``windowed_time_series``: watermark + tumbling ``window`` per app; late rows beyond
   the watermark are dropped (the batch form G1 has no lateness rule).
@@ -20,17 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ternlens import constants as K
-from ternlens.functions import scores as S
-from ternlens.functions import text as TX
-from ternlens.operators import scoring as SC
+from ternlens.session import remove_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -48,120 +39,106 @@ def create_source(spark: SparkSession, path: str, schema: T.StructType) -> None:
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
 
-# ------------------------------------------------------------------ ST2
-_DRIFT_STATE = T.StructType([T.StructField("count", T.LongType()),
-                             T.StructField("total", T.ArrayType(T.DoubleType()))])
-
-
-def _drift_fn(order: list[str], vector: str, cap: int, min_baseline: int, out_cols: list[str]):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        count, total = (state.get[0], np.asarray(state.get[1], dtype=np.float64)) if state.exists else (0, None)
-        scores, vecs = [], []
-        for v in pdf[vector]:
-            if v is None or len(v) == 0:
-                scores.append(None)
-                vecs.append(None)
-                continue
-            x = np.asarray(v, dtype=np.float64)
-            count += 1
-            if total is None:
-                total = np.zeros_like(x)
-            if cap is None or count <= cap:
-                total = total + x
-            c = total / (count if cap is None else min(count, cap))
-            cn = float(np.sqrt(np.dot(c, c)))
-            if cn > 0:
-                c = c / cn
-            xn, cn2 = float(np.sqrt(np.dot(x, x))), float(np.sqrt(np.dot(c, c)))
-            dist = 1.0 if xn == 0 or cn2 == 0 else 1.0 - float(np.dot(x, c)) / (xn * cn2)
-            d = min(max(dist / 2.0, 0.0), 1.0)
-            scores.append(round(d, K.SCORE_DECIMALS) if count >= min_baseline else None)
-            vecs.append(list(x))
-        if total is not None:
-            state.update((int(count), [float(t) for t in total]))
-        pdf["drift_score"] = pd.Series(scores, dtype="object")
-        pdf["embedding_vector"] = pd.Series([v if v is not None else [] for v in vecs], dtype="object")
-        yield pdf[out_cols]
-    return fn
-
-
-def stateful_drift(df: DataFrame, key: str = "app_name", vector: str = "_v",
-                   order: tuple[str, ...] = ("timestamp", "id"), cap: int | None = None,
-                   min_baseline: int = K.MIN_DRIFT_BASELINE) -> DataFrame:
-    """ST2: running-centroid drift across micro-batches (see module docstring)."""
-    base = [f for f in df.schema.fields if f.name not in (vector, "drift_score", "embedding_vector")]
-    out = T.StructType(base + [T.StructField("drift_score", T.DoubleType()),
-                               T.StructField("embedding_vector", T.ArrayType(T.DoubleType()))])
-    fn = _drift_fn(list(order), vector, cap, min_baseline, [f.name for f in out.fields])
-    return df.groupBy(key).applyInPandasWithState(fn, out, _DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def scored_stream(events: DataFrame, dim: int | None = None) -> DataFrame:
-    """ST1: the evaluate chain on a stream (same column expressions as batch P5)."""
-    from ternlens.functions.vectors import DEFAULT_DIM
-
-    rec = SC.event_to_record(SC.normalize_events(events))
-    rec = SC.with_embeddings(rec, dim or DEFAULT_DIM)
-    rec = SC.rag_scores(SC.hallucination_scores(SC.quality_scores(rec)))
-    blank = TX.is_blank(F.coalesce(F.col("response"), F.lit("")))
-    rec = rec.withColumn("_v", F.when(blank, F.lit(None).cast("array<double>")).otherwise(F.col("_emb")["v_r"]))
-    rec = stateful_drift(rec.drop("_emb"))
-    rec = SC.clamp_scores(rec)
-    return rec.withColumn("health_score", S.health_score())
-
-
 # ------------------------------------------------------------------ ST3
-_COOL_STATE = T.StructType([T.StructField("last_fired", T.LongType())])
-
-
-def _cooldown_fn(cooldown_us: int, out_cols: list[str]):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["_ts", "record_id"], kind="mergesort").reset_index(drop=True)
-        last = state.get[0] if state.exists else None
-        keep = []
-        for i, t in enumerate(pdf["_ts"].to_numpy(dtype=np.int64)):
-            if last is None or t - last >= cooldown_us:
-                keep.append(i)
-                last = int(t)
-        if last is not None:
-            state.update((int(last),))
-            state.setTimeoutTimestamp(int((last + cooldown_us) // 1000))
-        if keep:
-            yield pdf.iloc[keep][out_cols]
-    return fn
+class _Cooldown(StatefulProcessor):
+    """One key's breaches that the watermark hasn't passed, and its last fire; a timer stands at the earliest pending breach."""
+
+    def __init__(self, cooldown_us: int, schema: T.StructType):
+        self.cooldown, self.schema = cooldown_us, schema
+        self.at, self.record = schema.fieldNames().index("_ts"), schema.fieldNames().index("record_id")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.schema)
+        self.last = handle.getValueState("last_fired", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [tuple(r) for r in rows]
+        if new:
+            self.pending.appendList(new)
+            self._wake(min(r[self.at] for r in new))
+        return iter(())
+
+    def _wake(self, ts_us: int) -> None:
+        """A timer for the millisecond after ``ts_us``, unless one stands earlier."""
+        at = ts_us // 1000 + 1
+        standing = list(self.handle.listTimers())
+        if not standing or min(standing) > at:
+            for t in standing:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.pending.get()]
+        last = self.last.get()[0] if self.last.exists() else None
+        fired = []
+        for r in sorted((r for r in held if r[self.at] < passed), key=lambda r: (r[self.at], r[self.record])):
+            if last is None or r[self.at] - last >= self.cooldown:
+                fired.append(r)
+                last = r[self.at]
+        if fired:
+            self.last.update((last,))
+        rest = [r for r in held if r[self.at] >= passed]
+        if rest:
+            self.pending.put(rest)
+            self._wake(min(r[self.at] for r in rest))
+        else:
+            self.pending.clear()
+        names = self.schema.fieldNames()
+        return iter([Row(**dict(zip(names, r))) for r in fired])
+
+    def close(self) -> None:
+        pass
 
 
 def stateful_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN_SECONDS,
                       scope: str = "app_metric", watermark: str = "1 hour") -> DataFrame:
-    """ST3: alerts that fire under the cooldown, with per-key state across batches."""
+    """ST3: alerts that fire under the cooldown, with per-key state across batches.
+
+    An alert is given out when the watermark has passed it; until then later deliveries may bring earlier breaches.
+    So any order within the watermark gives the rows of W3; rows behind the watermark are dropped by Spark (counted as
+    ``numRowsDroppedByWatermark`` in the query's progress).  A breach delivered again within the watermark is one.
+    The state store is RocksDB, which list state and timers need; it is set for the session's streams.
+    """
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     keys = ["metric"] if scope == "metric" else ["app_name", "metric"]
-    src = alerts.withWatermark("timestamp", watermark).withColumn("_ts", F.unix_micros("timestamp"))
-    out = T.StructType([f for f in src.schema.fields])
-    fn = _cooldown_fn(int(cooldown_seconds) * 1_000_000, [f.name for f in out.fields])
-    fired = src.groupBy(*keys).applyInPandasWithState(fn, out, _COOL_STATE, "append",
-                                                      GroupStateTimeout.EventTimeTimeout)
-    return fired.drop("_ts")
+    src = (alerts.withWatermark("timestamp", watermark)
+           .dropDuplicatesWithinWatermark(["record_id", "metric", "timestamp"])
+           .withColumn("_ts", F.unix_micros("timestamp")))
+    # the state holds plain numbers in place of timestamps
+    stamps = [f.name for f in src.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    plain = src.select(*[F.unix_micros(c).alias(f"{c}_us") if c in stamps else F.col(c) for c in src.columns], F.col("timestamp").alias("_event"))
+    state = T.StructType([f for f in plain.schema.fields if f.name != "_event"])
+    fired = (plain.groupBy(*keys).transformWithState(
+        _Rows(int(cooldown_seconds) * 1_000_000, state), state, "append", "eventTime"))
+    return fired.select(*[F.timestamp_micros(f"{c}_us").alias(c) if c in stamps else F.col(c) for c in alerts.columns])
+
+
+class _Rows(_Cooldown):
+    """Takes the event column, which only carries the watermark, off the incoming rows."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names = self.schema.fieldNames()
+        return super().handleInputRows(key, (tuple(r[c] for c in names) for r in rows), timerValues)
 
 
 # ------------------------------------------------------------------ ST4 / ST5 / ST6
 def upsert_sink(path: str):
-    """ST4: ``foreachBatch`` function merging each micro-batch into the record table."""
-    from ternlens.sources.records_io import latest_version, upsert_records
+    """ST4: ``foreachBatch`` function merging each micro-batch (events or scored records) into the record table.
+
+    The newest row of an id inside the batch counts.  The batch id is entered in a ledger beside the table, and a batch
+    entered there is skipped; one that was stopped before is merged again to the same rows.
+    """
+    from ternlens.sources.records_io import upsert_records
+    from ternlens.streaming.ledger import Ledger
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        upsert_records(batch.sparkSession, latest_version(batch.withColumn("_seq", F.lit(0))), path)
+        ledger = Ledger(batch.sparkSession, f"{path.rstrip('/')}-batches")
+        if not ledger.done(batch_id):
+            upsert_records(batch.sparkSession, batch, path)
+            ledger.commit(batch_id)
 
     return sink
 
@@ -207,3 +184,4 @@ def replay(df: DataFrame, path: str, writer, chunks: int = 4, ts: str = "timesta
     for i in range(chunks):  # a handful of sequential deliveries, one per time range
         spark.read.parquet(held).where(F.col("_chunk") == i).drop("_chunk").write.mode("append").parquet(path)
         drain(writer)
+    remove_folder(spark, held)

@@ -98,3 +98,52 @@ def test_online_drift_partition_invariant(spark, sf, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     ref = sorted((r.id, r.drift_score) for r in D.online_drift(vecs, order=("id",), cap=20).collect())
     assert got == ref
+
+
+def test_repeated_rows_stay_as_many_as_they_are(spark):
+    import datetime as dt
+    from ternlens.operators import scoring as SC
+
+    rows = [(k % 40, "a", [float(k % 7), 1.0, float(k % 3)]) for k in range(120)]  # every id three times
+    df = spark.createDataFrame(rows, "id long, app_name string, vector array<double>").repartition(4)
+    out = D.online_drift(df, order=("id",)).collect()
+    assert len(out) == 120 and sum(r.drift_score is None for r in out) == 9
+    t = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([(None, "app", t, "q", None, "an answer")] * 30, "id string, app_name string, timestamp timestamp, query string, context string, response string")
+    assert SC.evaluate(ev).count() == 30
+
+
+def test_history_goes_on_from_the_stored_state(spark, sf):
+    vecs = bridge.vectors(spark, sf)
+    whole = {r.id: r.drift_score for r in D.online_drift(vecs, order=("id",)).collect()}
+    early, late = vecs.where("id < 150"), vecs.where("id >= 150")
+    state = D.drift_state(early)
+    parts = {r.id: r.drift_score for df, start in ((early, None), (late, state)) for r in D.online_drift(df, order=("id",), start=start).collect()}
+    assert parts == whole
+    again = {r.app_name: (r["count"], np.round(r.total, 9).tolist()) for r in D.drift_state(late, state).collect()}
+    assert again == {r.app_name: (r["count"], np.round(r.total, 9).tolist()) for r in D.drift_state(vecs).collect()}
+
+
+def test_uncapped_baseline_of_an_app_above_ten_thousand(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(12_000, 3)) + np.linspace(0, 2, 12_000)[:, None]
+    df = spark.createDataFrame([(k, "hot", v.tolist()) for k, v in enumerate(m)], "id long, app_name string, vector array<double>").repartition(6)
+    got = {r.id: r.drift_score for r in D.online_drift(df, order=("id",)).collect()}
+    want = _brute(list(m), 10**9)
+    assert all(abs(got[k] - want[k]) <= 1e-4 + 1e-12 for k in range(10, 12_000))
+
+
+def test_failing_plugin_leaves_defaults_on_its_rows(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+    from ternlens.operators.plugins import PandasScorer
+
+    def score(pdf):
+        if pdf["response"].str.contains("boom").any():
+            raise ValueError("no")
+        return pd.DataFrame({"chars": pdf["response"].str.len()})
+    df = spark.createDataFrame([(k, "boom" if k % 4 == 0 else "x" * k) for k in range(20)], "id long, response string")
+    plug = PandasScorer("chars", score, ["response"], T.StructType([T.StructField("chars", T.LongType())]), {"chars": -1})
+    assert {(r.id, r.chars, r.plugin_errors) for r in plug.apply(df).collect()} == {(k, -1, 1) if k % 4 == 0 else (k, k, 0) for k in range(20)}
+    broken = PandasScorer("chars", lambda pdf: pdf.head(0), ["response"], T.StructType([T.StructField("chars", T.LongType())]))
+    assert {(r.chars, r.plugin_errors) for r in broken.apply(df).collect()} == {(None, 1)}

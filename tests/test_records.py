@@ -156,3 +156,49 @@ def test_events_are_whole_but_for_parity(spark):
     assert whole.response_length == 40_002
     cut = SC.evaluate(df, off, limits=K.PARITY_LIMITS).first()
     assert cut.query == cut.context == cut.response == long[:200_000] and cut.tags == ["t" * 100] * 50
+
+
+def test_moved_ids_leave_their_old_partitions(spark):
+    t = dt.datetime(2024, 3, 1, 10, 0)
+    schema = "id string, app_name string, timestamp timestamp, health_score int"
+    path = f"{checkpoint_dir(spark)}/t-moved-{uuid.uuid4().hex}"
+    IO.save_records(spark.createDataFrame([(f"i{k}", f"app {k % 2}/x", t + dt.timedelta(days=k % 3), k) for k in range(12)], schema), path)
+    # all of one partition and a few of others move to another app and date
+    gone = [r.id for r in IO.read_records(spark, path).where("app_name = 'app 0/x' AND event_date = '2024-03-01'").collect()]
+    assert len(gone) == 2
+    move = spark.createDataFrame([(i, "elsewhere", t + dt.timedelta(days=9), 100) for i in [*gone, "i1", "i5"]], schema)
+    for _ in range(2):  # the same delivery again changes nothing
+        IO.upsert_records(spark, move, path)
+        got = {r.id: (r.app_name, r.health_score) for r in IO.read_records(spark, path).collect()}
+        assert IO.read_records(spark, path).count() == len(got) == 12
+        assert all(got[i] == ("elsewhere", 100) for i in [*gone, "i1", "i5"])
+    dates = {(r.app_name, str(r.event_date)) for r in IO.read_records(spark, path).select("app_name", "event_date").distinct().collect()}
+    assert ("app 0/x", "2024-03-01") not in dates and ("elsewhere", "2024-03-10") in dates
+    IO.upsert_records(spark, spark.createDataFrame([("i1", "app 1/x", t, 5)], schema), path)  # and back
+    assert IO.read_records(spark, path).count() == 12
+    before = sorted(map(tuple, IO.locations(spark, path, IO.read_records(spark, path)).collect()))
+    IO.compact_index(spark, path)
+    assert sorted(map(tuple, IO.locations(spark, path, IO.read_records(spark, path)).collect())) == before
+    assert spark.read.parquet(IO.index_path(path)).count() == 12
+
+
+def test_table_without_an_index_gets_one(spark):
+    t = dt.datetime(2024, 3, 1, 10, 0)
+    schema = "id string, app_name string, timestamp timestamp, health_score int, created_at timestamp, event_date date"
+    path = f"{checkpoint_dir(spark)}/t-noindex-{uuid.uuid4().hex}"
+    spark.createDataFrame([("a", "x", t, 1, t, t.date()), ("b", "x", t, 2, t, t.date())], schema).write.partitionBy("app_name", "event_date").parquet(path)
+    IO.upsert_records(spark, spark.createDataFrame([("a", "y", t, 9)], "id string, app_name string, timestamp timestamp, health_score int"), path)
+    assert sorted((r.id, r.app_name, r.health_score) for r in IO.read_records(spark, path).collect()) == [("a", "y", 9), ("b", "x", 2)]
+
+
+def test_hot_partition_is_written_by_its_size(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 40_000, 1, 16).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 20 == 0, "cold").otherwise("hot").alias("app_name"),
+                                          F.lit("2024-01-01").cast("timestamp").alias("timestamp"), F.sha2(F.col("id").cast("string"), 256).alias("response"))
+        path = f"{checkpoint_dir(spark)}/t-hot-{uuid.uuid4().hex}"
+        IO.save_records(rows, path)
+        files = [f for f in IO.read_records(spark, path).inputFiles()]
+        assert sum("hot" in f for f in files) > 8 and sum("cold" in f for f in files) <= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
