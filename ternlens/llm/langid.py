@@ -12,8 +12,11 @@ All orders are stored in arrays sorted by a hash of the packed n-gram (an odd mu
 so no two n-grams share one), found through a directory of the hash's first bits.
 A text's language is that of lowest cross-entropy per symbol.
 
-An n-gram is kept if its share of its language's n-grams is at least ``SHARE``, at every size:
-so at most 1 / SHARE n-grams for each language reach the driver and the broadcast model.
+No n-gram is left out: counts, continuation counts and discounts are made by Spark over all of them.  Orders 3 and 4 are cut into
+shards by their inner two symbols, which an n-gram, its context and its shorter forms share (orders 1 and 2, pairs of symbols
+at most, are in every shard).  So a shard alone gives the probability of each n-gram that falls into it, and has about
+``SHARD_GRAMS`` n-grams: that bounds what the driver and a broadcast hold.  The texts are scored shard by shard, and the sums of log
+probabilities added up; there are as many passes as the model needs, one for small ones.
 
 Rejection is calibrated on the training texts: a text is rejected when its best cross-entropy lies more
 than ``CHANCE`` of the way from the mean of the training texts predicted so to that of symbols
@@ -28,19 +31,23 @@ an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import crc_mod, own, releasing, rows_among, staged, text_hash
+from ternlens.llm.common import crc_mod, discard, own, releasing, rows_among, staged, text_hash
 
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
-SHARE = 1e-6
+#: N-grams of order 3 and 4 in a shard of the model, about.
+SHARD_GRAMS = 2_000_000
 CHANCE = 0.6
 #: Allowance for a text of one symbol, in nats; it falls with the root of the length.
 ALLOWANCE = 6.0
@@ -83,6 +90,19 @@ def packed(flat: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def groups_of(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of bounded length, but for one long text: bounds the arrays made of them."""
+    group, chars = [], 0
+    for t in texts:
+        if group and chars + len(t) > 2 * SLICE:
+            yield group
+            group, chars = [], 0
+        group.append(t)
+        chars += len(t)
+    if group:
+        yield group
+
+
 def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """lang, gram (packed), n over all rows."""
     def run(batches):
@@ -92,15 +112,38 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 if t:
                     held.setdefault(lang, []).append(t)
             for lang, texts in held.items():
-                flat, _ = symbols(texts)
-                keys, n = np.unique(packed(flat, ORDER)[flat != START], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
-                    names=["lang", "gram", "n"])
+                for group in groups_of(texts):
+                    flat, _ = symbols(group)
+                    keys, n = np.unique(packed(flat, ORDER)[flat != START], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
+                        names=["lang", "gram", "n"])
     parts = own(docs, lang_col, text_col).mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def shard_of(gram, shards: int):
+    """Shard of an n-gram of order 3 or 4 (a column, or numbers): by its inner two symbols."""
+    if isinstance(gram, Column):
+        inner = F.shiftright(gram, 16).bitwiseAND(0xFFFFFFFF)
+        return (inner % 1_000_003 % shards).cast("int")
+    return (gram >> np.uint64(16) & np.uint64(0xFFFFFFFF)) % np.uint64(1_000_003) % np.uint64(shards)
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """lang, order, gram, n of all orders: raw counts at the highest, numbers of different symbols before it below."""
+    out = [counts.select("lang", F.lit(ORDER).alias("order"), "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        short = F.col("gram").bitwiseAND((1 << 16 * order) - 1)
+        out.append(out[-1].groupBy("lang", short.alias("gram")).agg(F.count("*").alias("n"))
+                   .select("lang", F.lit(order).alias("order"), "gram", "n"))
+    return functools.reduce(DataFrame.union, out)
+
+
+def discount(ones: int, twos: int) -> float:
+    return float(ones / (ones + 2 * twos)) if ones and twos else 0.5
+
+
 class HashArray:
     """Rows of values by packed n-gram, sorted by hash, with a directory of the first bits."""
 
@@ -126,26 +169,27 @@ class HashArray:
 
 
 class CharacterModels:
-    """One interpolated Kneser-Ney model for each language, in shared hash arrays."""
+    """One interpolated Kneser-Ney model for each language (or a shard of it), in shared hash arrays.
+
+    ``grams``: lang, order, gram, n; ``discounts`` by language and order, over all shards.
+    """
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
+    def __init__(self, grams: pd.DataFrame, discounts: dict[tuple[str, int], float], shard: int = 0, shards: int = 1):
+        self.shard, self.shards = shard, shards
+        self.langs = sorted({lang for lang, _ in discounts})
         size = len(self.langs)
         probs: list[list] = [[] for _ in range(ORDER + 1)]  # by order: (language, grams, p)
         rests: list[list] = [[] for _ in range(ORDER)]  # by context length: (language, contexts, share of the shorter one)
         for k, lang in enumerate(self.langs):
-            own_rows = counts[counts["lang"] == lang]
-            grams = own_rows["gram"].to_numpy(np.int64).view(np.uint64)
-            n = own_rows["n"].to_numpy(float)
-            levels = {ORDER: (grams, n)}
-            for order in range(ORDER - 1, 0, -1):
-                short, types = np.unique(levels[order + 1][0] & np.uint64((1 << 16 * order) - 1), return_counts=True)
-                levels[order] = (short, types.astype(float))
+            own_rows = grams[grams["lang"] == lang]
+            levels = {}
+            for order in range(1, ORDER + 1):
+                rows = own_rows[own_rows["order"] == order].sort_values("gram")
+                levels[order] = (rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float))
             below = None
             for order in range(1, ORDER + 1):
                 g, c = levels[order]
-                ones, twos = (c == 1).sum(), (c == 2).sum()
-                d = float(ones / (ones + 2 * twos)) if ones and twos else 0.5
+                d = discounts[lang, order]
                 context = g >> np.uint64(16)
                 ctx, where, types = np.unique(context, return_inverse=True, return_counts=True)
                 total = np.bincount(where, weights=c)
@@ -201,6 +245,11 @@ class CharacterModels:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol by text and language, and each text's number of symbols."""
+        total, n = self.sums(texts)
+        return -total / np.maximum(n, 1)[:, None], n
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability by text and language, and the number of symbols, of the n-grams in this shard."""
         n = np.zeros(len(texts))
         total = np.zeros((len(texts), len(self.langs)))
         flat, owner = symbols(texts)
@@ -210,66 +259,102 @@ class CharacterModels:
             keys = packed(part, ORDER)[lo - before:]
             own_part, mine = part[lo - before:] != START, owner[lo:lo + SLICE]
             keys, mine = keys[own_part], mine[own_part]
+            if self.shards > 1:
+                here = shard_of(keys, self.shards) == self.shard
+                keys, mine = keys[here], mine[here]
             if len(keys):
                 logs = self.log_prob(keys)
                 n += np.bincount(mine, minlength=len(texts))
                 for k in range(len(self.langs)):
                     total[:, k] += np.bincount(mine, weights=logs[:, k], minlength=len(texts))
-        return -total / np.maximum(n, 1)[:, None], n
+        return total, n
+
+
+class Trained:
+    """The staged n-gram table, its discounts and the number of shards; ``models`` loads them one by one."""
 
+    def __init__(self, grams: DataFrame):
+        self.grams = grams
+        some = grams.groupBy("lang", "order").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"),
+                                                  F.count("*").alias("types")).collect()  # a row for each language and order
+        self.discounts = {(r.lang, r.order): discount(r.ones, r.twos) for r in some}
+        self.langs = sorted({r.lang for r in some})
+        #: log of the uniform share at the end of the back-off, by language
+        self.uniform = {r.lang: -math.log(r.types + 1) for r in some if r.order == 1}
+        self.shards = max(1, -(-sum(r.types for r in some if r.order > 2) // SHARD_GRAMS))
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share: float = SHARE) -> CharacterModels | None:
+    def models(self) -> Iterator[CharacterModels]:
+        for shard in range(self.shards if self.langs else 0):
+            here = (F.col("order") < 3) | (shard_of(F.col("gram"), self.shards) == shard)
+            yield CharacterModels(self.grams.filter(here).toPandas(), self.discounts, shard, self.shards)
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Trained:
     """Models of all rows with a text and a language."""
-    counts = staged(gram_counts(docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()), lang_col, text_col),
-                    "grams")
-    least = F.broadcast(counts.groupBy("lang").agg((F.sum("n") * share).alias("least")))  # a row for each language
-    kept = counts.join(least, "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n").toPandas()
-    return CharacterModels(kept) if len(kept) else None
+    counts = staged(gram_counts(docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()), lang_col, text_col), "counts")
+    out = Trained(staged(levels(counts), "grams"))
+    discard(counts)
+    return out
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, models: CharacterModels | None, id_col: str = "doc_id", text_col: str = "text",
-             sha: bool = False) -> DataFrame:
+def identify(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: str = "text", sha: bool = False) -> DataFrame:
     """id, lang_pred, score, cross_entropy, symbols (and, if asked for, sha: the text's hash) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    kind = docs.schema[id_col].dataType.simpleString()
+    langs = trained.langs
+    rows = own(docs, id_col, text_col)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col) if sha else F.lit(None)).alias("sha"))
+
+    def scored(shared):
+        def run(batches):
+            models = shared.value
+            for b in batches:
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                done = [models.sums(group) for group in groups_of(texts)]
+                total = np.concatenate([t for t, _ in done]) if done else np.zeros((0, len(langs)))
+                n = np.concatenate([k for _, k in done]) if done else np.zeros(0)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c for k, c in enumerate(b.columns) if k != 1), pa.array(n.astype(np.int64)), pa.array(map(has_letter, texts), pa.bool_()),
+                     pa.array(list(total), pa.list_(pa.float64()))],
+                    names=[*(c for c in b.schema.names if c != "text"), "n", "letter", "logs"])
+        return run
 
-    def run(batches):
-        models = shared.value
+    def decided(batches):
+        """Rows (id, sha, n, letter, logs) to the result."""
         for b in batches:
-            langs, score, best, size = [], [], [], []
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            if models is None:
-                langs, score, best, size = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts)
-            else:
-                groups, chars = [[]], 0
-                for t in texts:  # bounded arrays, but for one long text
-                    if chars > 2 * SLICE:
-                        groups, chars = [*groups, []], 0
-                    groups[-1].append(t)
-                    chars += len(t)
-                for group in groups:
-                    if not group:
-                        continue
-                    h, n = models.entropies(group)
-                    odds = np.exp(-(h - h.min(axis=1, keepdims=True)) * np.minimum(n, CONFIDENT)[:, None])
-                    sure = 1 / odds.sum(axis=1)
-                    for t, k, e, m, s in zip(group, h.argmin(axis=1), h, n, sure):
-                        known = m > 0 and has_letter(t)
-                        langs.append(models.langs[k] if known else "und")
-                        score.append(float(s) if known else 0.0)
-                        best.append(float(e[k]) if known else None)
-                        size.append(int(m))
+            n, letter = b.column(2).to_numpy(), b.column(3).to_pylist()
+            logs = b.column(4).flatten().to_numpy().reshape(len(n), -1) if len(n) else np.zeros((0, len(langs)))
+            h = -logs / np.maximum(n, 1)[:, None]
+            sure = 1 / np.exp(-(h - h.min(axis=1, keepdims=True)) * np.minimum(n, CONFIDENT)[:, None]).sum(axis=1)
+            known = [bool(x) and k > 0 for x, k in zip(letter, n)]
+            best = h.argmin(axis=1) if len(n) else []
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()),
-                 pa.array(size, pa.int64()), *b.columns[2:]],
-                names=[id_col, "lang_pred", "score", "cross_entropy", "symbols", *["sha"] * sha])
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = own(docs, id_col, text_col)
-    return (rows.withColumn("sha", text_hash(F.col(text_col))) if sha else rows).mapInArrow(
-        run, f"`{id_col}` {kind}, lang_pred string, score double, cross_entropy double, symbols long" + ", sha binary" * sha)
+                [b.column(0), pa.array([langs[k] if y else "und" for k, y in zip(best, known)], pa.string()),
+                 pa.array([float(s) if y else 0.0 for s, y in zip(sure, known)], pa.float64()),
+                 pa.array([float(r[k]) if y else None for r, k, y in zip(h, best, known)], pa.float64()),
+                 b.column(2), b.column(1)], names=["id", "lang_pred", "score", "cross_entropy", "symbols", "sha"])
+    sc, columns = docs.sparkSession.sparkContext, "n long, letter boolean, logs array<double>"
+    if not langs:
+        out = rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"),
+                          F.lit(0).cast("long").alias("symbols"), "sha")
+    elif trained.shards == 1:
+        logs = rows.mapInArrow(scored(sc.broadcast(next(trained.models()))), f"id {kind}, sha binary, {columns}")
+        out = logs.mapInArrow(decided, f"id {kind}, lang_pred string, score double, cross_entropy double, symbols long, sha binary")
+    else:
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        passes = []
+        for models in trained.models():
+            shared = sc.broadcast(models)
+            passes.append(staged(rows.select("row", "text").mapInArrow(scored(shared), f"row long, {columns}"), "pass"))
+            shared.destroy()
+        added = (functools.reduce(DataFrame.union, passes).groupBy("row").agg(
+            F.sum("n").alias("n"), F.max("letter").alias("letter"), F.array(*[F.sum(F.col("logs")[k]) for k in range(len(langs))]).alias("logs")))
+        logs = rows.select("row", "id", "sha").join(added, "row").select("id", "sha", "n", "letter", "logs")
+        out = logs.mapInArrow(decided, f"id {kind}, lang_pred string, score double, cross_entropy double, symbols long, sha binary")
+    return out.select(F.col("id").alias(id_col), "lang_pred", "score", "cross_entropy", "symbols", *["sha"] * sha)
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -278,12 +363,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = own(docs, id_col, text_col, lang_col)
     held_out = crc_mod(id_col, FOLDS) == HELD_OUT
     # a null identifier has no fold: it takes no part in training
-    models = train(rows.filter(~held_out), lang_col, text_col)
-    found = staged(identify(rows, models, id_col, text_col, sha), "languages").withColumn("held_out", held_out)
+    trained = train(rows.filter(~held_out), lang_col, text_col)
+    found = staged(identify(rows, trained, id_col, text_col, sha), "languages").withColumn("held_out", held_out)
     usual = F.broadcast(found.filter(~F.col("held_out") & (F.col("lang_pred") != "und")).groupBy("lang_pred").agg(
         F.avg("cross_entropy").alias("mean")))  # a row for each language
-    chance = F.create_map(*[F.lit(x) for k, lang in enumerate(models.langs if models else [])
-                            for x in (lang, -float(models.uniform[k]))]) if models else F.create_map(F.lit(""), F.lit(0.0))
+    chance = F.create_map(*[F.lit(x) for lang in [*trained.langs, ""] for x in (lang, -trained.uniform.get(lang, 0.0))])
     limit = (F.col("mean") * (1 - CHANCE) + CHANCE * chance[F.col("lang_pred")]
              + ALLOWANCE / F.sqrt(F.greatest("symbols", F.lit(1))))
     return found.join(usual, "lang_pred", "left").select(

@@ -43,6 +43,18 @@ def brute_models(texts, order=langid.ORDER):
     return p
 
 
+def all_levels(counts):
+    """Rows of all orders and the discounts, from counts (lang, gram, n) of the highest."""
+    rows, discounts = [counts.assign(order=langid.ORDER)], {}
+    for order in range(langid.ORDER - 1, 0, -1):
+        short = rows[-1].assign(gram=(rows[-1]["gram"].to_numpy(np.int64).view(np.uint64) & np.uint64((1 << 16 * order) - 1)).view(np.int64))
+        rows.append(short.groupby(["lang", "gram"]).size().reset_index(name="n").assign(order=order))
+    table = pd.concat(rows)
+    for (lang, order), g in table.groupby(["lang", "order"]):
+        discounts[lang, order] = langid.discount((g["n"] == 1).sum(), (g["n"] == 2).sum())
+    return table, discounts
+
+
 def clean(text):
     out = "\x01" * (langid.ORDER - 1)
     for c in text.lower():
@@ -59,7 +71,7 @@ def test_cross_entropies_are_the_textbooks():
         flat, _ = langid.symbols(texts)
         keys, n = np.unique(langid.packed(flat, langid.ORDER)[flat != langid.START], return_counts=True)
         rows.append(pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n}))
-    models = langid.CharacterModels(pd.concat(rows))
+    models = langid.CharacterModels(*all_levels(pd.concat(rows)))
     texts = ["the hat", "die stadt", "xyz ÿ", "th", "cat  mat!"]
     h, n = models.entropies(texts)
     for k, lang in enumerate(models.langs):
@@ -71,11 +83,43 @@ def test_cross_entropies_are_the_textbooks():
             assert h[i, k] == pytest.approx(-sum(logs) / len(logs), rel=1e-5)
 
 
+def test_training_keeps_every_gram(spark, small_docs):
+    """Counts of all orders and discounts of ``train`` against plain counts of the training texts."""
+    from collections import Counter
+    rows = [(r.lang, r.text) for r in small_docs.limit(60).collect()]
+    trained = langid.train(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    top = Counter()
+    for lang, t in rows:
+        s = clean(t)
+        top.update((lang, s[k - langid.ORDER + 1:k + 1]) for k in range(langid.ORDER - 1, len(s)))
+    got = {}
+    for r in trained.grams.collect():
+        g = "".join(chr((r.gram & (1 << 64) - 1) >> 16 * k & 0xFFFF) for k in range(r.order - 1, -1, -1))
+        got.setdefault(r.order, {})[r.lang, g] = r.n
+    for order in range(langid.ORDER, 0, -1):
+        assert got[order] == top
+        ones, twos = Counter(), Counter()
+        for (lang, _), n in top.items():
+            ones[lang] += n == 1
+            twos[lang] += n == 2
+        assert all(trained.discounts[lang, order] == langid.discount(ones[lang], twos[lang]) for lang in trained.langs)
+        top = Counter((lang, g[1:]) for lang, g in top)
+    assert any(n == 1 for n in got[langid.ORDER].values()) and trained.shards == 1
+
+
+def test_shards_of_the_model_give_the_same_rows(spark, small_docs, monkeypatch):
+    whole = sorted(map(tuple, langid.languages(small_docs).collect()))
+    monkeypatch.setattr(langid, "SHARD_GRAMS", 9_000)
+    sharded = sorted(map(tuple, langid.languages(small_docs).collect()))
+    assert [r[:3] + r[5:] for r in sharded] == [r[:3] + r[5:] for r in whole]
+    assert np.allclose([r[4] for r in sharded], [r[4] for r in whole], rtol=1e-6)
+
+
 def test_slices_do_not_change_the_result(monkeypatch):
     texts = ["the cat sat on the mat " * 9, "", "a", "rat and cat " * 7]
     flat, _ = langid.symbols(texts)
     keys, n = np.unique(langid.packed(flat, langid.ORDER)[flat != langid.START], return_counts=True)
-    models = langid.CharacterModels(pd.DataFrame({"lang": "a", "gram": keys.view(np.int64), "n": n}))
+    models = langid.CharacterModels(*all_levels(pd.DataFrame({"lang": "a", "gram": keys.view(np.int64), "n": n})))
     whole = models.entropies(texts)
     monkeypatch.setattr(langid, "SLICE", 13)
     part = models.entropies(texts)
