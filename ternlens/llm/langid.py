@@ -337,12 +337,13 @@ def identify(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col
                  pa.array([float(r[k]) if y else None for r, k, y in zip(h, best, known)], pa.float64()),
                  b.column(2), b.column(1)], names=["id", "lang_pred", "score", "cross_entropy", "symbols", "sha"])
     sc, columns = docs.sparkSession.sparkContext, "n long, letter boolean, logs array<double>"
+    result = f"id {kind}, lang_pred string, score double, cross_entropy double, symbols long, sha binary"
     if not langs:
         out = rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"),
                           F.lit(0).cast("long").alias("symbols"), "sha")
     elif trained.shards == 1:
-        logs = rows.mapInArrow(scored(sc.broadcast(next(trained.models()))), f"id {kind}, sha binary, {columns}")
-        out = logs.mapInArrow(decided, f"id {kind}, lang_pred string, score double, cross_entropy double, symbols long, sha binary")
+        sums = scored(sc.broadcast(next(trained.models())))  # both steps in one Python worker
+        out = rows.mapInArrow(lambda batches: decided(sums(batches)), result)
     else:
         rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
         passes = []
@@ -353,7 +354,7 @@ def identify(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col
         added = (functools.reduce(DataFrame.union, passes).groupBy("row").agg(
             F.sum("n").alias("n"), F.max("letter").alias("letter"), F.array(*[F.sum(F.col("logs")[k]) for k in range(len(langs))]).alias("logs")))
         logs = rows.select("row", "id", "sha").join(added, "row").select("id", "sha", "n", "letter", "logs")
-        out = logs.mapInArrow(decided, f"id {kind}, lang_pred string, score double, cross_entropy double, symbols long, sha binary")
+        out = logs.mapInArrow(decided, result)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "cross_entropy", "symbols", *["sha"] * sha)
 
 
