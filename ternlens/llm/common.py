@@ -34,7 +34,7 @@ def staged(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
 _FOLDERS: dict[str, SparkSession] = {}
 
 
-def _collect(spark: SparkSession) -> None:
+def collect_shuffles(spark: SparkSession) -> None:
     """Lets the driver's collector find the shuffles of finished steps, whose files Spark's cleaner then removes."""
     jvm = getattr(spark.sparkContext, "_jvm", None)
     if jvm is not None:
@@ -48,7 +48,7 @@ def releasing(operator):
         before = set(_FOLDERS)
         out = operator(*args, **kwargs)
         release(set(_FOLDERS) - before, out)
-        _collect(out.sparkSession)
+        collect_shuffles(out.sparkSession)
         return out
     return run
 
@@ -66,7 +66,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         release({p for p in list(_FOLDERS) if any(p.rsplit("/", 1)[1] in f for f in t.inputFiles())})
     if tables:
-        _collect(tables[0].sparkSession)
+        collect_shuffles(tables[0].sparkSession)
 
 
 def _remove_all() -> None:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import discard, own, releasing, staged
+from ternlens.llm.common import collect_shuffles, discard, own, releasing, staged
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -405,14 +405,20 @@ def marked_starts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
 
     places = with_text.select("k1", "k2", F.explode("regions").alias("r")).select("k1", "k2", "r.h", "r.s", "r.d", "r.content")
     distinct = staged(places.groupBy("h", "d").agg(F.count("*").alias("n"), F.max("content").alias("content")), "distinct")
+    collect_shuffles(docs.sparkSession)
     sizes = distinct.groupBy("h").agg(F.count("*").alias("k"))
-    several = sizes.filter("k > 1").select("h", F.ceil(F.col("k") / REGIONS).cast("int").alias("shards"))
-    found = (distinct.join(several, "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
-             .withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
-             .select("h", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
-                     (F.col("me") <= F.col("other")).alias("left"), "d", "content")
-             .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
-             .mapInArrow(_shards, "d binary, spans array<int>"))
+    several = staged(sizes.filter("k > 1").select("h", F.ceil(F.col("k") / REGIONS).cast("int").alias("shards")), "several", slim=True)
+    ddl = "d binary, spans array<int>"
+    # an anchor of one shard stays where the join has put it; those of several are dealt by pairs of shards
+    one = (distinct.join(several.filter("shards = 1"), "h")
+           .select("h", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), "d", "content")
+           .repartition("h").sortWithinPartitions("h").mapInArrow(_shards, ddl))
+    more = (distinct.join(several.filter("shards > 1"), "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
+            .select("h", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
+                    (F.col("me") <= F.col("other")).alias("left"), "d", "content")
+            .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_shards, ddl))
+    found = one.union(more)
     whole = distinct.filter("n > 1").select("d", F.array(F.lit(0), F.octet_length("content") - (LENGTH - 1)).alias("spans"))
     # a region that occurs twice repeats as a whole; what was found in it then says no more
     spans = staged(whole.union(found.join(whole.select("d"), "d", "left_anti")), "spans")
