@@ -422,6 +422,7 @@ def marked_starts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     whole = distinct.filter("n > 1").select("d", F.array(F.lit(0), F.octet_length("content") - (LENGTH - 1)).alias("spans"))
     # a region that occurs twice repeats as a whole; what was found in it then says no more
     spans = staged(whole.union(found.join(whole.select("d"), "d", "left_anti")), "spans")
+    discard(distinct, several)
     starts = (places.join(spans, "d")
               .select("k1", "k2", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
               .groupBy("k1", "k2").agg(F.collect_set("spans").alias("starts")))
