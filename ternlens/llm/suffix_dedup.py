@@ -413,12 +413,14 @@ def marked_starts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     one = (distinct.join(several.filter("shards = 1"), "h")
            .select("h", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), "d", "content")
            .repartition("h").sortWithinPartitions("h").mapInArrow(_shards, ddl))
-    more = (distinct.join(several.filter("shards > 1"), "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
-            .select("h", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
-                    (F.col("me") <= F.col("other")).alias("left"), "d", "content")
-            .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_shards, ddl))
-    found = one.union(more)
+    found = one
+    if several.filter("shards > 1").limit(1).count():
+        more = (distinct.join(several.filter("shards > 1"), "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
+                .withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
+                .select("h", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
+                        (F.col("me") <= F.col("other")).alias("left"), "d", "content")
+                .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_shards, ddl))
+        found = one.union(more)
     whole = distinct.filter("n > 1").select("d", F.array(F.lit(0), F.octet_length("content") - (LENGTH - 1)).alias("spans"))
     # a region that occurs twice repeats as a whole; what was found in it then says no more
     spans = staged(whole.union(found.join(whole.select("d"), "d", "left_anti")), "spans")
