@@ -8,7 +8,7 @@ with the Spark side except the fixed values.
 from __future__ import annotations
 
 from ternlens import constants as K
-from ternlens.sources.bridge import CHAT_PREFIXES, KB_KEYS
+from ternlens.sources.bridge import CHAT_PREFIXES
 
 
 def sql_str(s: str) -> str:
@@ -104,12 +104,12 @@ V_GOLD = """v_gold AS (
          (b.item_id % 11 = 0) AS call_failed
   FROM benchmark b LEFT JOIN documents d ON b.item_id = d.doc_id)"""
 
-V_KB = f"""kb_tok AS (
+V_KB = """kb_tok AS (
   SELECT t AS tok FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS t FROM benchmark)
   WHERE length(t) >= 5),
 kb_top AS (
   SELECT tok AS key, row_number() OVER (ORDER BY n DESC, tok ASC) AS key_pos
-  FROM (SELECT tok, count(*) AS n FROM kb_tok GROUP BY tok ORDER BY n DESC, tok ASC LIMIT {KB_KEYS})),
+  FROM (SELECT tok, count(*) AS n FROM kb_tok GROUP BY tok)),
 v_kb AS (
   SELECT k.key, k.key_pos, arg_min(b.text, b.item_id) AS document
   FROM kb_top k JOIN benchmark b ON instr(lower(b.text), k.key) > 0

@@ -11,11 +11,12 @@ Each is a lazy DataFrame; everything downstream stays one Catalyst plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternlens.functions import scores as S
-from ternlens.operators.sequence import next_in_order
+from ternlens.operators.retrieval import key_occurrences
+from ternlens.operators.sequence import next_in_order, numbered
 from ternlens.sources.tables import table
 
 # Phrases prepended to assistant turns (chosen by conv_id % 6) so refusal,
@@ -29,8 +30,6 @@ CHAT_PREFIXES = [
     "This answer is terrible, broken and wrong. ",
 ]
 
-KB_KEYS = 20
-
 
 def _frac(e: Column, mult: int, mod: int, div: float) -> Column:
     return ((e * F.lit(mult)) % F.lit(mod)) / F.lit(float(div))
@@ -136,21 +135,15 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V_KB: the 20 most frequent long tokens of ``benchmark`` as retrieval keys.
+    """V_KB: every long token of ``benchmark`` as a retrieval key, the most frequent first.
 
-    The document of a key is the text of the smallest item containing it. The
-    table has at most ``KB_KEYS`` rows by construction, so it may be broadcast.
+    The document of a key is the text of the smallest item containing it.  Keys are ranked by a
+    range partitioning, whatever their number.
     """
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    toks = (b.select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("tok"))
-            .where(F.length("tok") >= 5))
-    top = (toks.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), F.asc("tok")).limit(KB_KEYS))
-    # ``top`` holds at most KB_KEYS rows (a top-k), so this unpartitioned window is 20 rows.
-    ranked = top.select(
-        F.col("tok").alias("key"),
-        F.row_number().over(Window.orderBy(F.desc("n"), F.asc("tok"))).alias("key_pos"))
-    docs = (b.join(F.broadcast(ranked), F.instr(F.lower(b.text), ranked.key) > 0)
-            .groupBy("key", "key_pos")
-            .agg(F.min_by("text", "item_id").alias("document")))
-    return docs
+    counted = (b.select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("key"))
+               .where(F.length("key") >= 5).groupBy("key").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = numbered(counted, [F.desc("_n"), F.asc("key")], "key_pos").drop("_n")
+    found = key_occurrences(b.withColumn("text", F.lower("text")), "item_id", "text", ranked)
+    first = found.groupBy("key", "key_pos").agg(F.min("item_id").alias("item_id"))
+    return first.join(b, "item_id").select("key", "key_pos", F.col("text").alias("document"))

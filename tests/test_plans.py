@@ -52,7 +52,8 @@ def test_online_drift_groups_by_block_and_ranks_no_app(spark, sf):
 
 def test_keyword_retrieval_is_an_equi_join(spark, sf):
     plan = _plan(Q["keyword_retrieval"](spark, sf))
-    assert re.search(r"(HashJoin|SortMergeJoin) \[key#\d+\], \[key#\d+\]", plan)
+    assert re.search(r"(HashJoin|SortMergeJoin) \[_width#\d+, _head#\d+\], \[_width#\d+, _head#\d+\]", plan)
+    assert "Cartesian" not in plan
 
 
 def test_top_k_is_take_ordered(spark, sf):
