@@ -1,24 +1,29 @@
 """Learned text scorers trained and applied as Spark jobs.
 
 T5 language: character-trigram naive Bayes. The profile is a partial/final
-      aggregate of (language, trigram) counts over labelled documents; scoring is an
-      equi-join of a text's distinct trigrams with the profile.
-T4 toxicity: spark.ml ``RegexTokenizer → HashingTF → LogisticRegression`` trained on
-      labelled documents; the score is the positive-class probability.
+      aggregate of (language, trigram) counts over labelled documents; it is held by the
+      tasks that score the texts, or joined with their trigrams if it is too large for that.
+T4 toxicity: the strongest word of a text by the toxic share of the labelled documents that
+      have it (words in hash buckets); or spark.ml ``RegexTokenizer → HashingTF →
+      LogisticRegression``, whose score is the positive-class probability.
 T3 weighted sentiment: token valences from a map literal, summed,
       normalised with s/√(s²+15) and mapped to [0, 1] as (x+1)/2; no hit → 0.5.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
-
+from ternlens.session import stage
 
 
 def _c(x) -> Column:
@@ -31,32 +36,48 @@ def normalized_for_grams(text) -> Column:
     return F.concat(F.lit(" "), F.lower(F.regexp_replace(_c(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
+def _gram_codes(text: str) -> np.ndarray:
+    """Every trigram of a text as one integer: three code points of 21 bits."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) > 2 else c[:0]
+
+
+def _gram_text(codes: np.ndarray) -> list[str]:
+    mask = (1 << 21) - 1
+    return [chr(c >> 42) + chr((c >> 21) & mask) + chr(c & mask) for c in codes.tolist()]
+
+
 def gram_counts(df: DataFrame, key: str, text: str = "text", per_row: bool = True) -> DataFrame:
     """(key, gram, n): how often each trigram occurs in the normalised text, by row or, with
-    ``per_row=False``, by key and batch (partial counts, to be summed).
+    ``per_row=False``, by key in parts (partial counts, to be summed).
 
     Counted where the text is read, so only distinct trigrams leave the task.
     """
     kind = df.schema[key].dataType.simpleString()
+    held_codes = 1 << 20   # trigrams that a part holds before it is counted
 
     def run(batches):
-        for b in batches:
+        def counted(key_type, parts):
             keys, grams, n = [], [], []
-            held: dict = {}
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen = Counter(map("".join, zip(t, t[1:], t[2:]))) if t else Counter()
-                if per_row:
-                    keys += [k] * len(seen)
-                    grams += seen.keys()
-                    n += seen.values()
-                else:
-                    held.setdefault(k, Counter()).update(seen)
-            for k, seen in held.items():
+            for k, codes in parts:
+                seen, times = np.unique(codes, return_counts=True)
                 keys += [k] * len(seen)
-                grams += seen.keys()
-                n += seen.values()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(grams, pa.string()),
-                                              pa.array(n, pa.int64())], names=["key", "gram", "n"])
+                grams += _gram_text(seen)
+                n.append(times)
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(grams, pa.string()),
+                                               pa.array(np.concatenate(n) if n else [], pa.int64())],
+                                              names=["key", "gram", "n"])
+
+        for b in batches:
+            held, size = {}, 0
+            for row, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                codes = _gram_codes(t) if t else _gram_codes("")
+                held.setdefault((row, k) if per_row else k, []).append(codes)
+                size += len(codes)
+                if size >= held_codes:
+                    yield counted(b.column(0).type, [(k[1] if per_row else k, np.concatenate(c)) for k, c in held.items()])
+                    held, size = {}, 0
+            yield counted(b.column(0).type, [(k[1] if per_row else k, np.concatenate(c)) for k, c in held.items()])
 
     return (df.select(F.col(key), normalized_for_grams(text))
             .mapInArrow(run, f"key {kind}, gram string, n long"))
@@ -112,6 +133,56 @@ def detect_language(df: DataFrame, profile: DataFrame, text: str = "text", id_co
                          .otherwise(F.array_max(score)["l"]).alias(out))
 
 
+#: A profile of up to this many rows (about 100 MB) is held by every task; a larger one is joined.
+PROFILE_ROWS_HELD = 2_000_000
+
+
+def _language_udf(profile: pa.Table):
+    """Narrow scorer: text → language, from the whole profile as sorted trigram codes and a weight per language."""
+    p = profile.to_pandas()
+    langs = sorted(p["lang"].unique(), reverse=True)     # ties: the greatest name
+    firsts = p.drop_duplicates("lang").set_index("lang")
+    base = np.array([firsts.loc[x, "log_prior"] for x in langs])
+    unseen = np.array([firsts.loc[x, "unseen"] for x in langs])
+    codes = np.array([_gram_codes(g)[0] for g in p["gram"]], np.int64)
+    keys = np.unique(codes)
+    weights = np.zeros((len(keys), len(langs)))
+    weights[np.searchsorted(keys, codes), p["lang"].map({x: i for i, x in enumerate(langs)})] = p["log_count"]
+
+    @F.pandas_udf("string")
+    def predict(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None or not langs:
+                out.append(None)
+                continue
+            c = _gram_codes(t)
+            at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
+            score = base + len(c) * unseen + weights[at[keys[at] == c]].sum(axis=0)
+            out.append(langs[int(np.argmax(score))])
+        return pd.Series(out, dtype=object)
+
+    return predict
+
+
+def with_language(df: DataFrame, profile: DataFrame, text: str = "text", out: str = "language_pred",
+                  rows_held: int = PROFILE_ROWS_HELD) -> DataFrame:
+    """T5 for any table: every input row once, with its language in ``out`` (``detect_language`` has the rule).
+
+    The profile is staged and counted (an eager job).  Up to ``rows_held`` rows, each task holds it and scores the texts
+    where they are read, without a shuffle.  Beyond, the texts' trigrams are joined with it, by a number given to each
+    row of the staged input.
+    """
+    profile = stage(profile, "language-profile")
+    short = F.length(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)^\s+|\s+$", "")) < K.MIN_LANGUAGE_TEXT_CHARS
+    if profile.count() <= rows_held:
+        predict = _language_udf(profile.toArrow())
+        return df.withColumn(out, F.when(short, F.lit(K.DEFAULT_LANGUAGE)).otherwise(predict(normalized_for_grams(text))))
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "language-input")
+    found = detect_language(rows, profile, text, "_row", out)
+    return rows.drop(out).join(found, "_row").drop("_row")
+
+
 # ------------------------------------------------------------------ T4 toxicity
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, text: str = "text", num_features: int = 1 << 16):
     """Fit tokenizer → hashed TF → logistic regression on labelled documents."""
@@ -139,6 +210,58 @@ def toxicity_scores(model, df: DataFrame, text: str = "text", out: str = "toxici
                                                                             "probability", "prediction")
 
 
+#: Words are counted by hash bucket, which bounds the word model at any size of the corpus.
+WORD_BUCKETS = 1 << 20
+#: A word's toxic share counts together with so many documents of the overall share.
+WORD_PRIOR_DOCS = 16
+_WORDS = re.compile(r"[^\W_]+").findall
+
+
+def train_toxic_words(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(bucket, weight): how far the toxic share of the labelled documents that have a word of the bucket lies above the
+    overall share p, from 0 (p or below; such buckets are left out) to 1; shrunk towards p by ``WORD_PRIOR_DOCS``.
+
+    One row per document and bucket is counted before the shuffle by bucket.
+    """
+    train = docs.select(key, text).join(labels.select(key, F.col("toxic").cast("double").alias("toxic")), key)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % WORD_BUCKETS
+    by_word = (train.select("toxic", F.explode(F.array_distinct(F.transform(words, bucket))).alias("bucket"))
+               .groupBy("bucket").agg(F.sum("toxic").alias("_t"), F.count(F.lit(1)).alias("_n")))
+    share = train.agg(F.avg("toxic").alias("_p"))        # one row
+    p = F.col("_p")
+    weight = ((F.col("_t") + WORD_PRIOR_DOCS * p) / (F.col("_n") + WORD_PRIOR_DOCS) - p) / (1 - p)
+    return (by_word.join(F.broadcast(share)).where(p < 1)
+            .select("bucket", weight.alias("weight")).where(F.col("weight") > 0))
+
+
+def with_toxicity(df: DataFrame, words: DataFrame, text: str = "text", out: str = "toxicity_pred") -> DataFrame:
+    """T4: the greatest weight of a text's words (4 decimals), 0.0 if it has none: one strong word marks a text, however long.
+
+    The model has at most ``WORD_BUCKETS`` rows, which each task holds (training it is an eager job); the input isn't shuffled.
+    """
+    model = words.toArrow().to_pandas().sort_values("bucket")
+    buckets, weights = model["bucket"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = dict(zip(buckets.tolist(), weights.tolist()))
+        cache: dict = {}
+
+        def weight(word: str) -> float:
+            w = cache.get(word)
+            if w is None:
+                w = held.get(int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % WORD_BUCKETS, 0.0)
+                if len(cache) < 200_000:
+                    cache[word] = w
+            return w
+
+        for texts in batches:
+            yield pd.Series([max(map(weight, set(_WORDS(t))), default=0.0) if t else 0.0 for t in texts], dtype="float64")
+
+    return df.withColumn(out, F.bround(score(F.lower(F.coalesce(_c(text), F.lit("")))), K.SCORE_DECIMALS))
+
+
 # ------------------------------------------------------------------ T3 weighted sentiment
 VADER_ALPHA = 15.0
 

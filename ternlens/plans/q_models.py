@@ -33,8 +33,7 @@ JOIN (SELECT doc_id, first(lang ORDER BY score DESC, lang DESC) AS language_pred
   ON p.doc_id = d.doc_id""")
 def language_detection(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    prof = M.train_language_profile(docs)
-    return M.detect_language(docs, prof, id_col="doc_id", keep=["lang"]).select("doc_id", "lang", "language_pred")
+    return M.with_language(docs, M.train_language_profile(docs)).select("doc_id", "lang", "language_pred")
 
 
 @register("toxicity_model_scores", ops="T4 (spark.ml logistic regression on labels)")
