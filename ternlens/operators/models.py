@@ -213,13 +213,16 @@ def toxicity_scores(model, df: DataFrame, text: str = "text", out: str = "toxici
 #: Words are counted by hash bucket, which bounds the word model at any size of the corpus.
 WORD_BUCKETS = 1 << 20
 #: A word's toxic share counts together with so many documents of the overall share.
-WORD_PRIOR_DOCS = 16
+WORD_PRIOR_DOCS = 4
+#: and is taken so many standard errors below its estimate, so that words of chance stay at 0.
+WORD_ERRORS = 2.0
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
 def train_toxic_words(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(bucket, weight): how far the toxic share of the labelled documents that have a word of the bucket lies above the
-    overall share p, from 0 (p or below; such buckets are left out) to 1; shrunk towards p by ``WORD_PRIOR_DOCS``.
+    overall share p, from 0 (p or below; such buckets are left out) to 1.  The share is shrunk towards p by
+    ``WORD_PRIOR_DOCS`` and lowered by ``WORD_ERRORS`` of its standard errors.
 
     One row per document and bucket is counted before the shuffle by bucket.
     """
@@ -230,8 +233,10 @@ def train_toxic_words(docs: DataFrame, labels: DataFrame, text: str = "text", ke
                .groupBy("bucket").agg(F.sum("toxic").alias("_t"), F.count(F.lit(1)).alias("_n")))
     share = train.agg(F.avg("toxic").alias("_p"))        # one row
     p = F.col("_p")
-    weight = ((F.col("_t") + WORD_PRIOR_DOCS * p) / (F.col("_n") + WORD_PRIOR_DOCS) - p) / (1 - p)
+    n, s = F.col("_n") + WORD_PRIOR_DOCS, F.col("_share")
+    weight = (s - WORD_ERRORS * F.sqrt(s * (1 - s) / n) - p) / (1 - p)
     return (by_word.join(F.broadcast(share)).where(p < 1)
+            .withColumn("_share", (F.col("_t") + WORD_PRIOR_DOCS * p) / n)
             .select("bucket", weight.alias("weight")).where(F.col("weight") > 0))
 
 

@@ -86,10 +86,12 @@ def check_violations(scored: DataFrame) -> DataFrame:
     return scored.withColumn("violations", F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
-def run_suite(golden: DataFrame, key: str = "item_id", flags: K.ModuleFlags | None = None) -> DataFrame:
+def run_suite(golden: DataFrame, key: str = "item_id", flags: K.ModuleFlags | None = None,
+              prepare: Callable[[DataFrame], DataFrame] | None = None, **scoring) -> DataFrame:
     """R1–R2 over examples that already carry ``response``/``call_failed``: score the
     answered ones with ``evaluate`` (no modules → only the empty-response check) and
-    attach ``violations``; failed calls get ``LLM call failed: <error>`` only."""
+    attach ``violations``; failed calls get ``LLM call failed: <error>`` only.  ``prepare`` adds columns
+    (learned toxicity and language, say) to the events, and ``scoring`` goes to ``evaluate``."""
     answered = golden.where(~F.col("call_failed"))
     failed = golden.where(F.col("call_failed"))
     ev = answered.select(F.col(key).cast("string").alias("id"), F.lit("regression").alias("app_name"),
@@ -102,7 +104,7 @@ def run_suite(golden: DataFrame, key: str = "item_id", flags: K.ModuleFlags | No
                            F.lit(None).cast("double").alias("faithfulness_score"),
                            F.lit(None).cast("string").alias("language_detected"))
     else:
-        rec = SC.evaluate(ev, flags=flags)
+        rec = SC.evaluate(prepare(ev) if prepare else ev, flags=flags, **scoring)
         scores = rec.select("id", "hallucination_score", "toxicity_score", "faithfulness_score", "language_detected")
     scored = (answered.withColumn("id", F.col(key).cast("string")).join(scores, "id", "left").drop("id"))
     ok = check_violations(scored)

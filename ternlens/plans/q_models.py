@@ -1,4 +1,4 @@
-"""Queries for the learned scorers: T5 language (oracle), T4 toxicity (rows-only), T3 sentiment (oracle)."""
+"""Queries for the learned scorers: T5 language, T4 toxicity (word model; spark.ml model rows-only), T3 sentiment."""
 
 from __future__ import annotations
 
@@ -8,34 +8,77 @@ from ternlens.operators import models as M
 from ternlens.plans.catalog import r9, register
 from ternlens.sources.tables import table
 
-_GRAMS = """g AS (
-  SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
-  FROM (SELECT doc_id, lang, ' ' || lower(regexp_replace(text, '[^\\pL]+', ' ', 'g')) || ' ' AS t FROM documents)),
-cnt AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
+def _grams_sql(src: str, cols: str, text: str) -> str:
+    return f"""(SELECT {cols}, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
+  FROM (SELECT {cols}, ' ' || lower(regexp_replace({text}, '[^\\pL]+', ' ', 'g')) || ' ' AS t FROM {src}))"""
+
+
+def _buckets_sql(text: str) -> str:
+    return (f"list_distinct(list_transform(regexp_extract_all(lower({text}), '[\\pL\\pN]+'), "
+            f"lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {M.WORD_BUCKETS}))")
+
+
+_PROFILE = f"""cnt AS (SELECT lang, gram, count(*) AS n FROM {_grams_sql('documents', 'lang', 'text')} GROUP BY 1, 2),
 voc AS (SELECT count(DISTINCT gram) AS v FROM cnt),
 tot AS (SELECT lang, sum(n) AS total FROM cnt GROUP BY 1),
 pri AS (SELECT lang, count(*) AS docs FROM documents GROUP BY 1),
 info AS (SELECT t.lang, ln(p.docs / (SELECT count(*) FROM documents)) AS log_prior,
-                -ln(t.total + voc.v) AS unseen FROM tot t JOIN pri p USING (lang), voc),
-test AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-seen AS (SELECT g.doc_id, c.lang, sum(ln(c.n + 1)) AS s FROM g JOIN cnt c USING (gram)
-         GROUP BY 1, 2),
-sc AS (SELECT t.doc_id, i.lang, i.log_prior + t.n * i.unseen + coalesce(s.s, 0.0) AS score
-       FROM test t, info i LEFT JOIN seen s ON s.doc_id = t.doc_id AND s.lang = i.lang)"""
+                -ln(t.total + voc.v) AS unseen FROM tot t JOIN pri p USING (lang), voc)"""
+
+_TOXIC_WORDS = f"""toxdocs AS (SELECT text, toxic FROM documents JOIN labels USING (doc_id)),
+toxshare AS (SELECT avg(toxic) AS p FROM toxdocs),
+toxwords AS (
+  SELECT b, (s - {M.WORD_ERRORS}::DOUBLE * sqrt(s * (1 - s) / n) - p) / (1 - p) AS w
+  FROM (SELECT b, p, count(*) + {M.WORD_PRIOR_DOCS} AS n,
+               (sum(toxic) + {M.WORD_PRIOR_DOCS} * p) / (count(*) + {M.WORD_PRIOR_DOCS}) AS s
+        FROM (SELECT toxic, unnest({_buckets_sql('text')}) AS b FROM toxdocs), toxshare GROUP BY b, p))"""
+
+
+def text_models_sql(src: str, ident: str, text: str) -> str:
+    """CTEs ending in ``langs`` (id, lang) and ``tox`` (id, toxicity): T5 and T4 trained on documents, applied to a relation."""
+    return f"""{_PROFILE},
+lg AS {_grams_sql(f'(SELECT {ident} AS mid, {text} AS mtext FROM {src})', 'mid', 'mtext')},
+lgn AS (SELECT mid, count(*) AS n FROM lg GROUP BY mid),
+lgs AS (SELECT lg.mid, c.lang, sum(ln(c.n + 1)) AS s FROM lg JOIN cnt c USING (gram) GROUP BY 1, 2),
+langs AS (SELECT mid, first(lang ORDER BY score DESC, lang DESC) AS lang
+          FROM (SELECT t.mid, i.lang, i.log_prior + t.n * i.unseen + coalesce(s.s, 0.0) AS score
+                FROM lgn t, info i LEFT JOIN lgs s ON s.mid = t.mid AND s.lang = i.lang) GROUP BY mid),
+{_TOXIC_WORDS},
+tox AS (SELECT mid, round_even(max(greatest(w, 0.0)), 4) AS toxicity
+        FROM (SELECT {ident} AS mid, unnest({_buckets_sql(text)}) AS b FROM {src}) JOIN toxwords USING (b) GROUP BY mid)"""
+
+
+def with_text_models(spark, sf, df, text: str = "response"):
+    """``df`` with ``_language`` (T5) and ``_toxicity`` (T4) of a text column, both trained on ``documents``."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    df = M.with_language(df, M.train_language_profile(docs), text, "_language")
+    return M.with_toxicity(df, M.train_toxic_words(docs, table(spark, sf, "labels")), text, "_toxicity")
+
+
+def text_model_columns() -> dict:
+    """The options by which ``evaluate`` takes the columns of ``with_text_models``."""
+    return {"toxicity": F.col("_toxicity"), "language": F.col("_language")}
 
 
 @register("language_detection", ops="T5 (trigram naive Bayes trained on every labelled document, applied to all)", sql=f"""
-WITH {_GRAMS}
+WITH {text_models_sql('documents', 'doc_id', 'text')}
 SELECT d.doc_id, d.lang,
-       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN 'en' ELSE p.language_pred END AS language_pred
-FROM documents d
-JOIN (SELECT doc_id, first(lang ORDER BY score DESC, lang DESC) AS language_pred FROM sc GROUP BY doc_id) p
-  ON p.doc_id = d.doc_id""")
+       CASE WHEN length(regexp_replace(coalesce(d.text, ''), '^\\s+|\\s+$', '', 'g')) < 10 THEN 'en' ELSE p.lang END AS language_pred
+FROM documents d JOIN langs p ON p.mid = d.doc_id""")
 def language_detection(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return M.with_language(docs, M.train_language_profile(docs)).select("doc_id", "lang", "language_pred")
 
 
+@register("toxic_word_scores", ops="T4 (strongest word of every document, shares learned from labels)", sql=f"""
+WITH {text_models_sql('documents', 'doc_id', 'text')}
+SELECT d.doc_id, coalesce(t.toxicity, 0.0) AS toxicity_score FROM documents d LEFT JOIN tox t ON t.mid = d.doc_id""")
+def toxic_word_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    words = M.train_toxic_words(docs, table(spark, sf, "labels"))
+    return M.with_toxicity(docs, words, out="toxicity_score").select("doc_id", "toxicity_score")
+
+
 @register("toxicity_model_scores", ops="T4 (spark.ml logistic regression on labels)")
 def toxicity_model_scores(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")

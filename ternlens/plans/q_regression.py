@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ternlens import constants as K
 from ternlens.operators import regression as RG
 from ternlens.plans.catalog import register
+from ternlens.plans.q_models import text_model_columns, with_text_models
 from ternlens.plans.q_scoring import scored_sql
 from ternlens.plans.sqlviews import V_GOLD, with_views
 from ternlens.session import checkpoint_dir
@@ -38,12 +39,12 @@ _RESULTS = """res AS (
                 THEN 'empty response' END], lambda x: x IS NOT NULL) END AS violations
   FROM v_gold g LEFT JOIN scored s ON s.id = CAST(g.item_id AS VARCHAR))"""
 
-_SQL = with_views(V_GOLD, _GOLD_EVENTS, scored_sql("gev"), _RESULTS)
+_SQL = with_views(V_GOLD, _GOLD_EVENTS, scored_sql("gev", models=True), _RESULTS)
 
 
 def _results(spark, sf):
     g = bridge.golden(spark, sf).withColumn("error", F.when(F.col("call_failed"), F.lit("no response")))
-    return RG.run_suite(g, flags=_FLAGS)
+    return RG.run_suite(g, flags=_FLAGS, prepare=lambda ev: with_text_models(spark, sf, ev), **text_model_columns())
 
 
 @register("regression_results", ops="R1 R2 J4 J5 T12", sql=_SQL + """

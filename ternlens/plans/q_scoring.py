@@ -16,8 +16,9 @@ from ternlens.operators import analytics as A
 from ternlens.operators import retrieval as RT
 from ternlens.operators import scoring as SC
 from ternlens.plans.catalog import r9, register
+from ternlens.plans.q_models import text_model_columns, text_models_sql, with_text_models
 from ternlens.plans.q_text import (blank_sql, claims_sql, denial_sql, sentences_sql, sentiment_sql,
-                                   word_count_sql)
+                                   strip_sql, word_count_sql)
 from ternlens.plans.q_vectors import DIM, bucket_counts_sql, dense_sql
 from ternlens.plans.sqlviews import V_EVT, V_KB, health_sql, with_views
 from ternlens.sources import bridge
@@ -34,8 +35,16 @@ def _dot(a: str, b: str) -> str:
     return f"list_inner_product({a}, {b})"
 
 
-def scored_sql(src: str = "v_evt", limits: K.TextLimits = K.WHOLE_TEXTS) -> str:
-    """CTEs ending in ``scored``: the evaluate chain in SQL over an event relation."""
+def scored_sql(src: str = "v_evt", limits: K.TextLimits = K.WHOLE_TEXTS, models: bool = False) -> str:
+    """CTEs ending in ``scored``: the evaluate chain in SQL over an event relation, with the learned
+    toxicity and language of the responses if ``models``, else their defaults."""
+    blank, short = blank_sql("e4.response"), f"length({strip_sql('e4.response')}) < {K.MIN_LANGUAGE_TEXT_CHARS}"
+    tox, lang, learned, joined = "0.0::DOUBLE", "'en'", "", ""
+    if models:
+        tox = f"CASE WHEN {blank} THEN 0.0::DOUBLE ELSE coalesce(tox.toxicity, 0.0::DOUBLE) END"
+        lang = f"CASE WHEN {blank} OR {short} THEN 'en' ELSE coalesce(langs.lang, 'en') END"
+        learned = text_models_sql("ev", "id", "response") + ",\n"
+        joined = " LEFT JOIN tox ON tox.mid = e4.id LEFT JOIN langs ON langs.mid = e4.id"
     def cut(x: str) -> str:
         return x if limits.rag_chars is None else f"substring({x}, 1, {limits.rag_chars})"
     first = "" if limits.rag_sentences is None else f"[1:{limits.rag_sentences}]"
@@ -92,7 +101,7 @@ drs AS (SELECT id, rk, x, sum(x)
 dd AS (SELECT id, CASE WHEN max(rk) < {K.MIN_DRIFT_BASELINE} THEN NULL ELSE round_even({_clamp(
         "(CASE WHEN sum(x * x) = 0 OR sum(s * s) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) END) / 2.0::DOUBLE")}, 4) END AS drift_score
        FROM drs GROUP BY id),
-pre AS (
+{learned}pre AS (
   SELECT e4.id, e4.app_name, e4.model_name, e4."timestamp", e4.response, e4.context,
          CASE WHEN {blank_sql('e4.response')} THEN 0.0::DOUBLE ELSE coalesce(round_even(e4.emb, 4), 0.0::DOUBLE) END AS hallucination_score,
          CASE WHEN {blank_sql('e4.response')} OR e4.emb IS NULL THEN 'none' ELSE 'embedding' END AS hallucination_method,
@@ -103,14 +112,19 @@ pre AS (
          CASE WHEN e4.rag_ok THEN round_even(e4.ar, 4) END AS answer_relevancy,
          CASE WHEN e4.rag_ok THEN round_even(e4.f * 0.4::DOUBLE + e4.cr * 0.3::DOUBLE + e4.ar * 0.3::DOUBLE, 4) END AS groundedness_score,
          {sentiment_sql('e4.response')} AS sentiment_score,
-         0.0::DOUBLE AS toxicity_score,
+         {tox} AS toxicity_score,
          {word_count_sql('e4.response')} AS response_length,
-         'en' AS language_detected,
+         {lang} AS language_detected,
          {denial_sql('e4.response')} AS is_denial
-  FROM e4 LEFT JOIN dd ON dd.id = e4.id),
+  FROM e4 LEFT JOIN dd ON dd.id = e4.id{joined}),
 scored AS (SELECT *, {health_sql()} AS health_score FROM pre)"""
 
 
+def scored_chat(spark, sf):
+    """The evaluate chain over the chat events, with learned toxicity and language."""
+    return SC.evaluate(with_text_models(spark, sf, bridge.chat_events(spark, sf)), **text_model_columns())
+
+
 _SCORED_COLS = ["id", "app_name", "hallucination_score", "hallucination_method", "drift_score",
                 "faithfulness_score", "context_relevance", "answer_relevancy", "groundedness_score",
                 "sentiment_score", "toxicity_score", "response_length", "language_detected", "is_denial",
@@ -118,10 +132,10 @@ _SCORED_COLS = ["id", "app_name", "hallucination_score", "hallucination_method",
 
 
 @register("chat_records_scored", ops="P1 P3 P4 P5 M1 M2 M3 M4 M5 M6 M8 T8 W1 (evaluate)",
-          sql=with_views(V_EVT, scored_sql()) + f"""
+          sql=with_views(V_EVT, scored_sql(models=True)) + f"""
 SELECT {", ".join(_SCORED_COLS)}, CAST(len(flagged_claims) AS INTEGER) AS n_claims FROM scored""")
 def chat_records_scored(spark, sf):
-    rec = SC.evaluate(bridge.chat_events(spark, sf))
+    rec = scored_chat(spark, sf)
     return rec.select(*_SCORED_COLS, F.size("flagged_claims").alias("n_claims"))
 
 
@@ -135,15 +149,16 @@ def repeated_chat_records(spark, sf):
 
 
 @register("app_health_overview", ops="flagship: S2/V_EVT → P5 → M8 → G3 per app",
-          sql=with_views(V_EVT, scored_sql()) + """
+          sql=with_views(V_EVT, scored_sql(models=True)) + """
 SELECT app_name, count(*) AS records,
        coalesce(CAST(round_even(avg(CASE WHEN health_score > 0 THEN health_score END), 0) AS INTEGER), 50) AS aggregate_health,
        round(avg(hallucination_score), 9) AS avg_hallucination, round(avg(drift_score), 9) AS avg_drift,
-       round(avg(groundedness_score), 9) AS avg_groundedness, CAST(count_if(is_denial) AS BIGINT) AS denials,
+       round(avg(groundedness_score), 9) AS avg_groundedness, round(avg(toxicity_score), 9) AS avg_toxicity,
+       CAST(count(DISTINCT language_detected) AS BIGINT) AS languages, CAST(count_if(is_denial) AS BIGINT) AS denials,
        CAST(count_if(len(flagged_claims) > 0) AS BIGINT) AS flagged_records
 FROM scored GROUP BY app_name""")
 def app_health_overview(spark, sf):
-    rec = SC.evaluate(bridge.chat_events(spark, sf))
+    rec = scored_chat(spark, sf)
     agg = rec.groupBy("app_name").agg(
         F.count(F.lit(1)).alias("records"),
         F.coalesce(F.bround(F.avg(F.when(F.col("health_score") > 0, F.col("health_score"))), 0).cast("int"),
@@ -151,6 +166,8 @@ def app_health_overview(spark, sf):
         r9(F.avg("hallucination_score")).alias("avg_hallucination"),
         r9(F.avg("drift_score")).alias("avg_drift"),
         r9(F.avg("groundedness_score")).alias("avg_groundedness"),
+        r9(F.avg("toxicity_score")).alias("avg_toxicity"),
+        F.size(F.collect_set("language_detected")).cast("long").alias("languages"),
         F.count_if(F.col("is_denial")).alias("denials"),
         F.count_if(F.size("flagged_claims") > 0).alias("flagged_records"))
     return agg
@@ -185,16 +202,16 @@ def hallucination_scores(spark, sf):
     return rec.select("id", "hallucination_score", "hallucination_method", "flagged_claims")
 
 
-@register("response_quality", ops="M6 T1 T2 T6", sql=with_views(V_EVT, scored_sql()) + """
+@register("response_quality", ops="M6 T1 T2 T4 T5 T6", sql=with_views(V_EVT, scored_sql(models=True)) + """
 SELECT id, sentiment_score, toxicity_score, response_length, language_detected, is_denial FROM scored""")
 def response_quality(spark, sf):
     ev = SC.event_to_record(SC.normalize_events(bridge.chat_events(spark, sf)))
-    rec = SC.quality_scores(ev)
+    rec = SC.quality_scores(with_text_models(spark, sf, ev), **text_model_columns())
     return rec.select("id", "sentiment_score", "toxicity_score", "response_length", "language_detected",
                       "is_denial")
 
 
-@register("chat_quality_subscores", ops="M7 M9", sql=with_views(V_EVT, scored_sql()) + f"""
+@register("chat_quality_subscores", ops="M7 M9", sql=with_views(V_EVT, scored_sql(models=True)) + f"""
 SELECT id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1.0::DOUBLE - toxicity_score) * 0.5::DOUBLE
            + sentiment_score * 0.4::DOUBLE + (1.0::DOUBLE - CASE WHEN is_denial THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)
            * 0.1::DOUBLE)), 9) AS quality_subscore,
@@ -202,7 +219,7 @@ SELECT id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1.0::DOUBLE - toxicit
             WHEN health_score >= 60 THEN 'DEGRADING' ELSE 'CRITICAL' END AS health_band
 FROM scored""")
 def chat_quality_subscores(spark, sf):
-    rec = SC.evaluate(bridge.chat_events(spark, sf))
+    rec = scored_chat(spark, sf)
     return rec.select("id", r9(S.quality_subscore()).alias("quality_subscore"), S.health_band().alias("health_band"))
 
 
