@@ -169,15 +169,16 @@ def with_language(df: DataFrame, profile: DataFrame, text: str = "text", out: st
                   rows_held: int = PROFILE_ROWS_HELD) -> DataFrame:
     """T5 for any table: every input row once, with its language in ``out`` (``detect_language`` has the rule).
 
-    The profile is staged and counted (an eager job).  Up to ``rows_held`` rows, each task holds it and scores the texts
-    where they are read, without a shuffle.  Beyond, the texts' trigrams are joined with it, by a number given to each
-    row of the staged input.
+    At most ``rows_held`` + 1 rows of the profile are fetched (an eager job).  A profile of up to ``rows_held`` rows is held by
+    each task, which scores the texts where they are read, without a shuffle.  Beyond, the texts' trigrams are joined
+    with it, by a number given to each row of the staged input.
     """
-    profile = stage(profile, "language-profile")
     short = F.length(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)^\s+|\s+$", "")) < K.MIN_LANGUAGE_TEXT_CHARS
-    if profile.count() <= rows_held:
-        predict = _language_udf(profile.toArrow())
+    held = profile.limit(rows_held + 1).toArrow()
+    if held.num_rows <= rows_held:
+        predict = _language_udf(held)
         return df.withColumn(out, F.when(short, F.lit(K.DEFAULT_LANGUAGE)).otherwise(predict(normalized_for_grams(text))))
+    profile = stage(profile, "language-profile")
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "language-input")
     found = detect_language(rows, profile, text, "_row", out)
     return rows.drop(out).join(found, "_row").drop("_row")

@@ -14,6 +14,7 @@ from ternlens.operators import regression as RG
 from ternlens.operators import scoring as SC
 from ternlens.plans.catalog import r9, register
 from ternlens.plans.q_alerts import _ALERT_COLS, _BREACHES, _CHANNELS, _cooldown_sql
+from ternlens.plans.q_models import text_model_columns, text_models
 from ternlens.plans.q_records import _ts_sql
 from ternlens.plans.q_scoring import _SCORED_COLS, scored_sql
 from ternlens.plans.sqlviews import V_EVT, V_GOLD, V_REC, with_views
@@ -90,6 +91,15 @@ def json_text_codec(spark, sf):
                        F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@register("csv_export_file", ops="S9 (the CSV file, read back)", sql=with_views(V_REC) + f"""
+SELECT {", ".join('"timestamp"' if c == "timestamp" else c for c in K.CSV_EXPORT_COLUMNS)}
+FROM v_rec ORDER BY "timestamp" DESC, id DESC LIMIT {K.CSV_EXPORT_ROWS}""")
+def csv_export_file(spark, sf):
+    path = _scratch(spark, "csv")
+    IO.export_csv(bridge.records(spark, sf), path)
+    return IO.read_csv_export(spark, path)
+
+
 @register("alert_store_dedup", ops="S8 (alerts written twice, read once per id)",
           sql=with_views(V_REC, _BREACHES) + "SELECT id, metric, record_id, severity FROM v_alert")
 def alert_store_dedup(spark, sf):
@@ -102,11 +112,11 @@ def alert_store_dedup(spark, sf):
 
 # ---------------------------------------------------------------- streaming
 @register("stream_scored_chat_records", ops="ST1 ST2 ST5 (stream in time order = batch evaluate)",
-          sql=with_views(V_EVT, scored_sql()) + f"SELECT {', '.join(_SCORED_COLS)} FROM scored")
+          sql=with_views(V_EVT, scored_sql(models=True)) + f"SELECT {', '.join(_SCORED_COLS)} FROM scored")
 def stream_scored_chat_records(spark, sf):
     ev = bridge.chat_events(spark, sf)
     src, chk = _scratch(spark, "st-src"), _scratch(spark, "st-chk")
-    batches = ScoredBatches(_scratch(spark, "st-scored"))
+    batches = ScoredBatches(_scratch(spark, "st-scored"), prepare=text_models(spark, sf), **text_model_columns())
     ST.create_source(spark, src, ev.schema)
     w = ST.event_stream(spark, src, ev.schema).writeStream.option("checkpointLocation", chk).foreachBatch(batches)
     ST.replay(ev, src, w, chunks=4)
@@ -117,7 +127,8 @@ def _monitored(spark, sf):
     """The whole chain on the chat events, the first half delivered twice in one file and the second half twice in two."""
     ev = bridge.chat_events(spark, sf)
     src, chk = _scratch(spark, "st-src"), _scratch(spark, "st-chk")
-    batches = MonitoredBatches(_scratch(spark, "st-monitor"), _CHANNELS, cooldown_seconds=10800)
+    batches = MonitoredBatches(_scratch(spark, "st-monitor"), _CHANNELS, cooldown_seconds=10800,
+                               prepare=text_models(spark, sf), **text_model_columns())
     ST.create_source(spark, src, ev.schema)
     stream = deduplicated(ST.event_stream(spark, src, ev.schema), "20 days")
     w = stream.writeStream.option("checkpointLocation", chk).foreachBatch(batches)
@@ -136,7 +147,7 @@ _SCORED_REC = "v_rec AS (SELECT * FROM scored)"
 
 
 @register("stream_monitored_alerts", ops="ST1 ST2 ST4 (micro-batches: evaluate, upsert, alert, cooldown; repeated deliveries = batch)",
-          sql=with_views(V_EVT, scored_sql(), _SCORED_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric"))
+          sql=with_views(V_EVT, scored_sql(models=True), _SCORED_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric"))
           + """
 SELECT a.id, a.record_id, a.metric, a.severity, a.value, a.threshold, a.message, a."timestamp",
        r.app_name, r.health_score FROM v_fired a JOIN v_rec r ON r.id = a.record_id""")
@@ -148,7 +159,7 @@ def stream_monitored_alerts(spark, sf):
 
 
 @register("stream_monitored_outbox", ops="ST1 A5 (outbox of the micro-batches = batch outbox)",
-          sql=with_views(V_EVT, scored_sql(), _SCORED_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric")) + """
+          sql=with_views(V_EVT, scored_sql(models=True), _SCORED_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric")) + """
 SELECT a.id AS alert_id, ch.channel, ch.target, coalesce(ch.channel = 'email' OR ch.target LIKE 'https:%', false) AS valid
 FROM v_fired a, (VALUES ('email', 'oncall@example.org'), ('slack', 'https://hooks.slack.com/services/T000/B000/XXXX'),
                         ('slack', 'http://hooks.slack.com/services/T000/B000/YYYY')) ch(channel, target)""")

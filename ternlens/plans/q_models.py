@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ternlens.operators import models as M
 from ternlens.plans.catalog import r9, register
+from ternlens.session import stage
 from ternlens.sources.tables import table
 
 def _grams_sql(src: str, cols: str, text: str) -> str:
@@ -48,11 +49,17 @@ tox AS (SELECT mid, round_even(max(greatest(w, 0.0)), 4) AS toxicity
         FROM (SELECT {ident} AS mid, unnest({_buckets_sql(text)}) AS b FROM {src}) JOIN toxwords USING (b) GROUP BY mid)"""
 
 
+def text_models(spark, sf):
+    """Trains T5 and T4 on ``documents`` once (staged tables) and returns a function that adds their columns to a table."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    profile = stage(M.train_language_profile(docs), "language-profile")
+    words = stage(M.train_toxic_words(docs, table(spark, sf, "labels")), "toxic-words")
+    return lambda df, text="response": M.with_toxicity(M.with_language(df, profile, text, "_language"), words, text, "_toxicity")
+
+
 def with_text_models(spark, sf, df, text: str = "response"):
     """``df`` with ``_language`` (T5) and ``_toxicity`` (T4) of a text column, both trained on ``documents``."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    df = M.with_language(df, M.train_language_profile(docs), text, "_language")
-    return M.with_toxicity(df, M.train_toxic_words(docs, table(spark, sf, "labels")), text, "_toxicity")
+    return text_models(spark, sf)(df, text)
 
 
 def text_model_columns() -> dict:

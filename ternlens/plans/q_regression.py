@@ -12,9 +12,10 @@ from ternlens.plans.catalog import register
 from ternlens.plans.q_models import text_model_columns, with_text_models
 from ternlens.plans.q_scoring import scored_sql
 from ternlens.plans.sqlviews import V_GOLD, with_views
-from ternlens.session import checkpoint_dir
+from ternlens.session import checkpoint_dir, stage, unstage
 from ternlens.sources import bridge
-from ternlens.sources.golden import load_golden, save_golden
+from ternlens.sources.golden import load_golden, load_regression_report, save_golden, save_regression_report
+from ternlens.sources.tables import table
 
 _FLAGS = K.ModuleFlags(drift=False)
 
@@ -73,6 +74,42 @@ def regression_summary(spark, sf):
     return RG.suite_summary(_results(spark, sf), dataset_name="benchmark-golden")
 
 
+_FAILURES = f"""
+SELECT item_id, query, CASE WHEN call_failed THEN '' ELSE expected_response END AS expected_response,
+       CASE WHEN call_failed THEN '' ELSE substring(coalesce(response, ''), 1, {K.REGRESSION_RESPONSE_CHARS}) END
+         AS actual_response, violations
+FROM res WHERE len(violations) > 0"""
+
+
+@register("regression_report_file", ops="S10 (report written as JSON; its failures, read back beside the summary)",
+          sql=_SQL + f"""
+SELECT f.*, s.total, s.passed, s.pass_rate FROM ({_FAILURES}) f,
+     (SELECT count(*) AS total, CAST(count_if(len(violations) = 0) AS BIGINT) AS passed,
+             round_even(count_if(len(violations) = 0) / count(*), 4) AS pass_rate FROM res) s""")
+def regression_report_file(spark, sf):
+    results = stage(_results(spark, sf), "regression-results")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    save_regression_report(RG.suite_summary(results, "benchmark-golden"), RG.suite_failures(results), path)
+    unstage(results)
+    summary, failures = load_regression_report(spark, path)
+    return failures.join(F.broadcast(summary.select("total", "passed", "pass_rate")))  # one row
+
+
+@register("regression_attached_responses", ops="J4 R1 (golden examples joined with a table of responses and errors)",
+          sql=with_views(V_GOLD.replace("(b.item_id % 11 = 0) AS call_failed",
+                                        "(b.item_id % 11 = 0 OR d.doc_id IS NULL) AS call_failed"),
+                         _GOLD_EVENTS, scored_sql("gev", models=True), _RESULTS) + """
+SELECT item_id, call_failed, violations, len(violations) = 0 AS passed FROM res""")
+def regression_attached_responses(spark, sf):
+    i = F.col("doc_id")
+    responses = table(spark, sf, "documents").select(
+        i.alias("item_id"), F.when(i % 8 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("response"),
+        F.when(i % 11 == 0, F.lit("no response")).alias("error"))
+    g = RG.attach_responses(bridge.golden(spark, sf), responses)
+    res = RG.run_suite(g, flags=_FLAGS, prepare=lambda ev: with_text_models(spark, sf, ev), **text_model_columns())
+    return res.select("item_id", "call_failed", "violations", "passed")
+
+
 @register("regression_empty_check_only", ops="R2 (no scoring modules: empty-response check only)",
           sql=with_views(V_GOLD) + """
 SELECT item_id, CASE WHEN call_failed THEN ['LLM call failed: no response']

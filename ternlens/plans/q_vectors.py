@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ternlens.functions import vectors as V
 from ternlens.operators import drift as D
+from ternlens.operators import projection as P
 from ternlens.operators import records as R
 from ternlens.plans.catalog import r9, register
 from ternlens.plans.sqlviews import V_VEC, with_views
@@ -78,6 +79,35 @@ def embedding_projection(spark, sf):
     return pts.select("id", r9("x").alias("x"), r9("y").alias("y"), "label")
 
 
+_DIM_COUNTS = "(SELECT len(vector) AS d FROM v_vec GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 1)"
+
+
+def _commonest_dim(vecs) -> int:
+    """The dimension that most vectors have (the smaller of equal ones); 0 without vectors."""
+    row = (vecs.where(F.col("vector").isNotNull()).groupBy(F.size("vector").alias("d")).count()
+           .orderBy(F.desc("count"), "d").first())
+    return row["d"] if row else 0
+
+
+@register("vector_moments", ops="V6 (mean and covariance of all vectors)", sql=W_VEC + f""",
+u AS (SELECT id, unnest(vector) AS x, unnest(range(0, len(vector))) AS i FROM v_vec WHERE len(vector) = {_DIM_COUNTS})
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.x), 9) AS mean_i, round(covar_pop(a.x, b.x), 9) AS covariance
+FROM u a JOIN u b USING (id) GROUP BY a.i, b.i""")
+def vector_moments(spark, sf):
+    vecs = bridge.vectors(spark, sf)
+    dim = _commonest_dim(vecs)
+    at = F.posexplode("covariance").alias("at", "covariance")
+    return (P.vector_moments(vecs, dim).select("mean", at)
+            .select(F.floor(F.col("at") / dim).cast("int").alias("i"), (F.col("at") % dim).cast("int").alias("j"), "mean", "covariance")
+            .select("i", "j", r9(F.get("mean", F.col("i"))).alias("mean_i"), r9("covariance").alias("covariance")))
+
+
+@register("embedding_principal_points", ops="V6 F8 (every vector on the first two principal axes)")
+def embedding_principal_points(spark, sf):
+    vecs = bridge.vectors(spark, sf)
+    return P.principal_points(vecs, _commonest_dim(vecs)).select("id", "app_name", r9("x").alias("x"), r9("y").alias("y"))
+
+
 @register("embedding_count_per_app", ops="G11", sql=W_VEC + """
 SELECT app_name, count(*) AS embedding_count FROM v_vec WHERE len(vector) > 0 GROUP BY app_name""")
 def embedding_count_per_app(spark, sf):

@@ -55,3 +55,10 @@ def save_regression_report(summary: DataFrame, failures: DataFrame, path: str) -
     """The suite summary and its failures table as JSON under ``path``."""
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     failures.write.mode("overwrite").json(f"{path}/failures")
+
+
+def load_regression_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(summary, failures) as ``save_regression_report`` wrote them; both may be empty."""
+    summary = ("dataset_name string, total long, passed long, failed long, pass_rate double, gate_passed boolean")
+    failures = "item_id long, query string, expected_response string, actual_response string, violations array<string>"
+    return spark.read.schema(summary).json(f"{path}/summary"), spark.read.schema(failures).json(f"{path}/failures")

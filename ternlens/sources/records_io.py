@@ -16,10 +16,11 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ternlens import constants as K
 from ternlens.functions.text import iso_utc
-from ternlens.schemas import ALERT_SCHEMA
+from ternlens.schemas import ALERT_SCHEMA, RECORD_SCHEMA
 from ternlens.session import remove_folder, stage, unstage
 
 _ARRAY_COLUMNS = {"tags": "array<string>", "flagged_claims": "array<string>", "embedding_vector": "array<double>"}
@@ -211,6 +212,9 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S9 CSV export
+_CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def export_projection(records: DataFrame, n: int = K.CSV_EXPORT_ROWS) -> DataFrame:
     """The latest n records with the 19 export columns (no arrays, no context)."""
     latest = records.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
@@ -218,4 +222,16 @@ def export_projection(records: DataFrame, n: int = K.CSV_EXPORT_ROWS) -> DataFra
 
 
 def export_csv(records: DataFrame, path: str, n: int = K.CSV_EXPORT_ROWS) -> None:
-    export_projection(records, n).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The export as one CSV file with a header; quotes are doubled, so that texts with line ends and quotes read back."""
+    (export_projection(records, n).coalesce(1).write.mode("overwrite")
+     .option("header", True).option("escape", '"').option("emptyValue", '""')
+     .option("timestampFormat", _CSV_TIME).csv(path))
+
+
+def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``export_csv`` wrote, with the record types."""
+    kinds = {f.name: f for f in RECORD_SCHEMA.fields}
+    return (spark.read.schema(T.StructType([kinds[c] for c in K.CSV_EXPORT_COLUMNS])).option("header", True)
+            .option("escape", '"').option("multiLine", True)
+            .option("nullValue", "\u0001")  # what the reader makes of an unquoted empty field; a quoted one is an empty text
+            .option("emptyValue", "").option("timestampFormat", _CSV_TIME).csv(path))

@@ -36,11 +36,14 @@ def deduplicated(events: DataFrame, watermark: str = "1 hour", key: str = "id")
 
 
 class ScoredBatches:
-    """Scores of each batch under ``root``/scores/batch=<id>.  ``after(step, batch id)`` is called after each write."""
+    """Scores of each batch under ``root``/scores/batch=<id>.  ``after(step, batch id)`` is called after each write;
+    ``prepare`` adds columns to a batch's events (learned toxicity and language, say) that ``options`` of ``evaluate`` name."""
 
     states: tuple[str, ...] = ("drift",)
 
-    def __init__(self, root: str, after: Callable[[str, int], None] | None = None, **options):
+    def __init__(self, root: str, after: Callable[[str, int], None] | None = None,
+                 prepare: Callable[[DataFrame], DataFrame] | None = None, **options):
+        self.prepare = prepare or (lambda events: events)
         self.root, self.options = root.rstrip("/"), options
         self.after = after or (lambda step, batch: None)
 
@@ -49,7 +52,7 @@ class ScoredBatches:
         if ledger.done(batch):
             return
         start = ledger.state("drift", batch)
-        records = stage(SC.evaluate(events, drift_start=start, **self.options), "scored")
+        records = stage(SC.evaluate(self.prepare(events), drift_start=start, **self.options), "scored")
         try:
             ledger.put_state("drift", batch, D.drift_state(records, start, vector="embedding_vector"))
             self.after("drift", batch)
@@ -75,7 +78,7 @@ class MonitoredBatches(ScoredBatches):
     def __init__(self, root: str, channels: list[tuple[str, str]], thresholds: K.Thresholds = K.Thresholds(),
                  cooldown_seconds: int = K.DEFAULT_COOLDOWN_SECONDS, scope: str = "app_metric",
                  after: Callable[[str, int], None] | None = None, **options):
-        super().__init__(root, after, **options)
+        super().__init__(root, after=after, **options)
         self.channels, self.thresholds, self.cooldown, self.scope = channels, thresholds, cooldown_seconds, scope
 
     def write(self, ledger: Ledger, records: DataFrame, batch: int) -> None:

@@ -202,3 +202,16 @@ def test_hot_partition_is_written_by_its_size(spark):
         assert sum("hot" in f for f in files) > 8 and sum("cold" in f for f in files) <= 4
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_csv_export_reads_back_quotes_line_ends_and_blanks(spark, tmp_path):
+    from ternlens import constants as K
+    from ternlens.schemas import RECORD_SCHEMA
+    from ternlens.sources import bridge
+    from ternlens.sources.records_io import export_csv, read_csv_export
+    rec = bridge.records(spark, "/root/testdata/sf0.001").limit(4).withColumn(
+        "response", F.expr("element_at(array('a \"quoted\", text', 'two\\nlines', '', cast(null as string)), cast(row_number() over (order by id) as int))"))
+    rec = rec.withColumn("query", F.lit('\\ back"slash\\')).select(*[f.name for f in RECORD_SCHEMA.fields if f.name in rec.columns])
+    rows = rec.select(*K.CSV_EXPORT_COLUMNS).collect()
+    export_csv(spark.createDataFrame(rows, rec.select(*K.CSV_EXPORT_COLUMNS).schema), str(tmp_path / "csv"))
+    assert sorted(read_csv_export(spark, str(tmp_path / "csv")).collect(), key=lambda r: r.id) == sorted(rows, key=lambda r: r.id)
