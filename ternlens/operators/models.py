@@ -225,14 +225,17 @@ def train_toxic_words(docs: DataFrame, labels: DataFrame, text: str = "text", ke
     overall share p, from 0 (p or below; such buckets are left out) to 1.  The share is shrunk towards p by
     ``WORD_PRIOR_DOCS`` and lowered by ``WORD_ERRORS`` of its standard errors.
 
-    One row per document and bucket is counted before the shuffle by bucket.
+    Documents meet their labels as sets of buckets (four bytes a different word), not as texts, in a sort-merge join at
+    any size; the counts are combined before the shuffle by bucket.
     """
-    train = docs.select(key, text).join(labels.select(key, F.col("toxic").cast("double").alias("toxic")), key)
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % WORD_BUCKETS
-    by_word = (train.select("toxic", F.explode(F.array_distinct(F.transform(words, bucket))).alias("bucket"))
-               .groupBy("bucket").agg(F.sum("toxic").alias("_t"), F.count(F.lit(1)).alias("_n")))
-    share = train.agg(F.avg("toxic").alias("_p"))        # one row
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % WORD_BUCKETS).cast("int")
+    marks = labels.select(key, F.col("toxic").cast("double").alias("toxic"))
+    train = docs.select(key, F.array_distinct(F.transform(words, bucket)).alias("_buckets")).join(marks.hint("merge"), key)
+    by_word = (train.select("toxic", F.explode("_buckets").alias("bucket"))
+               .groupBy(F.col("bucket").cast("long").alias("bucket"))
+               .agg(F.sum("toxic").alias("_t"), F.count(F.lit(1)).alias("_n")))
+    share = docs.select(key).join(marks, key).agg(F.avg("toxic").alias("_p"))        # one row
     p = F.col("_p")
     n, s = F.col("_n") + WORD_PRIOR_DOCS, F.col("_share")
     weight = (s - WORD_ERRORS * F.sqrt(s * (1 - s) / n) - p) / (1 - p)
