@@ -7,9 +7,11 @@ Which strings can be equal.  Of the ``LENGTH - GRAM + 1`` grams in a string, the
 anchor; equal strings have equal anchors at the same place.  A text's starts fall into runs with one anchor, and
 only runs whose anchor's hash occurs twice or more go on.  No string is missed; a hash collision only lets more in.
 
-Shards.  The bytes of a run (its starts and LENGTH - 1 bytes after) are a region.  Equal regions are counted and
-become one, so that a group of copies, however large, is one region; all its starts repeat.  The remaining
-distinct regions are dealt by anchor, ``REGIONS`` to a shard, so a shard holds strings that could be equal to its own.  A shard gets a suffix array by
+Shards.  The bytes of a run (its starts and LENGTH - 1 bytes after) are a region, named by its anchor's hash and a 64-bit hash of
+its bytes.  Equal regions are counted and become one, so that a group of copies, however large, is one region; all its starts
+repeat.  Only names move until here: bytes are read for one place of each distinct region whose anchor has others, so they
+are sent once, whatever the number of copies and tasks.  These
+regions are dealt by anchor, ``REGIONS`` to a shard, so a shard holds strings that could be equal to its own.  A shard gets a suffix array by
 Larsson-Sadakane refinement (groups of equal prefixes are refined by the ranks ``h`` places on, with h doubling; sorted ones are left
 alone), and the common prefixes of neighbours by Kasai's method, run for all regions side by side: a start repeats if a neighbour
 shares LENGTH bytes.  Shards of one anchor are merged pair by pair, each pair in a task of its own, by binary search: the
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import discard, own, releasing, staged
+from ternlens.llm.common import collect_shuffles, discard, own, releasing, staged
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -313,50 +315,42 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """id, k1, k2, n_bytes, sha and the runs (h, s, c: parallel arrays) of each row."""
+    """id, k1, k2, n_bytes, sha and the runs (h, d, s, c: parallel arrays of anchor, region, first start, starts) of each row."""
     def run(batches):
         for b in batches:
             texts = [t.encode() for t in b.column(1).to_pylist()]
             text, start, count, h = runs(texts)
+            d = np.fromiter((xxhash.xxh3_64_intdigest(texts[k][s:s + n]) for k, s, n in zip(text.tolist(), start.tolist(), (count + LENGTH - 1).tolist())),
+                            np.uint64, len(text))
             offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(v, kind))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), b.column(3), pa.array([len(t) for t in texts], pa.int64()),
                  pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
-                 lists(h.view(np.int64), pa.int64()), lists(start.astype(np.int32), pa.int32()),
+                 lists(h.view(np.int64), pa.int64()), lists(d.view(np.int64), pa.int64()), lists(start.astype(np.int32), pa.int32()),
                  lists(count.astype(np.int32), pa.int32())],
-                names=["id", "k1", "k2", "n_bytes", "sha", "h", "s", "c"])
+                names=["id", "k1", "k2", "n_bytes", "sha", "h", "d", "s", "c"])
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n_bytes long, sha binary, h array<long>, s array<int>, c array<int>")
+    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n_bytes long, sha binary, "
+                                "h array<long>, d array<long>, s array<int>, c array<int>")
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, text, marks: h, s, c) to the same with region hashes; bytes where the task sees them first."""
-    seen: set[bytes] = set()
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, marks: h, d, s, c) to (h, d, content): the bytes of the marked regions."""
     for b in batches:
-        k1, k2, cols = b.column(0), b.column(1), b.column(2).to_pylist()
-        out = []
-        for t, marks in zip(cols, b.column(3).to_pylist()):
-            raw, mine = t.encode(), []
+        h, d, content = [], [], []
+        for t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            raw = t.encode()
             for m in marks:
-                content = raw[m["s"]:m["s"] + m["c"] + LENGTH - 1]
-                d = xxhash.xxh3_128_digest(content)
-                fresh = d not in seen
-                if fresh:
-                    if len(seen) >= 1_000_000:  # only saves bytes: a region may be sent again
-                        seen.clear()
-                    seen.add(d)
-                mine.append({"h": m["h"], "s": m["s"], "d": d, "content": content if fresh else None})
-            out.append(mine)
-        yield pa.RecordBatch.from_arrays([k1, k2, b.column(2), pa.array(out, _REGION_LIST)], names=["k1", "k2", "text", "regions"])
-
-
-_REGION_LIST = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int32()), ("d", pa.binary()), ("content", pa.binary())]))
-_REGION_DDL = "array<struct<h:long,s:int,d:binary,content:binary>>"
+                h.append(m["h"])
+                d.append(m["d"])
+                content.append(raw[m["s"]:m["s"] + m["c"] + LENGTH - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(content, pa.binary())],
+                                         names=["h", "d", "content"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, x, y, left, d, content), sorted by (h, x, y), to (d, spans): the shard x of an anchor itself, or merged with its shard y.
+    """Rows (h, x, y, left, d, content), sorted by (h, x, y), to (h, d, spans): the shard x of an anchor itself, or merged with its shard y.
 
     Shards of several anchors are worked on together, about ``SHARD`` bytes at a time.
     """
@@ -377,8 +371,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if one and two:
                 found |= dict(zip(one + two, merged_spans([rows[k][5] for k in one], [rows[k][5] for k in two])))
         hit = [k for k, s in found.items() if s]
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][4] for k in hit], pa.binary()),
-                                           pa.array([found[k] for k in hit], pa.list_(pa.int32()))], names=["d", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in hit], pa.int64()), pa.array([rows[k][4] for k in hit], pa.int64()),
+                                           pa.array([found[k] for k in hit], pa.list_(pa.int32()))], names=["h", "d", "spans"])
 
     for b in batches:
         for row in zip(*(b.column(k).to_pylist() for k in range(6))):
@@ -392,41 +386,51 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked_starts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all rows without texts; k1, k2, text of those with candidates; k1, k2, starts: spans of repeated starts)."""
+    """(all rows without texts; k1, k2, text, each once; k1, k2, starts: spans of repeated starts)."""
     rows = _keyed(docs, id_col, text_col)
-    base = staged(anchored(rows), "anchored")
-    anchors = base.select("k1", "k2", F.explode(F.arrays_zip("h", "s", "c")).alias("m")).select("k1", "k2", "m.*")
-    twice = staged(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
-    marks = (anchors.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "s", "c")).alias("marks")))
-    with_text = (rows.select("k1", "k2", "text").join(marks, ["k1", "k2"]).select("k1", "k2", "text", "marks")
-                 .mapInArrow(_regions, f"k1 long, k2 long, text string, regions {_REGION_DDL}"))
-    with_text = staged(with_text, "regions")
-
-    places = with_text.select("k1", "k2", F.explode("regions").alias("r")).select("k1", "k2", "r.h", "r.s", "r.d", "r.content")
-    distinct = staged(places.groupBy("h", "d").agg(F.count("*").alias("n"), F.max("content").alias("content")), "distinct")
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("k"))
-    several = staged(sizes.filter("k > 1").select("h", F.ceil(F.col("k") / REGIONS).cast("int").alias("shards")), "several", slim=True)
-    ddl = "d binary, spans array<int>"
+    texts = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    all_runs = staged(anchored(rows), "anchored")
+    base = staged(all_runs.select("id", "k1", "k2", "n_bytes", "sha"), "base", slim=True)
+    anchors = all_runs.select("k1", "k2", F.explode(F.arrays_zip("h", "d", "s", "c")).alias("m")).select("k1", "k2", "m.*")
+    # anchors that occur twice, in equal regions only or in several
+    twice = staged(anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+                   .filter("n > 1").select("h", (F.col("low") != F.col("high")).alias("several")), "twice")
+    collect_shuffles(docs.sparkSession)
+    places = staged(anchors.join(twice, "h").select("k1", "k2", "h", "d", "s", "c", "several"), "places")
+    discard(all_runs, twice)
+
+    distinct = staged(places.filter("several").groupBy("h", "d")
+                      .agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "s", "c")).alias("at")), "distinct")
+    marks = (distinct.select("at.k1", "at.k2", F.struct("h", "d", "at.s", "at.c").alias("mark"))
+             .groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks")))
+    contents = staged(texts.join(marks, ["k1", "k2"]).select("text", "marks")
+                      .mapInArrow(_contents, "h long, d long, content binary"), "contents")
+    collect_shuffles(docs.sparkSession)
+    shards = staged(distinct.groupBy("h").agg(F.ceil(F.count("*") / REGIONS).cast("int").alias("shards")), "shards", slim=True)
+    ddl = "h long, d long, spans array<int>"
     # an anchor of one shard stays where the join has put it; those of several are dealt by pairs of shards
-    one = (distinct.join(several.filter("shards = 1"), "h")
+    one = (contents.join(shards.filter("shards = 1"), "h")
            .select("h", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left"), "d", "content")
            .repartition("h").sortWithinPartitions("h").mapInArrow(_shards, ddl))
     found = one
-    if several.filter("shards > 1").limit(1).count():
-        more = (distinct.join(several.filter("shards > 1"), "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
+    if shards.filter("shards > 1").limit(1).count():
+        more = (contents.join(shards.filter("shards > 1"), "h").withColumn("me", F.pmod(F.xxhash64("d"), F.col("shards")).cast("int"))
                 .withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
                 .select("h", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
                         (F.col("me") <= F.col("other")).alias("left"), "d", "content")
                 .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_shards, ddl))
         found = one.union(more)
-    whole = distinct.filter("n > 1").select("d", F.array(F.lit(0), F.octet_length("content") - (LENGTH - 1)).alias("spans"))
+    whole = distinct.filter("n > 1").select("h", "d", F.array(F.lit(0), F.col("at.c")).alias("spans"))
     # a region that occurs twice repeats as a whole; what was found in it then says no more
-    spans = staged(whole.union(found.join(whole.select("d"), "d", "left_anti")), "spans")
-    discard(distinct, several)
-    starts = (places.join(spans, "d")
-              .select("k1", "k2", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
+    spans = staged(whole.union(found.join(whole.select("h", "d"), ["h", "d"], "left_anti")), "spans")
+    discard(distinct, contents, shards)
+    alone = places.filter("NOT several").select("k1", "k2", F.array(F.col("s"), F.col("s") + F.col("c")).alias("spans"))
+    starts = (places.filter("several").join(spans, ["h", "d"])
+              .select("k1", "k2", F.transform("spans", lambda x: x + F.col("s")).alias("spans")).union(alone)
               .groupBy("k1", "k2").agg(F.collect_set("spans").alias("starts")))
-    return base, with_text, starts
+    starts = staged(starts, "starts")
+    discard(places, spans)
+    return base, texts, starts
 
 
 def covered(n: int, starts: list[list[int]]) -> np.ndarray:
@@ -441,7 +445,7 @@ def covered(n: int, starts: list[list[int]]) -> np.ndarray:
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all rows; k1, k2, kept (binary), n_removed, n_spans of those that lose bytes)."""
-    base, with_text, starts = marked_starts(docs, id_col, text_col)
+    base, texts, starts = marked_starts(docs, id_col, text_col)
 
     def run(batches):
         for b in batches:
@@ -454,7 +458,6 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 spans.append(int((np.diff(np.append(0, gone.astype(np.int8))) == 1).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()),
                                               pa.array(spans, pa.int64())], names=["k1", "k2", "kept", "n_removed", "n_spans"])
-    texts = with_text.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
     out = (texts.join(starts, ["k1", "k2"]).select("k1", "k2", "text", "starts")
            .mapInArrow(run, "k1 long, k2 long, kept binary, n_removed long, n_spans long"))
     return base, out
@@ -466,7 +469,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base, out = cleaned(docs, id_col, text_col)
     out = out.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return (base.select("id", "k1", "k2", "n_bytes", "sha").join(out, ["k1", "k2"], "left")
+    return (base.join(out, ["k1", "k2"], "left")
             .select(F.col("id").alias(id_col), "n_bytes", zero("n_removed"), zero("n_spans"),
                     F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")))
 
