@@ -3,21 +3,16 @@
 ``threshold_breaches`` (A1/A2/A4) is a narrow per-record expansion: the four
 checks become an array of structs that is exploded, so it fuses into the scan
 stage. ``apply_cooldown`` (W3/A3) is the only order-dependent step and is split
-so no key is ever sorted as one unit:
-
-1. Only ``(key, ts, record_id)`` of breaches take part (text columns never move).
-2. ``bucket = ts div cooldown``; a hash aggregate gives min/max per (key, bucket).
-   No gap ≥ cooldown fits inside a bucket, so ``lag(max)`` over the *bucket*
-   summaries finds every gap; a gap ≥ cooldown always forces a fire, so runs of
-   buckets between such gaps are independent.
-3. Breaches are shuffled by (key, run), sorted within partitions, and a streaming
-   ``mapInPandas`` fold walks each run: from a fire at L it jumps with a binary
-   search to the first breach ≥ L + cooldown. Rows stream through in Arrow
-   batches; state is (key, run, last_fired), never a whole group in memory.
-4. A run larger than ``hot_run_rows`` (a key breaching without pause — the hot-key
-   case) is not walked by one task: each breach gets its successor fire candidate
-   (first breach ≥ ts + cooldown) from windows per (key, bucket), and the fire chain
-   from the run's first breach is marked by pointer jumping (log₂ rounds of equi-joins).
+so no key, and no burst of one, is sorted or walked as one unit:
+
+1. Only ``(key, ts, record_id, metric)`` of breaches take part (text columns never move). A range
+   partitioning by (key, ts, record) deals them into parts; a hot key gets as many as its rows need.
+2. A part's first and last keys may go on in other parts. For these, a part is a step function: from the
+   breach that fires first in it to the one that fires last (pointer doubling in numpy). Entries
+   with the same exit are one step, and only entries up to one cooldown after the part's first breach can occur.
+3. The steps of a key that has several parts are composed in order, in one stream of (entry, exit) pairs, which
+   gives every part the instant from which it may fire.
+4. Each part jumps from that instant from fire to fire with binary searches.
 """
 
 from __future__ import annotations
@@ -26,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
 from ternlens.functions.text import fixed, iso_utc
+from ternlens.session import stage
 
 # Order of checks per record, as fired: metric column, threshold attribute, below?
 CHECKS = [
@@ -86,106 +82,84 @@ def threshold_breaches(records: DataFrame, thresholds: K.Thresholds = K.Threshol
     )
 
 
-def _fold_runs(cooldown_us: int):
-    """Streaming greedy fold over rows sorted by (key, run, ts, record_id)."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur = None          # (key, run) of the open run
-        last = None         # last fired ts (µs) in the open run
+def _segments(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of each key of a part, in order, and their instants."""
+    pdf = pdf.sort_values(["_key", "_ts", "record_id"], na_position="first", kind="stable", ignore_index=True)
+    keys = pdf["_key"].to_numpy()
+    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    for s, e in zip(edge, np.append(edge[1:], len(pdf))):
+        yield pdf.iloc[s:e], pdf["_ts"].to_numpy(dtype=np.int64)[s:e]
+
+
+def _part_steps(cooldown_us: int):
+    """(key, part, entry, exit) of a part's first and last keys: exit is the last fire if the part's first one is at
+    an instant up to ``entry`` (and after the step before)."""
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, out, segments = pdf["_part"].iloc[0], [], list(_segments(pdf))
+        for rows, ts in (segments if len(segments) < 2 else [segments[0], segments[-1]]):
+            at = np.arange(len(ts))
+            after = np.maximum(np.searchsorted(ts, ts + cooldown_us, side="left"), at + 1)
+            last = np.where(after < len(ts), after, at)
+            while True:
+                further = last[last]
+                if np.array_equal(further, last):
+                    break
+                last = further
+            entries = min(int(np.searchsorted(ts, ts[0] + cooldown_us, side="left")) + 1, len(ts))
+            leave = ts[last[:entries]]
+            keep = np.append(leave[1:] != leave[:-1], True)
+            out.append(pd.DataFrame({"_key": rows["_key"].iloc[0], "_part": part, "entry": ts[:entries][keep], "exit": leave[keep]}))
+        return pd.concat(out)
+
+    return steps
+
+
+def _part_openings(cooldown_us: int):
+    """Steps sorted by (key, part, entry) to (key, part, opening): the instant from which a part may fire (the first part: none)."""
+
+    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = part = last = None
+        opening, entered = None, False
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = pdf["_key"].to_numpy()
-            runs = pdf["_run"].to_numpy()
-            ts = pdf["_ts"].to_numpy(dtype=np.int64)
-            # segment boundaries of (key, run) inside this batch
-            change = np.ones(len(pdf), dtype=bool)
-            change[1:] = (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])
-            starts = np.flatnonzero(change)
-            ends = np.append(starts[1:], len(pdf))
-            fired = []
-            for s, e in zip(starts, ends):
-                ident = (keys[s], runs[s])
-                seg = ts[s:e]
-                if ident != cur:
-                    cur, last = ident, None
-                prev = -1                       # index of the last fire inside this segment
-                if last is None:
-                    fired.append(s)
-                    last, prev = int(seg[0]), 0
-                while True:
-                    j = max(int(np.searchsorted(seg, last + cooldown_us, side="left")), prev + 1)
-                    if j >= len(seg):
-                        break
-                    fired.append(s + j)
-                    last, prev = int(seg[j]), j
-            if fired:
-                yield pdf.iloc[fired][["record_id", "metric", "_ts"]]
-
-    return fold
-
-
-HOT_RUN_ROWS = 2_000_000
-
-
-def _node() -> Column:
-    return F.concat_ws("\u0001", "record_id", "metric", F.col("_ts").cast("string"))
-
-
-def _successor_pointers(hot: DataFrame, summary: DataFrame, cd: int) -> DataFrame:
-    """For every breach p of a hot run: ``_next`` = the first breach (ts, record order) of
-    the same run with ts ≥ ts_p + cooldown, or null.
-
-    That breach lies in bucket b+1 (b = bucket of p) or, failing that, is the first breach
-    of the buckets ≥ b+2. The first part is one window per (key, bucket b+1) over the
-    bucket's breaches and the shifted queries; the second comes from the bucket summary.
-    """
-    node = _node()
-    rows = hot.select("_key", "_run", "_bucket", "_ts", "record_id", "metric", node.alias("_node"))
-    me = F.struct(F.col("_ts"), F.col("record_id"), F.col("_node"), F.col("_run"))
-    breaches = rows.select("_key", F.col("_bucket").alias("_tb"), "_ts", F.lit(1).alias("_kind"), "record_id",
-                           me.alias("_cand"), F.lit(None).cast("string").alias("_q"))
-    queries = rows.select("_key", (F.col("_bucket") + 1).alias("_tb"), (F.col("_ts") + F.lit(cd)).alias("_ts"),
-                          F.lit(0).alias("_kind"), "record_id", F.lit(None).cast(breaches.schema["_cand"].dataType)
-                          .alias("_cand"), F.col("_node").alias("_q"))
-    # Backwards in time, so that the frame only grows: linear in the bucket's rows.
-    w = (Window.partitionBy("_key", "_tb").orderBy(F.desc("_ts"), F.desc("_kind"), F.desc("record_id"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inb = (breaches.unionByName(queries)
-           .withColumn("_hit", F.last("_cand", ignorenulls=True).over(w))
-           .where(F.col("_kind") == 0)
-           .select(F.col("_q").alias("_node"), F.col("_hit")))
-    ws = Window.partitionBy("_key").orderBy(-F.col("_bucket")).rangeBetween(Window.unboundedPreceding, -2)
-    after2 = summary.select("_key", "_bucket", F.last("_first", ignorenulls=True).over(ws).alias("_after2"))
-    base = rows.join(after2, ["_key", "_bucket"], "left").join(inb, "_node", "left")
-    nxt = F.coalesce(F.col("_hit"), F.col("_after2"))
-    return base.select("_key", "_run", "_node", "record_id", "metric", "_ts",
-                       F.when(nxt["_run"] == F.col("_run"), nxt["_node"]).alias("_next"))
-
-
-def _pointer_jumping_fires(hot: DataFrame, summary: DataFrame, cd: int, levels: int) -> DataFrame:
-    """Fires of hot runs without a sequential pass: the greedy fire sequence of a run is
-    root, next(root), next(next(root)), …; with J_j = next^(2^j) (self-joins) the set
-    P_{j+1} = P_j ∪ J_j(P_j) holds the first 2^(j+1) fires. ``levels`` = ⌈log2(max fires
-    per run)⌉, bounded by the number of cooldown buckets in a run (≤ 1 fire each).
-    Every step is an equi-join on a uniformly hashed node id, so a hot key spreads over
-    the whole cluster; lineage is cut each round (shared checkpoint folder).
-    """
-    from ternlens.session import cut_lineage
-
-    ptr = cut_lineage(_successor_pointers(hot, summary, cd))
-    roots = (ptr.groupBy("_key", "_run").agg(F.min(F.struct("_ts", "record_id", "_node")).alias("_r"))
-             .select(F.col("_r._node").alias("_node")))
-    jump = ptr.select("_node", "_next")
-    fired = roots
-    for j in range(levels):
-        step = fired.join(jump, "_node").where(F.col("_next").isNotNull()).select(F.col("_next").alias("_node"))
-        fired = cut_lineage(fired.unionByName(step))
-        if j + 1 < levels:
-            a, b = jump.alias("a"), jump.alias("b")
-            jump = cut_lineage(a.join(b, F.col("a._next") == F.col("b._node"), "left")
-                               .select(F.col("a._node").alias("_node"), F.col("b._next").alias("_next")))
-    return fired.join(ptr.select("_node", "record_id", "metric", "_ts"), "_node").select("record_id", "metric", "_ts")
+            keys, parts = pdf["_key"].to_numpy(), pdf["_part"].to_numpy()
+            entry, leave = pdf["entry"].to_numpy(dtype=np.int64), pdf["exit"].to_numpy(dtype=np.int64)
+            edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])))
+            out = []
+            for s, e in zip(edge, np.append(edge[1:], len(pdf))):
+                if keys[s] != key:
+                    key, part, last = keys[s], None, None
+                if parts[s] != part:
+                    part, entered = parts[s], False
+                    opening = None if last is None else last + cooldown_us
+                    if opening is not None:
+                        out.append((key, int(part), opening))
+                if not entered:
+                    k = s if opening is None else s + int(np.searchsorted(entry[s:e], opening, side="left"))
+                    if k < e:
+                        last, entered = int(leave[k]), True
+            yield pd.DataFrame(out, columns=["_key", "_part", "opening"])
+
+    return openings
+
+
+def _part_fires(cooldown_us: int):
+    """The fires of a part, whose rows carry the opening of their key (null: none)."""
+
+    def fires(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for rows, ts in _segments(pdf):
+            opening = rows["opening"].iloc[0]
+            j, fired = 0 if pd.isna(opening) else int(np.searchsorted(ts, int(opening), side="left")), []
+            while j < len(ts):
+                fired.append(j)
+                j = max(int(np.searchsorted(ts, ts[j] + cooldown_us, side="left")), j + 1)
+            out.append(rows.iloc[fired][["record_id", "metric", "_ts"]])
+        return pd.concat(out)
+
+    return fires
 
 
 def _cooldown_key(scope: str) -> list[str]:
@@ -201,8 +175,7 @@ def cooldown_state(fired: DataFrame, start: DataFrame | None = None, scope: str
 
 
 def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN_SECONDS,
-                   scope: str = "app_metric", hot_run_rows: int = HOT_RUN_ROWS,
-                   start: DataFrame | None = None) -> DataFrame:
+                   scope: str = "app_metric", start: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Keep the alerts that fire under a per-key cooldown in event time.
 
     The first breach of a key fires; a later one fires when at least ``cooldown``
@@ -210,9 +183,8 @@ def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN
     alone (all apps share a cooldown); the default keys on (app_name, metric).
     Same-instant breaches fire in record-id order.
 
-    Runs (see module docstring) of up to ``hot_run_rows`` breaches are folded by the
-    streaming ``mapInPandas`` pass; larger runs — one noisy key breaching without pause —
-    go through ``_pointer_jumping_fires`` so no single task has to walk them.
+    One algorithm at any size (see module docstring), over ``parts`` range partitions (default: as many as the session's
+    shuffles have, small ones put together). The dealt breaches are staged once (an eager job).
 
     A breach given more than once (same record, metric and instant) is one breach and fires once at most.
     ``start`` (``cooldown_state`` of earlier alerts): breaches less than the cooldown after a key's last fire don't fire.
@@ -224,37 +196,16 @@ def apply_cooldown(alerts: DataFrame, cooldown_seconds: int = K.DEFAULT_COOLDOWN
                   .where(F.col("_last").isNull() | (F.unix_micros("timestamp") - F.unix_micros("_last") >= cd)).drop("_last"))
     slim = alerts.select(F.concat_ws("\u0001", *[F.col(c) for c in key_cols]).alias("_key"),
                          F.unix_micros("timestamp").alias("_ts"), "record_id", "metric").distinct()
-    slim = slim.withColumn("_bucket", F.floor(F.col("_ts") / F.lit(cd)).cast("long"))
-    summary = slim.groupBy("_key", "_bucket").agg(
-        F.min("_ts").alias("_min"), F.max("_ts").alias("_max"), F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("_ts", "record_id", _node().alias("_node")))
-        .alias("_first0"))
-    w = Window.partitionBy("_key").orderBy("_bucket")
-    prev_max = F.lag("_max").over(w)
-    starts = F.when(prev_max.isNull() | ((F.col("_min") - prev_max) >= F.lit(cd)), 1).otherwise(0)
-    runs = (summary.withColumn("_start", starts)
-            .withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    run_size = runs.groupBy("_key", "_run").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_buckets"))
-    runs = runs.join(run_size, ["_key", "_run"])
-    tagged = slim.join(runs.select("_key", "_bucket", "_run", "_rows"), ["_key", "_bucket"])
-
-    normal = tagged.where(F.col("_rows") <= hot_run_rows)
-    ordered = (normal.repartition("_key", "_run")
-               .sortWithinPartitions("_key", "_run", "_ts", "record_id"))
-    fired = ordered.select("_key", "_run", "_ts", "record_id", "metric").mapInPandas(
-        _fold_runs(cd), schema="record_id string, metric string, _ts long")
-
-    hot_runs = run_size.where(F.col("_rows") > hot_run_rows)
-    longest = hot_runs.agg(F.max("_buckets")).first()[0]   # one small aggregate row
-    if longest:
-        levels = max(1, int(longest).bit_length())
-        hot = tagged.where(F.col("_rows") > hot_run_rows)
-        hot_summary = (runs.where(F.col("_rows") > hot_run_rows)
-                       .select("_key", "_bucket", F.struct(F.col("_first0._ts").alias("_ts"),
-                                                           F.col("_first0.record_id").alias("record_id"),
-                                                           F.col("_first0._node").alias("_node"),
-                                                           F.col("_run")).alias("_first")))
-        fired = fired.unionByName(_pointer_jumping_fires(hot, hot_summary, cd, levels))
+    order = ["_key", "_ts", "record_id"]
+    dealt = slim.repartitionByRange(parts, *order) if parts else slim.repartitionByRange(*order)
+    dealt = stage(dealt.withColumn("_part", F.spark_partition_id()), "breaches")
+
+    several = dealt.groupBy("_key").agg(F.min("_part").alias("low"), F.max("_part").alias("high")).where("low < high").select("_key")
+    steps = dealt.groupBy("_part").applyInPandas(_part_steps(cd), "_key string, _part int, entry long, exit long")
+    openings = (steps.join(several, "_key").repartition("_key").sortWithinPartitions("_key", "_part", "entry")
+                .select("_key", "_part", "entry", "exit").mapInPandas(_part_openings(cd), "_key string, _part int, opening long"))
+    fired = (dealt.join(openings, ["_key", "_part"], "left").groupBy("_part")
+             .applyInPandas(_part_fires(cd), "record_id string, metric string, _ts long"))
     fired = fired.select("record_id", "metric", F.timestamp_micros("_ts").alias("timestamp"))
     ident = ["record_id", "metric", "timestamp"]
     return alerts.join(fired, ident, "left_semi").dropDuplicates(ident)

@@ -152,9 +152,9 @@ def records_with_alerts(spark, sf):
     return rec.join(a, "id", "left_semi").select("id", "app_name", "health_score")
 
 
-@register("alert_cooldown_parallel_runs", ops="W3 (every run through the pointer-jumping hot-run path)",
+@register("alert_cooldown_parallel_runs", ops="W3 (breaches dealt over 64 parts)",
           sql=with_views(V_REC, _BREACHES, _cooldown_sql(10800, "app_name || '|' || metric")) + f"""
 SELECT {_ALERT_COLS}, "timestamp" FROM v_fired""")
 def alert_cooldown_parallel_runs(spark, sf):
     a = AL.threshold_breaches(bridge.records(spark, sf))
-    return AL.apply_cooldown(a, 10800, hot_run_rows=0).select(*_ALERT_COLS.split(", "), "timestamp")
+    return AL.apply_cooldown(a, 10800, parts=64).select(*_ALERT_COLS.split(", "), "timestamp")
