@@ -1,8 +1,8 @@
 """Vector functions: hashed bag-of-words embedding, dot, cosine distance, normalise.
 
-The embedder is the one Arrow-vectorised Python stage (an iterator pandas UDF
-with a per-task token→bucket cache); everything else is SQL higher-order
-functions over ``array<double>``, which stay inside generated code.
+The embedder is the one Arrow Python stage (an iterator Arrow UDF with a per-task
+token→bucket cache, which takes a few rows of a batch at a time); everything else is SQL
+higher-order functions over ``array<double>``, which stay inside generated code.
 
 Embedding rule: tokens = lower-cased text split on ``[^a-z0-9]+`` (empties
 dropped); bucket = first 8 hex digits of md5(token) as an integer, mod ``dim``;
@@ -16,13 +16,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_DIM = 64
 _TOKEN_FIND = re.compile(r"[a-z0-9]+").findall
+#: Rows of an Arrow batch that are Python objects at a time, and tokens that a task's cache holds.
+SLICE_ROWS = 128
+CACHED_TOKENS = 200_000
+#: Arrow types of a vector and of a list of vectors.
+VECTOR, VECTORS = pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))
 
 
 def _c(x) -> Column:
@@ -43,7 +48,7 @@ def embed_text(text: str | None, dim: int, cache: dict) -> np.ndarray:
         b = get(tok)
         if b is None:
             b = _bucket(tok, dim)
-            if len(cache) < 1_000_000:
+            if len(cache) < CACHED_TOKENS:
                 cache[tok] = b
         ids.append(b)
     if not ids:
@@ -53,14 +58,21 @@ def embed_text(text: str | None, dim: int, cache: dict) -> np.ndarray:
     return v / n if n > 0 else v
 
 
+def slices(*columns: pa.Array) -> Iterator[list[list]]:
+    """The columns of a batch as Python lists, ``SLICE_ROWS`` rows at a time: a whole batch never becomes Python objects."""
+    for at in range(0, len(columns[0]), SLICE_ROWS):
+        yield [c.slice(at, SLICE_ROWS).to_pylist() for c in columns]
+
+
 def embed(col, dim: int = DEFAULT_DIM) -> Column:
     """V1/V2: unit-norm hashed embedding of a text column (null text → null)."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def _embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict = {}
-        for s in batches:
-            yield pd.Series([None if t is None else embed_text(t, dim, cache) for t in s])
+        for b in batches:
+            for (texts,) in slices(b):
+                yield pa.array([None if t is None else embed_text(t, dim, cache) for t in texts], VECTOR)
 
     return _embed(_c(col))
 
@@ -68,17 +80,12 @@ def embed(col, dim: int = DEFAULT_DIM) -> Column:
 def embed_many(col, dim: int = DEFAULT_DIM) -> Column:
     """V1 over ``array<string>`` (sentences): one vector per element, no explode/regroup."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-    def _embed_many(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def _embed_many(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict = {}
-        for s in batches:
-            out = []
-            for arr in s:
-                if arr is None:
-                    out.append(None)
-                else:
-                    out.append([embed_text(t, dim, cache) for t in arr])
-            yield pd.Series(out)
+        for b in batches:
+            for (lists,) in slices(b):
+                yield pa.array([None if x is None else [embed_text(t, dim, cache) for t in x] for x in lists], VECTORS)
 
     return _embed_many(_c(col))
 

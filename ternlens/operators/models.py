@@ -17,12 +17,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternlens import constants as K
+from ternlens.functions.vectors import slices
 from ternlens.session import stage
 
 
@@ -70,7 +70,8 @@ def gram_counts(df: DataFrame, key: str, text: str = "text", per_row: bool = Tru
 
         for b in batches:
             held, size = {}, 0
-            for row, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            rows = (x for part in slices(*b.columns) for x in zip(*part))
+            for row, (k, t) in enumerate(rows):
                 codes = _gram_codes(t) if t else _gram_codes("")
                 held.setdefault((row, k) if per_row else k, []).append(codes)
                 size += len(codes)
@@ -149,18 +150,19 @@ def _language_udf(profile: pa.Table):
     weights = np.zeros((len(keys), len(langs)))
     weights[np.searchsorted(keys, codes), p["lang"].map({x: i for i, x in enumerate(langs)})] = p["log_count"]
 
-    @F.pandas_udf("string")
-    def predict(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None or not langs:
-                out.append(None)
-                continue
-            c = _gram_codes(t)
-            at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-            score = base + len(c) * unseen + weights[at[keys[at] == c]].sum(axis=0)
-            out.append(langs[int(np.argmax(score))])
-        return pd.Series(out, dtype=object)
+    def language(t: str | None) -> str | None:
+        if t is None or not langs:
+            return None
+        c = _gram_codes(t)
+        at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
+        score = base + len(c) * unseen + weights[at[keys[at] == c]].sum(axis=0)
+        return langs[int(np.argmax(score))]
+
+    @F.arrow_udf("string")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for (texts,) in slices(b):
+                yield pa.array(map(language, texts), pa.string())
 
     return predict
 
@@ -252,21 +254,23 @@ def with_toxicity(df: DataFrame, words: DataFrame, text: str = "text", out: str
     model = words.toArrow().to_pandas().sort_values("bucket")
     buckets, weights = model["bucket"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        held = dict(zip(buckets.tolist(), weights.tolist()))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = np.zeros(WORD_BUCKETS)
+        held[buckets] = weights
         cache: dict = {}
 
         def weight(word: str) -> float:
             w = cache.get(word)
             if w is None:
-                w = held.get(int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % WORD_BUCKETS, 0.0)
+                w = float(held[int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % WORD_BUCKETS])
                 if len(cache) < 200_000:
                     cache[word] = w
             return w
 
-        for texts in batches:
-            yield pd.Series([max(map(weight, set(_WORDS(t))), default=0.0) if t else 0.0 for t in texts], dtype="float64")
+        for b in batches:
+            for (texts,) in slices(b):
+                yield pa.array([max(map(weight, set(_WORDS(t))), default=0.0) if t else 0.0 for t in texts], pa.float64())
 
     return df.withColumn(out, F.bround(score(F.lower(F.coalesce(_c(text), F.lit("")))), K.SCORE_DECIMALS))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,46 +126,61 @@ def validate_records(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ shared embedding stage
+#: Vectors of rows that the embedding stage holds before it hands them on.
+HELD_VECTORS = 2048
+
+
 def _embed_struct(dim: int, embedder=None, cut: int | None = None):
     """``embedder`` (U3): optional ``factory() -> fn(text) -> vector``; the factory runs
     once per task (load a model there), the function once per text."""
     from ternlens.functions.vectors import embed_text as _default
 
-    @F.pandas_udf(EMB_STRUCT)
-    def emb(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(EMB_STRUCT)
+    def emb(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         cache: dict = {}
         if embedder is None:
-            def embed_text(t, _dim, _cache):
-                return _default(t, _dim, _cache)
+            def embed_text(t):
+                return _default(t, dim, cache)
         else:
             fn = embedder()
 
-            def embed_text(t, _dim, _cache):
-                return fn(t or "")
-        names = ("v_r", "v_c", "v_q", "rag_q", "rag_c", "rag_r", "sent", "errors")
+            def embed_text(t):
+                v = fn(t or "")
+                return None if v is None else np.asarray(v, np.float64)
+        names = [f.name for f in EMB_STRUCT.fields]
+        kinds = [V.VECTOR] * 6 + [V.VECTORS, pa.int32()]
 
         def one(qi, ci, ri, ragi, si):
-            vr = embed_text(ri, dim, cache)
-            vc = embed_text(ci, dim, cache) if ci else None
-            vq = embed_text(qi, dim, cache) if qi else None
+            vr = embed_text(ri)
+            vc = embed_text(ci) if ci else None
+            vq = embed_text(qi) if qi else None
             if not ragi:
                 return (vr, vc, vq, None, None, None, None, 0)
             qc, cc, rc = (qi or "")[:cut], (ci or "")[:cut], (ri or "")[:cut]
-            return (vr, vc, vq, embed_text(qc, dim, cache),
-                    embed_text(cc, dim, cache) if len(cc) < len(ci or "") or vc is None else vc,
-                    embed_text(rc, dim, cache) if len(rc) < len(ri or "") else vr,
-                    [embed_text(x, dim, cache) for x in (si if si is not None else [])], 0)
-
-        for q, c, r, rag, sents in batches:
-            cols = {k: [] for k in names}
-            for qi, ci, ri, ragi, si in zip(q, c, r, rag, sents):
-                try:
-                    row = one(qi, ci, ri, ragi, si)
-                except Exception:  # noqa: BLE001 - P6: a failing embedder leaves the defaults
-                    row = (None, None, None, None, None, None, None, 1)
-                for k, v in zip(names, row):
-                    cols[k].append(v)
-            yield pd.DataFrame(cols)
+            return (vr, vc, vq, embed_text(qc),
+                    embed_text(cc) if len(cc) < len(ci or "") or vc is None else vc,
+                    embed_text(rc) if len(rc) < len(ri or "") else vr,
+                    [embed_text(x) for x in (si if si is not None else [])], 0)
+
+        def out(rows):
+            return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        # a few rows at a time are Python objects and vectors, fewer if they have many sentences
+        for b in batches:
+            rows, held = [], 0
+            for part in V.slices(*b):
+                for args in zip(*part):
+                    try:
+                        row = one(*args)
+                    except Exception:  # noqa: BLE001 - P6: a failing embedder leaves the defaults
+                        row = (None, None, None, None, None, None, None, 1)
+                    rows.append(row)
+                    held += 6 + len(row[6] or ())
+                    if held >= HELD_VECTORS:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
 
     return emb
 
