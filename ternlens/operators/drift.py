@@ -7,9 +7,10 @@ history; ``cap`` stops it after the first ``cap`` vectors (parity with a bounded
 
 Plan at scale, the same for one hot app as for many small ones:
 * only (app, order, id, vector) move: a range partitioning by (app, order) deals a hot app
-  over as many partitions as its rows need, and is staged once;
+  over as many partitions as its rows need, and is staged once, with the rows of a partition cut
+  into blocks of 2^``BLOCK_BITS``, so that what a task holds doesn't grow with the partitions;
 * each (app, block) gives a count and a vector sum, combined before the shuffle, and the
-  exclusive prefix sums run over this block table (about one row for each partition);
+  exclusive prefix sums run over this block table;
 * blocks are scored on their own with a cumulative sum from their prefix, and the scores
   are joined back by a number given to each input row, so repeated rows stay as many as they were.
 
@@ -31,6 +32,10 @@ from ternlens.functions import vectors as V
 from ternlens.session import stage
 
 
+#: A block has up to 2^12 rows: what the Python side of a task holds of vectors.
+BLOCK_BITS = 12
+
+
 def _stored(vecs: DataFrame, vector: str) -> DataFrame:
     return vecs.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
 
@@ -89,21 +94,6 @@ def drift_state(vecs: DataFrame, start: DataFrame | None = None, key: str = "app
             .agg(F.sum("count").alias("count"), _sum("total").alias("total")))
 
 
-def _number_rows(keys: list[str]):
-    """Adds ``_k``: the row's place within its key in a partition sorted by key."""
-    def number(batches):
-        last, n = None, 0
-        for pdf in batches:
-            ident = list(zip(*[pdf[c] for c in keys]))
-            place = np.empty(len(ident), np.int64)
-            for i, x in enumerate(ident):
-                n = n + 1 if x == last else 0
-                last = x
-                place[i] = n
-            yield pdf.assign(_k=place)
-    return number
-
-
 def _block_distances(order: list[str], cap: int | None):
     """Cosine distances of one (key, block) to the running centroid, from the block's prefix."""
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,22 +132,23 @@ def online_drift(vecs: DataFrame, key: str = "app_name", vector: str = "vector",
     cols = [F.col(key).alias("_key"), "_row", F.col(vector).cast("array<double>").alias("_v"),
             *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]]
     by = ["_key", *[f"_o{i}" for i in range(len(order))], "_row"]
+    # the number of a row is its place in its partition behind the partition's number, so blocks are in order, too
     dealt = (_stored(vecs, vector).select(*cols).repartitionByRange(*by).sortWithinPartitions(*by)
-             .withColumn("_block", F.spark_partition_id()).select("_key", "_block", "_row", "_v"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    rows = stage(dealt.mapInPandas(_number_rows(["_key"]), f"{fields}, _k long"), "drift-rows")
+             .withColumn("_k", F.monotonically_increasing_id())
+             .select("_key", F.shiftright("_k", BLOCK_BITS).alias("_block"), "_row", "_v", "_k"))
+    rows = stage(dealt, "drift-rows")
 
     # The block table: counts first, then sums of the rows that still belong to the baseline.
     upto = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_key", "_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_first"))
+    counts = counts.select("_key", "_block", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     if start is not None:
         counts = (counts.join(start.select(F.col(key).alias("_key"), F.col("count").alias("_c"), F.col("total").alias("_total")), "_key", "left")
-                  .select("_key", "_block", (F.col("_before") + F.coalesce("_c", F.lit(0))).alias("_before"), "_total"))
+                  .select("_key", "_block", "_first", (F.col("_before") + F.coalesce("_c", F.lit(0))).alias("_before"), "_total"))
     else:
         counts = counts.withColumn("_total", F.lit(None).cast("array<double>"))
     counted = rows.join(counts.drop("_total"), ["_key", "_block"])
-    baseline = counted if cap is None else counted.where(F.col("_before") + F.col("_k") < cap)
+    baseline = counted if cap is None else counted.where(F.col("_before") + F.col("_k") - F.col("_first") < cap)
     sums = (baseline.groupBy("_key", "_block").agg(_sum("_v").alias("_s"))
             .select("_key", "_block", F.posexplode("_s").alias("_pos", "_x")))
     later = Window.partitionBy("_key", "_pos").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,3 +51,22 @@ def test_model_scores_hand_on_few_rows_at_a_time(spark, monkeypatch):
     for f in made:
         sizes = [len(x) for x in f(iter([pa.array(["abc", None] * 1000)]))]
         assert sum(sizes) == 2000 and max(sizes) <= V.SLICE_ROWS
+
+
+def test_blocks_of_drift_are_bounded_and_change_nothing(spark, monkeypatch):
+    rows = [(f"a{i % 2}", T0 + dt.timedelta(seconds=i), f"{i:03}", [float(i % 7), 1.0, float(i % 3)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "app_name string, timestamp timestamp, id string, vector array<double>")
+    for cap in (None, 25):
+        want = {r.id: r.drift_score for r in D.online_drift(df, cap=cap).collect()}
+        sizes, stage = [], D.stage
+
+        def recorded(t, name):
+            t = stage(t, name)
+            if name == "drift-rows":
+                sizes.extend(r["count"] for r in t.groupBy("_key", "_block").count().collect())
+            return t
+        with monkeypatch.context() as m:
+            m.setattr(D, "stage", recorded)
+            m.setattr(D, "BLOCK_BITS", 3, raising=False)
+            got = {r.id: r.drift_score for r in D.online_drift(df, cap=cap).collect()}
+        assert max(sizes) <= 8 and got == want
