@@ -13,8 +13,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +43,16 @@ def create_source(spark: SparkSession, path: str, schema: T.StructType) -> None:
 
 
 # ------------------------------------------------------------------ ST3
+#: Pending breaches of a key that are Python objects at a time.
+HELD_ROWS = 1000
+
+
 class _Cooldown(StatefulProcessor):
-    """One key's breaches that the watermark hasn't passed, and its last fire; a timer stands at the earliest pending breach."""
+    """One key's breaches that the watermark hasn't passed, and its last fire; a timer stands at the earliest pending breach.
+
+    The pending breaches are read and written as streams, ``HELD_ROWS`` at a time: of the passed ones a task holds the instants,
+    eight bytes each, and the rows that fire.  Those that stay are written to the other one of two lists.
+    """
 
     def __init__(self, cooldown_us: int, schema: T.StructType):
         self.cooldown, self.schema = cooldown_us, schema
@@ -49,44 +60,68 @@ class _Cooldown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.schema)
+        self.lists = [handle.getListState("pending", self.schema), handle.getListState("pending_other", self.schema)]
+        self.turn = handle.getValueState("turn", "i int")
         self.last = handle.getValueState("last_fired", "t long")
 
+    def _turn(self) -> int:
+        return self.turn.get()[0] if self.turn.exists() else 0
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r) for r in rows]
-        if new:
-            self.pending.appendList(new)
-            self._wake(min(r[self.at] for r in new))
+        self._add(self.lists[self._turn()], (tuple(r) for r in rows))
         return iter(())
 
-    def _wake(self, ts_us: int) -> None:
+    def _add(self, pending, rows: Iterator[tuple], watermark: int = -1) -> None:
+        """Appends the rows and sets a timer at the earliest; timers up to the watermark are spent."""
+        earliest = None
+        for some in iter(lambda: list(islice(rows, HELD_ROWS)), []):
+            pending.appendList(some)
+            first = min(r[self.at] for r in some)
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest, watermark)
+
+    def _wake(self, ts_us: int, watermark: int) -> None:
         """A timer for the millisecond after ``ts_us``, unless one stands earlier."""
         at = ts_us // 1000 + 1
-        standing = list(self.handle.listTimers())
+        standing = [t for t in self.handle.listTimers() if t > watermark]
         if not standing or min(standing) > at:
             for t in standing:
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(at)
 
+    def _order(self, row: tuple) -> tuple:
+        """Of breaches at one instant the one of the smallest record id (null: first) fires."""
+        return row[self.record] is not None, row[self.record] or ""
+
+    def _fires(self, instants: np.ndarray, last: int | None) -> list[int]:
+        """The instants, of the ascending ones, at which a breach fires."""
+        out, j = [], 0 if last is None else int(np.searchsorted(instants, last + self.cooldown, side="left"))
+        while j < len(instants):
+            out.append(int(instants[j]))
+            j = int(np.searchsorted(instants, max(out[-1] + self.cooldown, out[-1] + 1), side="left"))
+        return out
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.pending.get()]
-        last = self.last.get()[0] if self.last.exists() else None
-        fired = []
-        for r in sorted((r for r in held if r[self.at] < passed), key=lambda r: (r[self.at], r[self.record])):
-            if last is None or r[self.at] - last >= self.cooldown:
-                fired.append(r)
-                last = r[self.at]
-        if fired:
-            self.last.update((last,))
-        rest = [r for r in held if r[self.at] >= passed]
-        if rest:
-            self.pending.put(rest)
-            self._wake(min(r[self.at] for r in rest))
-        else:
-            self.pending.clear()
+        turn = self._turn()
+        pending, other = self.lists[turn], self.lists[1 - turn]
+        instants = np.array(array("q", (r[self.at] for r in pending.get() if r[self.at] < passed)))
+        fires = self._fires(np.unique(instants), self.last.get()[0] if self.last.exists() else None)
+        at, fired = set(fires), {}
+        for r in pending.get():
+            if r[self.at] in at:
+                if self.cooldown <= 0:                 # every breach fires
+                    fired.setdefault(r[self.at], []).append(tuple(r))
+                elif r[self.at] not in fired or self._order(r) < self._order(fired[r[self.at]][0]):
+                    fired[r[self.at]] = [tuple(r)]
+        self._add(other, (tuple(r) for r in pending.get() if r[self.at] >= passed), passed // 1000)
+        pending.clear()
+        self.turn.update((1 - turn,))
+        if fires:
+            self.last.update((fires[-1],))
         names = self.schema.fieldNames()
-        return iter([Row(**dict(zip(names, r))) for r in fired])
+        return (Row(**dict(zip(names, r))) for t in fires for r in sorted(fired[t], key=self._order))
 
     def close(self) -> None:
         pass

@@ -91,3 +91,82 @@ def test_parts_of_the_cooldown_are_bounded_and_change_nothing(spark, monkeypatch
     for parts in (1, 3):
         assert {r.record_id for r in AL.apply_cooldown(alerts, 300, parts=parts).collect()} == want
     assert max(sizes) <= 4
+
+
+class _List:
+    """A list state that gives one row after the other, and counts the rows given to it at once."""
+
+    def __init__(self):
+        self.rows, self.most = [], 0
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self.most = max(self.most, len(rows))
+        self.rows += rows
+
+    put = clear = None
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.lists, self.values, self.timers = {}, {}, set()
+
+    def getListState(self, name, schema):
+        x = self.lists[name] = _List()
+        x.clear = x.rows.clear
+        return x
+
+    def getValueState(self, name, schema):
+        return self.values.setdefault(name, _Value())
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_pending_breaches_are_written_few_at_a_time_and_fire_as_in_sequence():
+    n = 5 * 1000 + 7
+    rows = [((i * 7919) % n * 1_000_000, f"r{i:05}") for i in range(n)]
+    rows += [(ts, rid + "x") for ts, rid in rows[:50]]
+    schema = T.StructType([T.StructField("_ts", T.LongType()), T.StructField("record_id", T.StringType())])
+    step, handle = ST._Cooldown(300_000_000, schema), _Handle()
+    step.init(handle)
+    list(step.handleInputRows(("a",), iter(rows), None))
+    fired = []
+    for ms in (2_000_000, 2_500_000, 10_000_000):           # the rest stays, and has a timer
+        assert any(t > ms or ms == 10_000_000 for t in handle.timers) or min(handle.timers) <= ms
+        fired += [(r["_ts"], r["record_id"]) for r in step.handleExpiredTimer(("a",), _Clock(ms), None)]
+        assert ms == 10_000_000 or any(t > ms for t in handle.timers)
+    want, last = [], None
+    for ts, rid in sorted(rows):
+        if last is None or ts - last >= 300_000_000:
+            want.append((ts, rid))
+            last = ts
+    assert fired == want
+    assert max(x.most for x in handle.lists.values()) <= 1000
