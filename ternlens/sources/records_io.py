@@ -66,7 +66,7 @@ def locations(spark: SparkSession, path: str, ids: DataFrame, key: str = "id",
     if not _exists(spark, index_path(path)):
         _append_index(spark.read.parquet(path), path, key, parts)
     log = spark.read.parquet(index_path(path))
-    wanted = ids.select(F.xxhash64(key).alias("h"), F.col(key).alias("key")).distinct()
+    wanted = ids.select(F.xxhash64(key).alias("h"), F.col(key).alias("key"))
     last = log.join(wanted, ["h", "key"], "left_semi").groupBy("key").agg(F.max_by("place", "written").alias("place"))
     return last.select(F.col("key").alias(key), "place.*")
 
@@ -105,11 +105,26 @@ def latest_version(df: DataFrame, key: str = "id", order: str = "created_at") ->
 
 
 def upsert_frames(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str = "created_at") -> DataFrame:
-    """Union of stored and incoming rows with one row per key, the incoming one on ties."""
-    cols = existing.columns
-    both = (existing.select(*cols, F.lit(0).alias("_seq"))
-            .unionByName(incoming.select(*cols, F.lit(1).alias("_seq"))))
-    return latest_version(both, key, order)
+    """The incoming rows, of which each key has one, and the latest stored row of every other key (a null key is one, too).
+
+    Of the incoming rows only the keys are joined; the stored ones move once.
+    """
+    new = incoming.select(F.col(key).alias("_new"))
+    stay = existing.join(new, existing[key].eqNullSafe(new["_new"]), "left_anti").withColumn("_seq", F.lit(0))
+    return latest_version(stay, key, order).unionByName(incoming.select(*existing.columns))
+
+
+def _once(rows: DataFrame, key: str, put) -> DataFrame:
+    """``latest_version`` of one delivery: a row whose key comes once stays where it is, so only hashes of keys are
+    shuffled, and the rows of keys that come more often.  ``put`` stages a table."""
+    held = put(rows)
+    h = F.xxhash64(F.col(key))
+    several = put(held.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
+    if several.isEmpty():
+        return held
+    alone = held.join(several, h == several["_h"], "left_anti")
+    latest = latest_version(held.join(several, h == several["_h"], "left_semi").withColumn("_seq", F.lit(1)), key)
+    return put(alone.select(*held.columns).unionByName(latest.select(*held.columns)))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -139,7 +154,7 @@ def upsert_records(spark: SparkSession, incoming: DataFrame, path: str, key: str
         staged.append(stage(df, "upsert"))
         return staged[-1]
     try:
-        fresh = put(latest_version(_stored(incoming, parts).withColumn("_seq", F.lit(1)), key))
+        fresh = _once(_stored(incoming, parts), key, put)
         new_places = fresh.select(*parts)
         if _exists(spark, path):
             places = put(new_places.union(locations(spark, path, fresh, key, parts).select(*parts)).distinct())

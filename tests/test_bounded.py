@@ -170,3 +170,24 @@ def test_pending_breaches_are_written_few_at_a_time_and_fire_as_in_sequence():
             last = ts
     assert fired == want
     assert max(x.most for x in handle.lists.values()) <= 1000
+
+
+def test_a_delivery_of_different_ids_is_staged_once_and_not_dealt(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, created_at int")
+    staged = []
+
+    def put(df):
+        staged.append(df)
+        return df
+    assert IO._once(rows, "id", put) is rows and "created_at" not in staged[-1].columns
+    twice = rows.union(spark.createDataFrame([("a", 5), (None, 2)], "id string, created_at int"))
+    assert sorted((r.id or "", r.created_at) for r in IO._once(twice, "id", put).collect()) == [("", 3), ("a", 5), ("b", 2)]
+
+
+def test_upsert_moves_only_the_keys_of_incoming_rows(spark):
+    old = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old"), ("b", 2, "new"), (None, 1, "old")], "id string, created_at int, v string")
+    new = spark.createDataFrame([("a", 0, "in"), (None, 0, "in")], "id string, created_at int, v string")
+    got = sorted((r.id or "", r.v) for r in IO.upsert_frames(old, new).collect())
+    assert got == [("", "in"), ("a", "in"), ("b", "new")]
+    plan = IO.upsert_frames(old, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
