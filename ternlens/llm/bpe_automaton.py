@@ -31,14 +31,14 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ternlens.llm.common import own
+from ternlens.llm.common import kept, own
 
 CACHE = 350_000
 CELLS = 1_000_000
@@ -167,7 +167,7 @@ class MergeAutomaton:
         return b"".join(map(self.label.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
+@kept(maxsize=4)
 def automaton(path: str) -> MergeAutomaton:
     """Compiled once per Python worker."""
     return MergeAutomaton(path)
@@ -285,7 +285,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return own(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
-@lru_cache(maxsize=2)
+@kept(maxsize=2)
 def digest_splitter(path: str) -> Splitter:
     """Chunks to (number of ids, ids as decimal text, decoded bytes); kept by the Python worker from task to task."""
     auto = automaton(path)

@@ -5,13 +5,41 @@ from __future__ import annotations
 import atexit
 import functools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternlens.session import checkpoint_dir
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches, a few rows at a time: a whole batch never becomes Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+#: Functions whose results a Python worker keeps from task to task.
+_KEPT: list[Callable] = []
+
+
+def kept(maxsize: int):
+    """``lru_cache`` for a worker's large tables, which ``let_go`` drops."""
+    def wrap(f):
+        f = functools.lru_cache(maxsize=maxsize)(f)
+        _KEPT.append(f)
+        return f
+    return wrap
+
+
+def let_go() -> None:
+    """Drops the tables that this worker keeps for other operators: a reused worker holds them while it works on something else."""
+    for f in _KEPT:
+        f.cache_clear()
+
+
 def staged(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 

@@ -28,7 +28,6 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ternlens.llm.bpe_automaton import Splitter, byte_symbols
-from ternlens.llm.common import own, staged
+from ternlens.llm.common import kept, own, staged
 
 CAPACITY = 1024
 END = 2
@@ -91,7 +90,7 @@ class IdSplitter(Splitter):
                 table.put(c, raw[a:z])
 
 
-@lru_cache(maxsize=2)
+@kept(maxsize=2)
 def id_splitter(path: str) -> IdSplitter:
     """Kept by the Python worker from task to task."""
     return IdSplitter(path)

@@ -33,15 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import collect_shuffles, discard, own, releasing, staged
+from ternlens.llm.common import collect_shuffles, discard, let_go, own, releasing, sliced, staged
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Bytes of a shard (ranks and places are packed with 21 bits each), and regions of one anchor in a shard (below these bytes).
 BITS = 21
 SHARD = (1 << BITS) - 2048
 REGIONS = 4096
+#: Bytes of small groups of regions that get one suffix array.
+TOGETHER = 1 << 20
+#: Strings that are compared at once (LENGTH bytes each).
+CHECKED = 1 << 15
 SENTINEL = 255  # not a byte of UTF-8
 _LOW = np.uint64((1 << BITS) - 1)
 _RNG = np.random.default_rng(20260101)
@@ -209,7 +213,10 @@ class Shard:
         hit = np.nonzero(shared >= LENGTH)[0]
         before = self.sa[slot[hit] - 1]
         # an exact check of what was found: the order is cut at a depth
-        same = strings(self.b, hit) == strings(self.b, before) if len(hit) else np.zeros(0, bool)
+        same = np.zeros(len(hit), bool)
+        for lo in range(0, len(hit), CHECKED):
+            part = slice(lo, lo + CHECKED)
+            same[part] = strings(self.b, hit[part]) == strings(self.b, before[part])
         self.flag = np.zeros(len(self.b), bool)
         self.flag[hit[same]] = True
         self.flag[before[same]] = True
@@ -277,7 +284,7 @@ def repeated(regions: list[list[bytes]]) -> list[list[list[int]]]:
                     one.merge(two)
             out.append([s for shard in shards for s in shard.spans()])
             continue
-        if held + size > SHARD:
+        if held + size > TOGETHER:
             flush()
             held = 0
         small.append(group)
@@ -317,7 +324,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def anchored(rows: DataFrame) -> DataFrame:
     """id, k1, k2, n_bytes, sha and the runs (h, d, s, c: parallel arrays of anchor, region, first start, starts) of each row."""
     def run(batches):
-        for b in batches:
+        let_go()
+        for b in sliced(batches):
             texts = [t.encode() for t in b.column(1).to_pylist()]
             text, start, count, h = runs(texts)
             d = np.fromiter((xxhash.xxh3_64_intdigest(texts[k][s:s + n]) for k, s, n in zip(text.tolist(), start.tolist(), (count + LENGTH - 1).tolist())),
@@ -337,7 +345,7 @@ def anchored(rows: DataFrame) -> DataFrame:
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, marks: h, d, s, c) to (h, d, content): the bytes of the marked regions."""
-    for b in batches:
+    for b in sliced(batches):
         h, d, content = [], [], []
         for t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             raw = t.encode()
@@ -352,7 +360,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, x, y, left, d, content), sorted by (h, x, y), to (h, d, spans): the shard x of an anchor itself, or merged with its shard y.
 
-    Shards of several anchors are worked on together, about ``SHARD`` bytes at a time.
+    Shards of several anchors are worked on together, about ``TOGETHER`` bytes at a time.
     """
     held: list[tuple] = []
     size = 0
@@ -374,9 +382,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in hit], pa.int64()), pa.array([rows[k][4] for k in hit], pa.int64()),
                                            pa.array([found[k] for k in hit], pa.list_(pa.int32()))], names=["h", "d", "spans"])
 
-    for b in batches:
+    for b in sliced(batches):
         for row in zip(*(b.column(k).to_pylist() for k in range(6))):
-            if size >= SHARD * 3 // 4 and held and held[-1][:3] != row[:3]:
+            if size >= TOGETHER and held and held[-1][:3] != row[:3]:
                 yield work(held)
                 held, size = [], 0
             held.append(row)
@@ -448,7 +456,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base, texts, starts = marked_starts(docs, id_col, text_col)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             kept, removed, spans = [], [], []
             for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 raw = np.frombuffer(t.encode(), np.uint8)
@@ -483,7 +491,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, out = cleaned(docs, id_col, text_col)
 
     def decode(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())],
                                              names=["k1", "k2", "kept"])
     out = out.select("k1", "k2", "kept").mapInArrow(decode, "k1 long, k2 long, kept string")
