@@ -20,7 +20,6 @@ columns are ignored; a code point of several bytes is one step of the table.
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ternlens.llm.bpe_automaton import MergeAutomaton, Splitter, automaton
-from ternlens.llm.common import own
+from ternlens.llm.common import kept, own
 
 LIMIT = 512
 
@@ -66,13 +65,21 @@ class PrefixCounter:
 
     def cut(self, text: str, budget: int) -> int:
         """Code points of ``text`` whose tokens all lie within its first ``budget`` tokens."""
+        return self.measured(text, budget)[1]
+
+    def measured(self, text: str, budget: int) -> tuple[int, int]:
+        """``count`` and ``cut`` from one pass over the text."""
+        tables = self.sp.values(text) if text else []
+        n = sum([t[-1] for t in tables])
+        if n <= budget:
+            return n, len(text)
         total = at = 0
-        for t in self.sp.values(text) if text else ():
+        for t in tables:
             if total + t[-1] > budget:
-                return at + bisect_right(t, budget - total)
+                return n, at + bisect_right(t, budget - total)
             total += t[-1]
             at += len(t)
-        return at
+        return n, at
 
     def table(self, text: str) -> list[int]:
         """Tokens of the encoding of every code point prefix of ``text`` (1, 2, ... all)."""
@@ -103,7 +110,7 @@ class PrefixCounter:
         return sum(word_counts(self.auto, w)[-1] for w in self.sp.split(text))
 
 
-@lru_cache(maxsize=2)
+@kept(maxsize=2)
 def counter_for(path: str) -> PrefixCounter:
     """Kept by the Python worker from task to task."""
     return PrefixCounter(automaton(path))
@@ -128,11 +135,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         counter = counter_for(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = [counter.count(t) for t in texts]
+            n, cut = zip(*[counter.measured(t, limit) for t in texts]) if texts else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()),
                  pa.array([x > limit for x in n], pa.bool_()),
-                 pa.array([counter.cut(t, limit) if x > limit else len(t) for t, x in zip(texts, n)], pa.int64())],
+                 pa.array(cut, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "cut_chars"])
     kind = docs.schema[id_col].dataType.simpleString()
     return own(docs, id_col, text_col).mapInArrow(

@@ -1,9 +1,10 @@
-"""What a worker holds for one operator: few rows, few strings, no other operator's tables."""
+"""What a worker holds for one operator: few rows, few strings, no other operator's tables; one pass over a text."""
 
 import numpy as np
 import pyarrow as pa
 
 from ternlens.llm import common, suffix_dedup
+from ternlens.llm.token_counts import PrefixCounter
 
 
 def test_strings_are_checked_some_at_a_time(monkeypatch):
@@ -36,3 +37,16 @@ def test_tables_of_other_operators_are_let_go():
         assert made == ["a", "a"]
     finally:
         common._KEPT.pop()
+
+
+def test_count_and_cut_come_from_one_pass():
+    counter = object.__new__(PrefixCounter)
+    passes = []
+
+    class Words:
+        def values(self, text):
+            passes.append(text)
+            return [tuple(range(1, len(w) + 1)) for w in text.split(" ")]
+    counter.sp = Words()
+    assert counter.measured("abc de f", 4) == (6, 4) and counter.measured("abc", 4) == (3, 3) and counter.measured("", 4) == (0, 0)
+    assert passes == ["abc de f", "abc"]
