@@ -155,6 +155,8 @@ def upsert_records(spark: SparkSession, incoming: DataFrame, path: str, key: str
         return staged[-1]
     try:
         fresh = _once(_stored(incoming, parts), key, put)
+        if _exists(spark, path) and fresh.isEmpty():  # a delivery without rows touches nothing
+            return
         new_places = fresh.select(*parts)
         if _exists(spark, path):
             places = put(new_places.union(locations(spark, path, fresh, key, parts).select(*parts)).distinct())

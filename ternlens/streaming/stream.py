@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ternlens import constants as K
-from ternlens.session import remove_folder
+from ternlens.session import adaptive, remove_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -172,7 +172,8 @@ def upsert_sink(path: str):
     def sink(batch: DataFrame, batch_id: int) -> None:
         ledger = Ledger(batch.sparkSession, f"{path.rstrip('/')}-batches")
         if not ledger.done(batch_id):
-            upsert_records(batch.sparkSession, batch, path)
+            with adaptive(batch.sparkSession):
+                upsert_records(batch.sparkSession, batch, path)
             ledger.commit(batch_id)
 
     return sink

@@ -149,3 +149,27 @@ def test_windowed_series_drops_rows_behind_watermark(spark):
     out = spark.read.parquet(f"{base}/out").where(F.col("time_bucket") == "2024-01-01 00:00").collect()
     # the 00:00 window closed with the first batch (watermark 02:50); the late row is dropped
     assert len(out) == 1 and out[0]["count"] == 1 and out[0]["avg_value"] == 80.0
+
+
+def test_batches_of_a_stream_with_state_write_few_files_and_none_without_rows(spark):
+    """In the session of such a stream, writes were not dealt by size; a batch that only moves the watermark went through the chain."""
+    batches, base = _one_app(spark, 60), _base(spark, "files")
+    ST.create_source(spark, f"{base}/src", batches[0].schema)
+    steps = []
+    chain = MonitoredBatches(f"{base}/tables", CHANNELS, cooldown_seconds=3600, after=lambda step, batch: steps.append((step, batch)))
+    w = (deduplicated(ST.event_stream(spark, f"{base}/src", batches[0].schema), "10 days").writeStream
+         .option("checkpointLocation", f"{base}/chk").foreachBatch(chain))
+    for delivery in (batches[0].union(batches[1]).union(batches[2]), batches[1]):
+        delivery.write.mode("append").parquet(f"{base}/src")
+        ST.drain(w)
+    rec = chain.records(spark)
+    assert rec.count() == 60 and len(rec.inputFiles()) == rec.select("app_name", "event_date").distinct().count()
+    assert len({batch for _, batch in steps}) == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_batch_of_one_file_is_dealt_out(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(ScoredBatches, "take", lambda self, ledger, events, batch: taken.append(events.inputFiles()))
+    ScoredBatches(_base(spark, "dealt"))(_one_app(spark, 60)[0].coalesce(1), 0)
+    assert len(taken[0]) >= spark.sparkContext.defaultParallelism
