@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,29 @@ def normalized_for_grams(text) -> Column:
     return F.concat(F.lit(" "), F.lower(F.regexp_replace(_c(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _normalized(text: str) -> str:
+    """``normalized_for_grams`` of a text inside a task."""
+    c = _code_points(text)
+    letter = _letters()[c]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:1] = True
+    return " " + np.where(letter, c, np.uint32(32))[keep].tobytes().decode("utf-32-le", "surrogatepass").lower() + " "
+
+
 def _gram_codes(text: str) -> np.ndarray:
     """Every trigram of a text as one integer: three code points of 21 bits."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = _code_points(text).astype(np.int64)
     return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) > 2 else c[:0]
 
 
@@ -72,7 +93,7 @@ def gram_counts(df: DataFrame, key: str, text: str = "text", per_row: bool = Tru
             held, size = {}, 0
             rows = (x for part in slices(*b.columns) for x in zip(*part))
             for row, (k, t) in enumerate(rows):
-                codes = _gram_codes(t) if t else _gram_codes("")
+                codes = _gram_codes("" if t is None else _normalized(t))
                 held.setdefault((row, k) if per_row else k, []).append(codes)
                 size += len(codes)
                 if size >= held_codes:
@@ -80,16 +101,16 @@ def gram_counts(df: DataFrame, key: str, text: str = "text", per_row: bool = Tru
                     held, size = {}, 0
             yield counted(b.column(0).type, [(k[1] if per_row else k, np.concatenate(c)) for k, c in held.items()])
 
-    return (df.select(F.col(key), normalized_for_grams(text))
+    return (df.select(F.col(key), _c(text))
             .mapInArrow(run, f"key {kind}, gram string, n long"))
 
 
 def train_language_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
     """Profile rows (lang, gram, log_count = ln(n+1)) with the language's ``unseen``
     = −ln(total + vocabulary) and ``log_prior``. Add-one smoothing, so
-    log P(gram | lang) = log_count + unseen."""
-    counts = (gram_counts(docs, label, text, per_row=False).withColumnRenamed("key", "lang")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    log P(gram | lang) = log_count + unseen.  The counts are staged once (an eager job): three steps read them."""
+    counts = stage(gram_counts(docs, label, text, per_row=False).withColumnRenamed("key", "lang")
+                   .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
     vocab = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     prior = (docs.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
@@ -153,7 +174,7 @@ def _language_udf(profile: pa.Table):
     def language(t: str | None) -> str | None:
         if t is None or not langs:
             return None
-        c = _gram_codes(t)
+        c = _gram_codes(_normalized(t))
         at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
         score = base + len(c) * unseen + weights[at[keys[at] == c]].sum(axis=0)
         return langs[int(np.argmax(score))]
@@ -179,7 +200,7 @@ def with_language(df: DataFrame, profile: DataFrame, text: str = "text", out: st
     held = profile.limit(rows_held + 1).toArrow()
     if held.num_rows <= rows_held:
         predict = _language_udf(held)
-        return df.withColumn(out, F.when(short, F.lit(K.DEFAULT_LANGUAGE)).otherwise(predict(normalized_for_grams(text))))
+        return df.withColumn(out, F.when(short, F.lit(K.DEFAULT_LANGUAGE)).otherwise(predict(_c(text))))
     profile = stage(profile, "language-profile")
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "language-input")
     found = detect_language(rows, profile, text, "_row", out)

@@ -105,3 +105,11 @@ def test_scored_records_show_languages_and_toxicity(spark):
     r = rec.agg(F.countDistinct("language_detected").alias("languages"), F.count_if(F.col("toxicity_score") > 0).alias("toxic"),
                 F.count_if(F.col("toxicity_score") == 0).alias("clean")).first()
     assert r.languages > 1 and 0 < r.toxic < r.clean, r
+
+
+def test_profile_counts_the_texts_once_and_normalises_them_in_the_task(spark):
+    texts = [None, "", " . ", "1Ünder_score a²ⅷ", "İstanbul ΣΑΣ", "日本 x̂ 😀a\tb", "aa AA"]
+    docs = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    want = [r[0] for r in docs.select(M.normalized_for_grams("text")).collect()]
+    assert [None if t is None else M._normalized(t) for t in texts] == want
+    assert "MapInArrow" not in M.train_language_profile(docs)._jdf.queryExecution().executedPlan().toString()
