@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternlens.llm.common import crc_mod, discard, own, releasing, rows_among, staged, text_hash
+from ternlens.llm.common import crc_mod, discard, let_go, own, releasing, rows_among, sliced, staged, text_hash
 
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
@@ -55,6 +55,8 @@ ALLOWANCE = 6.0
 CONFIDENT = 50
 BLANK, START = 32, 1
 SLICE = 1 << 20
+#: Characters of texts that a task holds before it counts their n-grams.
+HELD_CHARS = 8 * SLICE
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,19 +107,28 @@ def groups_of(texts: list[str]) -> Iterator[list[str]]:
 
 def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """lang, gram (packed), n over all rows."""
+    def counted(held):
+        for lang, texts in held.items():
+            for group in groups_of(texts):
+                flat, _ = symbols(group)
+                keys, n = np.unique(packed(flat, ORDER)[flat != START], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
+                    names=["lang", "gram", "n"])
+
     def run(batches):
-        for b in batches:
-            held: dict[str, list[str]] = {}
+        let_go()
+        held: dict[str, list[str]] = {}
+        chars = 0
+        for b in sliced(batches):
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
                     held.setdefault(lang, []).append(t)
-            for lang, texts in held.items():
-                for group in groups_of(texts):
-                    flat, _ = symbols(group)
-                    keys, n = np.unique(packed(flat, ORDER)[flat != START], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
-                        names=["lang", "gram", "n"])
+                    chars += len(t)
+            if chars > HELD_CHARS:
+                yield from counted(held)
+                held, chars = {}, 0
+        yield from counted(held)
     parts = own(docs, lang_col, text_col).mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -310,8 +321,9 @@ def identify(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col
 
     def scored(shared):
         def run(batches):
+            let_go()
             models = shared.value
-            for b in batches:
+            for b in sliced(batches):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 done = [models.sums(group) for group in groups_of(texts)]
                 total = np.concatenate([t for t, _ in done]) if done else np.zeros((0, len(langs)))

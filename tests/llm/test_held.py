@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from ternlens.llm import common, suffix_dedup
+from ternlens.llm import common, langid, suffix_dedup
 from ternlens.llm.token_counts import PrefixCounter
 
 
@@ -50,3 +50,19 @@ def test_count_and_cut_come_from_one_pass():
     counter.sp = Words()
     assert counter.measured("abc de f", 4) == (6, 4) and counter.measured("abc", 4) == (3, 3) and counter.measured("", 4) == (0, 0)
     assert passes == ["abc de f", "abc"]
+
+
+def test_language_tasks_let_go_of_other_operators_tables_and_take_some_rows_at_a_time(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(langid, "let_go", lambda: calls.append("let go"))
+    monkeypatch.setattr(langid, "HELD_CHARS", 40)
+    monkeypatch.setattr(langid, "symbols", lambda texts, f=langid.symbols: calls.append(sum(map(len, texts))) or f(texts))
+    runs = []
+    monkeypatch.setattr(langid, "own", lambda docs, *cols: type("Rows", (), {"mapInArrow": lambda self, run, schema: runs.append(run) or docs})())
+    monkeypatch.setattr(langid, "sliced", lambda batches, f=langid.sliced: f(batches, 2))
+    docs = spark.createDataFrame([], "lang string, gram long, n long")
+    langid.gram_counts(docs, "lang", "gram")
+    texts = ["some text of words"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 20), pa.array(texts)], names=["lang", "text"])
+    counts = sum(sum(b.column(2).to_pylist()) for b in runs[0](iter([batch])))
+    assert calls[0] == "let go" and max(calls[1:]) < 100 and counts == sum(map(len, texts))
