@@ -12,7 +12,7 @@ same states and writes the same rows (records and alerts by id, scores and outbo
 batch that is delivered again after its commit is skipped.
 
 Events take part in the order of their batches, by (timestamp, id) inside a batch: a stream delivered in time order equals the batch
-chain.  A batch without rows is not entered, once there are tables.  ``deduplicated`` drops events delivered again within the watermark.
+chain.  ``MonitoredBatches`` does not enter a batch without rows, once there are tables.  ``deduplicated`` drops events delivered again within the watermark.
 """
 
 from __future__ import annotations
@@ -30,10 +30,6 @@ from ternlens.sources import records_io as IO
 from ternlens.streaming.ledger import Ledger
 
 
-#: Parts of a batch for each core.
-SHARE = 3
-
-
 def deduplicated(events: DataFrame, watermark: str = "1 hour", key: str = "id") -> DataFrame:
     """ST4: normalised events, each id once within the watermark, whichever batch brings it again."""
     return SC.normalize_events(events).withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark([key])
@@ -55,15 +51,7 @@ class ScoredBatches:
         ledger = Ledger(events.sparkSession, self.root)
         if ledger.done(batch):
             return
-        # a stream with state is read once; dealt out, since a batch may come in a few files, and scoring is most of the work
-        events = stage(events.repartition(SHARE * events.sparkSession.sparkContext.defaultParallelism), "batch")
-        try:
-            # a batch without rows, by which the engine moves a watermark, changes no table
-            if not (ledger.committed() and events.isEmpty()):
-                with adaptive(events.sparkSession):
-                    self.take(ledger, events, batch)
-        finally:
-            unstage(events)
+        self.take(ledger, events, batch)
 
     def take(self, ledger: Ledger, events: DataFrame, batch: int) -> None:
         start = ledger.state("drift", batch)
@@ -96,6 +84,16 @@ class MonitoredBatches(ScoredBatches):
         super().__init__(root, after=after, **options)
         self.channels, self.thresholds, self.cooldown, self.scope = channels, thresholds, cooldown_seconds, scope
 
+    def take(self, ledger: Ledger, events: DataFrame, batch: int) -> None:
+        events = stage(events, "batch")  # a stream with state is read once
+        try:
+            # a batch without rows, by which the engine moves a watermark, changes no table
+            if not (ledger.committed() and events.isEmpty()):
+                with adaptive(events.sparkSession):
+                    super().take(ledger, events, batch)
+        finally:
+            unstage(events)
+
     def write(self, ledger: Ledger, records: DataFrame, batch: int) -> None:
         spark = records.sparkSession
         IO.upsert_records(spark, records, f"{self.root}/records")
