@@ -36,7 +36,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternlens.llm.bpe_automaton import _Table
 from ternlens.llm.common import discard, own, releasing, staged
 from ternlens.llm.components import merged
 
@@ -46,11 +45,17 @@ SIMILARITY = (85, 100)
 SAMPLE, HEAVY, HEAVY_SHARE, SALTS = 32, 32, 1e-3, 64
 #: Rows of a block of a large bucket; nodes remembered by a task so that copies send their keys once.
 BLOCK, SEEN = 256, 1_000_000
+#: Pairs of rows that are looked at together.
+PAIRS = 1 << 18
 #: Flags of a node under a key: indexed whole or with a deletion; probing whole, whole also against deletions, with a deletion.
 INDEX, INDEX_DELETED, PROBE, PROBE_NEAR, PROBE_DELETED = 1, 2, 4, 8, 16
 _GOLD, _SEG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 _S32 = np.uint64(32)
+#: The primes of XXH64.
+_P = [np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+#: Characters of texts whose words are hashed together.
+TOGETHER = 500_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,8 +64,80 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def word_hashes(raw: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """XXH64 of the words ``raw[start:start + length]``; at least 8 bytes follow the last word's start.
+
+    Words of one length are hashed together, long ones (32 bytes and more) one by one.
+    """
+    eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 8)
+    order = np.argsort(np.minimum(length, 32).astype(np.uint8), kind="stable")
+    edge = np.searchsorted(length[order], np.arange(33))
+    hashed = np.empty(len(start), np.uint64)
+    for size in range(1, 32):
+        at = order[edge[size]:edge[size + 1]]
+        if not len(at):
+            continue
+        h, here, rest = np.full(len(at), _P[4] + np.uint64(size)), start[at], size
+        while rest >= 8:
+            h ^= _turned(eight[here].view("<u8").ravel() * _P[1], 31) * _P[0]
+            h = _turned(h, 27) * _P[0] + _P[3]
+            here, rest = here + 8, rest - 8
+        tail = eight[here].view("<u8").ravel()
+        if rest >= 4:
+            h ^= (tail & np.uint64(0xFFFFFFFF)) * _P[0]
+            h = _turned(h, 23) * _P[1] + _P[2]
+            tail, rest = tail >> _S32, rest - 4
+        for _ in range(rest):
+            h ^= (tail & np.uint64(0xFF)) * _P[4]
+            h = _turned(h, 11) * _P[0]
+            tail = tail >> np.uint64(8)
+        h = (h ^ (h >> np.uint64(33))) * _P[1]
+        h = (h ^ (h >> np.uint64(29))) * _P[2]
+        hashed[at] = h ^ (h >> _S32)
+    for k in order[edge[32]:].tolist():
+        hashed[k] = xxhash.xxh64_intdigest(raw[start[k]:start[k] + length[k]])
+    return hashed
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the sorted different shingle hashes; words are split at ASCII white space and lower-cased in A-Z."""
+    out = []
+    for lo, hi in _groups(texts, TOGETHER):
+        coded = [(t or "").encode() for t in texts[lo:hi]]
+        raw = b"".join([b"\n", b"\n".join(coded).lower(), b"\n" * 8])
+        byte = np.frombuffer(raw, np.uint8)
+        blank = (byte == 32) | (byte - np.uint8(9) < 5)
+        turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, length = turn[::2], turn[1::2] - turn[::2]
+        w = word_hashes(raw, start, length)
+        first = np.searchsorted(start, np.cumsum([1, *(len(c) + 1 for c in coded)])).tolist()
+        s = np.zeros(0, np.uint64)
+        if len(w) >= WORDS:
+            full = len(w) - WORDS + 1
+            s = w[:full] * _POWERS[0]
+            for k in range(1, WORDS):
+                s += w[k:k + full] * _POWERS[k]
+            s = _mix(s + np.uint64(WORDS))
+        for a, z in zip(first, first[1:]):
+            if z - a >= WORDS:
+                own_ = s[a:z - WORDS + 1]
+                own_.sort()
+                new = np.ones(len(own_), bool)
+                np.not_equal(own_[1:], own_[:-1], out=new[1:])
+                out.append(own_[new])
+            elif z > a:  # fewer words: one shingle of all
+                out.append(_mix((w[a:z] * np.array(_POWERS[:z - a])).sum(keepdims=True) + np.uint64(z - a)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
 def shingles(text: str | None, hashes: dict) -> np.ndarray:
-    """Sorted different shingle hashes of a text; words are split at ASCII white space and lower-cased in A-Z."""
+    """The set of one text, as ``shingle_sets`` finds it for many; ``hashes`` has the words' XXH64."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
@@ -151,7 +228,9 @@ class Segments:
             best = None
             for raised in range(len(near) + 1):
                 up = cheap[:raised]
-                rest = order[~np.isin(order, up)]
+                lower = np.ones(m, bool)
+                lower[up] = False
+                rest = order[lower[order]]
                 total = price[rest[spare + raised:]].sum() + near[up].sum()
                 if best is None or total < best[0]:
                     best = (total, rest[:spare + raised], up)
@@ -195,13 +274,12 @@ def _groups(texts: list, most: int = 4_000_000):
 def signed(docs: DataFrame, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """id, th (hash of the text), n, node (hash of the set; null if empty), and once for a task's copies: keys, tags, bits (the sketch)."""
     def run(batches):
-        hashes, segments, seen = _Table(xxhash.xxh64_intdigest), Segments(similarity), set()
+        segments, seen = Segments(similarity), set()
         for b in batches:
             ids, texts, th = b.column(0), b.column(1).to_pylist(), b.column(2)
             for lo, hi in _groups(texts):
                 n, node, keys, tags, bits = [], [], [], [], []
-                for t in texts[lo:hi]:
-                    s = shingles(t, hashes)
+                for s in shingle_sets(texts[lo:hi]):
                     n.append(len(s))
                     name = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                     node.append(name)
@@ -298,12 +376,11 @@ def near_pairs(pairs: DataFrame, live: DataFrame, similarity: tuple[int, int]) -
 def sets(docs: DataFrame, names: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, cells (the whole set) of the nodes, from the text that ``names`` has for each."""
     def run(batches):
-        hashes = _Table(xxhash.xxh64_intdigest)
         for b in batches:
             node, texts = b.column(0), b.column(1).to_pylist()
             for lo, hi in _groups(texts):
                 yield pa.RecordBatch.from_arrays(
-                    [node.slice(lo, hi - lo), pa.array([shingles(t, hashes).view(np.int64) for t in texts[lo:hi]], pa.list_(pa.int64()))],
+                    [node.slice(lo, hi - lo), pa.array([s.view(np.int64) for s in shingle_sets(texts[lo:hi])], pa.list_(pa.int64()))],
                     names=["node", "cells"])
     texts = own(docs, id_col, text_col).select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     wanted = names.select("node", "id", "th").join(nodes, "node")
@@ -346,57 +423,69 @@ def distances(bits: list[bytes], i: np.ndarray, j: np.ndarray, most: int = 1 <<
     return out
 
 
-def _block_pairs(t: pa.Table, segments: Segments, joining: bool) -> pa.RecordBatch:
-    """Of two blocks of a bucket, the pairs (a, b) between components whose sketches allow them to be similar, but for those that
-    have been tried; ``joining``: of these the closest ones that would join the components."""
+def _block_pairs(t: pa.Table, edge: np.ndarray, segments: Segments, joining: bool) -> pa.RecordBatch:
+    """Of groups of rows of ``t`` (two blocks of a bucket each; they start at ``edge``, which also has the last one's end), the pairs
+    (a, b) between components whose sketches allow them to be similar, but for those that have been tried; ``joining``: of these
+    the closest ones that would join a group's components."""
     node, n, label, flags = (t.column(c).to_numpy() for c in ("node", "n", "label", "flags"))
     left = t.column("left").to_numpy()
-    i = np.nonzero(left)[0]
-    same = t.column("x")[0] == t.column("y")[0]
-    j = i if same else np.nonzero(~left)[0]
-    p, q = i[:, None], j[None, :]
+    same = t.column("x").to_numpy() == t.column("y").to_numpy()
+    size = np.diff(edge)
+    group = np.repeat(np.arange(len(size)), size)
+    times = size[group]
+    p = np.repeat(np.arange(edge[0], edge[-1]), times)
+    q = np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(edge[group], times)
+    ok = (label[p] != label[q]) & np.where(same[p], node[p] < node[q], left[p] & ~left[q])
+    p, q = p[ok], q[ok]
     larger = (n[p] > n[q]) | ((n[p] == n[q]) & (node[p] > node[q]))
     small, large = np.where(larger, flags[q], flags[p]), np.where(larger, flags[p], flags[q])
-    ok = (label[p] != label[q]) & (((small & INDEX > 0) & (large & (PROBE | PROBE_NEAR | PROBE_DELETED) > 0))
-                                   | ((small & INDEX_DELETED > 0) & (large & PROBE_NEAR > 0)))
+    ok = (((small & INDEX > 0) & (large & (PROBE | PROBE_NEAR | PROBE_DELETED) > 0))
+          | ((small & INDEX_DELETED > 0) & (large & PROBE_NEAR > 0)))
     ok &= np.minimum(n[p], n[q]) * segments.den >= np.maximum(n[p], n[q]) * segments.num
-    if same:
-        ok &= node[p] < node[q]
-    a, b = np.nonzero(ok)
-    a, b = i[a], j[b]
-    if len(a):
-        most = (segments.den - segments.num) * (n[a] + n[b]) // (segments.den + segments.num)
-        far = distances(t.column("bits").to_pylist(), a, b)
+    p, q = p[ok], q[ok]
+    pairs = []
+    if len(p):
+        used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+        most = (segments.den - segments.num) * (n[p] + n[q]) // (segments.den + segments.num)
+        far = distances(t.column("bits").take(pa.array(used)).to_pylist(), at[:len(p)], at[len(p):])
         near = far <= most
-        a, b, share = a[near], b[near], far[near] / np.maximum(most[near], 1)
-        a, b = a[np.argsort(share, kind="stable")], b[np.argsort(share, kind="stable")]
-    tried = {(x, y) for x, some in zip(node.tolist(), t.column("tried").to_pylist()) for y in some or ()}
-    parent: dict[int, int] = {}
+        p, q, share = p[near], q[near], far[near] / np.maximum(most[near], 1)
+        which = group[p - edge[0]]
+        order = np.lexsort((share, which))
+        pairs = list(zip(*(v[order].tolist() for v in (which, p, q))))
+    tried = t.column("tried").combine_chunks()
+    begin, names = tried.offsets.to_numpy(), tried.values.to_numpy()
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
 
     def top(x):
         while (up := parent.get(x, x)) != x:
             x = up
         return x
     out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        pair = tuple(sorted((int(node[x]), int(node[y]))))
-        if pair in tried:
+    for g, x, y in pairs:
+        if node[x] > node[y]:
+            x, y = y, x
+        if begin[x] < begin[x + 1] and (names[begin[x]:begin[x + 1]] == node[y]).any():
             continue
         if joining:
-            u, v = top(int(label[x])), top(int(label[y]))
+            u, v = top((g, int(label[x]))), top((g, int(label[y])))
             if u == v:
                 continue
             parent[u] = v
-        out.append(pair)
+        out.append((int(node[x]), int(node[y])))
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _ended(t: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
-    """Groups (key, x, y) of ``t`` that have ended, and the rows left."""
+def _ended(t: pa.Table, last: bool) -> tuple[list[np.ndarray], int]:
+    """Starts of the groups (key, x, y) of ``t`` that have ended, and the end, in parts of at most ``PAIRS`` pairs or one group;
+    and the row from which on rows are left."""
     key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
-    edge = np.nonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[0].tolist()
-    ends = [*edge[1:], len(key)] if last else edge[1:]
-    return [t.slice(s, e - s) for s, e in zip(edge, ends)], None if last else t.slice(edge[-1])
+    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    if last:
+        edge = np.append(edge, len(key))
+    part = (np.cumsum(np.diff(edge) ** 2) - 1) // PAIRS
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return [edge[a:z + 1] for a, z in zip(cut, cut[1:]) if a < z], int(edge[-1])
 
 
 def questions(rows: DataFrame, live: DataFrame, labels: DataFrame | None, tried: DataFrame, similarity: tuple[int, int],
@@ -426,11 +515,13 @@ def questions(rows: DataFrame, live: DataFrame, labels: DataFrame | None, tried:
         segments, held = Segments(similarity), []
         for b in batches:
             if b.num_rows:
-                groups, rest = _ended(pa.Table.from_batches([*held, b]).combine_chunks(), False)
-                yield from (_block_pairs(g, segments, joining) for g in groups)
-                held = rest.to_batches()
+                t = pa.Table.from_batches([*held, b]).combine_chunks()
+                parts, rest = _ended(t, False)
+                yield from (_block_pairs(t, edge, segments, joining) for edge in parts)
+                held = t.slice(rest).to_batches()
         if held:
-            yield from (_block_pairs(g, segments, joining) for g in _ended(pa.Table.from_batches(held).combine_chunks(), True)[0])
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from (_block_pairs(t, edge, segments, joining) for edge in _ended(t, True)[0])
     return (placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
             .mapInArrow(run, "a long, b long").distinct())
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -163,3 +164,56 @@ def test_shingles_of_short_texts_differ_by_length():
     assert len(sj.shingles("a b c", h)) == len(sj.shingles("a b c d", h)) == 1
     assert sj.shingles("a b c", h) != sj.shingles("a b c d", h)
     assert sj.shingles("A B", h) == sj.shingles("a b", h)
+
+
+def test_words_of_many_texts_are_hashed_together(small_docs):
+    h = _Table(xxhash.xxh64_intdigest)
+    texts = [None, "", " \n", "a", "A b", " a\tB\x0bC ", "x\x1cy z\xa0w É é one two", *(f"{'w' * k} {'é' * k} a b" for k in range(1, 40)),
+             *(r.text for r in small_docs.collect())]
+    for some in (texts, texts[:7], texts[:1], []):
+        sets = sj.shingle_sets(some)
+        assert len(sets) == len(some)
+        assert all(np.array_equal(s, sj.shingles(t, h)) for s, t in zip(sets, some))
+
+
+def test_block_pairs_of_many_groups():
+    """Of groups of all sizes, in any parts, the pairs that a look at each pair finds."""
+    rng, segments = np.random.default_rng(3), sj.Segments()
+    rows, want = [], set()
+    for key in range(60):
+        blocks = [(0, 0)] if key % 3 else [(0, 0), (0, 1), (1, 1)]
+        base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        members = []
+        for k in range(int(rng.integers(2, 12))):
+            s = np.unique(np.concatenate([base[:int(rng.integers(36, 41))], rng.integers(0, 1 << 63, int(rng.integers(0, 3))).astype(np.uint64)]))
+            flags = int(rng.choice([sj.INDEX, sj.INDEX | sj.PROBE, sj.PROBE, sj.INDEX_DELETED, sj.PROBE_NEAR | sj.INDEX, sj.PROBE_DELETED]))
+            members.append((int(rng.integers(-1 << 60, 1 << 60)), s, int(rng.integers(0, 5)), flags, k % 2 if len(blocks) > 1 else 0))
+        tried = {m[0]: [o[0] for o in members if o[0] > m[0] and rng.random() < .2] or None for m in members}
+        for x, y in blocks:
+            rows += [{"key": key, "x": x, "y": y, "left": block == x, "node": node, "n": len(s), "label": label, "flags": flags,
+                      "bits": sj.sketch(s).tobytes(), "tried": tried[node]} for node, s, label, flags, block in members if block in (x, y)]
+        for (a, s, la, fa, _), (b, t, lb, fb, _) in combinations(sorted(members, key=lambda m: m[0]), 2):
+            small, large = (fb, fa) if (len(s), a) > (len(t), b) else (fa, fb)
+            meets = (small & sj.INDEX and large & (sj.PROBE | sj.PROBE_NEAR | sj.PROBE_DELETED)) or (small & sj.INDEX_DELETED and large & sj.PROBE_NEAR)
+            if (la != lb and meets and min(len(s), len(t)) * 100 >= max(len(s), len(t)) * 85 and b not in (tried[a] or ())
+                    and sj.sketch_distance(sj.sketch(s).tobytes(), sj.sketch(t).tobytes()) <= segments.apart(len(s), len(t))):
+                want.add((a, b, la, lb, key))
+    t = pa.Table.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("left", pa.bool_()),
+                                                     ("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("flags", pa.int32()),
+                                                     ("bits", pa.binary()), ("tried", pa.list_(pa.int64()))]))
+    parts, rest = sj._ended(t, True)
+    assert rest == len(t)
+    got = {(r["a"], r["b"]) for e in parts for r in sj._block_pairs(t, e, segments, False).to_pylist()}
+    assert got == {w[:2] for w in want} and len(got) > 50
+    joins = {(r["a"], r["b"]) for e in parts for r in sj._block_pairs(t, e, segments, True).to_pylist()}
+    assert joins < got
+    parent = {}
+
+    def top(x):
+        while x in parent:
+            x = parent[x]
+        return x
+    for a, b, la, lb, key in want:  # within a group, what all pairs would join is joined
+        if (a, b) in joins and top((key, la)) != top((key, lb)):
+            parent[top((key, la))] = top((key, lb))
+    assert all(top((key, la)) == top((key, lb)) for _, _, la, lb, key in want if key % 3)
