@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,60 @@ from tokenizers import Tokenizer
 
 from ternlens.llm.bpe_automaton import Splitter, byte_symbols
 from ternlens.llm.common import kept, own, staged
+from ternlens.llm.segment_join import word_hashes
 
 CAPACITY = 1024
 END = 2
 #: Hash buckets in which pieces of one length are ranked; the bucket table has capacity x BUCKETS rows at most.
 BUCKETS = 64
-#: Chunks that are encoded as one text.
-TOGETHER = 1000
+#: Chunks that are encoded as one text; characters of the texts that are worked on together; chunks whose ids a task remembers.
+TOGETHER, CHARS, ROWS = 1000, 2_000_000, 1_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class ChunkIds:
+    """The ids of chunks, by the chunks' hashes in order; beyond ``ROWS`` chunks, those not used for longest go.
+
+    ``tag`` (length and last bytes) tells apart the chunks of one hash, of which only the first is held.
+    """
+
+    def __init__(self):
+        self.key, self.tag = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.turn = np.zeros(0, "<u4"), 0
+
+    def rows(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each key, and whether the table has it."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        row = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return row, self.key[row] == key
+
+    def add(self, key: np.ndarray, tag: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """New chunks, in the order of their keys, with all their ids behind each other."""
+        at = np.searchsorted(self.key, key)
+        start = len(self.pool) + np.cumsum(count) - count
+        for name, values in (("key", key), ("tag", tag), ("start", start), ("count", count), ("used", np.full(len(key), self.turn))):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+        self.pool = np.concatenate([self.pool, ids])
+
+    def trim(self) -> None:
+        self.turn += 1
+        if len(self.key) > ROWS:
+            keep = self.used > np.median(self.used)
+            ids = self.pool[spans(self.start[keep], self.count[keep])]
+            for name in ("key", "tag", "count", "used"):
+                setattr(self, name, getattr(self, name)[keep])
+            self.start, self.pool = np.cumsum(self.count) - self.count, ids
+
+
+def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of the spans, one behind the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 class IdSplitter(Splitter):
-    """Chunks to their ids as little-endian bytes; new chunks are encoded by the tokenizers library, many at once.
+    """Texts to their ids as little-endian bytes; new chunks are encoded by the tokenizers library, many at once.
 
     A chunk's ids don't depend on its neighbours (see ``bpe_automaton``), so they are those in the whole text.
     """
@@ -61,33 +105,96 @@ class IdSplitter(Splitter):
         self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         blank = byte_symbols()[32]
         self.starts = np.array([(self.library.id_to_token(i) or "").startswith(blank) for i in range(len(self.four))])
+        self.table = ChunkIds()
         super().__init__(special, lambda word, is_special: self._encode([word])[0], b"".join)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         four = self.four.__getitem__
         return [b"".join(map(four, e.ids)) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the texts' chunks that the table doesn't hold.
+    def blobs(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text (not empty); texts with special strings, and those with more white space at a blank, one by one."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if not any(s in t for s in self.special)]
+        for k, blob in zip(plain, self._together([texts[k] for k in plain]) if plain else []):
+            out[k] = blob
+        self.learn([t for t, blob in zip(texts, out) if blob is None])
+        return [b"".join(self.values(t)) if blob is None else blob for t, blob in zip(texts, out)]
 
-        They are encoded as texts of ``TOGETHER`` chunks: each chunk stands behind a blank and has none inside, so
-        the ids of the next chunk start at the next token that starts with a blank.
-        """
+    def learn(self, texts: list[str]) -> None:
+        """Encode the chunks of texts that ``values`` is to split, as far as its table doesn't hold them."""
         chunks: set[str] = set()
         for t in texts:
             chunks.update(t.split(" "))
         table = self.later
         new = [c for c in chunks if c and c not in table and c not in table.old and not c[0].isspace() and not c[-1].isspace()
                and not any(s in c for s in self.special)]
-        groups = [new[k:k + TOGETHER] for k in range(0, len(new), TOGETHER)]
-        for group, e in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            raw = ids.tobytes()
-            at = (4 * np.flatnonzero(self.starts[ids])).tolist()
+        for c, ids in zip(new, self._encoded(new)):
+            table.put(c, ids.tobytes())
+
+    def _together(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of texts without special strings; None where a chunk behind a blank is empty or other white space touches it."""
+        coded = [t.encode() for t in texts]
+        raw = b"".join([b" " * 8, b" ".join(coded), b" " * 8])
+        blank = np.flatnonzero(np.frombuffer(raw, np.uint8)[7:-7] == 32) + 7
+        start, length = blank[:-1] + 1, np.diff(blank) - 1
+        size = np.array([len(c) + 1 for c in coded])
+        head = np.searchsorted(start, 8 + np.cumsum(size) - size)
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.append(head, len(start))))
+        heads = [c[:n].decode() for c, n in zip(coded, length[head].tolist())]  # no blank before them
+        slow = np.array([not h or h[-1].isspace() for h in heads])
+        behind = np.ones(len(start), bool)
+        behind[head] = False
+        slow[owner[behind & (length == 0)]] = True
+        behind &= length > 0
+        start, length, owner = start[behind], length[behind], owner[behind]
+        # different chunks: hash, and the last eight bytes and the length against collisions
+        key = word_hashes(raw, start, length)
+        last = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 8)[start + length - 8].view("<u8").ravel()
+        tag = (last >> (8 * (8 - np.minimum(length, 8))).astype(np.uint64)) * _ODD + length.astype(np.uint64)
+        order = np.argsort(key)
+        first = np.append(True, key[order[1:]] != key[order[:-1]])[:len(order)]
+        one, which = order[first], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(first) - 1
+        slow[owner[tag != tag[one][which]]] = True
+        table = self.table
+        table.trim()
+        row, known = table.rows(key[one])
+        if not known.all():
+            self._add(raw, one[~known], start, length, key, tag)
+            row, known = table.rows(key[one])
+        good = known & (table.tag[row] == tag[one]) if len(table.key) else known
+        slow[owner[~good[which]]] = True
+        table.used[row[good]] = table.turn
+        row, here = row[which], good[which]
+        count = np.where(here, table.count[row], 0) if len(table.key) else np.zeros(len(row), np.int64)
+        ids = table.pool[spans(table.start[row], count)].tobytes() if count.any() else b""
+        edge = 4 * np.append(0, np.cumsum(count))[np.searchsorted(owner, np.arange(len(texts) + 1))]
+        return [None if s else self.first[h] + ids[a:z] for s, h, a, z in zip(slow.tolist(), heads, edge.tolist(), edge[1:].tolist())]
+
+    def _add(self, raw: bytes, new: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray, tag: np.ndarray) -> None:
+        """The chunks ``new`` (places in ``start``, in the order of their keys) into the table, but for those that white space touches."""
+        a = start[new]
+        chunks = [raw[x:y].decode() for x, y in zip(a.tolist(), (a + length[new]).tolist())]
+        fit = np.array([not (c[0].isspace() or c[-1].isspace()) for c in chunks])
+        new, chunks = new[fit], [c for c, f in zip(chunks, fit.tolist()) if f]
+        if chunks:
+            ids = list(self._encoded(chunks))
+            self.table.add(key[new], tag[new], np.array([len(x) for x in ids], np.int64), np.concatenate(ids))
+
+    def _encoded(self, chunks: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each chunk behind a blank.
+
+        They are encoded as texts of ``TOGETHER`` chunks: each chunk stands behind a blank and has none inside, so
+        the ids of the next chunk start at the next token that starts with a blank.
+        """
+        for k in range(0, len(chunks), TOGETHER):
+            group = chunks[k:k + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.starts[ids]).tolist()
             if len(at) != len(group):
                 raise ValueError("a vocabulary without byte-level blanks")
-            for c, a, z in zip(group, at, at[1:] + [len(raw)]):
-                table.put(c, raw[a:z])
+            yield from map(ids.__getitem__, map(slice, at, [*at[1:], len(ids)]))
 
 
 @kept(maxsize=2)
@@ -105,15 +212,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for b in batches:
             ids, piece, start, length, crc, raw = [], [], [], [], [], []
             texts = b.column(1).to_pylist()
-            learned = 0
+            done = 0
             for at_row, (i, t) in enumerate(zip(b.column(0).to_pylist(), texts)):
-                if at_row == learned:  # some texts at a time, so that what is learned stays in the table
+                if at_row == done:  # some texts at a time, so that the arrays of their chunks are bounded
                     chars = 0
-                    while learned < len(texts) and (learned == at_row or chars < 2_000_000):
-                        chars += len(texts[learned] or "")
-                        learned += 1
-                    sp.learn([x for x in texts[at_row:learned] if x])
-                blob = b"".join([*sp.values(t), last]) if t else last
+                    while done < len(texts) and (done == at_row or chars < CHARS):
+                        chars += len(texts[done] or "")
+                        done += 1
+                    blobs = iter(sp.blobs([x for x in texts[at_row:done] if x]))
+                blob = next(blobs) + last if t else last
                 first = len(blob) % size or size
                 for k, (at, to) in enumerate([(0, first), *((x, x + size) for x in range(first, len(blob), size))]):
                     ids.append(i)

@@ -77,6 +77,28 @@ def test_op5_rows(spark, library, odd_docs, no_docs, vocabulary):
     assert token_counts.token_counts(no_docs, vocabulary).count() == 0
 
 
+@FEW
+@given(texts=st.lists(st.lists(PARTS, max_size=6).map(" ".join).filter(bool), max_size=6))
+def test_texts_together_have_the_library_s_ids(vocabulary, library, texts):
+    sp = packing.id_splitter(vocabulary)
+    for some in (texts, texts[::-1] + texts):
+        assert sp.blobs(some) == [np.array(ids_of(library, t), "<u4").tobytes() for t in some]
+
+
+def test_forgotten_chunks_and_equal_hashes(vocabulary, library, small_docs, monkeypatch):
+    texts = [r.text for r in small_docs.collect() if r.text][:300] + ["x" * 40 + " " + "y" * 31 + " " + "é" * 20, "a", " a", "a ", "one  two", "\u00a0 x"]
+    want = [np.array(ids_of(library, t), "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "ROWS", 500)
+    sp = packing.IdSplitter(vocabulary)
+    for k in range(0, len(texts), 20):
+        assert sp.blobs(texts[k:k + 20]) == want[k:k + 20]
+    assert sp.blobs(texts) == want
+    hashes = packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda *a: hashes(*a) % np.uint64(97))
+    sp = packing.IdSplitter(vocabulary)
+    assert all(sp.blobs([t]) == [w] for t, w in zip(texts, want)) and sp.blobs(texts) == want
+
+
 def check_packing(rows, out, library, capacity=1024):
     ids = defaultdict(list)
     for r in rows:
