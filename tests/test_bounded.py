@@ -191,3 +191,72 @@ def test_upsert_moves_only_the_keys_of_incoming_rows(spark):
     assert got == [("", "in"), ("a", "in"), ("b", "new")]
     plan = IO.upsert_frames(old, new)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan
+
+
+class _Map:
+    """A map state that counts what is read of it."""
+
+    def __init__(self):
+        self.rows, self.read = {}, 0
+
+    def values(self):
+        for v in list(self.rows.values()):
+            self.read += 1
+            yield v
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def clear(self):
+        self.rows.clear()
+
+
+class _MapHandle(_Handle):
+    def __init__(self):
+        super().__init__()
+        self.maps = {}
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, _Map())
+
+    def getValueState(self, name, schema):
+        x = super().getValueState(name, schema)
+        x.clear = lambda: setattr(x, "value", None)
+        return x
+
+
+def test_packs_are_appended_unread_and_fire_as_in_sequence(monkeypatch):
+    monkeypatch.setattr(ST, "HELD_ROWS", 7)
+    monkeypatch.setattr(ST, "DEALT_ROWS", 100)
+    n = 500
+    rows = [{"app_name": [None, "a", ""][i % 3], "_ts": (i * 79) % n * 1_000_000, "record_id": f"r{i:03}"} for i in range(n)]
+    schema = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("_ts", T.LongType()), T.StructField("app_name", T.StringType())])
+    batches = [pa.RecordBatch.from_pylist(rows[k:k + 30]) for k in range(0, n, 30)]
+    packs = [r for b in ST._packed(schema, ["app_name"])(iter(batches)) for r in b.to_pylist()]
+    held = ST._Packing(schema)
+    for r in packs:
+        got = held.unpack(r["rows"]).to_pylist()
+        assert len(got) <= 7 and {x["app_name"] for x in got} == {r["app_name"]} and len(r["instants"]) == 8 * len(got)
+        assert r["_event"].timestamp() == max(x["_ts"] for x in got) / 1e6
+    assert len(packs) < 120 and sum(len(r["instants"]) for r in packs) == 8 * n
+    for app in (None, "a", ""):
+        step, handle = ST._PackedCooldown(30_000_000, schema), _MapHandle()
+        step.init(handle)
+        for r in packs:
+            if r["app_name"] == app:
+                list(step.handleInputRows((app,), iter([r]), None))
+        assert not any(m.read for m in handle.maps.values())
+        fired = []
+        for ms in (200_000, 250_500, 10_000_000):
+            fired += [(r["_ts"], r["record_id"], r["app_name"]) for r in step.handleExpiredTimer((app,), _Clock(ms), None)]
+        want = []
+        for r in sorted((r for r in rows if r["app_name"] == app), key=lambda r: r["_ts"]):
+            if not want or r["_ts"] - want[-1][0] >= 30_000_000:
+                want.append((r["_ts"], r["record_id"], app))
+        assert fired == want and not any(m.rows for m in handle.maps.values())
+
+
+def test_a_breach_without_a_timestamp_is_an_error():
+    schema = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("_ts", T.LongType())])
+    with pytest.raises(ValueError, match="timestamp"):
+        list(ST._packed(schema, [])(iter([pa.RecordBatch.from_pylist([{"record_id": "a", "_ts": None}], schema=ST._Packing(schema).arrow)])))

@@ -166,3 +166,29 @@ def test_batches_of_a_stream_with_state_write_few_files_and_none_without_rows(sp
     assert rec.count() == 60 and len(rec.inputFiles()) == rec.select("app_name", "event_date").distinct().count()
     assert len({batch for _, batch in steps}) == 1
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_cooldown_hands_packs_of_breaches_to_its_keys(spark):
+    """Every breach was one row of state, of one list a key, which each further row read again."""
+    t0, n = dt.datetime(2024, 1, 1), 6000
+    schema = ("id string, record_id string, app_name string, metric string, value double, tags array<string>, props map<string,int>, "
+              "seen timestamp, timestamp timestamp")
+    rows = [(f"a{k}", f"r{k:05d}", [None, "x", "y"][k % 3], "m", 0.5, ["t", None], {"k": k}, t0 if k % 2 else None,
+             t0 + dt.timedelta(seconds=(k * 7919) % n, microseconds=k % 5)) for k in range(n)]
+    df = spark.createDataFrame(rows, schema)
+    base = _base(spark, "packs")
+    ST.create_source(spark, f"{base}/src", df.schema)
+    fired = ST.stateful_cooldown(ST.event_stream(spark, f"{base}/src", df.schema), 300, "metric", watermark="3 hours")
+    w = (fired.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/chk").outputMode("append"))
+    late = [("e", "e", "z", "m", 0.5, None, None, None, t0 + dt.timedelta(days=2))]
+    early = [("b", "b", "x", "m", 0.5, None, None, None, t0 - dt.timedelta(hours=1))]  # behind the watermark
+    updated, dropped = 0, 0
+    for delivery in (df.union(df.where("id > 'a3'")), spark.createDataFrame(late, schema), spark.createDataFrame(early + late, schema)):
+        delivery.coalesce(1).write.mode("append").parquet(f"{base}/src")
+        for p in ST.drain(w).recentProgress:
+            cooldown, repeats = p["stateOperators"]
+            updated += cooldown["numRowsUpdated"]
+            dropped += repeats["numRowsDroppedByWatermark"]
+    cols = ["id", "record_id", "app_name", "metric", "tags", "props", "seen", "timestamp"]
+    assert _rows(spark.read.parquet(f"{base}/out"), *cols) == _rows(AL.apply_cooldown(df, 300, "metric"), *cols)
+    assert updated < n / 10 and dropped == 1
